@@ -13,8 +13,9 @@ import io
 import tokenize
 import warnings
 from collections.abc import Iterable, Iterator
-from typing import NamedTuple
+from typing import NamedTuple, get_args
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,8 @@ _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
 _WITHS = (ast.With, ast.AsyncWith)
 _BRANCHING = (ast.If, ast.Try, *_LOOPS, *_WITHS)
+_FLOW_THROUGH = (*_BRANCHING, ast.ExceptHandler)
+_BLOCKS = frozenset({"body", "orelse", "finalbody", "handlers"})
 _HOLDERS = (ast.stmt, ast.Lambda, ast.excepthandler, ast.mod, ast.match_case)
 _BLOCK_RANK = {"body": 0, "orelse": 1, "finalbody": 2, "handlers": 3}
 
@@ -97,15 +100,23 @@ def _constant(node: ast.AST) -> dict:
 
 
 def _names(node: ast.AST) -> list[str]:
+    """Names in an operand, each once, in breadth-first order."""
+    if isinstance(node, ast.Name):
+        return [node.id]
+    if isinstance(node, ast.Constant):
+        return []
     return list(dict.fromkeys(n.id for n in ast.walk(node) if isinstance(n, ast.Name)))
 
 
+_NAMED_BY = {
+    ast.Name: "id", ast.Attribute: "attr", ast.arg: "arg", ast.keyword: "arg", ast.alias: "name",
+    ast.FunctionDef: "name", ast.AsyncFunctionDef: "name", ast.ClassDef: "name",
+}
+
+
 def _ident(node: ast.AST) -> str | None:
-    for attribute in ("id", "attr", "arg", "name"):
-        found = getattr(node, attribute, None)
-        if isinstance(found, str):
-            return found
-    return None
+    attribute = _NAMED_BY.get(type(node))
+    return getattr(node, attribute) if attribute else None
 
 
 def _operand(node: ast.AST, names: bool = False) -> dict:
@@ -145,36 +156,53 @@ def _assignment(node: ast.AST) -> dict:
     }
 
 
+def _definition(node: ast.AST) -> dict:
+    spec = node.args
+    named = (*spec.posonlyargs, *spec.args, *spec.kwonlyargs)
+    return {"ident": node.name, "params": [a.arg for a in named]}
+
+
+def _condition(node: ast.If) -> dict:
+    return {
+        "value": _operand(node.test),
+        "body_line": node.body[0].lineno,
+        "else_line": node.orelse[0].lineno if node.orelse else None,
+    }
+
+
+def _comparison(node: ast.Compare) -> dict:
+    return {
+        "cmp_ops": [type(op).__name__ for op in node.ops],
+        "args": [_operand(x) for x in (node.left, *node.comparators)],
+    }
+
+
+# Columns that describe a node itself and its direct operands.
+_SHAPES = {
+    ast.Name: lambda n: {"ident": n.id, "ctx": type(n.ctx).__name__},
+    ast.Attribute: lambda n: {"ident": n.attr, "ctx": type(n.ctx).__name__},
+    ast.Constant: _constant,
+    ast.Call: _call,
+    ast.Assign: _assignment,
+    ast.AnnAssign: _assignment,
+    ast.AugAssign: _assignment,
+    ast.Compare: _comparison,
+    ast.If: _condition,
+    ast.FunctionDef: _definition,
+    ast.AsyncFunctionDef: _definition,
+    ast.BinOp: lambda n: {"op": type(n.op).__name__},
+    ast.BoolOp: lambda n: {"op": type(n.op).__name__, "n_list": len(n.values)},
+    ast.comprehension: lambda n: {"n_list": len(n.ifs)},
+}
+
+
 def _shape(node: ast.AST) -> dict:
-    """Columns that describe the node itself and its direct operands."""
-    out = {"ident": _ident(node), **_constant(node)}
-    if isinstance(node, (ast.Name, ast.Attribute)):
-        out["ctx"] = type(node.ctx).__name__
-    elif isinstance(node, ast.Call):
-        out.update(_call(node))
-    elif isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
-        out.update(_assignment(node))
-    elif isinstance(node, ast.Compare):
-        out["cmp_ops"] = [type(op).__name__ for op in node.ops]
-        out["args"] = [_operand(x) for x in (node.left, *node.comparators)]
-    elif isinstance(node, ast.BinOp):
-        out["op"] = type(node.op).__name__
-    elif isinstance(node, ast.BoolOp):
-        out["op"], out["n_list"] = type(node.op).__name__, len(node.values)
-    elif isinstance(node, ast.comprehension):
-        out["n_list"] = len(node.ifs)
-    elif isinstance(node, ast.If):
-        out["value"] = _operand(node.test)
-        out["body_line"] = node.body[0].lineno
-        out["else_line"] = node.orelse[0].lineno if node.orelse else None
-    elif isinstance(node, _DEFS):
-        spec = node.args
-        out["params"] = [a.arg for a in (*spec.posonlyargs, *spec.args, *spec.kwonlyargs)]
-    return out
+    describe = _SHAPES.get(type(node))
+    return describe(node) if describe else {"ident": _ident(node)}
 
 
 def _nest_below(node: ast.AST, field: str, nest: int | None) -> int | None:
-    if field not in _BLOCK_RANK or isinstance(node, ast.ClassDef):
+    if isinstance(node, ast.ClassDef):
         return None
     if isinstance(node, _DEFS):
         return 0
@@ -197,40 +225,38 @@ def _place_below(node: ast.AST, field: str, idx: int, place: tuple) -> tuple | N
     return (*place, _BLOCK_RANK[field], idx) if field in _BLOCK_RANK else None
 
 
-def _below(node: ast.AST, scope: Scope, me: tuple | None, events: tuple, field: str, idx: int):
-    """Scope of the child of `node` found at `field[idx]`."""
-    in_body = me is not None and field == "body"
-    own_fn = scope.own_fn
-    if isinstance(node, (*_DEFS, ast.Lambda)):
-        own_fn = me if in_body else None
-    out = Scope(
-        fns=(*scope.fns, me) if me else scope.fns,
-        body_fns=(*scope.body_fns, me) if in_body else scope.body_fns,
-        own_fn=own_fn,
-        events=events,
-    )
-    if isinstance(node, ast.Lambda) or idx is None:
-        return out
-    place = flow = None
+def _fields_of(cls: type) -> tuple[str, ...]:
+    """Fields of a node class that can hold further nodes."""
+    types = getattr(cls, "_field_types", None)
+    if types is None:
+        return cls._fields
+    found = []
+    for field, declared in types.items():
+        held = [t for t in (get_args(declared) or (declared,)) if isinstance(t, type)]
+        if any(issubclass(t, ast.AST) and not issubclass(t, _FOLDED) for t in held):
+            found.append(field)
+    return tuple(found)
+
+
+_CHILD_FIELDS = {
+    cls: _fields_of(cls)
+    for cls in vars(ast).values() if isinstance(cls, type) and issubclass(cls, ast.AST)
+}
+
+
+def _block_scope(node: ast.AST, plain: Scope, scope: Scope, me: tuple | None, field: str, idx: int):
+    """Scope of member `idx` of a statement block of `node`; `plain` is that of its expressions."""
+    own_fn, body_fns, place, flow = plain.own_fn, plain.body_fns, None, None
     if scope.block_key is not None:
         place = _place_below(node, field, idx, scope.block_key)
-    if in_body:
-        flow = (me, (idx,))
-    elif scope.flow is not None and isinstance(node, (*_BRANCHING, ast.ExceptHandler)):
+    if me is not None:
+        if field == "body":
+            own_fn, body_fns, flow = me, (*scope.body_fns, me), (me, (idx,))
+    elif scope.flow is not None and isinstance(node, _FLOW_THROUGH):
         key = _place_below(node, field, idx, scope.flow[1])
         flow = (scope.flow[0], key) if key else None
-    return out._replace(nest=_nest_below(node, field, scope.nest), block_key=place, flow=flow)
-
-
-def _children(node: ast.AST) -> Iterator[tuple]:
-    for field in node._fields:
-        value = getattr(node, field, None)
-        if isinstance(value, list):
-            for idx, child in enumerate(value):
-                if isinstance(child, ast.AST) and not isinstance(child, _FOLDED):
-                    yield child, field, idx, len(value)
-        elif isinstance(value, ast.AST) and not isinstance(value, _FOLDED):
-            yield value, field, None, 0
+    nest = _nest_below(node, field, scope.nest)
+    return Scope(plain.fns, body_fns, own_fn, nest, place, flow, plain.events)
 
 
 def walk_tree(tree: ast.Module) -> list[tuple]:
@@ -242,20 +268,39 @@ def walk_tree(tree: ast.Module) -> list[tuple]:
         pre = len(out)
         me = (depth, pre, node.name) if isinstance(node, _DEFS) else None
         out.append((node, parent, field, idx, depth, scope, me, next_line))
-        holder = isinstance(node, _HOLDERS)
-        # A flow place belongs to a simple statement, or only leads on through a compound one.
-        events = scope.events
-        if scope.flow and not isinstance(node, (*_BRANCHING, ast.ExceptHandler)):
-            events = (*events, scope.flow)
+        fields = _CHILD_FIELDS[type(node)]
+        if not fields:
+            continue
+        holder, plain = isinstance(node, _HOLDERS), scope
+        if holder:
+            # A flow place belongs to a simple statement, or only leads on through a compound one.
+            simple = scope.flow and not isinstance(node, _FLOW_THROUGH)
+            plain = Scope(
+                (*scope.fns, me) if me else scope.fns,
+                scope.body_fns,
+                None if me or isinstance(node, ast.Lambda) else scope.own_fn,
+                events=(*scope.events, scope.flow) if simple else scope.events,
+            )
         pending = []
-        for child, name, at, size in _children(node):
-            follower = getattr(node, name)[at + 1] if size and at + 1 < size else None
-            pending.append((
-                child, pre, name, at, depth + 1,
-                _below(node, scope, me, events, name, at) if holder else scope,
-                follower.lineno if isinstance(follower, ast.stmt) else None,
-            ))
-        stack.extend(reversed(pending))
+        for name in fields:
+            value = getattr(node, name, None)
+            if type(value) is list:
+                blocks = holder and name in _BLOCKS
+                for at, child in enumerate(value):
+                    if not isinstance(child, ast.AST) or isinstance(child, _FOLDED):
+                        continue
+                    follower = None
+                    if blocks and at + 1 < len(value):
+                        follower = getattr(value[at + 1], "lineno", None)
+                    pending.append((
+                        child, pre, name, at, depth + 1,
+                        _block_scope(node, plain, scope, me, name, at) if blocks else plain,
+                        follower,
+                    ))
+            elif isinstance(value, ast.AST) and not isinstance(value, _FOLDED):
+                pending.append((value, pre, name, None, depth + 1, plain, None))
+        pending.reverse()
+        stack += pending
     return out
 
 
@@ -319,19 +364,39 @@ def file_rows(sha: str, raw: bytes, kinds: frozenset | None) -> Iterator[dict]:
         yield {"content_sha": sha, "kind": UNPARSED, "parse_error": _utf8(failure)}
 
 
+def _column(at: list[int], values: list, rows: int, kind: pa.DataType) -> pa.Array:
+    """Column with `values` in the rows `at`, null elsewhere."""
+    found = pa.array(values, type=kind)
+    if len(at) == rows:
+        return found
+    index = np.full(rows, -1, dtype=np.int32)
+    index[at] = np.arange(len(at), dtype=np.int32)
+    return found.take(pa.array(index, mask=index < 0))
+
+
 def _batches(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    pending: list[dict] = []
+    """Arrow batches of sparse rows: the cost follows the values present, not the columns."""
+    cells = {name: ([], []) for name in schema.names}
+    count = 0
 
     def flush():
-        columns = [pa.array([r.get(f.name) for r in pending], type=f.type) for f in schema]
-        pending.clear()
+        columns = [_column(*cells[f.name], count, f.type) for f in schema]
+        for at, values in cells.values():
+            at.clear()
+            values.clear()
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     for row in rows:
-        pending.append(row)
-        if len(pending) >= ROWS_PER_BATCH:
+        for name, value in row.items():
+            if value is not None:
+                at, values = cells[name]
+                at.append(count)
+                values.append(value)
+        count += 1
+        if count >= ROWS_PER_BATCH:
             yield flush()
-    if pending:
+            count = 0
+    if count:
         yield flush()
 
 

@@ -108,19 +108,17 @@ def unused_vars(nodes: DataFrame) -> DataFrame:
         & F.col("own_fn").isNotNull()
     )
     place = F.col("pre").cast("long") * F.lit(1 << 32) + F.col("lineno")
-    stores = nodes.filter(of_kind("Assign", "AnnAssign") & simple).select(
-        "content_sha", F.col("own_fn").alias("fn"), target["ident"].alias("var"),
-        place.alias("place"), F.lit(False).alias("read"),
-    )
-    reads = (
-        nodes.filter(of_kind("Name") & (F.col("ctx") == "Load") & (F.size("body_fns") > 0))
+    store = of_kind("Assign", "AnnAssign") & simple
+    read = of_kind("Name") & (F.col("ctx") == "Load") & (F.size("body_fns") > 0)
+    return (
+        nodes.filter(store | read)
         .select(
-            "content_sha", F.explode("body_fns").alias("fn"), F.col("ident").alias("var"),
-            F.lit(None).cast("long").alias("place"), F.lit(True).alias("read"),
+            "content_sha",
+            F.explode(F.when(store, F.array("own_fn")).otherwise(F.col("body_fns"))).alias("fn"),
+            F.when(store, target["ident"]).otherwise(F.col("ident")).alias("var"),
+            F.when(store, place).alias("place"),
+            read.alias("read"),
         )
-    )
-    return (
-        stores.unionByName(reads)
         .groupBy("content_sha", "fn", "var")
         .agg(F.max("place").alias("last"), F.min("place").alias("first"),
              F.bool_or("read").alias("read"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from astrolake.fixed_values import SECURITY_RULES
 from astrolake.operators import findings, quality, report
 from astrolake.operators.nodes import UNPARSED, parse_status, syntax_nodes
-from astrolake.session import written_once
+from astrolake.session import tuned, written_once
 
 STATUS_KINDS = ("Module", UNPARSED)
 
@@ -23,6 +23,7 @@ class Scan:
     """
 
     def __init__(self, files: DataFrame, kinds: tuple[str, ...] | None = None):
+        tuned(files.sparkSession)
         self.files = files
         self.kinds = kinds
 
@@ -44,8 +45,10 @@ class Scan:
         return written_once(syntax_nodes(self.files, self.kinds), "nodes")
 
     def rule(self, rule_id: str, snippets: bool = False) -> DataFrame:
-        """Findings of one rule, straight from the parse job."""
+        """Findings of one rule, straight from the parse job unless they need the nodes twice."""
         nodes = syntax_nodes(self.files, findings.rule_kinds((rule_id,)))
+        if rule_id == findings.TAINT_RULE or snippets:
+            nodes = written_once(nodes, "nodes")
         return findings.security_findings(self.files, nodes, (rule_id,), snippets)
 
     def check(self, check: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Taint trace: does a function parameter reach a shell call through assignments?
 
-One fold per function, written with array functions.  Only functions that contain a sink take part:
-their few rows select the assignments by a semi join, which the optimizer turns into a broadcast
-when the sinks turn out small and leaves a shuffle join otherwise.  A group is one function of one
-file, so its size is bounded by the file size cap.
+One fold per function, written with array functions.  Files without a sink are dropped by a semi
+join on the content; its shuffle also serves the grouping by (content, function) that follows, and
+the optimizer turns it into a broadcast when the files with sinks turn out few.  A group is one
+function of one file, so its size is bounded by the file size cap.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from astrolake.fixed_values import FUNCTION_KINDS
 from astrolake.functions import predicates as P
-from astrolake.operators.nodes import FUNCTION
+from astrolake.operators.nodes import FLOW, FUNCTION
 from astrolake.operators.views import calls, of_kind
 
 TAINT_KINDS = ("Call", "Assign", "AugAssign", *FUNCTION_KINDS)
@@ -23,49 +23,41 @@ _STRINGS = "array<string>"
 _HIT = "struct<line:int,name:string,pos:array<int>,text:string>"
 
 
-def sink_events(nodes: DataFrame) -> DataFrame:
-    """Shell calls, once for every simple statement around them: a nested function is also a
-    statement of the function around it, so one call may count for both."""
+def _is_sink() -> Column:
     return (
-        calls(nodes)
-        .filter(P.is_shell_sink() & (F.size("events") > 0) & P.has_args())
-        .withColumn("event", F.explode("events"))
-        .select(
-            "content_sha", F.col("event.fn").alias("fn"), F.col("event.key").alias("key"),
-            F.lit(SINK).alias("step"), F.array("depth", "pre").alias("order"),
-            F.flatten(F.transform("args", lambda a: a["names"])).alias("names"),
-            F.array().cast(_STRINGS).alias("targets"), "line", "text",
-        )
-    )
-
-
-def _quiet_event(rows: DataFrame, fn: Column, key: Column, step: Column, names: Column,
-                 targets: Column) -> DataFrame:
-    return rows.select(
-        "content_sha", fn.alias("fn"), key.alias("key"), step.alias("step"),
-        F.array().cast("array<int>").alias("order"), names.alias("names"),
-        targets.alias("targets"), F.lit(None).cast("int").alias("line"),
-        F.lit(None).cast("string").alias("text"),
+        of_kind("Call") & P.is_shell_sink() & P.has_args() & P.holds(F.size("events") > 0)
     )
 
 
-def seed_events(nodes: DataFrame) -> DataFrame:
-    """Parameters are tainted on entry; `*args` and `**kwargs` are not."""
-    return _quiet_event(
-        nodes.filter(of_kind(*FUNCTION_KINDS)),
-        F.struct("depth", "pre", F.col("ident").alias("name")).cast(FUNCTION),
-        F.array().cast("array<int>"), F.lit(SEED), F.array().cast(_STRINGS), F.col("params"),
-    )
-
+def taint_events(rows: DataFrame) -> DataFrame:
+    """What happens in each function, in its execution order.
 
-def assign_events(nodes: DataFrame) -> DataFrame:
-    names = F.transform(F.col("targets"), lambda t: t["ident"])
-    return _quiet_event(
-        nodes.filter(of_kind("Assign", "AugAssign") & F.col("flow").isNotNull()),
-        F.col("flow.fn"), F.col("flow.key"),
-        F.when(of_kind("Assign"), ASSIGN).otherwise(AUGMENT), F.col("value.names"),
-        F.filter(names, lambda n: n.isNotNull()),
+    Parameters are tainted on entry (`*args` and `**kwargs` are not).  Assignments act where they
+    stand.  A sink counts once for every simple statement around it: a nested function is also a
+    statement of the function around it, so one call may count for both.
+    """
+    is_call, is_def = of_kind("Call"), of_kind(*FUNCTION_KINDS)
+    no_strings = F.array().cast(_STRINGS)
+    start = F.struct(
+        F.struct("depth", "pre", F.col("ident").alias("name")).cast(FUNCTION).alias("fn"),
+        F.array().cast("array<int>").alias("key"),
     )
+    places = F.when(is_call, F.col("events")).when(is_def, F.array(start.cast(FLOW)))
+    stored = F.filter(F.transform("targets", lambda t: t["ident"]), lambda n: n.isNotNull())
+    argument_names = F.flatten(F.transform("args", lambda a: a["names"]))
+    return rows.select(
+        "content_sha",
+        F.explode(places.otherwise(F.array("flow"))).alias("place"),
+        F.when(is_def, SEED).when(of_kind("Assign"), ASSIGN).when(is_call, SINK)
+        .otherwise(AUGMENT).alias("step"),
+        F.when(is_call, F.array("depth", "pre")).alias("order"),
+        F.when(is_call, argument_names).when(is_def, no_strings)
+        .otherwise(F.col("value.names")).alias("names"),
+        F.when(is_def, F.col("params")).when(is_call, no_strings).otherwise(stored)
+        .alias("targets"),
+        F.col("lineno").alias("line"), "text",
+    ).select("content_sha", F.col("place.fn").alias("fn"), F.col("place.key").alias("key"),
+             "step", "order", "names", "targets", "line", "text")
 
 
 def _tainted_after(tainted: Column, event: Column) -> Column:
@@ -93,14 +85,10 @@ def _hits_after(state: Column, event: Column) -> Column:
 
 
 def taint_findings(nodes: DataFrame) -> DataFrame:
-    sinks = sink_events(nodes)
-    functions = sinks.select("content_sha", F.col("fn.pre").alias("fn_pre")).distinct()
-    others = seed_events(nodes).unionByName(assign_events(nodes))
-    relevant = others.join(
-        functions,
-        (others["content_sha"] == functions["content_sha"])
-        & (others["fn"]["pre"] == functions["fn_pre"]),
-        "left_semi",
+    sink_files = nodes.filter(_is_sink()).select("content_sha").distinct()
+    moves = of_kind("Assign", "AugAssign") & F.col("flow").isNotNull()
+    rows = nodes.filter(_is_sink() | moves | of_kind(*FUNCTION_KINDS)).join(
+        sink_files, "content_sha", "left_semi"
     )
     event = F.struct("key", "step", "order", "names", "targets", "line", "text")
     start = F.struct(
@@ -116,7 +104,7 @@ def taint_findings(nodes: DataFrame) -> DataFrame:
         lambda state: state["hits"],
     )
     return (
-        sinks.unionByName(relevant)
+        taint_events(rows)
         .groupBy("content_sha", "fn")
         .agg(F.sort_array(F.collect_list(event)).alias("events"))
         .withColumn("hit", F.explode(hits))

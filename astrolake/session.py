@@ -8,6 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Runtime settings of a scan.  Parsing is bound by the processor, not by bytes: small partitions are
+# worth a task, and a batch handed to Python should hold few files, since one may have 2 MB.
+SCAN_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+}
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """Apply the scan settings the session has not chosen itself."""
+    for key, value in SCAN_SETTINGS.items():
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the benchmark.  A cluster brings its own settings."""
     return (
