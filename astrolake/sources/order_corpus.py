@@ -84,16 +84,24 @@ def _text() -> Column:
     return out
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+def _repo(groups: int | None) -> Column:
+    owner = F.col("o_custkey") if groups is None else F.col("o_custkey") % groups
+    return F.concat(F.lit("repo_"), owner.cast("string"))
+
+
+def _path() -> Column:
     key = _key().cast("string")
-    path = F.when(_key() % 5 == 0, F.concat(F.lit("tests/test_"), key, F.lit(".py"))).otherwise(
+    return F.when(_key() % 5 == 0, F.concat(F.lit("tests/test_"), key, F.lit(".py"))).otherwise(
         F.concat(F.lit("src/mod_"), key, F.lit(".py"))
     )
-    repo = F.concat(F.lit("repo_"), (F.col("o_custkey") % 40).cast("string"))
+
+
+def corpus(spark: SparkSession, sf_dir: str, repositories: int | None = 40) -> DataFrame:
+    """File table of the corpus; with `repositories=None` every customer is a repository."""
     return code_files(
-        orders.select(
-            repo.alias("repo_id"), path.alias("path"), F.encode(_text(), "UTF-8").alias("content")
+        _orders(spark, sf_dir).select(
+            _repo(repositories).alias("repo_id"), _path().alias("path"),
+            F.encode(_text(), "UTF-8").alias("content"),
         )
     )
 
@@ -108,16 +116,100 @@ FILE_NAMES = (
 )
 
 
+# Paths for the test-file flag and labels for the repository-URL filter.
+TEST_PATHS = (
+    "tests/a_{k}.py", "src/tests/x_{k}.py", "test/x_{k}.py", "src/test_{k}.py",
+    "src/mod_{k}_test.py", "mytests/a_{k}.py", "src\\tests\\a_{k}.py", "src/testing_{k}.py",
+    "test_dir/x_{k}.py", "tests_{k}.py", "a/tests.py/b_{k}.py",
+)
+SOURCE_LABELS = (
+    "https://github.com/owner/repo_{k}", "https://github.com/owner/repo_{k}.git",
+    "  https://github.com/o.w-n/r.e-p_{k}/ ", "git@github.com:owner/repo_{k}.git",
+    "git@github.com:owner/repo_{k}", "http://github.com/owner/repo_{k}",
+    "https://example.org/owner/repo_{k}", "https://github.com/owner_{k}",
+    "https://github.com/owner/repo_{k}/tree", "\thttps://github.com/owner/repo_{k}.git/\n",
+    "./local/folder_{k}", "https://github.com/größe/répo_{k}",
+)
+RAW_SEVERITIES = ("CRITICAL", "High", "medium", "LOW", "wat", None, "")
+
+
+def _pick(values: tuple, key: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), (key % len(values)).cast("int"))
+
+
+def _keyed(values: tuple[str, ...]) -> Column:
+    return F.replace(_pick(values, _key()), F.lit("{k}"), _key().cast("string"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+
+
 def listed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw listing (repo_id, path, size_bytes) with files that must be skipped."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    return _orders(spark, sf_dir).select(
+        _repo(40).alias("repo_id"),
+        F.concat(_pick(DIRECTORIES, _key()), F.lit("/"), _keyed(FILE_NAMES)).alias("path"),
+        (_key() * 7919 % 4_000_001).alias("size_bytes"),
+    )
 
-    def pick(values: tuple[str, ...]) -> Column:
-        return F.get(F.array(*map(F.lit, values)), (_key() % len(values)).cast("int"))
 
-    name = F.replace(pick(FILE_NAMES), F.lit("{k}"), _key().cast("string"))
-    return orders.select(
-        F.concat(F.lit("repo_"), (F.col("o_custkey") % 40).cast("string")).alias("repo_id"),
-        F.concat(pick(DIRECTORIES), F.lit("/"), name).alias("path"),
-        (_key() * 7919 % 4_000_001).alias("size_bytes"),
+def labelled_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).select(_keyed(TEST_PATHS).alias("path"))
+
+
+def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository labels derived from the orders, and the addresses of the crawled pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("label"))
+    return _orders(spark, sf_dir).select(_keyed(SOURCE_LABELS).alias("label")).unionByName(pages)
+
+
+def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with every mix of severity and confidence, one per event."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    key = F.col("event_id")
+    return events.select(
+        "event_id",
+        F.concat(F.lit("repo_"), (F.col("user_id") % 40).cast("string")).alias("repo_id"),
+        _pick(("critical", "high", "medium", "low"), key).alias("severity"),
+        _pick(("high", "medium", "low"), key).alias("confidence"),
+        _pick(RAW_SEVERITIES, key).alias("raw_severity"),
     )
+
+
+# Verdicts and planted weaknesses by file shape: (shape, line, rule).
+JUDGED = ((0, 3, "sql_injection"), (4, 4, "insecure_deserialization"), (5, 4, "weak_crypto"),
+          (9, 4, "command_injection_taint"))
+VERDICTS = ("false_positive", "nuanced", "true_positive")
+# (shape, category, rule expected to see it).  Shapes 8 and 10 are safe variants of 7 and 9.
+PLANTED = (
+    (0, "sql", "sql_injection"), (1, "shell", "command_injection"),
+    (2, "shell", "command_injection"), (3, "secret", "hardcoded_secrets"),
+    (4, "deserialization", "insecure_deserialization"), (5, "crypto", "weak_crypto"),
+    (6, "eval", "eval_exec_misuse"), (7, "path", "path_traversal"),
+    (8, "path", "path_traversal"), (9, "taint", "command_injection_taint"),
+    (10, "taint", "command_injection_taint"),
+)
+
+
+def _by_shape(spark: SparkSession, sf_dir: str, entries: tuple, fields: str) -> DataFrame:
+    """Orders with the entry of their shape; the entries are a fixed handful of rows."""
+    table = F.array(*[
+        F.struct(*[F.lit(v).alias(name) for name, v in zip(fields.split(), entry)])
+        for entry in entries
+    ])
+    mine = F.filter(table, lambda e: e["shape"] == _key() % 16)
+    return _orders(spark, sf_dir).withColumn("entry", F.explode(mine))
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _by_shape(spark, sf_dir, JUDGED, "shape line rule_id")
+    return rows.select(
+        _repo(40).alias("repo_id"), _path().alias("path"), "entry.line", "entry.rule_id",
+        _pick(VERDICTS, F.floor(_key() / 16)).alias("verdict"),
+    )
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _by_shape(spark, sf_dir, PLANTED, "shape category expected_rule_id")
+    return rows.select(_path().alias("path"), "entry.category", "entry.expected_rule_id")
