@@ -20,9 +20,20 @@ from astrolake.fixed_values import (
     WEAK_HASH_FUNCTIONS,
 )
 from astrolake.functions import predicates as P
+from astrolake.operators.nodes import Needs
 from astrolake.operators.views import of_kind
 
-CALL_RULE_KINDS = ("Call", "Assign")
+# What each node kind contributes to these rules.
+CALL_RULE_NEEDS = {
+    "Call": Needs(("Call",), (
+        "content_sha", "kind", "pre", "depth", "lineno", "func_kind", "func_name", "recv_kind",
+        "recv_name", "args", "kws", "value", "text",
+    )),
+    "Assign": Needs(("Assign",), (
+        "content_sha", "kind", "pre", "depth", "lineno", "func_name", "recv_name", "targets",
+        "value", "text",
+    )),
+}
 
 
 def sql_injection() -> Column:

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.fixed_values import (
-    FUNCTION_KINDS,
     QUALITY_CHECKS,
     QUALITY_MESSAGES,
     SECURITY_CATALOG,
@@ -22,44 +21,43 @@ from astrolake.fixed_values import (
 )
 from astrolake.functions.text import filled
 from astrolake.operators import quality
-from astrolake.operators.call_rules import CALL_RULE_KINDS, CALL_RULES, call_findings
+from astrolake.operators.call_rules import CALL_RULE_NEEDS, CALL_RULES, call_findings
 from astrolake.operators.function_rules import (
-    FUNCTION_RULE_KINDS,
+    FUNCTION_RULE_NEEDS,
     FUNCTION_RULES,
     function_findings,
 )
-from astrolake.operators.nodes import LONG_LINE
-from astrolake.operators.taint import TAINT_KINDS, taint_findings
+from astrolake.operators.nodes import LONG_LINE, Needs
+from astrolake.operators.taint import TAINT_NEEDS, taint_findings
 from astrolake.operators.views import of_kind
 
 TAINT_RULE = "command_injection_taint"
-SECURITY_KINDS = tuple(dict.fromkeys(
-    (*CALL_RULE_KINDS, *FUNCTION_RULE_KINDS, *TAINT_KINDS, *FUNCTION_KINDS, LONG_LINE)
-))
+LONG_LINE_NEEDS = Needs((LONG_LINE,), ("content_sha", "kind", "lineno", "text"))
 
-# Rules added by a user: rule id -> (node kinds, hits builder, catalog entries)
-EXTRA_RULES: dict[str, tuple[tuple[str, ...], Callable, list[tuple]]] = {}
+# Rules added by a user: rule id -> (what it reads, hits builder, catalog entries)
+EXTRA_RULES: dict[str, tuple[Needs, Callable, list[tuple]]] = {}
 
 
-def register_rule(rule_id: str, kinds: tuple[str, ...], hits: Callable, catalog: list[tuple]):
+def register_rule(rule_id: str, needs: Needs, hits: Callable, catalog: list[tuple]):
     """Add a rule: `hits(nodes)` returns rows shaped like those of `call_findings`, whose variants
     are described by `catalog` entries (variant, rule, CWE, severity, confidence, message, fix)."""
-    EXTRA_RULES[rule_id] = (tuple(kinds), hits, list(catalog))
+    EXTRA_RULES[rule_id] = (needs, hits, list(catalog))
 
 
-def rule_kinds(rules: tuple[str, ...]) -> tuple[str, ...]:
-    """Node kinds the given rules read; nothing else needs to leave the parse job."""
-    kinds: list[str] = [LONG_LINE]
-    for rule in rules:
+def rule_needs(rules: tuple[str, ...] | None = None) -> Needs:
+    """Part of the node table the given rules read, all rules by default."""
+    needs = LONG_LINE_NEEDS
+    for rule in rules or (*SECURITY_RULES, *EXTRA_RULES):
         if rule in CALL_RULES:
-            kinds += [kind for kind, _ in CALL_RULES[rule]]
+            for kind, _ in CALL_RULES[rule]:
+                needs |= CALL_RULE_NEEDS[kind]
         elif rule in FUNCTION_RULES:
-            kinds += FUNCTION_RULE_KINDS
+            needs |= FUNCTION_RULE_NEEDS
         elif rule == TAINT_RULE:
-            kinds += TAINT_KINDS
+            needs |= TAINT_NEEDS
         else:
-            kinds += EXTRA_RULES[rule][0]
-    return tuple(dict.fromkeys(kinds))
+            needs |= EXTRA_RULES[rule][0]
+    return needs
 
 
 def rule_catalog(spark: SparkSession) -> DataFrame:

@@ -10,9 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from astrolake.functions import predicates as P
+from astrolake.operators.nodes import Needs
 from astrolake.operators.views import of_kind
 
-FUNCTION_RULE_KINDS = ("Call", "Compare")
+FUNCTION_RULE_NEEDS = Needs(("Call", "Compare"), (
+    "content_sha", "kind", "pre", "depth", "lineno", "func_kind", "func_name", "recv_kind",
+    "recv_name", "recv_root", "args", "cmp_ops", "fns", "text",
+))
 
 # rule id -> (variant, sink predicate, safeguard predicate)
 FUNCTION_RULES = {
@@ -33,7 +37,7 @@ def function_marks(nodes: DataFrame, rules=tuple(FUNCTION_RULES)) -> DataFrame:
     for name in names:
         any_mark = any_mark | F.col(name)
     return (
-        nodes.filter(of_kind(*FUNCTION_RULE_KINDS) & (F.size("fns") > 0))
+        nodes.filter(of_kind(*FUNCTION_RULE_NEEDS.kinds) & (F.size("fns") > 0))
         .select("content_sha", "fns", "depth", "pre", "lineno", "text", *marks)
         .filter(any_mark)
         .select("content_sha", F.explode("fns").alias("fn"), "depth", "pre", "lineno", "text",

@@ -63,6 +63,23 @@ _HOLDERS = (ast.stmt, ast.Lambda, ast.excepthandler, ast.mod, ast.match_case)
 _BLOCK_RANK = {"body": 0, "orelse": 1, "finalbody": 2, "handlers": 3}
 
 
+class Needs(NamedTuple):
+    """Rows and columns of the node table an operator reads.  The parse job writes nothing else:
+    neither a filter nor a projection on the output of a Python stage is pushed into it."""
+
+    kinds: tuple[str, ...]
+    columns: tuple[str, ...]
+
+    def __or__(self, other: Needs) -> Needs:
+        return Needs(
+            tuple(dict.fromkeys(self.kinds + other.kinds)),
+            tuple(dict.fromkeys(self.columns + other.columns)),
+        )
+
+
+STATUS = Needs(("Module", UNPARSED), ("content_sha", "kind", "parse_error"))
+
+
 class Scope(NamedTuple):
     """Attributes a node inherits from the nodes above it."""
 
@@ -196,6 +213,12 @@ _SHAPES = {
 }
 
 
+_UNSHAPED = frozenset({
+    "content_sha", "kind", "pre", "last", "depth", "parent", "field", "idx", "lineno", "own_fn",
+    "fns", "body_fns", "events", "nest", "block_key", "flow", "next_line", "text", "parse_error",
+})
+
+
 def _shape(node: ast.AST) -> dict:
     describe = _SHAPES.get(type(node))
     return describe(node) if describe else {"ident": _ident(node)}
@@ -312,7 +335,8 @@ def _last_descendants(walked: list[tuple]) -> list[int]:
     return last
 
 
-def tree_rows(sha: str, tree: ast.Module, lines: list[str], kinds: frozenset | None):
+def tree_rows(sha: str, tree: ast.Module, lines: list[str], kinds: frozenset | None,
+              shaped: bool = True) -> Iterator[dict]:
     walked = walk_tree(tree)
     last = _last_descendants(walked)
     long_lines = set()
@@ -323,8 +347,10 @@ def tree_rows(sha: str, tree: ast.Module, lines: list[str], kinds: frozenset | N
         row = {
             "content_sha": sha, "kind": kind, "pre": pre, "last": last[pre], "depth": depth,
             "parent": parent, "field": field, "idx": idx,
-            "lineno": getattr(node, "lineno", None), "own_fn": scope.own_fn, **_shape(node),
+            "lineno": getattr(node, "lineno", None), "own_fn": scope.own_fn,
         }
+        if shaped:
+            row.update(_shape(node))
         if isinstance(node, (ast.Call, ast.Compare)):
             row["fns"] = scope.fns
         if isinstance(node, ast.Name):
@@ -344,7 +370,8 @@ def tree_rows(sha: str, tree: ast.Module, lines: list[str], kinds: frozenset | N
         yield row
 
 
-def file_rows(sha: str, raw: bytes, kinds: frozenset | None) -> Iterator[dict]:
+def file_rows(sha: str, raw: bytes, kinds: frozenset | None,
+              shaped: bool = True) -> Iterator[dict]:
     """All rows of one file.  A file that cannot be read or parsed gives one status row."""
     failure = None
     try:
@@ -359,7 +386,7 @@ def file_rows(sha: str, raw: bytes, kinds: frozenset | None) -> Iterator[dict]:
         except (ValueError, RecursionError, MemoryError) as exc:
             failure = PARSE_FAILURE.format(error=exc or type(exc).__name__)
     if failure is None:
-        yield from tree_rows(sha, tree, source.splitlines(), kinds)
+        yield from tree_rows(sha, tree, source.splitlines(), kinds, shaped)
     elif kinds is None or UNPARSED in kinds:
         yield {"content_sha": sha, "kind": UNPARSED, "parse_error": _utf8(failure)}
 
@@ -388,7 +415,7 @@ def _batches(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
     for row in rows:
         for name, value in row.items():
-            if value is not None:
+            if value is not None and name in cells:
                 at, values = cells[name]
                 at.append(count)
                 values.append(value)
@@ -412,18 +439,23 @@ def distinct_contents(files: DataFrame) -> DataFrame:
     return files.select("content_sha", "content").dropDuplicates(["content_sha"])
 
 
-def syntax_nodes(files: DataFrame, kinds: Iterable[str] | None = None) -> DataFrame:
-    """Node table of `files`.  `kinds` keeps only those rows; it is applied inside the job, since
-    a filter on the output of a Python stage is not pushed into it."""
-    wanted = frozenset(kinds) if kinds is not None else None
+def syntax_nodes(files: DataFrame, needs: Needs | None = None) -> DataFrame:
+    """Node table of `files`, or the part of it that `needs` names."""
     schema = StructType.fromDDL(NODE_SCHEMA)
+    kinds, shaped = None, True
+    if needs is not None:
+        kinds = frozenset(needs.kinds) or None
+        schema = StructType([f for f in schema if f.name in needs.columns])
+        shaped = not _UNSHAPED.issuperset(needs.columns)
     arrow_schema = to_arrow_schema(schema)
 
     def parse(batches):
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             rows = (
-                row for sha, raw in _files_in(batches) for row in file_rows(sha, raw, wanted)
+                row
+                for sha, raw in _files_in(batches)
+                for row in file_rows(sha, raw, kinds, shaped)
             )
             yield from _batches(rows, arrow_schema)
 

@@ -14,12 +14,22 @@ from astrolake.fixed_values import (
     TERMINAL_KINDS,
 )
 from astrolake.functions import predicates as P
-from astrolake.operators.nodes import FUNCTION
+from astrolake.operators.nodes import FUNCTION, Needs
 from astrolake.operators.views import of_kind
 
-METRIC_KINDS = (*FUNCTION_KINDS, *BRANCH_KINDS, "BoolOp", "comprehension", *NESTING_KINDS)
-NAME_KINDS = ("Assign", "AnnAssign", "Name")
-DEAD_KINDS = (*TERMINAL_KINDS, "If")
+METRIC_NEEDS = Needs(
+    tuple(dict.fromkeys(
+        (*FUNCTION_KINDS, *BRANCH_KINDS, "BoolOp", "comprehension", *NESTING_KINDS)
+    )),
+    ("content_sha", "kind", "pre", "depth", "lineno", "ident", "n_list", "nest", "own_fn"),
+)
+NAME_NEEDS = Needs(("Assign", "AnnAssign", "Name"), (
+    "content_sha", "kind", "pre", "lineno", "ident", "ctx", "targets", "value", "own_fn",
+    "body_fns",
+))
+DEAD_NEEDS = Needs((*TERMINAL_KINDS, "If"), (
+    "content_sha", "kind", "lineno", "next_line", "block_key", "value", "body_line", "else_line",
+))
 
 
 def _none(type_name: str) -> Column:
@@ -46,7 +56,7 @@ def function_metrics(nodes: DataFrame) -> DataFrame:
     fn = F.when(is_def, itself).otherwise(F.col("own_fn"))
     depth = F.when(is_def, 0).when(of_kind(*NESTING_KINDS), F.col("nest") + 1)
     return (
-        nodes.filter(of_kind(*dict.fromkeys(METRIC_KINDS)))
+        nodes.filter(of_kind(*METRIC_NEEDS.kinds))
         .select(
             "content_sha", fn.alias("fn"),
             F.when(is_def, 1).otherwise(_decision_weight()).alias("weight"),
@@ -171,15 +181,15 @@ def dead_constant_branch(nodes: DataFrame) -> DataFrame:
     )
 
 
-# check -> (node kinds it reads, builder)
+# check -> (what it reads, builder)
 QUALITY_BUILDERS = {
-    "complexity": (METRIC_KINDS, lambda n: metric_findings(n, checks=("complexity",))),
-    "unused_vars": (NAME_KINDS, unused_vars),
-    "nesting_depth": (METRIC_KINDS, lambda n: metric_findings(n, checks=("nesting_depth",))),
-    "dead_after": (DEAD_KINDS, dead_after_terminal),
-    "dead_branch": (DEAD_KINDS, dead_constant_branch),
+    "complexity": (METRIC_NEEDS, lambda n: metric_findings(n, checks=("complexity",))),
+    "unused_vars": (NAME_NEEDS, unused_vars),
+    "nesting_depth": (METRIC_NEEDS, lambda n: metric_findings(n, checks=("nesting_depth",))),
+    "dead_after": (DEAD_NEEDS, dead_after_terminal),
+    "dead_branch": (DEAD_NEEDS, dead_constant_branch),
 }
-QUALITY_KINDS = tuple(dict.fromkeys((*METRIC_KINDS, *NAME_KINDS, *DEAD_KINDS)))
+QUALITY_NEEDS = METRIC_NEEDS | NAME_NEEDS | DEAD_NEEDS
 
 
 def quality_content_findings(nodes: DataFrame) -> DataFrame:

@@ -6,55 +6,50 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from astrolake.fixed_values import SECURITY_RULES
 from astrolake.operators import findings, quality, report
-from astrolake.operators.nodes import UNPARSED, parse_status, syntax_nodes
+from astrolake.operators.nodes import STATUS, Needs, parse_status, syntax_nodes
 from astrolake.session import tuned, written_once
 
-STATUS_KINDS = ("Module", UNPARSED)
-
-
 class Scan:
     """Parse once, read often.
 
-    `rules` and `checks` alone are lazy and read the parse job directly.  Anything that needs more
+    `rule` and `check` alone are lazy and read the parse job directly.  Anything that needs more
     than one pass over the nodes goes through `nodes`, which is written once to the shared folder
-    with only the node kinds in use.
+    with only the rows and columns in use.
     """
 
-    def __init__(self, files: DataFrame, kinds: tuple[str, ...] | None = None):
+    def __init__(self, files: DataFrame, needs: Needs | None = None):
         tuned(files.sparkSession)
         self.files = files
-        self.kinds = kinds
+        self.needs = needs
 
     @classmethod
     def security(cls, files: DataFrame) -> Scan:
-        return cls(files, findings.SECURITY_KINDS)
+        return cls(files, findings.rule_needs())
 
     @classmethod
     def quality(cls, files: DataFrame) -> Scan:
-        return cls(files, quality.QUALITY_KINDS)
+        return cls(files, quality.QUALITY_NEEDS)
 
     @classmethod
     def full(cls, files: DataFrame) -> Scan:
-        kinds = (*findings.SECURITY_KINDS, *quality.QUALITY_KINDS, *STATUS_KINDS)
-        return cls(files, tuple(dict.fromkeys(kinds)))
+        return cls(files, findings.rule_needs() | quality.QUALITY_NEEDS | STATUS)
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return written_once(syntax_nodes(self.files, self.kinds), "nodes")
+        return written_once(syntax_nodes(self.files, self.needs), "nodes")
 
     def rule(self, rule_id: str, snippets: bool = False) -> DataFrame:
         """Findings of one rule, straight from the parse job unless they need the nodes twice."""
-        nodes = syntax_nodes(self.files, findings.rule_kinds((rule_id,)))
+        nodes = syntax_nodes(self.files, findings.rule_needs((rule_id,)))
         if rule_id == findings.TAINT_RULE or snippets:
             nodes = written_once(nodes, "nodes")
         return findings.security_findings(self.files, nodes, (rule_id,), snippets)
 
     def check(self, check: str) -> DataFrame:
         """Findings of one quality check, straight from the parse job."""
-        kinds, build = quality.QUALITY_BUILDERS[check]
-        return findings.quality_findings(self.files, build(syntax_nodes(self.files, kinds)))
+        needs, build = quality.QUALITY_BUILDERS[check]
+        return findings.quality_findings(self.files, build(syntax_nodes(self.files, needs)))
 
     def security_findings(self, snippets: bool = True) -> DataFrame:
         return findings.security_findings(self.files, self.nodes, snippets=snippets)
@@ -71,5 +66,3 @@ class Scan:
             self.quality_findings(),
         )
 
-
-__all__ = ["SECURITY_RULES", "STATUS_KINDS", "Scan"]

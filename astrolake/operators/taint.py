@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from astrolake.fixed_values import FUNCTION_KINDS
 from astrolake.functions import predicates as P
-from astrolake.operators.nodes import FLOW, FUNCTION
-from astrolake.operators.views import calls, of_kind
+from astrolake.operators.nodes import FLOW, FUNCTION, Needs
+from astrolake.operators.views import of_kind
 
-TAINT_KINDS = ("Call", "Assign", "AugAssign", *FUNCTION_KINDS)
+TAINT_NEEDS = Needs(("Call", "Assign", "AugAssign", *FUNCTION_KINDS), (
+    "content_sha", "kind", "pre", "depth", "lineno", "ident", "params", "func_kind", "func_name",
+    "recv_kind", "recv_name", "args", "kws", "targets", "value", "flow", "events", "text",
+))
 
 SEED, ASSIGN, AUGMENT, SINK = range(4)
 _STRINGS = "array<string>"

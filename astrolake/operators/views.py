@@ -10,9 +10,19 @@ from pyspark.sql import functions as F
 
 from astrolake.fixed_values import FUNCTION_KINDS
 from astrolake.functions import predicates as P
-
-CALL_KINDS = ("Call",)
-ASSIGN_KINDS = ("Assign",)
+from astrolake.operators.nodes import Needs
+
+CALLS = Needs(("Call",), (
+    "content_sha", "kind", "pre", "last", "depth", "lineno", "func_kind", "func_name", "recv_kind",
+    "recv_name", "recv_root", "args", "kws", "fns", "events", "text",
+))
+FUNCTIONS = Needs(FUNCTION_KINDS, (
+    "content_sha", "kind", "pre", "last", "depth", "lineno", "ident", "params", "own_fn",
+))
+ASSIGNS = Needs(("Assign",), (
+    "content_sha", "kind", "pre", "depth", "lineno", "targets", "value", "own_fn", "flow", "text",
+))
+KIND_COUNTS = Needs((), ("kind",))
 
 
 def of_kind(*kinds: str) -> Column:

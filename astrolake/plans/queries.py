@@ -16,8 +16,8 @@ from astrolake.functions import paths
 from astrolake.functions import severity as S
 from astrolake.functions.secrets import secret_literals
 from astrolake.operators import evaluate, quality, report, scoring, views
-from astrolake.operators.nodes import UNPARSED, parse_status, source_lines, syntax_nodes
-from astrolake.operators.scan import STATUS_KINDS, Scan
+from astrolake.operators.nodes import STATUS, parse_status, source_lines, syntax_nodes
+from astrolake.operators.scan import Scan
 from astrolake.session import tuned
 from astrolake.sources import order_corpus as corpus
 from astrolake.sources.code_files import scannable
@@ -96,17 +96,17 @@ def test_file_flag(spark, sf_dir):
 
 @query
 def parse_nodes(spark, sf_dir):
-    return views.kind_counts(syntax_nodes(_files(spark, sf_dir)))
+    return views.kind_counts(syntax_nodes(_files(spark, sf_dir), views.KIND_COUNTS))
 
 
 def _status(files):
-    return parse_status(syntax_nodes(files, STATUS_KINDS))
+    return parse_status(syntax_nodes(files, STATUS))
 
 
 @query
 def parse_failures(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return report.parse_failures(files, parse_status(syntax_nodes(files, (UNPARSED,))))
+    return report.parse_failures(files, _status(files))
 
 
 @query
@@ -126,7 +126,7 @@ def source_text_lines(spark, sf_dir):
 @query
 def calls_view(spark, sf_dir):
     files = _files(spark, sf_dir)
-    calls = views.calls(syntax_nodes(files, views.CALL_KINDS))
+    calls = views.calls(syntax_nodes(files, views.CALLS))
     return _wide(_owned(files, calls).select(
         "path", "line", "func_kind", "func_name", "recv_kind", "recv_name",
         F.size("args").alias("n_args"), F.size("kws").alias("n_kws"),
@@ -136,7 +136,7 @@ def calls_view(spark, sf_dir):
 @query
 def functions_view(spark, sf_dir):
     files = _files(spark, sf_dir)
-    functions = views.functions(syntax_nodes(files, quality.FUNCTION_KINDS))
+    functions = views.functions(syntax_nodes(files, views.FUNCTIONS))
     return _wide(_owned(files, functions).select(
         "path", "line", "function_name", F.array_join("params", ",").alias("params")
     ))
@@ -145,7 +145,7 @@ def functions_view(spark, sf_dir):
 @query
 def assigns_view(spark, sf_dir):
     files = _files(spark, sf_dir)
-    assigns = views.assigns(syntax_nodes(files, views.ASSIGN_KINDS))
+    assigns = views.assigns(syntax_nodes(files, views.ASSIGNS))
     names = F.array_join(F.transform("targets", lambda t: t["ident"]), ",")
     return _wide(_owned(files, assigns).select(
         "path", "line", names.alias("targets"), F.col("value.kind").alias("value_kind")
@@ -156,7 +156,7 @@ def assigns_view(spark, sf_dir):
 def walk_membership(spark, sf_dir):
     """Calls in the walk of each function that has any."""
     files = _files(spark, sf_dir)
-    calls = views.calls(syntax_nodes(files, views.CALL_KINDS))
+    calls = views.calls(syntax_nodes(files, views.CALLS))
     counts = (
         calls.select("content_sha", F.explode("fns").alias("fn"))
         .groupBy("content_sha", "fn").agg(F.count("*").alias("n_calls"))
@@ -167,14 +167,14 @@ def walk_membership(spark, sf_dir):
 @query
 def dynamic_strings(spark, sf_dir):
     files = _files(spark, sf_dir)
-    found = views.dynamic_strings(syntax_nodes(files, views.CALL_KINDS))
+    found = views.dynamic_strings(syntax_nodes(files, views.CALLS))
     return _wide(_owned(files, found).select("path", "line", "func_name"))
 
 
 @query
 def user_input_calls(spark, sf_dir):
     files = _files(spark, sf_dir)
-    found = views.user_input_calls(syntax_nodes(files, views.CALL_KINDS))
+    found = views.user_input_calls(syntax_nodes(files, views.CALLS))
     return _wide(_owned(files, found).select("path", "line", "func_name", "recv_name"))
 
 
@@ -236,7 +236,7 @@ _CHECK_COLUMNS = ("repo_id", "check", "path", "line", "message", "function_name"
 
 def _metrics(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return _owned(files, quality.function_metrics(syntax_nodes(files, quality.METRIC_KINDS)))
+    return _owned(files, quality.function_metrics(syntax_nodes(files, quality.METRIC_NEEDS)))
 
 
 @query

@@ -30,6 +30,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("astrolake")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
