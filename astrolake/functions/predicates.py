@@ -52,9 +52,9 @@ def has_args() -> Column:
 def keyword_is_true(name: str) -> Column:
     """The first constant value given for the keyword is `True` itself."""
     constants = F.filter(
-        "kws", lambda k: (k["name"] == name) & k["value"]["const_type"].isNotNull()
+        "kws", lambda k: (k["name"] == name) & k["const_type"].isNotNull()
     )
-    value = F.get(constants, F.lit(0))["value"]
+    value = F.get(constants, F.lit(0))
     return holds((value["const_type"] == "bool") & value["const_truthy"])
 
 
@@ -62,14 +62,14 @@ def has_ecb_argument() -> Column:
     def is_ecb(x: Column) -> Column:
         return holds((x["kind"] == "Attribute") & (x["ident"] == "MODE_ECB"))
 
-    return holds(F.exists("args", is_ecb)) | holds(F.exists("kws", lambda k: is_ecb(k["value"])))
+    return holds(F.exists("args", is_ecb)) | holds(F.exists("kws", is_ecb))
 
 
 def has_safe_loader() -> Column:
     return holds(F.exists("kws", lambda k: holds(
         (k["name"] == "Loader")
-        & k["value"]["kind"].isin("Name", "Attribute")
-        & k["value"]["ident"].isin(*YAML_SAFE_LOADERS)
+        & k["kind"].isin("Name", "Attribute")
+        & k["ident"].isin(*YAML_SAFE_LOADERS)
     )))
 
 
@@ -104,6 +104,15 @@ def is_path_sink() -> Column:
     return calls_name(*PATH_SINK_FUNCTIONS) | (calls_method("join") & os_path)
 
 
+def may_be_marked() -> Column:
+    """Cheap test for rows the function rules can use; it reaches the Parquet scan."""
+    names = dict.fromkeys((
+        "input", "get", "join", *SENSITIVE_SINK_FUNCTIONS, *SENSITIVE_SINK_METHODS,
+        *PATH_SINK_FUNCTIONS, *VALIDATION_FUNCTIONS, *VALIDATION_METHODS, *PATH_SAFETY_METHODS,
+    ))
+    return (F.col("kind") == "Compare") | F.col("func_name").isin(*names)
+
+
 # --- comparisons ----------------------------------------------------------------------------
 
 def tests_membership() -> Column:

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from astrolake.fixed_values import (
     CODE_EXECUTION_FUNCTIONS,
     MIN_SECRET_LENGTH,
+    OS_SHELL_FUNCTIONS,
     PICKLE_FUNCTIONS,
     PICKLE_MODULES,
     RANDOM_FUNCTIONS,
     SQL_METHODS,
+    SUBPROCESS_FUNCTIONS,
     WEAK_CIPHER_MODULES,
     WEAK_HASH_FUNCTIONS,
 )
@@ -97,6 +99,24 @@ CALL_RULES = {
     "weak_crypto": [("Call", weak_crypto_call), ("Assign", weak_random)],
     "eval_exec_misuse": [("Call", eval_exec_misuse)],
 }
+# Function names a rule can fire on.  Most calls fail this test and cost nothing more.
+CALLED_NAMES = {
+    "sql_injection": SQL_METHODS,
+    "command_injection": (*OS_SHELL_FUNCTIONS, *SUBPROCESS_FUNCTIONS),
+    "insecure_deserialization": (*PICKLE_FUNCTIONS, "unsafe_load"),
+    "weak_crypto": (*WEAK_HASH_FUNCTIONS, "new"),
+    "eval_exec_misuse": CODE_EXECUTION_FUNCTIONS,
+}
+
+
+def _may_fire(rules: tuple[str, ...]) -> Column:
+    names = [name for rule in rules for name in CALLED_NAMES.get(rule, ())]
+    value = F.col("value")
+    calls = F.col("func_name").isin(names) if names else F.lit(False)
+    if "weak_crypto" in rules:
+        calls = calls | P.has_ecb_argument()
+    assigns = (value["const_type"] == "str") | value["call_attr"].isin(*RANDOM_FUNCTIONS)
+    return (of_kind("Call") & calls) | (of_kind("Assign") & assigns)
 
 _HIT = "struct<variant:string,var:string,at:int>"
 
@@ -128,7 +148,7 @@ def call_findings(nodes: DataFrame, rules=tuple(CALL_RULES)) -> DataFrame:
     hits = F.concat(*[_hits(chosen, kind) for kind in kinds])
     func = F.coalesce(F.col("func_name"), F.col("value")["call_attr"])
     return (
-        nodes.filter(of_kind(*kinds))
+        nodes.filter(of_kind(*kinds) & _may_fire(tuple(rules)))
         .withColumn("hit", F.explode(hits))
         .select(
             "content_sha", F.col("hit.variant").alias("variant"), F.col("lineno").alias("line"),

@@ -37,7 +37,8 @@ def function_marks(nodes: DataFrame, rules=tuple(FUNCTION_RULES)) -> DataFrame:
     for name in names:
         any_mark = any_mark | F.col(name)
     return (
-        nodes.filter(of_kind(*FUNCTION_RULE_NEEDS.kinds) & (F.size("fns") > 0))
+        nodes.filter(of_kind(*FUNCTION_RULE_NEEDS.kinds) & P.may_be_marked())
+        .filter(F.size("fns") > 0)
         .select("content_sha", "fns", "depth", "pre", "lineno", "text", *marks)
         .filter(any_mark)
         .select("content_sha", F.explode("fns").alias("fn"), "depth", "pre", "lineno", "text",

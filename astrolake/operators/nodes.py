@@ -26,10 +26,15 @@ from astrolake.fixed_values import PARSE_FAILURE, READ_FAILURE, SYNTAX_FAILURE
 
 FUNCTION = "struct<depth:int,pre:int,name:string>"
 FLOW = f"struct<fn:{FUNCTION},key:array<int>>"
-OPERAND = (
+# Direct operands: call and comparison arguments, keyword arguments, assigned or tested values.
+ARGUMENT = (
     "struct<kind:string,ident:string,op:string,const_type:string,const_str:string,"
-    "const_truthy:boolean,call_attr:string,call_recv:string,"
-    "sides:array<struct<kind:string,const_type:string>>,names:array<string>>"
+    "call_attr:string,sides:array<struct<kind:string,const_type:string>>,names:array<string>>"
+)
+KEYWORD = "struct<name:string,kind:string,ident:string,const_type:string,const_truthy:boolean>"
+VALUE = (
+    "struct<kind:string,const_type:string,const_str:string,const_truthy:boolean,"
+    "call_attr:string,call_recv:string,names:array<string>>"
 )
 
 # One row per syntax node.  Inherited columns are filled for the kinds named beside them.
@@ -39,8 +44,8 @@ NODE_SCHEMA = f"""
     ident string, ctx string, op string, cmp_ops array<string>,
     const_type string, const_str string, const_truthy boolean, n_list int,
     func_kind string, func_name string, recv_kind string, recv_name string, recv_root string,
-    args array<{OPERAND}>, kws array<struct<name:string,value:{OPERAND}>>,
-    targets array<struct<kind:string,ident:string>>, value {OPERAND}, params array<string>,
+    args array<{ARGUMENT}>, kws array<{KEYWORD}>,
+    targets array<struct<kind:string,ident:string>>, value {VALUE}, params array<string>,
     body_line int, else_line int, next_line int,
     fns array<{FUNCTION}>, body_fns array<{FUNCTION}>, own_fn {FUNCTION},
     nest int, block_key array<int>, flow {FLOW}, events array<{FLOW}>,
@@ -136,9 +141,11 @@ def _ident(node: ast.AST) -> str | None:
     return getattr(node, attribute) if attribute else None
 
 
-def _operand(node: ast.AST, names: bool = False) -> dict:
-    out = {"kind": type(node).__name__, "ident": _ident(node), **_constant(node)}
-    if isinstance(node, ast.BinOp):
+def _argument(node: ast.AST) -> dict:
+    out = {"kind": type(node).__name__, "ident": _ident(node), "names": _names(node)}
+    if isinstance(node, ast.Constant):
+        out.update(_constant(node))
+    elif isinstance(node, ast.BinOp):
         out["op"] = type(node.op).__name__
         out["sides"] = [
             {"kind": type(side).__name__, "const_type": _constant(side).get("const_type")}
@@ -146,9 +153,22 @@ def _operand(node: ast.AST, names: bool = False) -> dict:
         ]
     elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
         out["call_attr"] = node.func.attr
+    return out
+
+
+def _keyword(node: ast.keyword) -> dict:
+    value = node.value
+    return {
+        "name": node.arg, "kind": type(value).__name__, "ident": _ident(value),
+        **_constant(value),
+    }
+
+
+def _value(node: ast.AST) -> dict:
+    out = {"kind": type(node).__name__, "names": _names(node), **_constant(node)}
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
+        out["call_attr"] = node.func.attr
         out["call_recv"] = getattr(node.func.value, "id", None)
-    if names:
-        out["names"] = _names(node)
     return out
 
 
@@ -160,8 +180,8 @@ def _call(node: ast.Call) -> dict:
         "recv_kind": type(receiver).__name__ if receiver else None,
         "recv_name": _ident(receiver) if receiver else None,
         "recv_root": getattr(getattr(receiver, "value", None), "id", None),
-        "args": [_operand(arg, names=True) for arg in node.args],
-        "kws": [{"name": kw.arg, "value": _operand(kw.value)} for kw in node.keywords],
+        "args": [_argument(arg) for arg in node.args],
+        "kws": [_keyword(kw) for kw in node.keywords],
     }
 
 
@@ -169,7 +189,7 @@ def _assignment(node: ast.AST) -> dict:
     targets = node.targets if isinstance(node, ast.Assign) else [node.target]
     return {
         "targets": [{"kind": type(t).__name__, "ident": getattr(t, "id", None)} for t in targets],
-        "value": _operand(node.value, names=True) if node.value else None,
+        "value": _value(node.value) if node.value else None,
     }
 
 
@@ -181,7 +201,7 @@ def _definition(node: ast.AST) -> dict:
 
 def _condition(node: ast.If) -> dict:
     return {
-        "value": _operand(node.test),
+        "value": _value(node.test),
         "body_line": node.body[0].lineno,
         "else_line": node.orelse[0].lineno if node.orelse else None,
     }
@@ -190,7 +210,7 @@ def _condition(node: ast.If) -> dict:
 def _comparison(node: ast.Compare) -> dict:
     return {
         "cmp_ops": [type(op).__name__ for op in node.ops],
-        "args": [_operand(x) for x in (node.left, *node.comparators)],
+        "args": [_argument(x) for x in (node.left, *node.comparators)],
     }
 
 

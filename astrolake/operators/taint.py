@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from astrolake.fixed_values import FUNCTION_KINDS
+from astrolake.fixed_values import FUNCTION_KINDS, OS_SHELL_FUNCTIONS, SUBPROCESS_FUNCTIONS
 from astrolake.functions import predicates as P
 from astrolake.operators.nodes import FLOW, FUNCTION, Needs
 from astrolake.operators.views import of_kind
@@ -27,8 +27,9 @@ _HIT = "struct<line:int,name:string,pos:array<int>,text:string>"
 
 
 def _is_sink() -> Column:
+    named = F.col("func_name").isin(*OS_SHELL_FUNCTIONS, *SUBPROCESS_FUNCTIONS)
     return (
-        of_kind("Call") & P.is_shell_sink() & P.has_args() & P.holds(F.size("events") > 0)
+        of_kind("Call") & named & P.is_shell_sink() & P.has_args() & P.holds(F.size("events") > 0)
     )
 
 

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings of a scan.  Parsing is bound by the processor, not by bytes: small partitions are
 # worth a task, and a batch handed to Python should hold few files, since one may have 2 MB.
+# Rule expressions are wide: the JVM never compiles a generated method above 8000 bytes of code, so
+# such a stage must fall back to smaller methods instead of running interpreted.
 SCAN_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
