@@ -283,7 +283,9 @@ def _fields_of(cls: type) -> tuple[str, ...]:
 
 _CHILD_FIELDS = {
     cls: _fields_of(cls)
-    for cls in vars(ast).values() if isinstance(cls, type) and issubclass(cls, ast.AST)
+    for cls in vars(ast).values()
+    if isinstance(cls, type) and issubclass(cls, ast.AST)
+    and (cls is ast.Constant or not issubclass(cls, ast.Constant))  # outdated aliases
 }
 
 
