@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.fixed_values import (
@@ -128,11 +128,60 @@ def security_findings(
     )
 
 
+def _owner_counts(files: DataFrame) -> DataFrame:
+    """Files per (repository, content, test flag): however often a content is copied inside a
+    repository, it is one row here."""
+    return files.groupBy("repo_id", "content_sha", "is_test").agg(F.count("*").alias("n_files"))
+
+
+def security_counts(files: DataFrame, nodes: DataFrame, rules: tuple[str, ...] | None = None):
+    """(repo_id, rule_id, severity, confidence, n) without listing the findings.
+
+    Hits fold to one row per content and variant and files to one row per repository and content
+    before they meet, so a content copied into a third of all files does not multiply its findings
+    in the join.
+    """
+    hits = security_hits(nodes, rules).groupBy("content_sha", "variant").agg(
+        F.count("*").alias("n_hits")
+    )
+    return (
+        _owner_counts(files)
+        .join(hits, "content_sha")
+        .join(rule_catalog(files.sparkSession), "variant")
+        .select(
+            "repo_id", "rule_id",
+            F.when(F.col("is_test"), "low").otherwise(F.col("base_severity")).alias("severity"),
+            F.when(F.col("is_test"), "low").otherwise(F.col("base_confidence"))
+            .alias("confidence"),
+            (F.col("n_files") * F.col("n_hits")).alias("n"),
+        )
+        .groupBy("repo_id", "rule_id", "severity", "confidence")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def _check() -> Column:
+    variant = F.col("variant")
+    return F.when(variant.startswith("dead_"), "dead_code").otherwise(variant)
+
+
+def quality_counts(files: DataFrame, hits: DataFrame) -> DataFrame:
+    """(repo_id, check, n), folded the same way."""
+    per_content = hits.groupBy("content_sha", _check().alias("check")).agg(
+        F.count("*").alias("n_hits")
+    )
+    owners = files.groupBy("repo_id", "content_sha").agg(F.count("*").alias("n_files"))
+    return (
+        owners.join(per_content, "content_sha")
+        .groupBy("repo_id", "check")
+        .agg(F.sum(F.col("n_files") * F.col("n_hits")).alias("n"))
+    )
+
+
 def quality_findings(files: DataFrame, hits: DataFrame) -> DataFrame:
     """Files joined to hits of the quality checks."""
     owners = files.select("repo_id", "path", "content_sha")
     variant = F.col("variant")
-    check = F.when(variant.startswith("dead_"), "dead_code").otherwise(variant)
     template = F.lit(None).cast("string")
     for name, text in QUALITY_MESSAGES.items():
         template = F.when(variant == name, text).otherwise(template)
@@ -143,7 +192,7 @@ def quality_findings(files: DataFrame, hits: DataFrame) -> DataFrame:
     sequence = F.array_position(F.array(*map(F.lit, QUALITY_CHECKS)), F.col("check"))
     return (
         owners.join(hits, "content_sha")
-        .withColumn("check", check)
+        .withColumn("check", _check())
         .select("repo_id", "check", "path", "line", message.alias("message"), "function_name",
                 "metric_value", (sequence.cast("int") - 1).alias("check_seq"), "pos")
     )

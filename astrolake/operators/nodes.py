@@ -233,12 +233,20 @@ _SHAPES = {
 }
 
 
-_UNSHAPED = frozenset({
-    "content_sha", "kind", "pre", "last", "depth", "parent", "field", "idx", "lineno", "own_fn",
-    "fns", "body_fns", "events", "nest", "block_key", "flow", "next_line", "text", "parse_error",
+_LINKS = frozenset({"last", "parent", "field", "idx"})
+_UNSHAPED = _LINKS | frozenset({
+    "content_sha", "kind", "pre", "depth", "lineno", "own_fn", "fns", "body_fns", "events", "nest", "block_key", "flow", "next_line", "text", "parse_error",
 })
 
 
+class Wanted(NamedTuple):
+    """What the running job has to produce."""
+
+    kinds: frozenset | None = None
+    shaped: bool = True  # columns that describe a node itself
+    linked: bool = True  # columns that place a node in its tree
+
+
 def _shape(node: ast.AST) -> dict:
     describe = _SHAPES.get(type(node))
     return describe(node) if describe else {"ident": _ident(node)}
@@ -357,21 +365,22 @@ def _last_descendants(walked: list[tuple]) -> list[int]:
     return last
 
 
-def tree_rows(sha: str, tree: ast.Module, lines: list[str], kinds: frozenset | None,
-              shaped: bool = True) -> Iterator[dict]:
+def tree_rows(sha: str, tree: ast.Module, lines: list[str], wanted: Wanted) -> Iterator[dict]:
+    kinds = wanted.kinds
     walked = walk_tree(tree)
-    last = _last_descendants(walked)
+    last = _last_descendants(walked) if wanted.linked else ()
     long_lines = set()
     for pre, (node, parent, field, idx, depth, scope, me, next_line) in enumerate(walked):
         kind = type(node).__name__
         if kinds is not None and kind not in kinds:
             continue
         row = {
-            "content_sha": sha, "kind": kind, "pre": pre, "last": last[pre], "depth": depth,
-            "parent": parent, "field": field, "idx": idx,
+            "content_sha": sha, "kind": kind, "pre": pre, "depth": depth,
             "lineno": getattr(node, "lineno", None), "own_fn": scope.own_fn,
         }
-        if shaped:
+        if wanted.linked:
+            row.update(last=last[pre], parent=parent, field=field, idx=idx)
+        if wanted.shaped:
             row.update(_shape(node))
         if isinstance(node, (ast.Call, ast.Compare)):
             row["fns"] = scope.fns
@@ -392,8 +401,7 @@ def tree_rows(sha: str, tree: ast.Module, lines: list[str], kinds: frozenset | N
         yield row
 
 
-def file_rows(sha: str, raw: bytes, kinds: frozenset | None,
-              shaped: bool = True) -> Iterator[dict]:
+def file_rows(sha: str, raw: bytes, wanted: Wanted) -> Iterator[dict]:
     """All rows of one file.  A file that cannot be read or parsed gives one status row."""
     failure = None
     try:
@@ -408,8 +416,8 @@ def file_rows(sha: str, raw: bytes, kinds: frozenset | None,
         except (ValueError, RecursionError, MemoryError) as exc:
             failure = PARSE_FAILURE.format(error=exc or type(exc).__name__)
     if failure is None:
-        yield from tree_rows(sha, tree, source.splitlines(), kinds, shaped)
-    elif kinds is None or UNPARSED in kinds:
+        yield from tree_rows(sha, tree, source.splitlines(), wanted)
+    elif wanted.kinds is None or UNPARSED in wanted.kinds:
         yield {"content_sha": sha, "kind": UNPARSED, "parse_error": _utf8(failure)}
 
 
@@ -463,22 +471,20 @@ def distinct_contents(files: DataFrame) -> DataFrame:
 
 def syntax_nodes(files: DataFrame, needs: Needs | None = None) -> DataFrame:
     """Node table of `files`, or the part of it that `needs` names."""
-    schema = StructType.fromDDL(NODE_SCHEMA)
-    kinds, shaped = None, True
+    schema, wanted = StructType.fromDDL(NODE_SCHEMA), Wanted()
     if needs is not None:
-        kinds = frozenset(needs.kinds) or None
         schema = StructType([f for f in schema if f.name in needs.columns])
-        shaped = not _UNSHAPED.issuperset(needs.columns)
+        wanted = Wanted(
+            kinds=frozenset(needs.kinds) or None,
+            shaped=not _UNSHAPED.issuperset(needs.columns),
+            linked=not _LINKS.isdisjoint(needs.columns),
+        )
     arrow_schema = to_arrow_schema(schema)
 
     def parse(batches):
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            rows = (
-                row
-                for sha, raw in _files_in(batches)
-                for row in file_rows(sha, raw, kinds, shaped)
-            )
+            rows = (row for sha, raw in _files_in(batches) for row in file_rows(sha, raw, wanted))
             yield from _batches(rows, arrow_schema)
 
     return distinct_contents(files).mapInArrow(parse, schema)

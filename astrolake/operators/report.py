@@ -25,7 +25,9 @@ def findings_by_tier(findings: DataFrame) -> DataFrame:
 def category_counts(findings: DataFrame) -> DataFrame:
     """Findings per rule and repository, with the share of the largest category.  The window runs
     over one row per rule."""
-    counts = findings.groupBy("repo_id", "rule_id").agg(F.count("*").alias("n"))
+    counts = findings.groupBy("repo_id", "rule_id").agg(
+        F.sum(scoring.times(findings)).alias("n")
+    )
     largest = Window.partitionBy("repo_id")
     order = largest.orderBy(F.desc("n"), "rule_id")
     return counts.select(
@@ -41,7 +43,7 @@ def quality_by_check(quality: DataFrame) -> DataFrame:
 
 
 def check_counts(quality: DataFrame, *by: str) -> DataFrame:
-    return quality.groupBy(*by, "check").agg(F.count("*").alias("n"))
+    return quality.groupBy(*by, "check").agg(F.sum(scoring.times(quality)).alias("n"))
 
 
 def top_findings(quality: DataFrame, limit: int = TOP_FINDINGS) -> DataFrame:
@@ -62,12 +64,13 @@ def escaped(findings: DataFrame) -> DataFrame:
 
 
 def parse_summary(files: DataFrame, status: DataFrame) -> DataFrame:
-    """Files found, parsed and failed per repository."""
-    joined = files.select("repo_id", "content_sha").join(status, "content_sha", "left")
-    return joined.groupBy("repo_id").agg(
-        F.count("*").alias("files_found"),
-        F.count_if(F.col("ok")).alias("files_parsed"),
-        F.count_if(~F.col("ok")).alias("files_failed"),
+    """Files found, parsed and failed per repository.  Copies fold before the join."""
+    owners = files.groupBy("repo_id", "content_sha").agg(F.count("*").alias("n"))
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    return owners.join(status, "content_sha", "left").groupBy("repo_id").agg(
+        F.sum("n").alias("files_found"),
+        F.sum(F.when(ok, F.col("n")).otherwise(0)).alias("files_parsed"),
+        F.sum(F.when(ok, 0).otherwise(F.col("n"))).alias("files_failed"),
     )
 
 
@@ -80,16 +83,15 @@ def parse_failures(files: DataFrame, status: DataFrame) -> DataFrame:
 
 def dashboard(files: DataFrame, status: DataFrame, security: DataFrame,
               quality: DataFrame) -> DataFrame:
-    """One row per repository.  Findings are folded to one row per repository before any join."""
-    tiers = [
-        F.count_if(F.col("effective_severity") == tier).alias(tier) for tier in SEVERITIES
-    ]
+    """One row per repository, from findings or from counted findings.  They are folded to one row
+    per repository before any join."""
+    times = scoring.times(security)
     risk = scoring.with_effective_severity(security).groupBy("repo_id").agg(
-        F.count("*").alias("security_findings"),
-        F.sum(S.risk_tenths(F.col("severity"), F.col("confidence"))).alias("tenths"),
-        *tiers,
+        F.sum(times).alias("security_findings"),
+        scoring.sum_of_tenths(times),
+        *scoring.tier_counts(times),
     )
-    notes = quality.groupBy("repo_id").agg(F.count("*").alias("quality_findings"))
+    notes = quality.groupBy("repo_id").agg(F.sum(scoring.times(quality)).alias("quality_findings"))
     score = S.risk_score(F.col("tenths"))
     counts = ["security_findings", "quality_findings", *SEVERITIES]
     return (

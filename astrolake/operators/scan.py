@@ -57,12 +57,17 @@ class Scan:
     def quality_findings(self) -> DataFrame:
         return findings.all_quality_findings(self.files, self.nodes)
 
+    def security_counts(self) -> DataFrame:
+        return findings.security_counts(self.files, self.nodes)
+
+    def quality_counts(self) -> DataFrame:
+        hits = quality.quality_content_findings(self.nodes)
+        return findings.quality_counts(self.files, hits)
+
     def status(self) -> DataFrame:
         return parse_status(self.nodes)
 
     def dashboard(self) -> DataFrame:
         return report.dashboard(
-            self.files, self.status(), self.security_findings(snippets=False),
-            self.quality_findings(),
+            self.files, self.status(), self.security_counts(), self.quality_counts()
         )
-

@@ -3,7 +3,7 @@ that holds a third of all findings costs its reducer one row per map task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from astrolake.fixed_values import SEVERITIES
@@ -16,19 +16,31 @@ def with_effective_severity(findings: DataFrame) -> DataFrame:
     )
 
 
-def severity_breakdown(findings: DataFrame, *by: str) -> DataFrame:
-    """One column per tier, 0 where a tier is empty."""
-    tiers = [
-        F.count_if(F.col("effective_severity") == tier).alias(tier) for tier in SEVERITIES
+def times(findings: DataFrame) -> Column:
+    """Findings a row stands for: rows of counted findings carry the number in `n`."""
+    return F.col("n") if "n" in findings.columns else F.lit(1)
+
+
+def tier_counts(each: Column) -> list[Column]:
+    """One column per effective tier, 0 where a tier is empty."""
+    return [
+        F.sum(F.when(F.col("effective_severity") == tier, each).otherwise(0)).alias(tier)
+        for tier in SEVERITIES
     ]
+
+
+def severity_breakdown(findings: DataFrame, *by: str) -> DataFrame:
+    tiers = tier_counts(times(findings))
     return with_effective_severity(findings).groupBy(*by).agg(*tiers)
 
 
+def sum_of_tenths(each: Column) -> Column:
+    """Weight times confidence, in tenths, on the severity the rule assigned."""
+    return F.sum(S.risk_tenths(F.col("severity"), F.col("confidence")) * each).alias("tenths")
+
+
 def risk_tenths(findings: DataFrame, *by: str) -> DataFrame:
-    """Sum of weight times confidence, in tenths, on the severity the rule assigned."""
-    return findings.groupBy(*by).agg(
-        F.sum(S.risk_tenths(F.col("severity"), F.col("confidence"))).alias("tenths")
-    )
+    return findings.groupBy(*by).agg(sum_of_tenths(times(findings)))
 
 
 def risk_score(findings: DataFrame, *by: str) -> DataFrame:

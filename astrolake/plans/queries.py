@@ -212,6 +212,11 @@ def _security(spark, sf_dir, snippets=False, repositories=40):
     return Scan.security(files).security_findings(snippets=snippets)
 
 
+def _security_counts(spark, sf_dir, repositories=40):
+    files = scannable(corpus.corpus(tuned(spark), sf_dir, repositories))
+    return Scan.security(files).security_counts()
+
+
 @query
 def all_security_findings(spark, sf_dir):
     return _wide(_security(spark, sf_dir, snippets=True).drop("rule_seq", "pos"))
@@ -309,19 +314,19 @@ def risk_density(spark, sf_dir):
 
 @query
 def severity_breakdown(spark, sf_dir):
-    return scoring.severity_breakdown(_security(spark, sf_dir), "repo_id")
+    return scoring.severity_breakdown(_security_counts(spark, sf_dir), "repo_id")
 
 
 @query
 def risk_score(spark, sf_dir):
-    return scoring.risk_score(_security(spark, sf_dir), "repo_id")
+    return scoring.risk_score(_security_counts(spark, sf_dir), "repo_id")
 
 
 @query
 def risk_label(spark, sf_dir):
     """Per customer, so that clean repositories and all labels occur."""
     files = scannable(corpus.corpus(tuned(spark), sf_dir, repositories=None))
-    found = Scan.security(files).security_findings(snippets=False)
+    found = Scan.security(files).security_counts()
     return scoring.risk_labels(files, found, "repo_id")
 
 
@@ -335,13 +340,13 @@ def findings_by_tier(spark, sf_dir):
 
 @query
 def category_counts(spark, sf_dir):
-    counts = report.category_counts(_security(spark, sf_dir))
+    counts = report.category_counts(_security_counts(spark, sf_dir))
     return _wide(counts.select("repo_id", "rule_id", "n", "position"))
 
 
 @query
 def category_share(spark, sf_dir):
-    counts = report.category_counts(_security(spark, sf_dir))
+    counts = report.category_counts(_security_counts(spark, sf_dir))
     return counts.select("repo_id", "rule_id", "share")
 
 
@@ -353,7 +358,8 @@ def quality_by_check(spark, sf_dir):
 
 @query
 def check_counts(spark, sf_dir):
-    return report.check_counts(_quality(spark, sf_dir), "repo_id")
+    counts = Scan.quality(_files(spark, sf_dir)).quality_counts()
+    return report.check_counts(counts, "repo_id")
 
 
 @query
@@ -388,7 +394,7 @@ def rule_coverage_gap(spark, sf_dir):
     expected = files.select("repo_id").distinct().select(
         "repo_id", F.explode(F.array(*map(F.lit, SECURITY_RULES))).alias("rule_id")
     )
-    found = Scan.security(files).security_findings(snippets=False)
+    found = Scan.security(files).security_counts()
     return evaluate.rule_coverage_gap(expected, found)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 # such a stage must fall back to smaller methods instead of running interpreted.
 SCAN_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
@@ -22,7 +22,7 @@ SCAN_SETTINGS = {
 def tuned(spark: SparkSession) -> SparkSession:
     """Apply the scan settings the session has not chosen itself."""
     for key, value in SCAN_SETTINGS.items():
-        if not spark.sparkContext.getConf().contains(key):
+        if spark.conf.get(key, None) is None:
             spark.conf.set(key, value)
     return spark
 

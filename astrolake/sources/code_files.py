@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -62,24 +63,27 @@ def _listing(spark: SparkSession, root: str, excludes: tuple[str, ...]) -> DataF
     """
     prune = in_excluded_directory(F.concat(F.col("path"), F.lit("/")), excludes)
 
+    def entries_of(directory):
+        try:
+            with os.scandir(os.path.join(root, directory)) as entries:
+                for entry in entries:
+                    path = f"{directory}/{entry.name}" if directory else entry.name
+                    if entry.is_dir(follow_symlinks=False):
+                        yield path, True, 0
+                        continue
+                    try:
+                        yield path, False, entry.stat().st_size
+                    except OSError:
+                        continue
+        except OSError:
+            return
+
     def scan(batches):
         for batch in batches:
             for directory in batch["path"]:
-                found = []
-                try:
-                    with os.scandir(os.path.join(root, directory)) as entries:
-                        for entry in entries:
-                            path = f"{directory}/{entry.name}" if directory else entry.name
-                            if entry.is_dir(follow_symlinks=False):
-                                found.append((path, True, 0))
-                                continue
-                            try:
-                                found.append((path, False, entry.stat().st_size))
-                            except OSError:
-                                continue
-                except OSError:
-                    continue
-                yield pd.DataFrame(found, columns=["path", "is_dir", "size_bytes"])
+                found = entries_of(directory)
+                while part := list(islice(found, 10_000)):
+                    yield pd.DataFrame(part, columns=["path", "is_dir", "size_bytes"])
 
     level = spark.createDataFrame([("",)], "path string")
     files = None
