@@ -44,10 +44,14 @@ def register_rule(rule_id: str, needs: Needs, hits: Callable, catalog: list[tupl
     EXTRA_RULES[rule_id] = (needs, hits, list(catalog))
 
 
+def all_rules() -> tuple[str, ...]:
+    return (*SECURITY_RULES, *EXTRA_RULES)
+
+
 def rule_needs(rules: tuple[str, ...] | None = None) -> Needs:
     """Part of the node table the given rules read, all rules by default."""
     needs = LONG_LINE_NEEDS
-    for rule in rules or (*SECURITY_RULES, *EXTRA_RULES):
+    for rule in rules or all_rules():
         if rule in CALL_RULES:
             for kind, _ in CALL_RULES[rule]:
                 needs |= CALL_RULE_NEEDS[kind]
@@ -61,20 +65,20 @@ def rule_needs(rules: tuple[str, ...] | None = None) -> Needs:
 
 
 def rule_catalog(spark: SparkSession) -> DataFrame:
-    """Dimension of finding texts: a fixed handful of rows.  Handed over as an Arrow table it is a
-    local relation of known size, so the planner broadcasts it by its size threshold."""
-    order = {rule: number for number, rule in enumerate((*SECURITY_RULES, *EXTRA_RULES))}
+    """Dimension of finding texts: the fixed handful of catalog entries.  Its size does not depend
+    on the data, so it is always broadcast; a shuffle on so few keys would be badly skewed."""
+    order = {rule: number for number, rule in enumerate(all_rules())}
     entries = [*SECURITY_CATALOG, *(e for _, _, extra in EXTRA_RULES.values() for e in extra)]
     names = ("variant", "rule_id", "cwe_id", "base_severity", "base_confidence", "template",
              "fix_suggestion")
     columns = {name: [e[at] for e in entries] for at, name in enumerate(names)}
     sequence = pa.array([order[e[1]] for e in entries], type=pa.int32())
-    return spark.createDataFrame(pa.table({**columns, "rule_seq": sequence}))
+    return F.broadcast(spark.createDataFrame(pa.table({**columns, "rule_seq": sequence})))
 
 
 def security_hits(nodes: DataFrame, rules: tuple[str, ...] | None = None) -> DataFrame:
     """Hits of the chosen rules.  Nothing is de-duplicated between rules."""
-    chosen = tuple(rules) if rules else (*SECURITY_RULES, *EXTRA_RULES)
+    chosen = tuple(rules) if rules else all_rules()
     parts = []
     by_call = tuple(r for r in chosen if r in CALL_RULES)
     by_function = tuple(r for r in chosen if r in FUNCTION_RULES)

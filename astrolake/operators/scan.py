@@ -4,28 +4,45 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from astrolake.operators import findings, quality, report
 from astrolake.operators.nodes import STATUS, Needs, parse_status, syntax_nodes
-from astrolake.session import tuned, written_once
+from astrolake.operators.triggers import may_fire
+from astrolake.session import drop_table, tuned, write_table
 
 class Scan:
     """Parse once, read often.
 
     `rule` and `check` alone are lazy and read the parse job directly.  Anything that needs more
     than one pass over the nodes goes through `nodes`, which is written once to the shared folder
-    with only the rows and columns in use.
+    with only the rows and columns in use.  Used as a context manager, the scan removes that table
+    at the end; results must have been written by then.
     """
 
-    def __init__(self, files: DataFrame, needs: Needs | None = None):
-        tuned(files.sparkSession)
+    def __init__(self, files: DataFrame, needs: Needs | None = None,
+                 parsed_if: Column | None = None):
+        self.spark = tuned(files.sparkSession)
         self.files = files
         self.needs = needs
+        self.parsed_if = parsed_if
+        self._tables: list[str] = []
+
+    def __enter__(self) -> Scan:
+        return self
+
+    def __exit__(self, *_) -> None:
+        while self._tables:
+            drop_table(self.spark, self._tables.pop())
+
+    def _written(self, nodes: DataFrame) -> DataFrame:
+        self._tables.append(write_table(nodes, "nodes"))
+        return self.spark.read.schema(nodes.schema).parquet(self._tables[-1])
 
     @classmethod
     def security(cls, files: DataFrame) -> Scan:
-        return cls(files, findings.rule_needs())
+        """Scan for security findings only: files no rule can fire on are not parsed."""
+        return cls(files, findings.rule_needs(), may_fire(findings.all_rules()))
 
     @classmethod
     def quality(cls, files: DataFrame) -> Scan:
@@ -37,13 +54,17 @@ class Scan:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return written_once(syntax_nodes(self.files, self.needs), "nodes")
+        return self._written(syntax_nodes(self._to_parse(self.parsed_if), self.needs))
+
+    def _to_parse(self, condition: Column | None) -> DataFrame:
+        return self.files if condition is None else self.files.filter(condition)
 
     def rule(self, rule_id: str, snippets: bool = False) -> DataFrame:
         """Findings of one rule, straight from the parse job unless they need the nodes twice."""
-        nodes = syntax_nodes(self.files, findings.rule_needs((rule_id,)))
+        files = self._to_parse(may_fire((rule_id,)))
+        nodes = syntax_nodes(files, findings.rule_needs((rule_id,)))
         if rule_id == findings.TAINT_RULE or snippets:
-            nodes = written_once(nodes, "nodes")
+            nodes = self._written(nodes)
         return findings.security_findings(self.files, nodes, (rule_id,), snippets)
 
     def check(self, check: str) -> DataFrame:

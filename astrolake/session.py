@@ -57,13 +57,26 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+def write_table(df: DataFrame, name: str) -> str:
+    """Write `df` to a new table in the shared folder; gives its path."""
+    folder = work_folder(df.sparkSession).rstrip("/")
+    path = f"{folder}/astrolake/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Remove a table made by `write_table`."""
+    if "/astrolake/" not in path:
+        raise ValueError(f"not a table of this package: {path}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written_once(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     Used where several operators read one expensive result.  The table outlives lost executors,
     cuts the lineage, and lets each reader prune columns and row groups.
     """
-    spark = df.sparkSession
-    path = f"{work_folder(spark).rstrip('/')}/astrolake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))

@@ -27,12 +27,12 @@ def scan_stream(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     base = out.rstrip("/")
 
     def scan(batch: DataFrame, batch_id: int) -> None:
-        run = Scan.full(batch)
-        for name, findings in (
-            ("security_findings", run.security_findings()),
-            ("quality_findings", run.quality_findings()),
-        ):
-            findings.write.mode("overwrite").parquet(f"{base}/{name}/batch_id={batch_id}")
+        with Scan.full(batch) as run:
+            for name, findings in (
+                ("security_findings", run.security_findings()),
+                ("quality_findings", run.quality_findings()),
+            ):
+                findings.write.mode("overwrite").parquet(f"{base}/{name}/batch_id={batch_id}")
 
     return (
         files.writeStream.foreachBatch(scan)
