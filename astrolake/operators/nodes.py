@@ -64,10 +64,34 @@ _WITHS = (ast.With, ast.AsyncWith)
 _BRANCHING = (ast.If, ast.Try, *_LOOPS, *_WITHS)
 _FLOW_THROUGH = (*_BRANCHING, ast.ExceptHandler)
 _BLOCKS = frozenset({"body", "orelse", "finalbody", "handlers"})
-_HOLDERS = (ast.stmt, ast.Lambda, ast.excepthandler, ast.mod, ast.match_case)
+_STATEMENTS = frozenset(ast.stmt.__subclasses__())
+_HOLDERS = _STATEMENTS | {ast.Lambda, ast.ExceptHandler, ast.Module, ast.match_case}
 _BLOCK_RANK = {"body": 0, "orelse": 1, "finalbody": 2, "handlers": 3}
 
 
+def _fields_of(cls: type) -> tuple[str, ...]:
+    """Fields of a node class that can hold further nodes."""
+    types = getattr(cls, "_field_types", None)
+    if types is None:
+        return cls._fields
+    found = []
+    for field, declared in types.items():
+        held = [t for t in (get_args(declared) or (declared,)) if isinstance(t, type)]
+        if any(issubclass(t, ast.AST) and not issubclass(t, _FOLDED) for t in held):
+            found.append(field)
+    return tuple(found)
+
+
+# Classes that are nodes of the table, with the fields that lead on.
+_CHILD_FIELDS = {
+    cls: _fields_of(cls)
+    for cls in vars(ast).values()
+    if isinstance(cls, type) and issubclass(cls, ast.AST)
+    and not issubclass(cls, _FOLDED)
+    and (cls is ast.Constant or not issubclass(cls, ast.Constant))  # outdated aliases
+}
+
+
 class Needs(NamedTuple):
     """Rows and columns of the node table an operator reads.  The parse job writes nothing else:
     neither a filter nor a projection on the output of a Python stage is pushed into it."""
@@ -123,11 +147,20 @@ def _constant(node: ast.AST) -> dict:
 
 def _names(node: ast.AST) -> list[str]:
     """Names in an operand, each once, in breadth-first order."""
-    if isinstance(node, ast.Name):
+    if type(node) is ast.Name:
         return [node.id]
-    if isinstance(node, ast.Constant):
-        return []
-    return list(dict.fromkeys(n.id for n in ast.walk(node) if isinstance(n, ast.Name)))
+    found, level = {}, [node]
+    while level:
+        below = []
+        for parent in level:
+            for field in _CHILD_FIELDS[type(parent)]:
+                value = getattr(parent, field, None)
+                below += value if type(value) is list else (value,)
+        level = [child for child in below if type(child) in _CHILD_FIELDS]
+        for child in level:
+            if type(child) is ast.Name:
+                found[child.id] = None
+    return list(found)
 
 
 _NAMED_BY = {
@@ -276,27 +309,6 @@ def _place_below(node: ast.AST, field: str, idx: int, place: tuple) -> tuple | N
     return (*place, _BLOCK_RANK[field], idx) if field in _BLOCK_RANK else None
 
 
-def _fields_of(cls: type) -> tuple[str, ...]:
-    """Fields of a node class that can hold further nodes."""
-    types = getattr(cls, "_field_types", None)
-    if types is None:
-        return cls._fields
-    found = []
-    for field, declared in types.items():
-        held = [t for t in (get_args(declared) or (declared,)) if isinstance(t, type)]
-        if any(issubclass(t, ast.AST) and not issubclass(t, _FOLDED) for t in held):
-            found.append(field)
-    return tuple(found)
-
-
-_CHILD_FIELDS = {
-    cls: _fields_of(cls)
-    for cls in vars(ast).values()
-    if isinstance(cls, type) and issubclass(cls, ast.AST)
-    and (cls is ast.Constant or not issubclass(cls, ast.Constant))  # outdated aliases
-}
-
-
 def _block_scope(node: ast.AST, plain: Scope, scope: Scope, me: tuple | None, field: str, idx: int):
     """Scope of member `idx` of a statement block of `node`; `plain` is that of its expressions."""
     own_fn, body_fns, place, flow = plain.own_fn, plain.body_fns, None, None
@@ -305,7 +317,7 @@ def _block_scope(node: ast.AST, plain: Scope, scope: Scope, me: tuple | None, fi
     if me is not None:
         if field == "body":
             own_fn, body_fns, flow = me, (*scope.body_fns, me), (me, (idx,))
-    elif scope.flow is not None and isinstance(node, _FLOW_THROUGH):
+    elif scope.flow is not None and type(node) in _FLOW_THROUGH:
         key = _place_below(node, field, idx, scope.flow[1])
         flow = (scope.flow[0], key) if key else None
     nest = _nest_below(node, field, scope.nest)
@@ -318,20 +330,20 @@ def walk_tree(tree: ast.Module) -> list[tuple]:
     stack = [(tree, None, None, None, 0, Scope(block_key=()), None)]
     while stack:
         node, parent, field, idx, depth, scope, next_line = stack.pop()
-        pre = len(out)
-        me = (depth, pre, node.name) if isinstance(node, _DEFS) else None
+        cls, pre = type(node), len(out)
+        me = (depth, pre, node.name) if cls in _DEFS else None
         out.append((node, parent, field, idx, depth, scope, me, next_line))
-        fields = _CHILD_FIELDS[type(node)]
+        fields = _CHILD_FIELDS[cls]
         if not fields:
             continue
-        holder, plain = isinstance(node, _HOLDERS), scope
+        holder, plain = cls in _HOLDERS, scope
         if holder:
             # A flow place belongs to a simple statement, or only leads on through a compound one.
-            simple = scope.flow and not isinstance(node, _FLOW_THROUGH)
+            simple = scope.flow and cls not in _FLOW_THROUGH
             plain = Scope(
                 (*scope.fns, me) if me else scope.fns,
                 scope.body_fns,
-                None if me or isinstance(node, ast.Lambda) else scope.own_fn,
+                None if me or cls is ast.Lambda else scope.own_fn,
                 events=(*scope.events, scope.flow) if simple else scope.events,
             )
         pending = []
@@ -340,7 +352,7 @@ def walk_tree(tree: ast.Module) -> list[tuple]:
             if type(value) is list:
                 blocks = holder and name in _BLOCKS
                 for at, child in enumerate(value):
-                    if not isinstance(child, ast.AST) or isinstance(child, _FOLDED):
+                    if type(child) not in _CHILD_FIELDS:
                         continue
                     follower = None
                     if blocks and at + 1 < len(value):
@@ -350,7 +362,7 @@ def walk_tree(tree: ast.Module) -> list[tuple]:
                         _block_scope(node, plain, scope, me, name, at) if blocks else plain,
                         follower,
                     ))
-            elif isinstance(value, ast.AST) and not isinstance(value, _FOLDED):
+            elif type(value) in _CHILD_FIELDS:
                 pending.append((value, pre, name, None, depth + 1, plain, None))
         pending.reverse()
         stack += pending
@@ -382,16 +394,17 @@ def tree_rows(sha: str, tree: ast.Module, lines: list[str], wanted: Wanted) -> I
             row.update(last=last[pre], parent=parent, field=field, idx=idx)
         if wanted.shaped:
             row.update(_shape(node))
-        if isinstance(node, (ast.Call, ast.Compare)):
-            row["fns"] = scope.fns
-        if isinstance(node, ast.Name):
+        cls = type(node)
+        if cls is ast.Name:
             row["body_fns"] = scope.body_fns
-        if isinstance(node, ast.Call):
-            row["events"] = scope.events
-        if isinstance(node, ast.stmt):
+        elif cls is ast.Call:
+            row["fns"], row["events"] = scope.fns, scope.events
+        elif cls is ast.Compare:
+            row["fns"] = scope.fns
+        elif cls in _STATEMENTS:
             row.update(nest=scope.nest, block_key=scope.block_key, flow=scope.flow,
                        next_line=next_line)
-        if isinstance(node, (ast.Call, ast.Assign)) and 0 < node.lineno <= len(lines):
+        if (cls is ast.Call or cls is ast.Assign) and 0 < node.lineno <= len(lines):
             text = _utf8(lines[node.lineno - 1].strip())
             if len(text) <= INLINE_LINE_CHARS:
                 row["text"] = text
@@ -434,6 +447,7 @@ def _column(at: list[int], values: list, rows: int, kind: pa.DataType) -> pa.Arr
 def _batches(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Arrow batches of sparse rows: the cost follows the values present, not the columns."""
     cells = {name: ([], []) for name in schema.names}
+    put = {name: (at.append, values.append) for name, (at, values) in cells.items()}
     count = 0
 
     def flush():
@@ -445,10 +459,10 @@ def _batches(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
     for row in rows:
         for name, value in row.items():
-            if value is not None and name in cells:
-                at, values = cells[name]
-                at.append(count)
-                values.append(value)
+            if value is not None and name in put:
+                put_at, put_value = put[name]
+                put_at(count)
+                put_value(value)
         count += 1
         if count >= ROWS_PER_BATCH:
             yield flush()
