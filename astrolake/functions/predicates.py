@@ -1,7 +1,13 @@
-"""Predicates over rows of the node table.  All are plain column expressions."""
+"""Predicates over rows of the node table.
+
+All are built-in SQL expressions.  They are written as SQL text, since a rule set holds hundreds of
+small expressions and each costs one call to the JVM this way.  Unknown counts as false.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,58 +25,63 @@ from astrolake.fixed_values import (
     YAML_SAFE_LOADERS,
 )
 
+FIRST_ARGUMENT = "get(args, 0)"
+
+
+def holds(condition: str) -> Column:
+    return F.expr(f"coalesce({condition}, false)")
 
-def holds(condition: Column) -> Column:
-    """Unknown counts as false."""
-    return F.coalesce(condition, F.lit(False))
+
+def among(field: str, names: Iterable[str]) -> str:
+    """SQL membership test against fixed names."""
+    return f"{field} IN ({', '.join(map(repr, names))})"
+
+
+def of_kind(*kinds: str) -> Column:
+    return F.expr(among("kind", kinds))
 
 
 # --- calls ----------------------------------------------------------------------------------
 
 def calls_name(*names: str) -> Column:
-    return holds((F.col("func_kind") == "Name") & F.col("func_name").isin(*names))
+    return holds(f"func_kind = 'Name' AND {among('func_name', names)}")
 
 
 def calls_method(*names: str) -> Column:
     """Attribute call on any receiver."""
-    return holds((F.col("func_kind") == "Attribute") & F.col("func_name").isin(*names))
+    return holds(f"func_kind = 'Attribute' AND {among('func_name', names)}")
 
 
-def calls_module(modules: tuple[str, ...], functions: tuple[str, ...]) -> Column:
+def calls_module(modules: Iterable[str], functions: Iterable[str]) -> Column:
     """`module.function(...)` on the plain module name; aliases are not resolved."""
-    return calls_method(*functions) & holds((F.col("recv_kind") == "Name") & F.col("recv_name").isin(*modules))
+    return holds(
+        f"func_kind = 'Attribute' AND {among('func_name', functions)} "
+        f"AND recv_kind = 'Name' AND {among('recv_name', modules)}"
+    )
 
 
-def first_arg() -> Column:
-    return F.get("args", F.lit(0))
+def has_args() -> Column:
+    return holds("size(args) > 0")
 
 
-def has_args() -> Column:
-    return holds(F.size("args") > 0)
+def is_literal_first_arg() -> Column:
+    return holds(f"{FIRST_ARGUMENT}.const_type = 'str'")
 
 
 def keyword_is_true(name: str) -> Column:
     """The first constant value given for the keyword is `True` itself."""
-    constants = F.filter(
-        "kws", lambda k: (k["name"] == name) & k["const_type"].isNotNull()
-    )
-    value = F.get(constants, F.lit(0))
-    return holds((value["const_type"] == "bool") & value["const_truthy"])
+    first = f"get(filter(kws, k -> k.name = '{name}' AND k.const_type IS NOT NULL), 0)"
+    return holds(f"{first}.const_type = 'bool' AND {first}.const_truthy")
 
 
 def has_ecb_argument() -> Column:
-    def is_ecb(x: Column) -> Column:
-        return holds((x["kind"] == "Attribute") & (x["ident"] == "MODE_ECB"))
-
-    return holds(F.exists("args", is_ecb)) | holds(F.exists("kws", is_ecb))
+    is_ecb = "x -> coalesce(x.kind = 'Attribute' AND x.ident = 'MODE_ECB', false)"
+    return holds(f"exists(args, {is_ecb})") | holds(f"exists(kws, {is_ecb})")
 
 
 def has_safe_loader() -> Column:
-    return holds(F.exists("kws", lambda k: holds(
-        (k["name"] == "Loader")
-        & k["kind"].isin("Name", "Attribute")
-        & k["ident"].isin(*YAML_SAFE_LOADERS)
-    )))
+    safe = f"k.kind IN ('Name', 'Attribute') AND {among('k.ident', YAML_SAFE_LOADERS)}"
+    return holds(f"exists(kws, k -> coalesce(k.name = 'Loader' AND {safe}, false))")
 
 
 def is_shell_call() -> Column:
@@ -87,10 +98,10 @@ def is_shell_sink() -> Column:
 
 def is_user_input() -> Column:
     """`input(...)` or `<anything>.<request attribute>.get(...)`."""
-    from_request = holds(
-        (F.col("recv_kind") == "Attribute") & F.col("recv_name").isin(*REQUEST_INPUT_ATTRIBUTES)
+    return calls_name("input") | holds(
+        "func_kind = 'Attribute' AND func_name = 'get' AND recv_kind = 'Attribute' "
+        f"AND {among('recv_name', REQUEST_INPUT_ATTRIBUTES)}"
     )
-    return calls_name("input") | (calls_method("get") & from_request)
 
 
 def is_sensitive_sink() -> Column:
@@ -98,10 +109,10 @@ def is_sensitive_sink() -> Column:
 
 
 def is_path_sink() -> Column:
-    os_path = holds(
-        (F.col("recv_kind") == "Attribute") & (F.col("recv_name") == "path") & (F.col("recv_root") == "os")
+    return calls_name(*PATH_SINK_FUNCTIONS) | holds(
+        "func_kind = 'Attribute' AND func_name = 'join' AND recv_kind = 'Attribute' "
+        "AND recv_name = 'path' AND recv_root = 'os'"
     )
-    return calls_name(*PATH_SINK_FUNCTIONS) | (calls_method("join") & os_path)
 
 
 def may_be_marked() -> Column:
@@ -110,13 +121,13 @@ def may_be_marked() -> Column:
         "input", "get", "join", *SENSITIVE_SINK_FUNCTIONS, *SENSITIVE_SINK_METHODS,
         *PATH_SINK_FUNCTIONS, *VALIDATION_FUNCTIONS, *VALIDATION_METHODS, *PATH_SAFETY_METHODS,
     ))
-    return (F.col("kind") == "Compare") | F.col("func_name").isin(*names)
+    return F.expr(f"kind = 'Compare' OR {among('func_name', names)}")
 
 
 # --- comparisons ----------------------------------------------------------------------------
 
 def tests_membership() -> Column:
-    return holds(F.exists(F.col("cmp_ops"), lambda op: op.isin("In", "NotIn")))
+    return holds("exists(cmp_ops, op -> op IN ('In', 'NotIn'))")
 
 
 def is_validation() -> Column:
@@ -126,31 +137,28 @@ def is_validation() -> Column:
 
 
 def is_path_safety_check() -> Column:
-    looks_at_parent = (F.col("kind") == "Compare") & F.exists(
-        "args", lambda x: holds(x["const_str"] == "..")
+    looks_at_parent = holds(
+        "kind = 'Compare' AND exists(args, x -> coalesce(x.const_str = '..', false))"
     )
-    return calls_method(*PATH_SAFETY_METHODS) | (holds(looks_at_parent) & tests_membership())
+    return calls_method(*PATH_SAFETY_METHODS) | (looks_at_parent & tests_membership())
 
 
 # --- operands and names ---------------------------------------------------------------------
 
-def looks_stringy(x: Column) -> Column:
-    return x["kind"].isin("BinOp", "JoinedStr", "Call") | holds(x["const_type"] == "str")
-
-
-def is_dynamic_string(x: Column) -> Column:
+def is_dynamic_first_arg() -> Column:
     """f-string, `%`, `.format()`, or `+` next to something that may be a string."""
-    return (
-        holds(x["kind"] == "JoinedStr")
-        | holds(x["op"] == "Mod")
-        | holds((x["op"] == "Add") & F.exists(x["sides"], looks_stringy))
-        | holds(x["call_attr"] == "format")
+    x = FIRST_ARGUMENT
+    stringy = "s.kind IN ('BinOp', 'JoinedStr', 'Call') OR coalesce(s.const_type = 'str', false)"
+    return holds(
+        f"coalesce({x}.kind = 'JoinedStr', false) OR coalesce({x}.op = 'Mod', false) "
+        f"OR coalesce({x}.op = 'Add' AND exists({x}.sides, s -> {stringy}), false) "
+        f"OR coalesce({x}.call_attr = 'format', false)"
     )
 
 
 def is_sensitive_name(name: Column) -> Column:
-    return holds(F.lower(name).rlike("|".join(SENSITIVE_NAME_MARKERS)))
+    return F.coalesce(F.lower(name).rlike("|".join(SENSITIVE_NAME_MARKERS)), F.lit(False))
 
 
-def is_constant(x: Column, truthy: bool) -> Column:
-    return holds(x["const_type"].isNotNull() & (x["const_truthy"] == truthy))
+def value_is_constant(truthy: bool) -> Column:
+    return holds(f"value.const_type IS NOT NULL AND value.const_truthy = {truthy}")

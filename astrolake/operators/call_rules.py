@@ -22,8 +22,8 @@ from astrolake.fixed_values import (
     WEAK_HASH_FUNCTIONS,
 )
 from astrolake.functions import predicates as P
+from astrolake.functions.predicates import of_kind
 from astrolake.operators.nodes import Needs
-from astrolake.operators.views import of_kind
 
 # What each node kind contributes to these rules.
 CALL_RULE_NEEDS = {
@@ -39,12 +39,12 @@ CALL_RULE_NEEDS = {
 
 
 def sql_injection() -> Column:
-    dynamic = P.has_args() & P.is_dynamic_string(P.first_arg())
+    dynamic = P.has_args() & P.is_dynamic_first_arg()
     return F.when(P.calls_method(*SQL_METHODS) & dynamic, "sql_dynamic")
 
 
 def command_injection() -> Column:
-    dynamic = P.has_args() & P.is_dynamic_string(P.first_arg())
+    dynamic = P.has_args() & P.is_dynamic_first_arg()
     return (
         F.when(P.is_shell_call() & dynamic, "shell_dynamic")
         .when(P.is_subprocess_shell_call() & dynamic, "shell_dynamic")
@@ -70,22 +70,22 @@ def weak_crypto_call() -> Column:
 
 def eval_exec_misuse() -> Column:
     called = P.calls_name(*CODE_EXECUTION_FUNCTIONS) & P.has_args()
-    literal = P.holds(P.first_arg()["const_type"] == "str")
+    literal = P.is_literal_first_arg()
     return F.when(called & literal, "eval_literal").when(called, "eval_dynamic")
 
 
 def weak_random() -> Column:
     """For a sensitive target name: the value is directly `random.<function>()`."""
-    value = F.col("value")
-    drawn = P.holds((value["call_recv"] == "random") & value["call_attr"].isin(*RANDOM_FUNCTIONS))
+    drawn = P.holds(
+        f"value.call_recv = 'random' AND {P.among('value.call_attr', RANDOM_FUNCTIONS)}"
+    )
     return F.when(drawn, "random_secret")
 
 
 def hardcoded_secret() -> Column:
     """For a sensitive target name: the value is a string literal of some length."""
-    value = F.col("value")
     literal = P.holds(
-        (value["const_type"] == "str") & (F.length(value["const_str"]) >= MIN_SECRET_LENGTH)
+        f"value.const_type = 'str' AND length(value.const_str) >= {MIN_SECRET_LENGTH}"
     )
     return F.when(literal, "secret_literal")
 
@@ -111,11 +111,12 @@ CALLED_NAMES = {
 
 def _may_fire(rules: tuple[str, ...]) -> Column:
     names = [name for rule in rules for name in CALLED_NAMES.get(rule, ())]
-    value = F.col("value")
-    calls = F.col("func_name").isin(names) if names else F.lit(False)
+    calls = F.expr(P.among("func_name", names)) if names else F.lit(False)
     if "weak_crypto" in rules:
         calls = calls | P.has_ecb_argument()
-    assigns = (value["const_type"] == "str") | value["call_attr"].isin(*RANDOM_FUNCTIONS)
+    assigns = F.expr(
+        f"value.const_type = 'str' OR {P.among('value.call_attr', RANDOM_FUNCTIONS)}"
+    )
     return (of_kind("Call") & calls) | (of_kind("Assign") & assigns)
 
 _HIT = "struct<variant:string,var:string,at:int>"

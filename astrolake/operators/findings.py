@@ -19,6 +19,7 @@ from astrolake.fixed_values import (
     SECURITY_CATALOG,
     SECURITY_RULES,
 )
+from astrolake.functions.predicates import of_kind
 from astrolake.functions.text import filled
 from astrolake.operators import quality
 from astrolake.operators.call_rules import CALL_RULE_NEEDS, CALL_RULES, call_findings
@@ -29,7 +30,6 @@ from astrolake.operators.function_rules import (
 )
 from astrolake.operators.nodes import LONG_LINE, Needs
 from astrolake.operators.taint import TAINT_NEEDS, taint_findings
-from astrolake.operators.views import of_kind
 
 TAINT_RULE = "command_injection_taint"
 LONG_LINE_NEEDS = Needs((LONG_LINE,), ("content_sha", "kind", "lineno", "text"))

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from astrolake.functions import predicates as P
+from astrolake.functions.predicates import of_kind
 from astrolake.operators.nodes import Needs
-from astrolake.operators.views import of_kind
 
 FUNCTION_RULE_NEEDS = Needs(("Call", "Compare"), (
     "content_sha", "kind", "pre", "depth", "lineno", "func_kind", "func_name", "recv_kind",

@@ -92,6 +92,18 @@ _CHILD_FIELDS = {
 }
 
 
+# Fields to follow for every node, for statements only, or for none below the module.
+_LEADS = {
+    "all": _CHILD_FIELDS,
+    "statements": {
+        cls: tuple(f for f in fields if f in (*_BLOCKS, "cases"))
+        if cls in _STATEMENTS | {ast.Module, ast.ExceptHandler, ast.match_case} else ()
+        for cls, fields in _CHILD_FIELDS.items()
+    },
+    "module": dict.fromkeys(_CHILD_FIELDS, ()),
+}
+
+
 class Needs(NamedTuple):
     """Rows and columns of the node table an operator reads.  The parse job writes nothing else:
     neither a filter nor a projection on the output of a Python stage is pushed into it."""
@@ -267,6 +279,7 @@ _SHAPES = {
 
 
 _LINKS = frozenset({"last", "parent", "field", "idx"})
+_NUMBERED = _LINKS | {"pre", "own_fn", "fns", "body_fns", "flow", "events"}
 _UNSHAPED = _LINKS | frozenset({
     "content_sha", "kind", "pre", "depth", "lineno", "own_fn", "fns", "body_fns", "events", "nest", "block_key", "flow", "next_line", "text", "parse_error",
 })
@@ -278,6 +291,7 @@ class Wanted(NamedTuple):
     kinds: frozenset | None = None
     shaped: bool = True  # columns that describe a node itself
     linked: bool = True  # columns that place a node in its tree
+    reach: str = "all"  # nodes to visit, see _LEADS
 
 
 def _shape(node: ast.AST) -> dict:
@@ -324,7 +338,7 @@ def _block_scope(node: ast.AST, plain: Scope, scope: Scope, me: tuple | None, fi
     return Scope(plain.fns, body_fns, own_fn, nest, place, flow, plain.events)
 
 
-def walk_tree(tree: ast.Module) -> list[tuple]:
+def walk_tree(tree: ast.Module, leads: dict = _CHILD_FIELDS) -> list[tuple]:
     """(node, parent, field, idx, depth, scope, function, next line) in pre-order, no recursion."""
     out: list[tuple] = []
     stack = [(tree, None, None, None, 0, Scope(block_key=()), None)]
@@ -333,7 +347,7 @@ def walk_tree(tree: ast.Module) -> list[tuple]:
         cls, pre = type(node), len(out)
         me = (depth, pre, node.name) if cls in _DEFS else None
         out.append((node, parent, field, idx, depth, scope, me, next_line))
-        fields = _CHILD_FIELDS[cls]
+        fields = leads[cls]
         if not fields:
             continue
         holder, plain = cls in _HOLDERS, scope
@@ -379,7 +393,7 @@ def _last_descendants(walked: list[tuple]) -> list[int]:
 
 def tree_rows(sha: str, tree: ast.Module, lines: list[str], wanted: Wanted) -> Iterator[dict]:
     kinds = wanted.kinds
-    walked = walk_tree(tree)
+    walked = walk_tree(tree, _LEADS[wanted.reach])
     last = _last_descendants(walked) if wanted.linked else ()
     long_lines = set()
     for pre, (node, parent, field, idx, depth, scope, me, next_line) in enumerate(walked):
@@ -483,6 +497,17 @@ def distinct_contents(files: DataFrame) -> DataFrame:
     return files.select("content_sha", "content").dropDuplicates(["content_sha"])
 
 
+def _reach(needs: Needs) -> str:
+    """How much of a tree must be visited.  Node numbers count all nodes, so asking for one of them
+    means visiting all."""
+    kinds = set(needs.kinds) - {UNPARSED, LONG_LINE}
+    if not kinds or not _NUMBERED.isdisjoint(needs.columns):
+        return "all"
+    if kinds == {"Module"}:
+        return "module"
+    return "statements" if kinds <= {cls.__name__ for cls in _STATEMENTS} else "all"
+
+
 def syntax_nodes(files: DataFrame, needs: Needs | None = None) -> DataFrame:
     """Node table of `files`, or the part of it that `needs` names."""
     schema, wanted = StructType.fromDDL(NODE_SCHEMA), Wanted()
@@ -492,6 +517,7 @@ def syntax_nodes(files: DataFrame, needs: Needs | None = None) -> DataFrame:
             kinds=frozenset(needs.kinds) or None,
             shaped=not _UNSHAPED.issuperset(needs.columns),
             linked=not _LINKS.isdisjoint(needs.columns),
+            reach=_reach(needs),
         )
     arrow_schema = to_arrow_schema(schema)
 

@@ -14,8 +14,8 @@ from astrolake.fixed_values import (
     TERMINAL_KINDS,
 )
 from astrolake.functions import predicates as P
+from astrolake.functions.predicates import of_kind
 from astrolake.operators.nodes import FUNCTION, Needs
-from astrolake.operators.views import of_kind
 
 METRIC_NEEDS = Needs(
     tuple(dict.fromkeys(
@@ -168,9 +168,8 @@ def dead_after_terminal(nodes: DataFrame) -> DataFrame:
 
 def dead_constant_branch(nodes: DataFrame) -> DataFrame:
     """Body of an `if` on a false constant, `else` of one on a true constant."""
-    test = F.col("value")
-    never = P.is_constant(test, truthy=False)
-    always = P.is_constant(test, truthy=True) & F.col("else_line").isNotNull()
+    never = P.value_is_constant(truthy=False)
+    always = P.value_is_constant(truthy=True) & F.col("else_line").isNotNull()
     rows = nodes.filter(of_kind("If") & F.col("block_key").isNotNull() & (never | always))
     return _dead(
         rows,

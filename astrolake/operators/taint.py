@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from astrolake.fixed_values import FUNCTION_KINDS, OS_SHELL_FUNCTIONS, SUBPROCESS_FUNCTIONS
 from astrolake.functions import predicates as P
+from astrolake.functions.predicates import of_kind
 from astrolake.operators.nodes import FLOW, FUNCTION, Needs
-from astrolake.operators.views import of_kind
 
 TAINT_NEEDS = Needs(("Call", "Assign", "AugAssign", *FUNCTION_KINDS), (
     "content_sha", "kind", "pre", "depth", "lineno", "ident", "params", "func_kind", "func_name",
@@ -27,9 +27,9 @@ _HIT = "struct<line:int,name:string,pos:array<int>,text:string>"
 
 
 def _is_sink() -> Column:
-    named = F.col("func_name").isin(*OS_SHELL_FUNCTIONS, *SUBPROCESS_FUNCTIONS)
+    named = F.expr(P.among("func_name", (*OS_SHELL_FUNCTIONS, *SUBPROCESS_FUNCTIONS)))
     return (
-        of_kind("Call") & named & P.is_shell_sink() & P.has_args() & P.holds(F.size("events") > 0)
+        of_kind("Call") & named & P.is_shell_sink() & P.has_args() & P.holds("size(events) > 0")
     )
 
 

@@ -5,11 +5,12 @@ Operands are stored beside their node, so no view needs a parent-child join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from astrolake.fixed_values import FUNCTION_KINDS
 from astrolake.functions import predicates as P
+from astrolake.functions.predicates import of_kind
 from astrolake.operators.nodes import Needs
 
 CALLS = Needs(("Call",), (
@@ -25,10 +26,6 @@ ASSIGNS = Needs(("Assign",), (
 KIND_COUNTS = Needs((), ("kind",))
 
 
-def of_kind(*kinds: str) -> Column:
-    return F.col("kind").isin(*kinds)
-
-
 def calls(nodes: DataFrame) -> DataFrame:
     return nodes.filter(of_kind("Call")).select(
         "content_sha", "pre", "last", "depth", F.col("lineno").alias("line"),
@@ -54,7 +51,7 @@ def assigns(nodes: DataFrame) -> DataFrame:
 
 def dynamic_strings(nodes: DataFrame) -> DataFrame:
     """Calls whose first argument is a string put together at run time."""
-    return calls(nodes).filter(P.is_dynamic_string(P.first_arg()))
+    return calls(nodes).filter(P.is_dynamic_first_arg())
 
 
 def user_input_calls(nodes: DataFrame) -> DataFrame:

@@ -38,10 +38,6 @@ def _key() -> Column:
     return F.col("o_orderkey")
 
 
-def _with_key(text: str) -> Column:
-    return F.replace(F.lit(text), F.lit("{k}"), _key().cast("string"))
-
-
 def _repeated(count: Column, line) -> Column:
     """`line(i)` for i in 0..count-1, joined; empty when count is 0."""
     lines = F.transform(F.sequence(F.lit(0), count), line)
@@ -66,22 +62,22 @@ def _text() -> Column:
 
     depth, stores = size % 8, size % 4
     generated = {
-        6: F.when(size % 2 == 0, _with_key(EVAL_DYNAMIC)).otherwise(_with_key(EVAL_LITERAL)),
-        11: F.concat(_with_key("def c_{k}(x):"), _repeated(size, branch),
+        6: F.when(size % 2 == 0, F.lit(EVAL_DYNAMIC)).otherwise(F.lit(EVAL_LITERAL)),
+        11: F.concat(F.lit("def c_{k}(x):"), _repeated(size, branch),
                      F.lit("\n    return x")),
-        12: F.concat(_with_key("def d_{k}(x):"), _repeated(depth, nested), F.lit("\n"),
+        12: F.concat(F.lit("def d_{k}(x):"), _repeated(depth, nested), F.lit("\n"),
                      F.repeat(F.lit("    "), depth + 1), F.lit("return x")),
-        13: F.concat(_with_key("def u_{k}():"), _repeated(stores, unused),
+        13: F.concat(F.lit("def u_{k}():"), _repeated(stores, unused),
                      F.lit("\n    return 0")),
-        14: F.when(size % 2 == 0, _with_key(DEAD_AFTER)).otherwise(_with_key(DEAD_IF)),
+        14: F.when(size % 2 == 0, F.lit(DEAD_AFTER)).otherwise(F.lit(DEAD_IF)),
     }
-    out = F.when(shape == 0, _with_key(SHAPES[0]))
+    out = F.when(shape == 0, F.lit(SHAPES[0]))
     for number in range(1, 16):
         out = out.when(
             shape == number,
-            generated[number] if number in generated else _with_key(SHAPES[number]),
+            generated[number] if number in generated else F.lit(SHAPES[number]),
         )
-    return out
+    return F.replace(out, F.lit("{k}"), _key().cast("string"))
 
 
 def _repo(groups: int | None) -> Column:
