@@ -281,7 +281,8 @@ _SHAPES = {
 _LINKS = frozenset({"last", "parent", "field", "idx"})
 _NUMBERED = _LINKS | {"pre", "own_fn", "fns", "body_fns", "flow", "events"}
 _UNSHAPED = _LINKS | frozenset({
-    "content_sha", "kind", "pre", "depth", "lineno", "own_fn", "fns", "body_fns", "events", "nest", "block_key", "flow", "next_line", "text", "parse_error",
+    "content_sha", "kind", "pre", "depth", "lineno", "own_fn", "fns", "body_fns", "events",
+    "nest", "block_key", "flow", "next_line", "text", "parse_error",
 })
 
 

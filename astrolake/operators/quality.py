@@ -97,8 +97,8 @@ def metric_findings(
         function_metrics(nodes)
         .withColumn("hit", F.explode(hits))
         .select("content_sha", "hit.variant", "line", "function_name",
-                F.col("hit.metric").alias("metric_value"), "hit.threshold", _none("string").alias("var"),
-                _none("int").alias("after"), "pos")
+                F.col("hit.metric").alias("metric_value"), "hit.threshold",
+                _none("string").alias("var"), _none("int").alias("after"), "pos")
     )
 
 
@@ -148,7 +148,8 @@ def _dead(rows: DataFrame, variant: Column, line: Column, after: Column, pos: Co
     return rows.select(
         "content_sha", variant.alias("variant"), line.alias("line"),
         F.lit("").alias("function_name"), F.lit(0).alias("metric_value"),
-        _none("int").alias("threshold"), _none("string").alias("var"), after.alias("after"), pos.alias("pos"),
+        _none("int").alias("threshold"), _none("string").alias("var"), after.alias("after"),
+        pos.alias("pos"),
     )
 
 

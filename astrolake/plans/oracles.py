@@ -63,7 +63,8 @@ def _code() -> str:
     shapes = {t: _filled(text, k="k::VARCHAR") for t, text in corpus.SHAPES.items()}
 
     def either(even: str, odd: str) -> str:
-        return f"CASE WHEN n % 2 = 0 THEN {_filled(even, k='k::VARCHAR')} ELSE {_filled(odd, k='k::VARCHAR')} END"
+        texts = [_filled(text, k="k::VARCHAR") for text in (even, odd)]
+        return f"CASE WHEN n % 2 = 0 THEN {texts[0]} ELSE {texts[1]} END"
 
     shapes[6] = either(corpus.EVAL_DYNAMIC, corpus.EVAL_LITERAL)
     shapes[14] = either(corpus.DEAD_AFTER, corpus.DEAD_IF)
@@ -75,7 +76,9 @@ def _code() -> str:
         f"'def d_' || k || '(x):' || {_repeat('n % 8', nested)} || chr(10) || "
         "repeat('    ', (n % 8 + 1)::BIGINT) || 'return x'"
     )
-    shapes[13] = f"'def u_' || k || '():' || {_repeat('n % 4', stored)} || chr(10) || '    return 0'"
+    shapes[13] = (
+        f"'def u_' || k || '():' || {_repeat('n % 4', stored)} || chr(10) || '    return 0'"
+    )
     cases = " ".join(f"WHEN {t} THEN {sql}" for t, sql in sorted(shapes.items()))
     return f"texts AS (SELECT *, CASE t {cases} END AS code FROM files)"
 
@@ -246,7 +249,6 @@ EFFECTIVE = (
     "CASE WHEN confidence <> 'low' THEN severity WHEN severity = 'critical' THEN 'high' "
     "WHEN severity = 'high' THEN 'medium' ELSE 'low' END"
 )
-TIER = "CASE effective_severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 
 
 def _lookup(column: str, table: dict) -> str:
@@ -255,7 +257,9 @@ def _lookup(column: str, table: dict) -> str:
     ) + " END"
 
 
-TENTHS = f"sum({_lookup('severity', SEVERITY_WEIGHTS)} * {_lookup('confidence', CONFIDENCE_TENTHS)})"
+TENTHS = (
+    f"sum({_lookup('severity', SEVERITY_WEIGHTS)} * {_lookup('confidence', CONFIDENCE_TENTHS)})"
+)
 SCORE = "least(1000, coalesce(tenths, 0))::DOUBLE / 10.0"
 LABEL = (
     f"CASE WHEN {SCORE} >= 60 THEN 'Critical Risk' WHEN {SCORE} >= 30 THEN 'High Risk' "
@@ -434,6 +438,17 @@ UNION ALL SELECT path, 2 + i, 'v' || i, 'Constant'
         "user_input_calls": _with(
             "SELECT path, line::BIGINT AS line, func_name, recv_name FROM calls "
             "WHERE func_name = 'get'", FILES, CALL_TABLE),
+        "shell_sinks": _with(
+            "SELECT path, line::BIGINT AS line, recv_name, func_name FROM calls "
+            "WHERE recv_name IN ('os', 'subprocess')", FILES, CALL_TABLE),
+        "sensitive_names": _with(
+            "SELECT path, 1::BIGINT AS line, 'DB_PASSWORD_' || k AS var FROM files WHERE t = 3 "
+            "UNION ALL SELECT path, 2, 'SERVICE_TOKEN' FROM files WHERE t = 3", FILES),
+        "function_marks": _with(
+            """SELECT path, function_name, t IN (7, 8) AS source,
+  true AS missing_input_validation_sink, t = 8 AS missing_input_validation_safe,
+  t IN (7, 8) AS path_traversal_sink, t = 8 AS path_traversal_safe
+FROM functions WHERE t IN (0, 1, 6, 7, 8, 9, 10)""", FILES, FUNCTION_TABLE),
         # security rules
         **{name: _rule(rule) for name, rule in rules.items()},
         "all_security_findings": _with(

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from astrolake.fixed_values import SECURITY_RULES
 from astrolake.functions import paths
+from astrolake.functions import predicates as P
 from astrolake.functions import severity as S
 from astrolake.functions.secrets import secret_literals
-from astrolake.operators import evaluate, quality, report, scoring, views
+from astrolake.operators import evaluate, function_rules, quality, report, scoring, views
 from astrolake.operators.nodes import STATUS, parse_status, source_lines, syntax_nodes
 from astrolake.operators.scan import Scan
 from astrolake.session import tuned
@@ -178,6 +179,33 @@ def user_input_calls(spark, sf_dir):
     return _wide(_owned(files, found).select("path", "line", "func_name", "recv_name"))
 
 
+@query
+def shell_sinks(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    found = views.calls(syntax_nodes(files, views.CALLS)).filter(P.is_shell_sink())
+    return _wide(_owned(files, found).select("path", "line", "recv_name", "func_name"))
+
+
+@query
+def sensitive_names(spark, sf_dir):
+    """Assigned names that look like credentials."""
+    files = _files(spark, sf_dir)
+    assigns = views.assigns(syntax_nodes(files, views.ASSIGNS))
+    found = assigns.select("content_sha", "line", F.explode("targets.ident").alias("var"))
+    found = found.filter(P.is_sensitive_name(F.col("var")))
+    return _wide(_owned(files, found).select("path", "line", "var"))
+
+
+@query
+def function_marks(spark, sf_dir):
+    """Input sources, sinks and safeguards in the walk of each function that has any."""
+    files = _files(spark, sf_dir)
+    marks = function_rules.function_marks(syntax_nodes(files, function_rules.FUNCTION_RULE_NEEDS))
+    names = [name for name, kind in marks.dtypes if kind == "boolean"]
+    flags = marks.groupBy("content_sha", "fn").agg(*[F.bool_or(n).alias(n) for n in names])
+    return _owned(files, flags).select("path", F.col("fn.name").alias("function_name"), *names)
+
+
 # --- security rules -----------------------------------------------------------------------------
 
 _RULE_COLUMNS = (
