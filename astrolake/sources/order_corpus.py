@@ -93,11 +93,15 @@ def _path() -> Column:
 
 
 def corpus(spark: SparkSession, sf_dir: str, repositories: int | None = 40) -> DataFrame:
-    """File table of the corpus; with `repositories=None` every customer is a repository."""
+    """File table of the corpus; with `repositories=None` every customer is a repository.
+
+    The text comes out of an `explode` of one element: a filter on a plain expression would move
+    below the exchange and repeat the whole expression in each of its terms.
+    """
     return code_files(
         _orders(spark, sf_dir).select(
             _repo(repositories).alias("repo_id"), _path().alias("path"),
-            F.encode(_text(), "UTF-8").alias("content"),
+            F.explode(F.array(F.encode(_text(), "UTF-8"))).alias("content"),
         )
     )
 
