@@ -1,0 +1,17 @@
+"""Intermediate results in the cluster's shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from astrolake.session import work_folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed now and kept in the folder of `spark.checkpoint.dir`.
+
+    The rows survive lost executors and are not computed again.  Spark owns the files: with
+    `spark.cleaner.referenceTracking.cleanCheckpoints` it removes them once nothing refers to them.
+    """
+    work_folder(df.sparkSession)
+    return df.checkpoint()
