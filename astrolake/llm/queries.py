@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolake.llm import bpe, langid, simhash
+from astrolake.llm import (
+    ann, bpe, chat_format, langid, line_dedup, packing, pii, simhash, topk, vectors, warc,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +42,96 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines, as counts and a digest of the text left."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = line_dedup.drop_recurring_lines(
+        documents.withColumn("before", F.size(F.split("text", "\n"))), "doc_id", "text")
+    return both.select(
+        "doc_id", F.coalesce("before", F.lit(0)).cast("long").alias("n_lines"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )
+
+
+@query
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC archives, with an index, and read every record back by its range."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = warc.write_archives(pages, "page_id", "url", "html")
+    return warc.read_records(index, payloads=False).select(
+        F.col("_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one of control strings; read turns and loss text back."""
+    said = "</s>[INST] ok [/INST]"
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, "assistant", said)],
+        "conv_id bigint, turn bigint, role string, text string")
+    records = chat_format.records_of_rows(
+        conversations.unionByName(extra), "conv_id", "turn", "role", "text")
+    formatted = chat_format.render(chat_format.canonical_turns(records, "record"))
+    text, loss = F.col("formatted"), F.col("loss")
+    read = formatted.select(
+        "conv_id", "formatted", chat_format.read_turns(text).alias("turns"),
+        chat_format.read_loss(text, loss).alias("learned"),
+    )
+    joined = F.array_join(F.transform(
+        "turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(joined.cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op5_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector by inner product, from the kd-tree of projections."""
+    rows = vectors.usable(
+        table(spark, sf_dir, "embeddings"), "vec_id", "embedding", zero=False)
+    return ann.neighbours(rows, query_every=20, k=20)
+
+
+@query
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and all spans of personal data in every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pii.train(documents, "text")
+    found = pii.find(documents, "text", model)
+
+    def joined(spans: str) -> Column:
+        return F.array_join(F.transform(
+            spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id", *(_count(kind) for kind in pii.KINDS),
+        F.sha2(joined("base_spans").cast("binary"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
+def _count(kind: str) -> Column:
+    same = F.filter("base_spans", lambda span: span["kind"] == kind)
+    return F.size(same).cast("long").alias(f"n_{kind}")
+
+
+@query
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every 50th vector with all other vectors."""
+    rows = vectors.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    whole = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256)).alias("v"))
+    return topk.top_k(whole, F.col("vec_id") % 50 == 0, 5)
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 3-word shingles, links of at most 2 bits."""
@@ -58,3 +150,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     predicted = langid.predict(documents.select("doc_id", "text"), "text", model)
     return predicted.select("doc_id", langid.held_out("doc_id").alias("held_out"),
                             "lang_pred", "score")
+
+
+@query
+def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens, neighbours of the Hilbert curve together."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pack(documents, "doc_id", "text", TOKENIZER)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from astrolake.llm import langid
+from astrolake.llm import langid, line_dedup, packing, pii, simhash
 from astrolake.session import work_folder
 
 # Documents whose language has a smaller mean share of the words than this are rejected.
@@ -22,10 +24,44 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    """`n_chars` again tells the length of the text, where there is such a column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = dict(docs.dtypes)["n_chars"]
+    return docs.withColumn("n_chars", F.length("text").cast(kind))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines whose template recurs in several of them."""
+    return _recounted(line_dedup.drop_recurring_lines(docs, "doc_id", "text"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: 3-word shingles, at most 2 differing bits."""
+    return simhash.one_per_group(docs, "doc_id", "text", words=3, max_bits=2)
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    model = pii.train(docs, "text")
+    return _recounted(pii.redact(docs, "text", model))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens: one row per piece of a document, with its ids."""
+    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
+    ("near_dedup", near_dedup),
+    ("pii", pii_redaction),
+    ("packing", packing_stage),
 ]
 
+# Models and fingerprints are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
