@@ -90,7 +90,8 @@ def posteriors(scores: np.ndarray, first: np.ndarray, moves: np.ndarray,
     local = np.ones((count * chunk, size))
     local[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
     local = local.reshape(count, chunk, size)
-    begins = np.zeros(count * chunk, bool)
+    # Padding behind the last word is a chain of its own.
+    begins = np.ones(count * chunk, bool)
     begins[:n] = first
     begins = begins.reshape(count, chunk)
     move, start = np.exp(moves - moves.max()), np.exp(starts - starts.max())

@@ -35,7 +35,7 @@ BUCKETS = 1 << 14
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]").match
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+").finditer
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*").finditer  # (...)+ would be quadratic in digits
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
 _CHUNK = re.compile(r"[0-9@]\S*").finditer
