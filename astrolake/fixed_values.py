@@ -45,7 +45,6 @@ PATH_SINK_FUNCTIONS = ("open", "Path")
 PATH_SAFETY_METHODS = (
     "abspath", "realpath", "normpath", "commonpath", "resolve", "startswith",
 )
-MIN_SECRET_LENGTH = 8
 
 # --- Fixed values: syntax classes -----------------------------------------------------------
 FUNCTION_KINDS = ("FunctionDef", "AsyncFunctionDef")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from astrolake.fixed_values import (
     EXCLUDED_DIRECTORIES,
     EXCLUDED_DIRECTORY_SUFFIX,
-    MAX_FILE_BYTES,
     REPOSITORY_URL_PATTERN,
     SOURCE_EXTENSIONS,
 )
@@ -36,7 +35,7 @@ def has_extension(path: Column, extensions: Iterable[str] = SOURCE_EXTENSIONS) -
     return extension(path).isin(wanted)
 
 
-def within_size(size_bytes: Column, limit: int = MAX_FILE_BYTES) -> Column:
+def within_size(size_bytes: Column, limit: int) -> Column:
     return size_bytes <= F.lit(limit)
 
 
@@ -53,7 +52,9 @@ def is_test_path(path: Column) -> Column:
 def is_repository_url(label: Column) -> Column:
     """Letters and digits of any script count, as do all whitespace characters around the label.
     The final `$` also accepts one line break, which trimming has removed."""
-    return stripped(label).rlike("(?U)" + REPOSITORY_URL_PATTERN)
+    # The word class of Java differs: it takes combining marks and leaves out superscripts.
+    pattern = REPOSITORY_URL_PATTERN.replace(r"\w", r"\p{L}\p{N}_")
+    return stripped(label).rlike(pattern)
 
 
 def stripped(text: Column) -> Column:

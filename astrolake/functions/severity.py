@@ -62,6 +62,12 @@ def density_score(sum_of_weights: Column, files: Column) -> Column:
     return F.least(F.lit(RISK_CAP), F.coalesce(dense, F.lit(0.0)).cast("int"))
 
 
+def density_label(score: Column) -> Column:
+    """Label of the lowest and the highest density score; the bands between are not known."""
+    return F.when(score == 0, RISK_LABEL_ABOVE_ZERO).when(
+        score == RISK_CAP, RISK_LABELS[0][1])
+
+
 def normalised_severity(raw: Column) -> Column:
     """Any case; unknown or missing counts as low."""
     lowered = F.lower(raw)

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from astrolake.fixed_values import (
     CODE_EXECUTION_FUNCTIONS,
-    MIN_SECRET_LENGTH,
     OS_SHELL_FUNCTIONS,
     PICKLE_FUNCTIONS,
     PICKLE_MODULES,
@@ -29,11 +28,11 @@ from astrolake.operators.nodes import Needs
 CALL_RULE_NEEDS = {
     "Call": Needs(("Call",), (
         "content_sha", "kind", "pre", "depth", "lineno", "func_kind", "func_name", "recv_kind",
-        "recv_name", "args", "kws", "value", "text",
+        "recv_name", "args", "kws", "value",
     )),
     "Assign": Needs(("Assign",), (
         "content_sha", "kind", "pre", "depth", "lineno", "func_name", "recv_name", "targets",
-        "value", "text",
+        "value",
     )),
 }
 
@@ -82,10 +81,10 @@ def weak_random() -> Column:
     return F.when(drawn, "random_secret")
 
 
-def hardcoded_secret() -> Column:
-    """For a sensitive target name: the value is a string literal of some length."""
+def hardcoded_secret(min_length: int = 1) -> Column:
+    """For a sensitive target name: the value is a string literal, by default any but the empty."""
     literal = P.holds(
-        f"value.const_type = 'str' AND length(value.const_str) >= {MIN_SECRET_LENGTH}"
+        f"value.const_type = 'str' AND length(value.const_str) >= {min_length}"
     )
     return F.when(literal, "secret_literal")
 
@@ -155,6 +154,6 @@ def call_findings(nodes: DataFrame, rules=tuple(CALL_RULES)) -> DataFrame:
             "content_sha", F.col("hit.variant").alias("variant"), F.col("lineno").alias("line"),
             func.alias("func"), F.col("recv_name").alias("recv"), F.col("hit.var").alias("var"),
             F.lit("").alias("function_name"),
-            F.array("depth", "pre", "hit.at").alias("pos"), "text",
+            F.array("depth", "pre", "hit.at").alias("pos"),
         )
     )

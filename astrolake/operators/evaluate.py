@@ -35,10 +35,11 @@ def verdict_rates(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def planted_recall(planted: DataFrame, findings: DataFrame) -> DataFrame:
-    """Planted weaknesses caught by the rule that should see them, per category."""
-    keys = ["path", "expected_rule_id"]
+    """Planted weaknesses caught by the rule that should see them, per category.  Paths repeat
+    across repositories, so both sides meet on the repository too."""
+    keys = ["repo_id", "path", "expected_rule_id"]
     found = (
-        findings.select("path", F.col("rule_id").alias("expected_rule_id"))
+        findings.select("repo_id", "path", F.col("rule_id").alias("expected_rule_id"))
         .distinct()
         .withColumn("caught", F.lit(1))
     )

@@ -28,11 +28,11 @@ from astrolake.operators.function_rules import (
     FUNCTION_RULES,
     function_findings,
 )
-from astrolake.operators.nodes import LONG_LINE, Needs
+from astrolake.operators.nodes import LINE, Needs
 from astrolake.operators.taint import TAINT_NEEDS, taint_findings
 
 TAINT_RULE = "command_injection_taint"
-LONG_LINE_NEEDS = Needs((LONG_LINE,), ("content_sha", "kind", "lineno", "text"))
+LINE_NEEDS = Needs((LINE,), ("content_sha", "kind", "lineno", "text"))
 
 # Rules added by a user: rule id -> (what it reads, hits builder, catalog entries)
 EXTRA_RULES: dict[str, tuple[Needs, Callable, list[tuple]]] = {}
@@ -48,9 +48,9 @@ def all_rules() -> tuple[str, ...]:
     return (*SECURITY_RULES, *EXTRA_RULES)
 
 
-def rule_needs(rules: tuple[str, ...] | None = None) -> Needs:
+def rule_needs(rules: tuple[str, ...] | None = None, snippets: bool = True) -> Needs:
     """Part of the node table the given rules read, all rules by default."""
-    needs = LONG_LINE_NEEDS
+    needs = LINE_NEEDS if snippets else Needs((), ())
     for rule in rules or all_rules():
         if rule in CALL_RULES:
             for kind, _ in CALL_RULES[rule]:
@@ -96,14 +96,14 @@ def security_hits(nodes: DataFrame, rules: tuple[str, ...] | None = None) -> Dat
 
 
 def with_snippets(hits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Stripped source line of each hit.  Lines up to a fixed length stand on the node; longer ones
-    are stored once per file and looked up here."""
-    long_lines = nodes.filter(of_kind(LONG_LINE)).select(
-        "content_sha", F.col("lineno").alias("line"), F.col("text").alias("long_text")
-    )
-    return hits.join(long_lines, ["content_sha", "line"], "left").withColumn(
-        "code_snippet", F.coalesce("text", "long_text", F.lit(""))
+    """Stripped source line of each hit.  A line is stored once per content, whatever its length
+    and however many calls stand on it, and looked up here."""
+    lines = nodes.filter(of_kind(LINE)).select(
+        "content_sha", F.col("lineno").alias("line"), "text"
     )
+    return hits.join(lines, ["content_sha", "line"], "left").withColumn(
+        "code_snippet", F.coalesce("text", F.lit(""))
+    ).drop("text")
 
 
 def security_findings(
@@ -202,5 +202,5 @@ def quality_findings(files: DataFrame, hits: DataFrame) -> DataFrame:
     )
 
 
-def all_quality_findings(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    return quality_findings(files, quality.quality_content_findings(nodes))
+def all_quality_findings(files: DataFrame, nodes: DataFrame, **thresholds: int) -> DataFrame:
+    return quality_findings(files, quality.quality_content_findings(nodes, **thresholds))

@@ -15,7 +15,7 @@ from astrolake.operators.nodes import Needs
 
 FUNCTION_RULE_NEEDS = Needs(("Call", "Compare"), (
     "content_sha", "kind", "pre", "depth", "lineno", "func_kind", "func_name", "recv_kind",
-    "recv_name", "recv_root", "args", "cmp_ops", "fns", "text",
+    "recv_name", "recv_root", "args", "cmp_ops", "fns",
 ))
 
 # rule id -> (variant, sink predicate, safeguard predicate)
@@ -39,16 +39,16 @@ def function_marks(nodes: DataFrame, rules=tuple(FUNCTION_RULES)) -> DataFrame:
     return (
         nodes.filter(of_kind(*FUNCTION_RULE_NEEDS.kinds) & P.may_be_marked())
         .filter(F.size("fns") > 0)
-        .select("content_sha", "fns", "depth", "pre", "lineno", "text", *marks)
+        .select("content_sha", "fns", "depth", "pre", "lineno", *marks)
         .filter(any_mark)
-        .select("content_sha", F.explode("fns").alias("fn"), "depth", "pre", "lineno", "text",
+        .select("content_sha", F.explode("fns").alias("fn"), "depth", "pre", "lineno",
                 *names)
     )
 
 
 def first_in_walk(condition: Column) -> Column:
     """First matching node in breadth-first order, which is not always the smallest line."""
-    place = F.struct("depth", "pre", "lineno", "text")
+    place = F.struct("depth", "pre", "lineno")
     return F.min(F.when(condition, place))
 
 
@@ -66,7 +66,6 @@ def function_findings(nodes: DataFrame, rules=tuple(FUNCTION_RULES)) -> DataFram
             F.struct(
                 F.lit(FUNCTION_RULES[rule][0]).alias("variant"),
                 F.col(f"{rule}_sink.lineno").alias("line"),
-                F.col(f"{rule}_sink.text").alias("text"),
             ),
         )
         for rule in rules
@@ -78,6 +77,6 @@ def function_findings(nodes: DataFrame, rules=tuple(FUNCTION_RULES)) -> DataFram
             "content_sha", "hit.variant", "hit.line",
             F.lit(None).cast("string").alias("func"), F.lit(None).cast("string").alias("recv"),
             F.lit(None).cast("string").alias("var"), F.col("fn.name").alias("function_name"),
-            F.array("fn.depth", "fn.pre").alias("pos"), "hit.text",
+            F.array("fn.depth", "fn.pre").alias("pos"),
         )
     )

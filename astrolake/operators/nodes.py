@@ -22,7 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from astrolake.fixed_values import PARSE_FAILURE, READ_FAILURE, SYNTAX_FAILURE
+from astrolake.fixed_values import (
+    NESTING_KINDS,
+    PARSE_FAILURE,
+    READ_FAILURE,
+    SYNTAX_FAILURE,
+)
 
 FUNCTION = "struct<depth:int,pre:int,name:string>"
 FLOW = f"struct<fn:{FUNCTION},key:array<int>>"
@@ -53,15 +58,12 @@ NODE_SCHEMA = f"""
 """
 
 UNPARSED = "#unparsed"  # status row of a file without a tree
-LONG_LINE = "#line"  # source line too long to be repeated on every node of the line
-INLINE_LINE_CHARS = 400
+LINE = "#line"  # a source line that a call or an assignment begins on, once per content
 ROWS_PER_BATCH = 10_000
 
 _FOLDED = (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_LOOPS = (ast.For, ast.AsyncFor, ast.While)
-_WITHS = (ast.With, ast.AsyncWith)
-_BRANCHING = (ast.If, ast.Try, *_LOOPS, *_WITHS)
+_BRANCHING = tuple(getattr(ast, kind) for kind in NESTING_KINDS)
 _FLOW_THROUGH = (*_BRANCHING, ast.ExceptHandler)
 _BLOCKS = frozenset({"body", "orelse", "finalbody", "handlers"})
 _STATEMENTS = frozenset(ast.stmt.__subclasses__())
@@ -292,6 +294,7 @@ class Wanted(NamedTuple):
     kinds: frozenset | None = None
     shaped: bool = True  # columns that describe a node itself
     linked: bool = True  # columns that place a node in its tree
+    lines: bool = True  # source lines of calls and assignments
     reach: str = "all"  # nodes to visit, see _LEADS
 
 
@@ -396,7 +399,7 @@ def tree_rows(sha: str, tree: ast.Module, lines: list[str], wanted: Wanted) -> I
     kinds = wanted.kinds
     walked = walk_tree(tree, _LEADS[wanted.reach])
     last = _last_descendants(walked) if wanted.linked else ()
-    long_lines = set()
+    noted = set()
     for pre, (node, parent, field, idx, depth, scope, me, next_line) in enumerate(walked):
         kind = type(node).__name__
         if kinds is not None and kind not in kinds:
@@ -419,13 +422,12 @@ def tree_rows(sha: str, tree: ast.Module, lines: list[str], wanted: Wanted) -> I
         elif cls in _STATEMENTS:
             row.update(nest=scope.nest, block_key=scope.block_key, flow=scope.flow,
                        next_line=next_line)
-        if (cls is ast.Call or cls is ast.Assign) and 0 < node.lineno <= len(lines):
-            text = _utf8(lines[node.lineno - 1].strip())
-            if len(text) <= INLINE_LINE_CHARS:
-                row["text"] = text
-            elif node.lineno not in long_lines and (kinds is None or LONG_LINE in kinds):
-                long_lines.add(node.lineno)
-                yield {"content_sha": sha, "kind": LONG_LINE, "lineno": node.lineno, "text": text}
+        if wanted.lines and (cls is ast.Call or cls is ast.Assign):
+            line = node.lineno
+            if line not in noted and 0 < line <= len(lines):
+                noted.add(line)
+                yield {"content_sha": sha, "kind": LINE, "lineno": line,
+                       "text": _utf8(lines[line - 1].strip())}
         yield row
 
 
@@ -487,21 +489,34 @@ def _batches(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
 
 def _files_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """Each content once: rows that repeat one file come to the same task."""
+    seen = set()
     for batch in batches:
         for sha, raw in zip(batch.column("content_sha"), batch.column("content")):
-            yield sha.as_py(), raw.as_py()
+            name = sha.as_py()
+            if name not in seen:
+                seen.add(name)
+                yield name, raw.as_py()
 
 
 def distinct_contents(files: DataFrame) -> DataFrame:
-    """Equal files are parsed once: copies fold on the map side before the shuffle, so a content
-    that makes up a third of all files reaches its reducer at most once per map task."""
-    return files.select("content_sha", "content").dropDuplicates(["content_sha"])
+    """(content_sha, content), one file of each content.
+
+    Only hashes are aggregated: the file with the least hash of its name owns a content.  The text
+    moves once, unsorted, in a hash join on (content, name): copies have other names, so a content
+    that many files share is spread over the tasks, where all but its owner's row fall out.
+    """
+    name = F.xxhash64("repo_id", "path")
+    owners = files.groupBy("content_sha").agg(F.min(name).alias("_owner"))
+    named = files.select("content_sha", "content", name.alias("_owner"))
+    return named.join(owners.hint("shuffle_hash"), ["content_sha", "_owner"]).select(
+        "content_sha", "content")
 
 
 def _reach(needs: Needs) -> str:
     """How much of a tree must be visited.  Node numbers count all nodes, so asking for one of them
     means visiting all."""
-    kinds = set(needs.kinds) - {UNPARSED, LONG_LINE}
+    kinds = set(needs.kinds) - {UNPARSED, LINE}
     if not kinds or not _NUMBERED.isdisjoint(needs.columns):
         return "all"
     if kinds == {"Module"}:
@@ -518,6 +533,7 @@ def syntax_nodes(files: DataFrame, needs: Needs | None = None) -> DataFrame:
             kinds=frozenset(needs.kinds) or None,
             shaped=not _UNSHAPED.issuperset(needs.columns),
             linked=not _LINKS.isdisjoint(needs.columns),
+            lines=not needs.kinds or LINE in needs.kinds,
             reach=_reach(needs),
         )
     arrow_schema = to_arrow_schema(schema)

@@ -182,20 +182,34 @@ def dead_constant_branch(nodes: DataFrame) -> DataFrame:
 
 
 # check -> (what it reads, builder)
+def complexity(nodes: DataFrame, threshold: int = COMPLEXITY_THRESHOLD) -> DataFrame:
+    return metric_findings(nodes, complexity_threshold=threshold, checks=("complexity",))
+
+
+def nesting_depth(nodes: DataFrame, threshold: int = NESTING_THRESHOLD) -> DataFrame:
+    return metric_findings(nodes, nesting_threshold=threshold, checks=("nesting_depth",))
+
+
+def dead_code(nodes: DataFrame) -> DataFrame:
+    """Both kinds of unreachable code."""
+    return dead_after_terminal(nodes).unionByName(dead_constant_branch(nodes))
+
+
+THRESHOLDS = ("complexity", "nesting_depth")
 QUALITY_BUILDERS = {
-    "complexity": (METRIC_NEEDS, lambda n: metric_findings(n, checks=("complexity",))),
+    "complexity": (METRIC_NEEDS, complexity),
     "unused_vars": (NAME_NEEDS, unused_vars),
-    "nesting_depth": (METRIC_NEEDS, lambda n: metric_findings(n, checks=("nesting_depth",))),
+    "nesting_depth": (METRIC_NEEDS, nesting_depth),
+    "dead_code": (DEAD_NEEDS, dead_code),
     "dead_after": (DEAD_NEEDS, dead_after_terminal),
     "dead_branch": (DEAD_NEEDS, dead_constant_branch),
 }
 QUALITY_NEEDS = METRIC_NEEDS | NAME_NEEDS | DEAD_NEEDS
 
 
-def quality_content_findings(nodes: DataFrame) -> DataFrame:
+def quality_content_findings(nodes: DataFrame, **thresholds: int) -> DataFrame:
     """All checks, at the grain of distinct contents."""
-    parts = [metric_findings(nodes), unused_vars(nodes), dead_after_terminal(nodes),
-             dead_constant_branch(nodes)]
+    parts = [metric_findings(nodes, **thresholds), unused_vars(nodes), dead_code(nodes)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from astrolake.session import written_once
+from astrolake.session import settled
 
 
 def numbered_within(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
@@ -18,8 +18,8 @@ def numbered_within(df: DataFrame, by: list[str], order: list[Column], name: str
     The order must be total, or ties may be numbered either way.
     """
     ranged = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
-    # Range bounds are sampled anew on each run: write the rows so that both uses see the same.
-    fixed = written_once(ranged, "ranked")
+    # Range bounds are sampled anew on each run: keep the rows so that both uses see the same.
+    fixed = settled(ranged)
     counts = fixed.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1

@@ -84,7 +84,8 @@ def parse_failures(files: DataFrame, status: DataFrame) -> DataFrame:
 def dashboard(files: DataFrame, status: DataFrame, security: DataFrame,
               quality: DataFrame) -> DataFrame:
     """One row per repository, from findings or from counted findings.  They are folded to one row
-    per repository before any join."""
+    per repository before any join.  A repository without a single parsed file was not scanned: its
+    score and label are null."""
     times = scoring.times(security)
     risk = scoring.with_effective_severity(security).groupBy("repo_id").agg(
         F.sum(times).alias("security_findings"),
@@ -92,7 +93,8 @@ def dashboard(files: DataFrame, status: DataFrame, security: DataFrame,
         *scoring.tier_counts(times),
     )
     notes = quality.groupBy("repo_id").agg(F.sum(scoring.times(quality)).alias("quality_findings"))
-    score = S.risk_score(F.col("tenths"))
+    score = F.when(F.col("files_parsed") > 0, S.risk_score(F.col("tenths")))
+    label = F.when(F.col("files_parsed") > 0, S.risk_label(S.risk_score(F.col("tenths"))))
     counts = ["security_findings", "quality_findings", *SEVERITIES]
     return (
         parse_summary(files, status)
@@ -101,6 +103,6 @@ def dashboard(files: DataFrame, status: DataFrame, security: DataFrame,
         .select(
             "repo_id", "files_found", "files_parsed", "files_failed",
             *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
-            score.alias("risk_score"), S.risk_label(score).alias("risk_label"),
+            score.alias("risk_score"), label.alias("risk_label"),
         )
     )

@@ -62,21 +62,28 @@ class Scan:
     def rule(self, rule_id: str, snippets: bool = False) -> DataFrame:
         """Findings of one rule, straight from the parse job unless they need the nodes twice."""
         files = self._to_parse(may_fire((rule_id,)))
-        nodes = syntax_nodes(files, findings.rule_needs((rule_id,)))
-        if rule_id == findings.TAINT_RULE or snippets:
+        nodes = syntax_nodes(files, findings.rule_needs((rule_id,), snippets))
+        if snippets:
             nodes = self._written(nodes)
         return findings.security_findings(self.files, nodes, (rule_id,), snippets)
 
-    def check(self, check: str) -> DataFrame:
-        """Findings of one quality check, straight from the parse job."""
+    def check(self, check: str, threshold: int | None = None) -> DataFrame:
+        """Findings of one quality check, straight from the parse job.  `threshold` replaces that of
+        `complexity` or `nesting_depth`."""
         needs, build = quality.QUALITY_BUILDERS[check]
-        return findings.quality_findings(self.files, build(syntax_nodes(self.files, needs)))
+        nodes = syntax_nodes(self.files, needs)
+        if threshold is not None:
+            if check not in quality.THRESHOLDS:
+                raise ValueError(f"{check} has no threshold")
+            return findings.quality_findings(self.files, build(nodes, threshold))
+        return findings.quality_findings(self.files, build(nodes))
 
     def security_findings(self, snippets: bool = True) -> DataFrame:
         return findings.security_findings(self.files, self.nodes, snippets=snippets)
 
-    def quality_findings(self) -> DataFrame:
-        return findings.all_quality_findings(self.files, self.nodes)
+    def quality_findings(self, **thresholds: int) -> DataFrame:
+        """`complexity_threshold` and `nesting_threshold` replace the fixed ones."""
+        return findings.all_quality_findings(self.files, self.nodes, **thresholds)
 
     def security_counts(self) -> DataFrame:
         return findings.security_counts(self.files, self.nodes)

@@ -62,7 +62,8 @@ def risk_density(files: DataFrame, findings: DataFrame, by: str) -> DataFrame:
         F.sum(S.severity_weight(S.normalised_severity(F.col("severity")))).alias("weight")
     )
     counts = files.groupBy(by).agg(F.count("*").alias("files_scanned"))
+    score = S.density_score(F.col("weight"), F.col("files_scanned"))
     return counts.join(weights, by, "left").select(
-        by, "files_scanned",
-        S.density_score(F.col("weight"), F.col("files_scanned")).alias("density_score"),
+        by, "files_scanned", score.alias("density_score"),
+        S.density_label(score).alias("density_label"),
     )

@@ -1,15 +1,20 @@
 """Taint trace: does a function parameter reach a shell call through assignments?
 
-One fold per function, written with array functions.  Files without a sink are dropped by a semi
-join on the content; its shuffle also serves the grouping by (content, function) that follows, and
-the optimizer turns it into a broadcast when the files with sinks turn out few.  A group is one
-function of one file, so its size is bounded by the file size cap.
+The events of a function are grouped once; functions without a sink are dropped before the fold.
+The fold keeps a set of names and takes constant time for each event.  Array functions would copy
+the set at every step, which is quadratic for a long function, so this small loop is in Python.  A
+group is one function of one file.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from astrolake.fixed_values import FUNCTION_KINDS, OS_SHELL_FUNCTIONS, SUBPROCESS_FUNCTIONS
 from astrolake.functions import predicates as P
@@ -18,12 +23,11 @@ from astrolake.operators.nodes import FLOW, FUNCTION, Needs
 
 TAINT_NEEDS = Needs(("Call", "Assign", "AugAssign", *FUNCTION_KINDS), (
     "content_sha", "kind", "pre", "depth", "lineno", "ident", "params", "func_kind", "func_name",
-    "recv_kind", "recv_name", "args", "kws", "targets", "value", "flow", "events", "text",
+    "recv_kind", "recv_name", "args", "kws", "targets", "value", "flow", "events",
 ))
 
 SEED, ASSIGN, AUGMENT, SINK = range(4)
 _STRINGS = "array<string>"
-_HIT = "struct<line:int,name:string,pos:array<int>,text:string>"
 
 
 def _is_sink() -> Column:
@@ -59,63 +63,60 @@ def taint_events(rows: DataFrame) -> DataFrame:
         .otherwise(F.col("value.names")).alias("names"),
         F.when(is_def, F.col("params")).when(is_call, no_strings).otherwise(stored)
         .alias("targets"),
-        F.col("lineno").alias("line"), "text",
+        F.col("lineno").alias("line"),
     ).select("content_sha", F.col("place.fn").alias("fn"), F.col("place.key").alias("key"),
-             "step", "order", "names", "targets", "line", "text")
+             "step", "order", "names", "targets", "line")
 
 
-def _tainted_after(tainted: Column, event: Column) -> Column:
-    """Set of tainted names after the event."""
-    added = F.array_union(tainted, event["targets"])
-    reads = F.arrays_overlap(event["names"], tainted)
-    return (
-        F.when(event["step"] == SEED, added)
-        .when((event["step"] == ASSIGN) & reads, added)
-        .when(event["step"] == ASSIGN, F.array_except(tainted, event["targets"]))
-        .when((event["step"] == AUGMENT) & reads, added)
-        .otherwise(tainted)
-    )
+def traced(events: list[dict]) -> Iterator[tuple[int, str, list[int]]]:
+    """(line, name, position) of each sink that a tainted name reaches, events in order.
 
+    An assignment that reads a tainted name taints its targets, any other clears them; an augmented
+    assignment only taints.  A sink fires once, named after the first tainted name of its first
+    tainted argument.
+    """
+    tainted: set[str] = set()
+    for event in events:
+        step, names, targets = event["step"], event["names"] or (), event["targets"] or ()
+        if step == SINK:
+            name = next((name for name in names if name in tainted), None)
+            if name is not None:
+                yield event["line"], name, [*event["key"], *event["order"]]
+        elif step == SEED or not tainted.isdisjoint(names):
+            tainted.update(targets)
+        elif step == ASSIGN:
+            tainted.difference_update(targets)
 
-def _hits_after(state: Column, event: Column) -> Column:
-    """A sink fires once, named after the first tainted name of its first tainted argument."""
-    reached = F.filter(event["names"], lambda n: F.array_contains(state["tainted"], n))
-    hit = F.struct(
-        event["line"].alias("line"), F.get(reached, F.lit(0)).alias("name"),
-        F.concat(event["key"], event["order"]).alias("pos"), event["text"].alias("text"),
-    )
-    fires = (event["step"] == SINK) & (F.size(reached) > 0)
-    return F.when(fires, F.concat(state["hits"], F.array(hit))).otherwise(state["hits"])
+
+_HITS = f"content_sha string, fn {FUNCTION}, line int, name string, pos array<int>"
 
 
 def taint_findings(nodes: DataFrame) -> DataFrame:
-    sink_files = nodes.filter(_is_sink()).select("content_sha").distinct()
     moves = of_kind("Assign", "AugAssign") & F.col("flow").isNotNull()
-    rows = nodes.filter(_is_sink() | moves | of_kind(*FUNCTION_KINDS)).join(
-        sink_files, "content_sha", "left_semi"
-    )
-    event = F.struct("key", "step", "order", "names", "targets", "line", "text")
-    start = F.struct(
-        F.array().cast(_STRINGS).alias("tainted"), F.array().cast(f"array<{_HIT}>").alias("hits")
-    )
-    hits = F.aggregate(
-        "events",
-        start,
-        lambda state, e: F.struct(
-            _tainted_after(state["tainted"], e).alias("tainted"),
-            _hits_after(state, e).cast(f"array<{_HIT}>").alias("hits"),
-        ),
-        lambda state: state["hits"],
-    )
-    return (
+    rows = nodes.filter(_is_sink() | moves | of_kind(*FUNCTION_KINDS))
+    event = F.struct("key", "step", "order", "names", "targets", "line")
+    functions = (
         taint_events(rows)
         .groupBy("content_sha", "fn")
-        .agg(F.sort_array(F.collect_list(event)).alias("events"))
-        .withColumn("hit", F.explode(hits))
-        .select(
-            "content_sha", F.lit("tainted_shell").alias("variant"), "hit.line",
-            F.lit(None).cast("string").alias("func"), F.lit(None).cast("string").alias("recv"),
-            F.col("hit.name").alias("var"), F.col("fn.name").alias("function_name"),
-            F.concat(F.array("fn.depth", "fn.pre"), "hit.pos").alias("pos"), "hit.text",
-        )
+        .agg(F.collect_list(event).alias("events"), F.max("step").alias("last"))
+        .filter(F.col("last") == SINK)
+        .select("content_sha", "fn", F.sort_array("events").alias("events"))
+    )
+    schema = to_arrow_schema(StructType.fromDDL(_HITS))
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [
+                {"content_sha": sha.as_py(), "fn": fn.as_py(), "line": line, "name": name,
+                 "pos": pos}
+                for sha, fn, events in zip(*batch.columns)
+                for line, name, pos in traced(events.as_py())
+            ]
+            yield pa.RecordBatch.from_pylist(hits, schema)
+
+    return functions.mapInArrow(trace, _HITS).select(
+        "content_sha", F.lit("tainted_shell").alias("variant"), "line",
+        F.lit(None).cast("string").alias("func"), F.lit(None).cast("string").alias("recv"),
+        F.col("name").alias("var"), F.col("fn.name").alias("function_name"),
+        F.concat(F.array("fn.depth", "fn.pre"), "pos").alias("pos"),
     )

@@ -8,36 +8,57 @@ normalises identifiers, and a declared codec may hide them.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from astrolake.fixed_values import SENSITIVE_NAME_MARKERS
-
-# rule id -> patterns that must all occur somewhere in the text
-TRIGGERS = {
-    "sql_injection": ("execute|raw|query",),
-    "command_injection": ("system|popen|subprocess",),
-    "hardcoded_secrets": ("(?i)" + "|".join(SENSITIVE_NAME_MARKERS),),
-    "insecure_deserialization": ("pickle|cPickle|dill|yaml",),
-    "weak_crypto": ("hashlib|DES|ARC4|RC4|MODE_ECB|random",),
-    "missing_input_validation": ("input|get", "open|eval|exec|system|popen"),
-    "path_traversal": ("input|get", "open|Path|join"),
-    "eval_exec_misuse": ("eval|exec|compile",),
-    "command_injection_taint": ("system|popen|subprocess",),
-}
+from astrolake import fixed_values as V
+
+
+def _any(*names: str) -> str:
+    return "|".join(re.escape(name) for name in dict.fromkeys(names))
+
+
+def triggers() -> dict[str, tuple[str, ...]]:
+    """Rule id -> patterns that must all occur somewhere in the text, from the lists the rules use.
+
+    `subprocess`, `yaml`, `hashlib`, `random`, `MODE_ECB`, `input`, `get` and `join` are names the
+    predicates test for themselves.
+    """
+    shell = _any(*V.OS_SHELL_FUNCTIONS, "subprocess")
+    source = _any("input", "get")
+    return {
+        "sql_injection": (_any(*V.SQL_METHODS),),
+        "command_injection": (shell,),
+        "hardcoded_secrets": ("(?i)" + _any(*V.SENSITIVE_NAME_MARKERS),),
+        "insecure_deserialization": (_any(*V.PICKLE_MODULES, "yaml"),),
+        "weak_crypto": (_any("hashlib", *V.WEAK_CIPHER_MODULES, "MODE_ECB", "random"),),
+        "missing_input_validation": (
+            source, _any(*V.SENSITIVE_SINK_FUNCTIONS, *V.SENSITIVE_SINK_METHODS)),
+        "path_traversal": (source, _any(*V.PATH_SINK_FUNCTIONS, "join")),
+        "eval_exec_misuse": (_any(*V.CODE_EXECUTION_FUNCTIONS),),
+        "command_injection_taint": (shell,),
+    }
+
+
 NOT_LITERAL = r"[^\x00-\x7F]|coding"
 
 
 def may_fire(rules: tuple[str, ...]) -> Column | None:
-    """Filter on `content`; None when some rule gives no triggers."""
-    if not all(rule in TRIGGERS for rule in rules):
+    """Filter on `content`, decoded once; None when some rule gives no triggers."""
+    known = triggers()
+    if not all(rule in known for rule in rules):
         return None
-    text = F.decode(F.col("content"), "ISO-8859-1")  # one character per byte
-    conditions = [
-        reduce(and_, [text.rlike(pattern) for pattern in patterns])
-        for patterns in dict.fromkeys(TRIGGERS[rule] for rule in rules)
-    ]
-    return reduce(or_, conditions, text.rlike(NOT_LITERAL))
+
+    def fires(text: Column) -> Column:
+        conditions = [
+            reduce(and_, [text.rlike(pattern) for pattern in patterns])
+            for patterns in dict.fromkeys(known[rule] for rule in rules)
+        ]
+        return reduce(or_, conditions, text.rlike(NOT_LITERAL))
+
+    # One character per byte; the array of one holds the decoded text for all tests.
+    return F.exists(F.array(F.decode(F.col("content"), "ISO-8859-1")), fires)

@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 from astrolake.fixed_values import FUNCTION_KINDS
 from astrolake.functions import predicates as P
 from astrolake.functions.predicates import of_kind
-from astrolake.operators.nodes import Needs
+from astrolake.operators.nodes import LINE, Needs
 
 CALLS = Needs(("Call",), (
     "content_sha", "kind", "pre", "last", "depth", "lineno", "func_kind", "func_name", "recv_kind",
-    "recv_name", "recv_root", "args", "kws", "fns", "events", "text",
+    "recv_name", "recv_root", "args", "kws", "fns", "events",
 ))
 FUNCTIONS = Needs(FUNCTION_KINDS, (
     "content_sha", "kind", "pre", "last", "depth", "lineno", "ident", "params", "own_fn",
 ))
 ASSIGNS = Needs(("Assign",), (
-    "content_sha", "kind", "pre", "depth", "lineno", "targets", "value", "own_fn", "flow", "text",
+    "content_sha", "kind", "pre", "depth", "lineno", "targets", "value", "own_fn", "flow",
 ))
+LINES = Needs((LINE,), ("content_sha", "kind", "lineno", "text"))
 KIND_COUNTS = Needs((), ("kind",))
 
 
@@ -30,7 +31,7 @@ def calls(nodes: DataFrame) -> DataFrame:
     return nodes.filter(of_kind("Call")).select(
         "content_sha", "pre", "last", "depth", F.col("lineno").alias("line"),
         "func_kind", "func_name", "recv_kind", "recv_name", "recv_root", "args", "kws",
-        "fns", "events", "text",
+        "fns", "events",
     )
 
 
@@ -45,10 +46,19 @@ def functions(nodes: DataFrame) -> DataFrame:
 def assigns(nodes: DataFrame) -> DataFrame:
     return nodes.filter(of_kind("Assign")).select(
         "content_sha", "pre", "depth", F.col("lineno").alias("line"), "targets", "value",
-        "own_fn", "flow", "text",
+        "own_fn", "flow",
     )
 
 
+def with_text(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Calls or assignments with the stripped line each begins on, of any length.  The nodes must
+    hold `LINES` too."""
+    lines = nodes.filter(of_kind(LINE)).select(
+        "content_sha", F.col("lineno").alias("line"), "text"
+    )
+    return rows.join(lines, ["content_sha", "line"], "left")
+
+
 def dynamic_strings(nodes: DataFrame) -> DataFrame:
     """Calls whose first argument is a string put together at run time."""
     return calls(nodes).filter(P.is_dynamic_first_arg())

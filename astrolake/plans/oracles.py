@@ -11,13 +11,15 @@ from astrolake.fixed_values import (
     QUALITY_MESSAGES,
     SECURITY_CATALOG,
     SECURITY_RULES,
-    SENSITIVE_NAME_MARKERS,
     SEVERITY_WEIGHTS,
 )
-from astrolake.functions.secrets import QUOTED_ASSIGNMENT
 from astrolake.sources import order_corpus as corpus
 
 
+# A name and a quoted literal, the quotes included.
+_ASSIGNMENT = r"""([A-Za-z_][A-Za-z0-9_]*)[ \t]*=[ \t]*("[^"\n]+"|'[^'\n]+')"""
+
+
 def _text(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
@@ -382,12 +384,15 @@ def oracles() -> dict[str, str]:
         "ext_filter": _with(f"SELECT repo_id, path FROM listed WHERE {IS_PYTHON}", LISTED),
         "size_cap": _with(
             "SELECT repo_id, path, size_bytes FROM listed WHERE size_bytes <= 2000000", LISTED),
+        "size_skipped": _with(
+            "SELECT repo_id, path, size_bytes, 'larger than 2000000 bytes' AS reason FROM listed "
+            f"WHERE size_bytes > 2000000 AND {KEPT} AND {IS_PYTHON}", LISTED),
         "listing_filters": _with(
             "SELECT repo_id, path, size_bytes FROM listed "
             f"WHERE size_bytes <= 2000000 AND {KEPT} AND {IS_PYTHON}", LISTED),
         "repo_url_filter": f"""SELECT label, regexp_matches(
     regexp_replace(label, '^\\s+|\\s+$', '', 'g'),
-    '^(https://github[.]com/[\\w\\pL.-]+/[\\w\\pL.-]+/?|git@github[.]com:[\\w\\pL.-]+/[\\w\\pL.-]+[.]git)$'
+    '^(https://github[.]com/[\\w\\pL\\pN.-]+/[\\w\\pL\\pN.-]+/?|git@github[.]com:[\\w\\pL\\pN.-]+/[\\w\\pL\\pN.-]+[.]git)$'
   ) AS is_repo_url
 FROM (SELECT {_keyed(corpus.SOURCE_LABELS)} AS label FROM orders
       UNION ALL SELECT url FROM pages)""",
@@ -459,10 +464,11 @@ FROM functions WHERE t IN (0, 1, 6, 7, 8, 9, 10)""", FILES, FUNCTION_TABLE),
         "secret_text_scan": f"""SELECT doc_id, occurrence, var, literal
 FROM (SELECT doc_id, unnest(range(len(vars))) AS occurrence, unnest(vars) AS var,
              unnest(literals) AS literal
-      FROM (SELECT doc_id, regexp_extract_all(text, {_text(QUOTED_ASSIGNMENT)}, 1) AS vars,
-                   regexp_extract_all(text, {_text(QUOTED_ASSIGNMENT)}, 2) AS literals
+      FROM (SELECT doc_id, regexp_extract_all(text, {_text(_ASSIGNMENT)}, 1) AS vars,
+                   list_transform(regexp_extract_all(text, {_text(_ASSIGNMENT)}, 2),
+                     lambda s: s[2:-2]) AS literals
             FROM documents))
-WHERE regexp_matches(lower(var), {_text("|".join(SENSITIVE_NAME_MARKERS))})""",
+WHERE regexp_matches(lower(var), 'token|password|passwd|secret|key|otp|session_id|csrf')""",
         # quality checks
         "complexity_metric": _with(
             "SELECT path, line, function_name, complexity::BIGINT AS complexity FROM functions",
@@ -473,6 +479,7 @@ WHERE regexp_matches(lower(var), {_text("|".join(SENSITIVE_NAME_MARKERS))})""",
         "complex_functions": _check("\"check\" = 'complexity'"),
         "deep_nesting": _check("\"check\" = 'nesting_depth'"),
         "unused_vars": _check("\"check\" = 'unused_vars'"),
+        "dead_code": _check("\"check\" = 'dead_code'"),
         "dead_after_terminal": _check("\"check\" = 'dead_code' AND message LIKE '%line 2%'"),
         "dead_constant_branch": _check("\"check\" = 'dead_code' AND message LIKE '%always%'"),
         "all_quality_findings": _check("true"),
@@ -489,10 +496,12 @@ WHERE regexp_matches(lower(var), {_text("|".join(SENSITIVE_NAME_MARKERS))})""",
             f"SELECT repo_id, {SCORE} AS risk_score FROM scored", EVENTS,
             f"scored AS (SELECT repo_id, {TENTHS} AS tenths FROM found GROUP BY repo_id)"),
         "risk_density": _with(
-            """SELECT c.repo_id, c.files_scanned,
-  least(100, round_even(coalesce(w.weight, 0)::DOUBLE / c.files_scanned * 20, 0))::BIGINT
-    AS density_score
-FROM counts c LEFT JOIN weights w ON c.repo_id = w.repo_id""",
+            """SELECT repo_id, files_scanned, density_score, CASE density_score
+  WHEN 0 THEN 'Low Risk' WHEN 100 THEN 'Critical Risk' END AS density_label
+FROM (SELECT c.repo_id, c.files_scanned,
+        least(100, round_even(coalesce(w.weight, 0)::DOUBLE / c.files_scanned * 20, 0))::BIGINT
+          AS density_score
+      FROM counts c LEFT JOIN weights w ON c.repo_id = w.repo_id)""",
             FILES, EVENTS,
             "counts AS (SELECT repo_id, count(*) AS files_scanned FROM files GROUP BY repo_id)",
             f"weights AS (SELECT repo_id, sum({_lookup('severity', SEVERITY_WEIGHTS)}) AS weight "
@@ -568,9 +577,9 @@ FROM found JOIN verdicts USING (repo_id, path, line, rule_id) GROUP BY ROLLUP (r
         "planted_recall": _with(
             f"""SELECT category, count(*) AS planted, count(f.rule_id) AS caught,
   round(count(f.rule_id) * 100.0::DOUBLE / count(*), 1) AS recall_pct
-FROM (SELECT p.path, v.category, v.rule_id FROM files p
+FROM (SELECT p.repo_id, p.path, v.category, v.rule_id FROM files p
       JOIN {_PLANTED} v(t, category, rule_id) ON p.t = v.t) x
-LEFT JOIN (SELECT DISTINCT path, rule_id FROM found) f
-  ON f.path = x.path AND f.rule_id = x.rule_id
+LEFT JOIN (SELECT DISTINCT repo_id, path, rule_id FROM found) f
+  ON f.repo_id = x.repo_id AND f.path = x.path AND f.rule_id = x.rule_id
 GROUP BY category""", *_SECURITY),
     }

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolake.fixed_values import SECURITY_RULES
+from astrolake.fixed_values import MAX_FILE_BYTES, SECURITY_RULES
 from astrolake.functions import paths
 from astrolake.functions import predicates as P
 from astrolake.functions import severity as S
@@ -21,7 +21,7 @@ from astrolake.operators.nodes import STATUS, parse_status, source_lines, syntax
 from astrolake.operators.scan import Scan
 from astrolake.session import tuned
 from astrolake.sources import order_corpus as corpus
-from astrolake.sources.code_files import scannable
+from astrolake.sources.code_files import scannable, skipped_by_size
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -72,13 +72,20 @@ def ext_filter(spark, sf_dir):
 @query
 def size_cap(spark, sf_dir):
     listed = corpus.listed_paths(spark, sf_dir)
-    return listed.filter(paths.within_size(F.col("size_bytes")))
+    return listed.filter(paths.within_size(F.col("size_bytes"), MAX_FILE_BYTES))
+
+
+@query
+def size_skipped(spark, sf_dir):
+    """What the size cap alone leaves out."""
+    skipped = skipped_by_size(corpus.listed_paths(spark, sf_dir), MAX_FILE_BYTES)
+    return skipped.select("repo_id", "path", "size_bytes", "reason")
 
 
 @query
 def listing_filters(spark, sf_dir):
-    """All three filters together, as a scan applies them."""
-    return scannable(corpus.listed_paths(spark, sf_dir))
+    """All three filters together."""
+    return scannable(corpus.listed_paths(spark, sf_dir), max_file_bytes=MAX_FILE_BYTES)
 
 
 @query
@@ -293,6 +300,7 @@ for _check, _name in {
     "complexity": "complex_functions",
     "nesting_depth": "deep_nesting",
     "unused_vars": "unused_vars",
+    "dead_code": "dead_code",
     "dead_after": "dead_after_terminal",
     "dead_branch": "dead_constant_branch",
 }.items():
@@ -336,7 +344,7 @@ def event_risk_score(spark, sf_dir):
 
 @query
 def risk_density(spark, sf_dir):
-    files = corpus.corpus(spark, sf_dir)
+    files = _files(spark, sf_dir)
     return _wide(scoring.risk_density(files, corpus.event_findings(spark, sf_dir), "repo_id"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -9,20 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 # Runtime settings of a scan.  Parsing is bound by the processor, not by bytes: small partitions are
-# worth a task, and a batch handed to Python should hold few files, since one may have 2 MB.
+# worth a task.  Batches handed to Python are bounded by bytes, whatever the size of a file.
 # Rule expressions are wide: the JVM never compiles a generated method above 8000 bytes of code, so
 # such a stage must fall back to smaller methods instead of running interpreted.
 SCAN_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Apply the scan settings the session has not chosen itself."""
+    """Apply the scan settings the session has not chosen itself.  Plans read them when they run, so
+    they stay; none of them changes a result or slows other work down."""
     for key, value in SCAN_SETTINGS.items():
-        if spark.conf.get(key, None) is None:
+        if not spark.conf._jconf.contains(key):
             spark.conf.set(key, value)
     return spark
 
@@ -38,6 +41,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -58,11 +62,16 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+_TABLES: dict[str, SparkSession] = {}
+
+
 def write_table(df: DataFrame, name: str) -> str:
-    """Write `df` to a new table in the shared folder; gives its path."""
+    """Write `df` to a new table in the shared folder; gives its path.  Whoever asks for a table
+    drops it, or leaves it to `release`, which runs at the end of the program."""
     folder = work_folder(df.sparkSession).rstrip("/")
     path = f"{folder}/astrolake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES[path] = df.sparkSession
     return path
 
 
@@ -72,12 +81,25 @@ def drop_table(spark: SparkSession, path: str) -> None:
         raise ValueError(f"not a table of this package: {path}")
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _TABLES.pop(path, None)
+
+
+def release() -> None:
+    """Drop every table of `write_table` that is still there.  Results that read them end here."""
+    for path, spark in list(_TABLES.items()):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            drop_table(spark, path)
+
+
+atexit.register(release)
 
 
-def written_once(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def settled(df: DataFrame) -> DataFrame:
+    """`df` computed now and kept in the shared folder.
 
-    Used where several operators read one expensive result.  The table outlives lost executors,
-    cuts the lineage, and lets each reader prune columns and row groups.
+    Used where several operators read one expensive result.  The rows outlive lost executors and cut
+    the lineage.  Spark owns the files: with `spark.cleaner.referenceTracking.cleanCheckpoints` it
+    removes them once nothing refers to them.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+    work_folder(df.sparkSession)
+    return df.checkpoint()

@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from astrolake.fixed_values import EXCLUDED_DIRECTORIES, MAX_FILE_BYTES, SOURCE_EXTENSIONS
+from astrolake.fixed_values import EXCLUDED_DIRECTORIES, SOURCE_EXTENSIONS
 from astrolake.functions.paths import (
     has_extension,
     in_excluded_directory,
     is_test_path,
     within_size,
 )
-from astrolake.session import written_once
+from astrolake.session import settled
 
 COLUMNS = ("repo_id", "path", "size_bytes", "content", "content_sha", "is_test")
 
@@ -38,15 +38,29 @@ def scannable(
     files: DataFrame,
     extensions: Iterable[str] = SOURCE_EXTENSIONS,
     excludes: Iterable[str] = EXCLUDED_DIRECTORIES,
-    max_file_bytes: int = MAX_FILE_BYTES,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
-    """Directory prune, extension filter and size cap.  All are column filters that stand before
-    the content is read: the size cap reaches the Parquet scan."""
-    return files.filter(
-        within_size(F.col("size_bytes"), max_file_bytes)
-        & has_extension(F.col("path"), extensions)
-        & ~in_excluded_directory(F.col("path"), excludes)
-    )
+    """Directory prune and extension filter, and a size cap where the caller asks for one.  All are
+    column filters that stand before the content is read: the size cap reaches the Parquet scan.
+    `skipped_by_size` lists what a cap leaves out."""
+    wanted = has_extension(F.col("path"), extensions) & ~in_excluded_directory(
+        F.col("path"), excludes)
+    if max_file_bytes is not None:
+        wanted = within_size(F.col("size_bytes"), max_file_bytes) & wanted
+    return files.filter(wanted)
+
+
+def skipped_by_size(
+    files: DataFrame,
+    max_file_bytes: int,
+    extensions: Iterable[str] = SOURCE_EXTENSIONS,
+    excludes: Iterable[str] = EXCLUDED_DIRECTORIES,
+) -> DataFrame:
+    """(repo_id, path, size_bytes, reason) of every file that only the given cap leaves out."""
+    return scannable(files, extensions, excludes).filter(
+        ~within_size(F.col("size_bytes"), max_file_bytes)
+    ).select("repo_id", "path", "size_bytes",
+             F.lit(f"larger than {max_file_bytes} bytes").alias("reason"))
 
 
 def read_table(spark: SparkSession, path: str, **limits) -> DataFrame:
@@ -88,8 +102,8 @@ def _listing(spark: SparkSession, root: str, excludes: tuple[str, ...]) -> DataF
     level = spark.createDataFrame([("",)], "path string")
     files = None
     while True:
-        entries = written_once(
-            level.mapInPandas(scan, "path string, is_dir boolean, size_bytes long"), "listing"
+        entries = settled(
+            level.mapInPandas(scan, "path string, is_dir boolean, size_bytes long")
         )
         here = entries.filter(~F.col("is_dir")).select("path", "size_bytes")
         files = here if files is None else files.unionByName(here)
@@ -105,7 +119,7 @@ def read_folder(
     repo_id: str,
     extensions: Iterable[str] = SOURCE_EXTENSIONS,
     excludes: Iterable[str] = EXCLUDED_DIRECTORIES,
-    max_file_bytes: int = MAX_FILE_BYTES,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """File table of a folder all executors can see.  Unreadable files are skipped."""
     base = os.path.realpath(root)

@@ -129,6 +129,7 @@ SOURCE_LABELS = (
     "https://example.org/owner/repo_{k}", "https://github.com/owner_{k}",
     "https://github.com/owner/repo_{k}/tree", "\thttps://github.com/owner/repo_{k}.git/\n",
     "./local/folder_{k}", "https://github.com/größe/répo_{k}",
+    "https://github.com/owner/re\u0301po_{k}", "https://github.com/owner²/repo_{k}",
 )
 RAW_SEVERITIES = ("CRITICAL", "High", "medium", "LOW", "wat", None, "")
 
@@ -215,4 +216,5 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _by_shape(spark, sf_dir, PLANTED, "shape category expected_rule_id")
-    return rows.select(_path().alias("path"), "entry.category", "entry.expected_rule_id")
+    return rows.select(_repo(40).alias("repo_id"), _path().alias("path"), "entry.category",
+                       "entry.expected_rule_id")

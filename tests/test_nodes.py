@@ -209,7 +209,7 @@ def test_source_lines(spark):
 
 
 def test_long_lines_keep_their_snippet(scan_cases):
-    padding = "x" * (2 * N.INLINE_LINE_CHARS)
+    padding = "x" * 3000
     line = f"eval(a); eval(b); y = '{padding}'"
     security, _ = scan_cases({"long": f"if c:\n    {line}   \n    eval(d)"})
     assert [f.code_snippet for f in security["long"]] == [line, line, "eval(d)"]

@@ -154,3 +154,24 @@ def test_single_checks_equal_the_full_scan(spark, findings, check):
     )
     assert got == expected
     assert got
+
+
+def test_thresholds_and_dead_code_by_name(spark):
+    text = "def f(x):\n    if x:\n        return 1\n        x = 2\n    if False:\n        pass\n"
+    scan = Scan(file_table(spark, [("r", "a.py", text)]))
+    assert scan.check("complexity").count() == 0
+    (row,) = scan.check("complexity", threshold=2).collect()
+    assert (row.metric_value, "(threshold: 2)" in row.message) == (3, True)
+    assert scan.check("nesting_depth", threshold=0).count() == 1
+    assert sorted(r.line for r in scan.check("dead_code").collect()) == [4, 6]
+    with pytest.raises(ValueError, match="no threshold"):
+        scan.check("dead_code", threshold=1)
+    with scan:
+        checks = {r.check for r in scan.quality_findings(complexity_threshold=2).collect()}
+    assert checks == {"complexity", "unused_vars", "dead_code"} - {"unused_vars"}
+
+
+def test_repository_without_a_parsed_file_has_no_score(spark):
+    with Scan.full(file_table(spark, [("r", "a.py", "def f(:")])) as scan:
+        (row,) = scan.dashboard().collect()
+    assert (row.files_parsed, row.risk_score, row.risk_label) == (0, None, None)

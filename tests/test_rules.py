@@ -26,9 +26,10 @@ FIRES = {
     "cmd_first_constant_decides": ("command_injection", 1, "high", "medium",
                                    "subprocess.run('ls', **{'shell': 1}, shell=True)"),
     "secret_password": ("hardcoded_secrets", 1, "high", "medium",
-                        'DATABASE_PASSWORD = "Sup3rSecretDBPass!23"'),
+                        'ADMIN_PASSWORD = "correct horse battery"'),
     "secret_example": ("hardcoded_secrets", 1, "high", "medium",
-                       'STRIPE_API_KEY = "example-fake-api-key-do-not-use-1234"'),
+                       'MAIL_KEY = "not-a-real-key-for-mail"'),
+    "secret_of_four": ("hardcoded_secrets", 1, "high", "medium", 'PASSWORD = "abcd"'),
     "secret_chain": ("hardcoded_secrets", 1, "high", "medium",
                      'USER = PASSWORD = "%!*\'();:@&=+$,/?#[] "'),
     "pickle_loads": ("insecure_deserialization", 1, "critical", "high", "x = pickle.loads(raw)"),
@@ -64,7 +65,7 @@ SILENT = {
     "cmd_shell_one": 'subprocess.run("ls", shell=1)',
     "cmd_shell_false_first": 'subprocess.run("ls", shell=False)',
     "cmd_alias": "import os as o\no.system(f'{x}')",
-    "secret_short": 'PASSWORD = "short"',
+    "secret_empty": 'PASSWORD = ""',
     "secret_from_env": 'PASSWORD = os.environ["PW"]',
     "secret_other_name": 'TITLE = "a long enough text"',
     "yaml_safe_load": "yaml.safe_load(f)",

@@ -131,11 +131,13 @@ def test_verdicts_and_recall(spark):
     assert (rates[None].findings, rates[None].false_positive_pct) == (3, 33.3)
     assert (rates["a"].true_positive, rates["a"].true_positive_pct) == (1, 50.0)
     planted = spark.createDataFrame(
-        [("x.py", "c1", "r1"), ("q.py", "c1", "r1"), ("z.py", "c2", "r2")],
-        "path string, category string, expected_rule_id string")
+        [("a", "x.py", "c1", "r1"), ("a", "q.py", "c1", "r1"), ("b", "z.py", "c2", "r2"),
+         ("b", "x.py", "same_path_elsewhere", "r1")],
+        "repo_id string, path string, category string, expected_rule_id string")
     recall = {r.category: (r.planted, r.caught, r.recall_pct)
               for r in evaluate.planted_recall(planted, found).collect()}
-    assert recall == {"c1": (2, 1, 50.0), "c2": (1, 1, 100.0)}
+    assert recall == {"c1": (2, 1, 50.0), "c2": (1, 1, 100.0),
+                      "same_path_elsewhere": (1, 0, 0.0)}
 
 
 def test_custom_rule(spark):
@@ -149,7 +151,6 @@ def test_custom_rule(spark):
             "content_sha", F.lit("assert_used").alias("variant"), F.col("lineno").alias("line"),
             none.alias("func"), none.alias("recv"), none.alias("var"),
             F.lit("").alias("function_name"), F.array("depth", "pre").alias("pos"),
-            none.alias("text"),
         )
 
     entry = ("assert_used", "no_asserts", "CWE-703", "low", "medium", "assert is used", "raise")

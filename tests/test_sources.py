@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from astrolake.functions import paths
 from astrolake.operators.scan import Scan
-from astrolake.sources.code_files import COLUMNS, read_folder, read_table, scannable
+from astrolake.operators import views
+from astrolake.operators.nodes import syntax_nodes
+from astrolake.sources.code_files import (
+    COLUMNS,
+    read_folder,
+    read_table,
+    scannable,
+    skipped_by_size,
+)
 from astrolake.sources.report_sink import write_report
 from astrolake.streaming.incremental import incoming_files, scan_stream
 from conftest import file_table
@@ -16,7 +24,7 @@ PLANTED = {
     "one.py": '"""Query."""\n\n\ndef get(conn, uid):\n    cur = conn.cursor()\n'
               '    cur.execute(f"SELECT * FROM users WHERE id = {uid}")\n    return cur',
     "two.py": "import os\n\n\ndef run(cmd):\n    os.system(cmd)",
-    "three.py": 'DATABASE_PASSWORD = "Sup3rSecretDBPass!23"\nSTRIPE_API_KEY = "example-fake-api"',
+    "three.py": 'ADMIN_PASSWORD = "correct horse battery"\nMAIL_KEY = "not-a-real-key"',
     "four.py": "import pickle\n\n\ndef load(c):\n    return pickle.loads(c.recv(9))",
     "five.py": "import hashlib\n\n\ndef h(p):\n    return hashlib.md5(p.encode()).hexdigest()",
     "six.py": "def calc(e):\n    result = eval(e)\n    return result",
@@ -169,3 +177,29 @@ def test_incremental_scan(spark, tmp_path):
     assert run() == 4
     arrive(["four.py", "five.py", "six.py", "seven.py", "eight.py"])
     assert run() == 11
+
+
+def test_large_files_are_scanned_unless_a_cap_is_asked_for(spark):
+    large = "#" * 2_100_000 + "\neval(x)\n"
+    files = file_table(spark, [("r", "big.py", large), ("r", "small.py", "eval(x)")])
+    found = Scan(scannable(files)).rule("eval_exec_misuse").collect()
+    assert sorted(r.path for r in found) == ["big.py", "small.py"]
+    skipped = skipped_by_size(files, 2_000_000).collect()
+    assert [(r.path, r.reason) for r in skipped] == [("big.py", "larger than 2000000 bytes")]
+
+
+def test_views_give_lines_of_any_length(spark):
+    long = "run(a, '" + "x" * 5000 + "')"
+    files = file_table(spark, [("r", "a.py", f"if c:\n    {long}\n    y = run(b)\n")])
+    nodes = syntax_nodes(files, views.CALLS | views.LINES)
+    rows = views.with_text(views.calls(nodes), nodes).collect()
+    assert sorted(r.text for r in rows) == sorted([long, "y = run(b)"])
+
+
+def test_equal_contents_are_parsed_once_without_sorting_them(spark):
+    files = file_table(spark, [("r", f"{i}.py", "x = 1") for i in range(50)] + [("s", "0.py", "y")])
+    files = files.unionAll(files)
+    nodes = syntax_nodes(files, views.KIND_COUNTS)
+    assert nodes.filter("kind = 'Module'").count() == 2
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan

@@ -1,7 +1,12 @@
 """Taint trace: order, kill, branches, nested scopes."""
 
+import time
+
 import pytest
 
+from astrolake.operators.scan import Scan
+from conftest import file_table
+
 CASES = {
     # name: ([(function, variable, line)], source)
     "parameter": ([("f", "cmd", 2)], "def f(cmd):\n    os.system(cmd)"),
@@ -77,3 +82,13 @@ def test_trace(traced, name):
     ]
     assert found == expected
     assert {(f.severity, f.confidence) for f in traced[name]} <= {("critical", "high")}
+
+
+def test_long_function_takes_linear_time(spark):
+    lines = "\n".join(f"    v{i} = v{i - 1}" for i in range(1, 50_000))
+    text = f"import os\ndef f(v0):\n{lines}\n    os.system(v49999)\n"
+    files = file_table(spark, [("r", "a.py", text)])
+    start = time.perf_counter()
+    (hit,) = Scan(files).rule("command_injection_taint").collect()
+    assert hit.line == 50_002 and "'v49999'" in hit.message
+    assert time.perf_counter() - start < 60

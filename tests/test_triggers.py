@@ -2,8 +2,10 @@
 
 import pytest
 
+from astrolake import fixed_values
 from astrolake.fixed_values import SECURITY_RULES
 from astrolake.operators.scan import Scan
+from astrolake.operators.triggers import may_fire
 from conftest import file_table
 from test_rules import FIRES, FUNCTIONS, SILENT
 from test_taint import CASES
@@ -45,3 +47,10 @@ def test_single_rules(files, everything, rule):
     rows = Scan(files).rule(rule).collect()
     found = sorted((r.rule_id, r.repo_id, r.line, r.pos) for r in rows)
     assert found == [row for row in everything if row[0] == rule]
+
+
+def test_triggers_follow_the_lists(spark, monkeypatch):
+    files = file_table(spark, [("r", "a.py", "cursor.run_sql(f'{x}')"), ("r", "b.py", "x = 1")])
+    assert files.filter(may_fire(("sql_injection",))).count() == 0
+    monkeypatch.setattr(fixed_values, "SQL_METHODS", (*fixed_values.SQL_METHODS, "run_sql"))
+    assert [r.path for r in files.filter(may_fire(("sql_injection",))).collect()] == ["a.py"]
