@@ -30,29 +30,42 @@ MIN_DOCS = 3
 MIN_FIXED = 8
 
 
-def templates(line: Column, depth: int = DEPTH, min_fixed: int = MIN_FIXED) -> Column:
-    """Array of the (leaf, template) hashes of a line; empty for a blank line."""
-    bare = F.trim(F.translate(line, "\t\r", "  "))
+def _tokens(line: Column) -> Column:
+    """Tokens of a line, those with a digit open."""
+    plain = F.when(line.contains("\t") | line.contains("\r"), F.translate(line, "\t\r", "  ")) \
+        .otherwise(line)
+    bare = F.trim(plain)
     masked = F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, "[^ ]*[0-9][^ ]*", "<*>")) \
         .otherwise(bare)
-    tokens = F.split(masked, " ")
-    size = F.size(tokens)
+    return F.split(masked, " ")
+
+
+def templates(lines: DataFrame, depth: int = DEPTH, min_fixed: int = MIN_FIXED) -> DataFrame:
+    """Rows of `lines` with the hashes `leaf` and `template` of each template of `_line`; a blank
+    line has none.
+
+    Each step is a column of its own, kept apart by a generator: the optimizer would otherwise put
+    the split into every place that uses it.
+    """
+    kept = [name for name in lines.columns if name != "_line"]
+    split = lines.select(
+        *kept, F.explode(F.array(_tokens(F.col("_line")))).alias("_tokens")
+    ).where(F.col("_tokens")[0] != "")
+    size = F.size("_tokens")
     rest = F.greatest(size - depth, F.lit(0))
     half = F.floor(rest / 2).cast("int")
-    leaf = F.xxhash64(size, F.slice(tokens, 1, depth))
-
-    def template(kind: str, part: Column) -> Column:
-        return F.struct(leaf.alias("leaf"), F.xxhash64(F.lit(kind), part).alias("template"))
-
-    whole = template("whole", tokens)
-    head = template("head", F.slice(tokens, depth + 1, half))
-    tail = template("tail", F.slice(tokens, F.lit(depth + 1) + half, rest - half))
-    none = F.array().cast("array<struct<leaf:bigint,template:bigint>>")
-    return F.when(bare == "", none).when(
-        depth + half >= min_fixed, F.array(whole, head, tail)
-    ).otherwise(
-        F.when(depth + rest - half >= min_fixed, F.array(whole, tail)).otherwise(F.array(whole))
+    hashed = split.select(
+        *kept, size.alias("_size"), half.alias("_half"), rest.alias("_rest"),
+        F.xxhash64(size, F.slice("_tokens", 1, depth)).alias("leaf"),
+        F.xxhash64(F.lit("whole"), "_tokens").alias("_whole"),
+        F.xxhash64(F.lit("head"), F.slice("_tokens", depth + 1, half)).alias("_head"),
+        F.xxhash64(F.lit("tail"), F.slice("_tokens", F.lit(depth + 1) + half, rest - half))
+        .alias("_tail"),
     )
+    found = F.when(depth + F.col("_half") >= min_fixed, F.array("_whole", "_head", "_tail")).when(
+        depth + F.col("_rest") - F.col("_half") >= min_fixed, F.array("_whole", "_tail")
+    ).otherwise(F.array("_whole"))
+    return hashed.select(*kept, "leaf", F.explode(found).alias("template"))
 
 
 def drop_recurring_lines(df: DataFrame, id_column: str, text_column: str, depth: int = DEPTH,
@@ -71,9 +84,7 @@ def drop_recurring_lines(df: DataFrame, id_column: str, text_column: str, depth:
         F.col(id_column).alias("_id"), "_doc",
         F.posexplode(F.split(text_column, "\n")).alias("_at", "_line"),
     )
-    found = lines.select("_id", "_doc", "_at", F.explode(
-        templates(F.col("_line"), depth, min_fixed)).alias("_key")
-    ).select("_id", "_doc", "_at", "_key.*")
+    found = templates(lines, depth, min_fixed)
     place = F.struct(F.col("_id").isNull().alias("last"), "_id", "_doc", "_at")
     per_document = found.groupBy("leaf", "template", "_id", "_doc").agg(F.min("_at").alias("_at"))
     recurring = settled(
