@@ -5,16 +5,38 @@ The statements never parse source text: they compute what each file must give fr
 
 from __future__ import annotations
 
-from astrolake.fixed_values import (
-    CONFIDENCE_TENTHS,
-    EXCLUDED_DIRECTORIES,
-    QUALITY_MESSAGES,
-    SECURITY_CATALOG,
-    SECURITY_RULES,
-    SEVERITY_WEIGHTS,
-)
+from astrolake.fixed_values import QUALITY_MESSAGES, SECURITY_CATALOG
 from astrolake.sources import order_corpus as corpus
 
+# What the statements expect, stated here and not taken from the code; only texts are (messages,
+# fixes, and the sources the corpus is made of).
+EXCLUDED_DIRECTORIES = (
+    ".git", ".hg", ".svn", "node_modules", "venv", ".venv", "env", ".env", "__pycache__", "build",
+    "dist", ".tox", ".mypy_cache", ".pytest_cache", ".idea", ".vscode", "site-packages",
+    "egg-info",
+)
+SECURITY_RULES = (
+    "sql_injection", "command_injection", "hardcoded_secrets", "insecure_deserialization",
+    "weak_crypto", "missing_input_validation", "path_traversal", "eval_exec_misuse",
+    "command_injection_taint",
+)
+SEVERITY_WEIGHTS = {"critical": 10, "high": 5, "medium": 2, "low": 1}
+CONFIDENCE_TENTHS = {"high": 10, "medium": 7, "low": 4}
+# variant: (rule, CWE, severity, confidence)
+VARIANTS = {
+    "sql_dynamic": ("sql_injection", "CWE-89", "critical", "medium"),
+    "shell_dynamic": ("command_injection", "CWE-78", "critical", "high"),
+    "shell_flag": ("command_injection", "CWE-78", "high", "medium"),
+    "secret_literal": ("hardcoded_secrets", "CWE-798", "high", "medium"),
+    "pickle_load": ("insecure_deserialization", "CWE-502", "critical", "high"),
+    "weak_hash": ("weak_crypto", "CWE-327", "high", "medium"),
+    "unvalidated_input": ("missing_input_validation", "CWE-20", "medium", "low"),
+    "unchecked_path": ("path_traversal", "CWE-22", "high", "low"),
+    "eval_literal": ("eval_exec_misuse", "CWE-95", "low", "low"),
+    "eval_dynamic": ("eval_exec_misuse", "CWE-95", "critical", "high"),
+    "tainted_shell": ("command_injection_taint", "CWE-78", "critical", "high"),
+}
+
 
 # A name and a quoted literal, the quotes included.
 _ASSIGNMENT = r"""([A-Za-z_][A-Za-z0-9_]*)[ \t]*=[ \t]*("[^"\n]+"|'[^'\n]+')"""
@@ -206,7 +228,7 @@ FUNCTION_TABLE = f"""functions AS (
 
 # --- findings -----------------------------------------------------------------------------------
 
-_CATALOG = {entry[0]: entry for entry in SECURITY_CATALOG}
+_TEXTS = {entry[0]: entry[-2:] for entry in SECURITY_CATALOG}
 
 # (shape and condition, line, catalog variant, SQL values for the message, function name prefix)
 SECURITY = (
@@ -229,7 +251,8 @@ SECURITY = (
 def _security_table() -> str:
     parts = []
     for condition, line, variant, values, prefix in SECURITY:
-        _, rule, cwe, severity, confidence, message, fix = _CATALOG[variant]
+        rule, cwe, severity, confidence = VARIANTS[variant]
+        message, fix = _TEXTS[variant]
         name = f"{_text(prefix)} || k" if prefix else "''"
         parts.append(
             f"SELECT repo_id, path, {_text(rule)} AS rule_id, {_text(cwe)} AS cwe_id, "
