@@ -1,5 +1,106 @@
-"""Expected results in DuckDB SQL, for the corpus queries that SQL can express."""
+"""Expected results in DuckDB SQL, for the corpus queries that SQL can express.
+
+The others are models, approximations, or need functions SQL lacks (byte-pair merges, XXH64); their
+tests compare with brute force, round trips, public libraries or held-out accuracy.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+# Tokens of a line with the variable ones open; hashes are not needed here.
+LINE_DEDUP = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+tokens AS (
+  SELECT doc_id, pos, line, string_split(regexp_replace(
+           trim(translate(line, chr(9) || chr(13), '  '), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g'),
+           ' ') AS t
+  FROM lines WHERE trim(translate(line, chr(9) || chr(13), '  '), ' ') <> ''),
+sized AS (
+  SELECT doc_id, pos, t, len(t) AS n, greatest(len(t) - 3, 0) AS rest,
+         greatest(len(t) - 3, 0) // 2 AS half, [len(t)::VARCHAR] || t[1:3] AS leaf
+  FROM tokens),
+keys AS (
+  SELECT doc_id, pos, leaf || ['whole'] || t AS key FROM sized
+  UNION ALL SELECT doc_id, pos, leaf || ['head'] || t[4:3 + half] FROM sized WHERE 3 + half >= 8
+  UNION ALL SELECT doc_id, pos, leaf || ['tail'] || t[4 + half:] FROM sized
+            WHERE 3 + rest - half >= 8),
+recurring AS (
+  SELECT key, min({'d': doc_id, 'a': pos}) AS first FROM keys
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+dropped AS (
+  SELECT DISTINCT k.doc_id, k.pos FROM keys k JOIN recurring r ON k.key = r.key
+  WHERE r.first <> {'d': k.doc_id, 'a': k.pos}),
+kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
+  FROM lines l ANTI JOIN dropped d ON l.doc_id = d.doc_id AND l.pos = d.pos GROUP BY l.doc_id)
+SELECT o.doc_id, coalesce(len(string_split(o.text, chr(10))), 0)::BIGINT AS n_lines,
+       length(CASE WHEN o.text IS NOT NULL THEN coalesce(k.text, '') END)::BIGINT AS n_chars,
+       sha256(CASE WHEN o.text IS NOT NULL THEN coalesce(k.text, '') END) AS text_sha256
+FROM documents o LEFT JOIN kept k ON o.doc_id = k.doc_id
+"""
+
+# The bits of the digest, five at a time, name the letters.
+WARC = """
+WITH pages0 AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages),
+sums AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS sum FROM pages0),
+bits AS (
+  SELECT *, array_to_string(list_transform(string_split(sum, ''), lambda c: ['0000', '0001',
+    '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100',
+    '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS b FROM sums),
+named AS (
+  SELECT *, array_to_string(list_transform(range(0, 160, 5), lambda i:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * b[i + 1]::INT + 8 * b[i + 2]::INT
+      + 4 * b[i + 3]::INT + 2 * b[i + 4]::INT + b[i + 5]::INT]), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY sum, payload_bytes) AS first
+  FROM bits)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM named
+"""
+
+_CONTROL = (r"([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|s>|/s>|INST\]"
+            r"|/INST\]|<SYS>>|</SYS>>)")
+CHAT = f"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'),
+                   (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+escaped AS (
+  SELECT *, regexp_replace(role, '{_CONTROL}', '\\1\\\\\\2\\3', 'g') AS r,
+         regexp_replace(text, '{_CONTROL}', '\\1\\\\\\2\\3', 'g') AS e FROM said)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+    AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'),
+                  '')) AS loss_sha256,
+  sum(length('<|im_start|><|im_sep|><|im_end|>') + length(r) + length(e))::BIGINT
+    AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+TOP_K = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+         list_inner_product(q.v, r.v)::BIGINT AS score
+  FROM whole q JOIN whole r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id, score
+FROM scored
+QUALIFY rank <= 5
+"""
+
+SQL: dict[str, str] = {
+    "op2_line_dedup": LINE_DEDUP,
+    "op3_warc_round_trip": WARC,
+    "op4_chat_format": CHAT,
+    "op7_exact_top_k": TOP_K,
+}

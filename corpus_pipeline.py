@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.llm import langid, line_dedup, packing, pii, simhash
-from astrolake.session import work_folder
+from astrolake.session import drop_table, write_table
 
 # Documents whose language has a smaller mean share of the words than this are rejected.
 MIN_LANGUAGE_SHARE = 0.5
@@ -66,10 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{work_folder(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
-    for at, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{at}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+    """The rows of the last stage.  Every stage is written and read again; a stage's table is dropped
+    once the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        path = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
         docs = spark.read.parquet(path)
+        if before:
+            drop_table(spark, before)
+        before = path
     return docs
