@@ -69,11 +69,10 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations and one of control strings; read turns and loss text back."""
-    said = "</s>[INST] ok [/INST]"
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", said), (-1, 1, "assistant", said)],
-        "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.sql("""SELECT * FROM VALUES
+        (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')
+        AS t(conv_id, turn, role, text)""")
     records = chat_format.records_of_rows(
         conversations.unionByName(extra), "conv_id", "turn", "role", "text")
     formatted = chat_format.render(chat_format.canonical_turns(records, "record"))
