@@ -39,7 +39,12 @@ def numbered_within(df: DataFrame, by: list[str], order: list[Column], name: str
 def first_within(df: DataFrame, by: list[str], order: list[Column], limit: int,
                  name: str) -> DataFrame:
     """The first `limit` rows of each group.  Filtering on row_number lets the planner keep only
-    `limit` rows per group in each task before the shuffle (WindowGroupLimit)."""
+    `limit` rows per group in each task before the shuffle (WindowGroupLimit).  It does so up to a
+    threshold; beyond it a group is numbered across tasks."""
+    threshold = int(df.sparkSession.conf.get(
+        "spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if limit > threshold:
+        return numbered_within(df, by, order, name).filter(F.col(name) <= limit)
     return df.withColumn(
         name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     ).filter(F.col(name) <= limit)

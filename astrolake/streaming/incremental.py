@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from astrolake.operators.scan import Scan
+from astrolake.session import settled
 from astrolake.sources.code_files import code_files, scannable
 
 
-def incoming_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Stream of Parquet files with (repo_id, path, content)."""
-    rows = spark.readStream.schema("repo_id string, path string, content binary").parquet(folder)
+def incoming_files(spark: SparkSession, folder: str, tables_per_batch: int = 1000) -> DataFrame:
+    """Stream of Parquet files with (repo_id, path, content).  A batch takes at most
+    `tables_per_batch` of them; the rest waits for the next one."""
+    rows = spark.readStream.schema("repo_id string, path string, content binary").option(
+        "maxFilesPerTrigger", tables_per_batch).parquet(folder)
     return scannable(code_files(rows))
 
 
@@ -27,7 +30,8 @@ def scan_stream(files: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     base = out.rstrip("/")
 
     def scan(batch: DataFrame, batch_id: int) -> None:
-        with Scan.full(batch) as run:
+        # The batch is read by the parse job and by several joins: keep its files.
+        with Scan.full(settled(batch)) as run:
             for name, findings in (
                 ("security_findings", run.security_findings()),
                 ("quality_findings", run.quality_findings()),
