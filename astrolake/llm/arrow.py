@@ -11,7 +11,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 # Bytes of input a slice holds at most (one row always fits).  It bounds the working arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+# Bytes Spark sends to a worker at once, where the session has not set it.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -44,6 +46,8 @@ def with_computed(
     `make` runs once per task and gives the function from a slice of `column` to the new columns.
     All other columns pass through unchanged.
     """
+    if not df.sparkSession.conf._jconf.contains(BATCH_SETTING):
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
     added = StructType.fromDDL(outputs)
     names = set(added.names)
     kept = [name for name in df.columns if name not in names]

@@ -30,7 +30,7 @@ from astrolake.llm.arrow import with_computed
 UNKNOWN = "und"
 BUCKETS = 1 << 15
 CHUNK = 64
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*").findall
 
 
