@@ -23,8 +23,7 @@ from pyspark.sql.window import Window
 
 from astrolake.llm.arrow import with_computed
 from astrolake.llm.bpe import WordTable
-from astrolake.llm.work import settled
-from astrolake.session import write_table
+from astrolake.session import settled, write_table
 
 LENGTH = 1024
 END = 0
@@ -66,6 +65,14 @@ def projection(dimensions: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((BUCKETS, dimensions))
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The characters by which byte-level models write bytes: printable ones as they are, the others
+    in order from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + at) for at, b in enumerate(others)}
+
+
 _TABLES: dict[str, WordTable] = {}
 
 
@@ -74,14 +81,12 @@ def _words(path: str, pattern: str) -> WordTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenize = Tokenizer.from_file(path).model.tokenize
+        alphabet = byte_alphabet()
 
         def encode_words(words: list[bytes]) -> list[np.ndarray]:
-            found = tokenizer.encode_batch_fast(
-                [word.decode() for word in words], add_special_tokens=False
-            )
-            return [np.array(x.ids, np.int32) for x in found]
+            shown = (word.decode("latin-1").translate(alphabet) for word in words)
+            return [np.array([t.id for t in tokenize(word)], np.int32) for word in shown]
 
         _TABLES[path] = WordTable(pattern, encode_words)
     return _TABLES[path]
@@ -92,8 +97,9 @@ def tokenised(df: DataFrame, column: str, path: str, pattern: str, end: int = EN
     """`df` with `_ids` (little-endian ids, 2 bytes each, 4 if an id needs them, `_wide`), `_n` and
     the projection `_p` of the hashed document vector.
 
-    The tokenizer's model works on one match of `pattern` at a time, so a word is encoded once per
-    worker.  Strings of special tokens are ordinary text.  A null text counts as empty.
+    The tokenizer must be byte-level, with `pattern` as its split.  Its model works on one match at
+    a time, so a word is encoded once per worker.  Strings of special tokens are ordinary text.  A
+    null text counts as empty.
     """
     def make():
         table = _words(path, pattern)

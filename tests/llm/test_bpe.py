@@ -76,3 +76,25 @@ def test_nulls_clashing_columns_repeats_and_empty_tables(spark):
     lists = spark.createDataFrame([(None,), ([],), ([31373],)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(lists, "ids", RANKS).collect()] == \
         [None, bytearray(), bytearray(b"hello")]
+
+
+def test_both_splits_agree_on_every_plain_character():
+    general, split = bpe.regex.compile(public_tokenizers.PATTERN).findall, \
+        bpe.splitter(public_tokenizers.PATTERN)
+    plain = 0
+    for point in range(0x2100):
+        char = chr(point)
+        text = f"x{char}y1{char}2  {char} .{char}\n{char}{char}'s {char}_ "
+        plain += bpe._OTHER(text) is None
+        assert split(text) == general(text), hex(point)
+    assert plain > 500
+
+
+def test_full_word_table_keeps_results(monkeypatch, reference, table):
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 50)
+    _, vocabulary = table
+    words = bpe.WordTable(public_tokenizers.PATTERN, vocabulary.encode_words)
+    for turn in range(30):
+        texts = [f"word{turn * 7 + i} the same number {i} again" for i in range(9)]
+        values, counts = words.encode(texts)
+        assert values.tolist() == [i for text in texts for i in reference(text)]
