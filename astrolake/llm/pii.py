@@ -207,17 +207,30 @@ class Model:
             self._known[features] = found
         return found
 
+    def gains(self) -> list[float]:
+        """The most that a segment's transitions, for each kind, bring over a walk outside between
+        the same neighbours, without the steps from outside to outside of that walk."""
+        moves = self.moves
+        into = (moves[:, 1:] - moves[:, :1]).max(axis=0)
+        onward = (moves[1:] - moves[:1]).max(axis=1)
+        return (into + np.maximum(onward, 0.0)).tolist()  # nothing follows the last segment
+
     def decode(self, text: str, cluster: Cluster) -> list[Span]:
-        """The best segmentation of a cluster: Viterbi over segments."""
+        """The best segmentation of a cluster: Viterbi over segments.
+
+        Left out are only segments that staying outside beats whatever stands beside them.
+        """
         found = candidates(text, cluster)
         if not found:
             return []
         n, labels = len(cluster.tokens), len(KINDS) + 1
         moves = self.moves.T.tolist()  # [label][label before]
+        gains, outside = self.gains(), moves[0][0]
         ending: list[list[tuple[int, list[float]]]] = [[] for _ in range(n + 1)]
         for i, j, features in found:
             score = self.score(features)
-            if max(score) > 0:
+            stay = (j - i - 1) * outside - 1e-9
+            if any(x + gain >= stay for x, gain in zip(score, gains)):
                 ending[j].append((i, score))
         best = [[0.0] + [-1e30] * (labels - 1)]
         back: list[list[tuple[int, int]]] = [[(0, 0)] * labels]

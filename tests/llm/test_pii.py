@@ -88,6 +88,39 @@ def test_best_segmentation_equals_enumeration():
         assert model.decode(text, cluster) == chosen
 
 
+def test_segments_without_a_score_of_their_own_stay_in_the_search():
+    """The best total over all labellings, segments with scores of at most 0 among them."""
+    rng = np.random.default_rng(2)
+    carried = 0
+    for text in ("12345", "+1 (98) 55", "a@b.c 1234", "1.2.3.4 12") * 5:
+        model = pii.Model()
+        model.weights = rng.standard_normal(model.weights.shape) - 0.5
+        model.moves = 3 * rng.standard_normal(model.moves.shape)
+        cluster = pii.clusters(text)[0]
+        n = len(cluster.tokens)
+        scores = {(i, j): model.score(f) for i, j, f in pii.candidates(text, cluster)}
+        best, chosen = -1e9, None
+        for cuts in product((0, 1), repeat=n - 1):
+            bounds = [0, *(i + 1 for i, cut in enumerate(cuts) if cut), n]
+            segments = list(zip(bounds, bounds[1:]))
+            options = [
+                ([0] if j == i + 1 else []) + [k for k in range(1, 5) if (i, j) in scores]
+                for i, j in segments
+            ]
+            for labels in product(*options):
+                total, before = 0.0, 0
+                for segment, label in zip(segments, labels):
+                    total += model.moves[before][label] + (scores[segment][label - 1] if label else 0)
+                    before = label
+                if total > best:
+                    best, chosen = total, [(s, k) for s, k in zip(segments, labels) if k]
+        carried += any(max(scores[s]) <= 0 for s, _ in chosen)
+        assert model.decode(text, cluster) == [
+            (cluster.tokens[i][0], cluster.tokens[j - 1][1], pii.KINDS[k - 1])
+            for (i, j), k in chosen]
+    assert carried
+
+
 def test_model_finds_base_spans_itself_and_more(texts, model):
     found = missed = 0
     for text in texts:
