@@ -231,11 +231,11 @@ def held_out(id_column: str) -> Column:
 
 def train(df: DataFrame, id_column: str, text_column: str, language_column: str,
           per_language: int = 400, max_chars: int = 20_000) -> Model:
-    """Fit on a sample of `df`: at most `per_language` texts of at most `max_chars` characters for
+    """Fit on a sample of `df`: at most `per_language` distinct texts of at most `max_chars` characters for
     each language.  Only rows with id, text and language whose id is not held out are seen.
 
-    The sample is drawn by a hash of the text.  One small aggregation sizes the draw, so that only
-    about the rows wanted are sorted.
+    The sample is drawn by a hash of the text, from distinct texts.  Two small aggregations of the
+    hashes size the draw, so that only about the texts wanted are moved.
     """
     usable = df.where(
         F.col(id_column).isNotNull() & ~held_out(id_column)
@@ -245,12 +245,12 @@ def train(df: DataFrame, id_column: str, text_column: str, language_column: str,
         F.col(language_column).alias("language"), F.col(text_column).alias("text"),
         F.xxhash64(text_column).alias("draw"),
     )
-    share = usable.groupBy("language").agg(
+    share = usable.select("language", "draw").distinct().groupBy("language").agg(
         F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count("*")).alias("share")
     )
     drawn = usable.join(F.broadcast(share.limit(10_000)), "language").where(
         F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    )
+    ).select("language", "text", "draw").distinct()
     order = Window.partitionBy("language").orderBy("draw", "text")
     rows = drawn.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
     return fit([(row.language, row.text) for row in rows.select("language", "text").collect()])

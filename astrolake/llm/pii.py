@@ -410,19 +410,19 @@ def fit(texts: list[str], epochs: int = 5, most_cases: int = 2000, seed: int = 5
 
 
 def train(df: DataFrame, text_column: str, rows: int = 2000, max_chars: int = 20_000) -> Model:
-    """Fit on a bounded sample: `rows` texts of at most `max_chars` characters with a digit or an at
-    sign, drawn by the smallest hashes of the text."""
+    """Fit on a bounded sample: `rows` distinct texts of at most `max_chars` characters with a digit
+    or an at sign, drawn by the smallest hashes of the text."""
     drawn = df.select(F.col(text_column).alias("text")).where(
         (F.length("text") <= max_chars) & F.col("text").rlike("[0-9@]")
-    ).select(F.xxhash64("text").alias("draw"))
-    # The smallest hashes first, without the texts; then the texts below that bound.
+    ).select(F.xxhash64("text").alias("draw")).distinct()
+    # The smallest hashes first, without the texts; then the texts below that bound, copies folded.
     smallest = [row.draw for row in drawn.orderBy("draw").limit(rows).collect()]
     if not smallest:
         return Model()
-    texts = df.select(F.col(text_column).alias("text")).where(
-        (F.xxhash64("text") <= smallest[-1]) & (F.length("text") <= max_chars)
+    texts = df.select(F.col(text_column).alias("text"), F.xxhash64(text_column).alias("draw")).where(
+        (F.col("draw") <= smallest[-1]) & (F.length("text") <= max_chars)
         & F.col("text").rlike("[0-9@]")
-    ).orderBy(F.xxhash64("text"), "text").limit(rows).collect()
+    ).distinct().orderBy("draw", "text").limit(rows).collect()
     return fit([row.text for row in texts])
 
 

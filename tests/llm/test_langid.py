@@ -86,3 +86,15 @@ def test_edge_cases(spark):
 
 def test_words_without_letters_do_not_count():
     assert langid.words_of("Ça l’été ½ 12 _x y²") == [w for w in ("ça", "l’été", "x", "y²")]
+
+
+def test_training_sample_holds_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(langid, "fit", lambda samples: samples)
+    rows = [(i * 1000 + c, f"word {'ab'[i % 2] * (i + 1)}", "en")
+            for i in range(40) for c in range(30 if i % 2 else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {r.text for r in df.where(~langid.held_out("doc_id")).collect()}
+    got = langid.train(df, "doc_id", "text", "lang", per_language=50)
+    assert sorted(got) == sorted(("en", text) for text in seen)
+    few = langid.train(df, "doc_id", "text", "lang", per_language=10)
+    assert len(few) == len(set(few)) == 10

@@ -161,3 +161,15 @@ def test_training_sample_and_empty_table(spark):
     assert pii.spans_of("a.b@c.de", pii.train(df, "text"))[0] == [(0, 8, "email")]
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert pii.train(documents, "text", rows=50).weights.any()
+
+
+def test_training_sample_holds_distinct_texts(spark, monkeypatch):
+    """Copies, whatever their hash, take one place of the sample."""
+    monkeypatch.setattr(pii, "fit", lambda texts: texts)
+    texts = [f"call {i} now" for i in range(40)]
+    rows = [(text,) for i, text in enumerate(texts) for _ in range(30 if i % 2 else 1)]
+    df = spark.createDataFrame(rows, "text string")
+    assert sorted(pii.train(df, "text", rows=100)) == sorted(texts)
+    order = [r.text for r in df.distinct().selectExpr("text", "xxhash64(text) AS h")
+             .orderBy("h").collect()]
+    assert pii.train(df, "text", rows=15) == order[:15]
