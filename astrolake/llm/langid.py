@@ -31,6 +31,9 @@ UNKNOWN = "und"
 BUCKETS = 1 << 15
 CHUNK = 64
 CACHED_WORDS = 200_000
+# Characters of a whole training sample, and languages of a model.
+SAMPLE_CHARS = 64_000_000
+MOST_LANGUAGES = 10_000
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*").findall
 
 
@@ -43,7 +46,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features_of(word: str) -> list[int]:
-    """Hashed features of a word's form."""
+    """Hashed features of a word's form; of a word over 64 letters, of its first and last 32."""
     word = word[:64] if len(word) <= 64 else word[:32] + word[-32:]
     edged = f"^{word}$"
     names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
@@ -231,16 +234,20 @@ def held_out(id_column: str) -> Column:
 
 def train(df: DataFrame, id_column: str, text_column: str, language_column: str,
           per_language: int = 400, max_chars: int = 20_000) -> Model:
-    """Fit on a sample of `df`: at most `per_language` distinct texts of at most `max_chars` characters for
-    each language.  Only rows with id, text and language whose id is not held out are seen.
+    """Fit on a sample of `df`: at most `per_language` distinct texts for each language.  Only rows
+    with id, text and language whose id is not held out are seen.
+
+    Of a text longer than `max_chars` characters a stretch of that length is taken, from a position
+    given by a hash of the text; words at its ends may be cut.  The whole sample holds at most
+    `SAMPLE_CHARS` characters: with many languages the stretches are shorter, and no language is left
+    out.  More than `MOST_LANGUAGES` languages, which no model could hold, are an error.
 
     The sample is drawn by a hash of the text, from distinct texts.  Two small aggregations of the
-    hashes size the draw, so that only about the texts wanted are moved.
+    hashes size the draw, so that only about the stretches wanted are moved.
     """
     usable = df.where(
         F.col(id_column).isNotNull() & ~held_out(id_column)
         & F.col(text_column).isNotNull() & F.col(language_column).isNotNull()
-        & (F.length(text_column) <= max_chars)
     ).select(
         F.col(language_column).alias("language"), F.col(text_column).alias("text"),
         F.xxhash64(text_column).alias("draw"),
@@ -248,9 +255,19 @@ def train(df: DataFrame, id_column: str, text_column: str, language_column: str,
     share = usable.select("language", "draw").distinct().groupBy("language").agg(
         F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count("*")).alias("share")
     )
-    drawn = usable.join(F.broadcast(share.limit(10_000)), "language").where(
+    shares = share.limit(MOST_LANGUAGES + 1).collect()
+    if not shares:
+        return fit([])
+    if len(shares) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    longest = max(1, min(max_chars, SAMPLE_CHARS // (len(shares) * per_language)))
+    begin = F.pmod(F.xxhash64("draw"), F.length("text") - longest + 1).cast("int") + 1
+    stretch = F.when(F.length("text") <= longest, F.col("text")).otherwise(
+        F.substring("text", begin, F.lit(longest)))
+    known = df.sparkSession.createDataFrame(shares, share.schema)
+    drawn = usable.join(F.broadcast(known), "language").where(
         F.pmod("draw", F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    ).select("language", "text", "draw").distinct()
+    ).select("language", stretch.alias("text"), "draw").distinct()
     order = Window.partitionBy("language").orderBy("draw", "text")
     rows = drawn.withColumn("at", F.row_number().over(order)).where(F.col("at") <= per_language)
     return fit([(row.language, row.text) for row in rows.select("language", "text").collect()])

@@ -15,8 +15,11 @@ MIN_LANGUAGE_SHARE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language.  Rejected are texts without letters and texts whose words are
-    of no clear language; the columns stay as they are."""
+    of no clear language; the columns stay as they are.  Where no row has a label to learn from, all
+    documents stay."""
     model = langid.train(docs, "doc_id", "text", "lang")
+    if not model.languages:
+        return docs
     judged = langid.predict(docs, "text", model, "_language", "_share")
     kept = judged.where(f"_language <> '{langid.UNKNOWN}' AND _share >= {MIN_LANGUAGE_SHARE}")
     return kept.select(*docs.columns)

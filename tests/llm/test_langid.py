@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from astrolake.llm import langid
 
@@ -98,3 +99,23 @@ def test_training_sample_holds_distinct_texts(spark, monkeypatch):
     assert sorted(got) == sorted(("en", text) for text in seen)
     few = langid.train(df, "doc_id", "text", "lang", per_language=10)
     assert len(few) == len(set(few)) == 10
+
+
+def test_long_labelled_texts_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "fit", lambda samples: samples)
+    long = [" ".join(f"{word}{'xyz'[i % 3]}" for i in range(3000)) for word in ("maja", "kirja", "tuli")]
+    rows = [(1, "the house", "en"), *((i + 2, text, "fi") for i, text in enumerate(long))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string") \
+        .where(~langid.held_out("doc_id"))
+    seen = {r.text for r in df.where("lang = 'fi'").collect()}
+    got = [text for language, text in langid.train(df, "doc_id", "text", "lang", max_chars=500)
+           if language == "fi"]
+    assert seen and len(got) == len(seen)
+    assert all(len(text) == 500 and sum(text in whole for whole in seen) == 1 for text in got)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 2 * 400 * 100)
+    short = langid.train(df, "doc_id", "text", "lang")
+    assert {language for language, _ in short} == {"en", "fi"}
+    assert max(len(text) for _, text in short) == 100
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(df, "doc_id", "text", "lang")

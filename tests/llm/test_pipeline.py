@@ -42,6 +42,12 @@ def test_language_id_keeps_clean_documents(stages):
     assert {r.doc_id: r.text for r in after}.items() <= {r.doc_id: r.text for r in before}.items()
 
 
+def test_language_id_keeps_documents_without_labels(spark):
+    docs = spark.createDataFrame([(1, "the house is of wood", None), (2, "das haus", None)],
+                                 "doc_id long, text string, lang string")
+    assert corpus_pipeline.language_id(spark, docs, SF_DIR).collect() == docs.collect()
+
+
 def test_line_dedup(stages):
     rows = [(r.doc_id, r.text) for r in stages[1][1]]
     assert sorted((r.doc_id, r.text) for r in stages[2][1]) == sorted(lines_expected(rows))
