@@ -132,9 +132,10 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, sequence: int = 48, seque
         epochs: int = 4, lexicon_size: int = 2000) -> Model:
     """Train on (language, text) pairs.
 
-    Training chains are code-switched: runs of 4 to 24 words, each cut from anywhere in a text,
-    follow one another until `sequence` words are reached.  So transitions are seen within and
-    between languages.  Steps are Adagrad over mini-batches of chains.
+    However many texts there are, the model learns from `sequences` chains.  They are code-switched:
+    runs of 4 to 24 words, each cut from anywhere in a text, follow one another until `sequence`
+    words are reached.  So transitions are seen within and between languages.  Steps are Adagrad over
+    mini-batches of chains.
     """
     languages = sorted({language for language, _ in samples})
     texts = {language: [] for language in languages}

@@ -321,16 +321,43 @@ def training_cases(texts: list[str]) -> list[tuple[str, Cluster, list[Span]]]:
     return cases
 
 
+def drawn_cases(cases: list[tuple[str, Cluster, list[Span]]], most: int,
+                rng: np.random.Generator) -> list[tuple[str, Cluster, list[Span]]]:
+    """At most `most` cases, drawn per kind: each kind, and clusters without any, has an equal share,
+    and what a rare one leaves of its share goes to the others.  A case of several kinds counts for
+    the rarest of them."""
+    shuffled = [cases[i] for i in rng.permutation(len(cases))]
+    if len(shuffled) <= most:
+        return shuffled
+    counts = dict.fromkeys(("", *KINDS), 0)
+    for _, _, gold in shuffled:
+        for kind in {k for _, _, k in gold} or {""}:
+            counts[kind] += 1
+    kinds = [min({k for _, _, k in gold} or {""}, key=lambda k: (counts[k], k))
+             for _, _, gold in shuffled]
+    left, wanted = most, {}
+    order = sorted(counts, key=lambda k: (kinds.count(k), k))
+    for at, kind in enumerate(order):
+        wanted[kind] = min(kinds.count(kind), left // (len(order) - at))
+        left -= wanted[kind]
+    out = []
+    for case, kind in zip(shuffled, kinds):
+        if wanted[kind]:
+            wanted[kind] -= 1
+            out.append(case)
+    return out
+
+
 def fit(texts: list[str], epochs: int = 5, most_cases: int = 2000, seed: int = 5) -> Model:
     """Train by gradient steps on the conditional likelihood of the segmentations.
 
-    Expectations come from the semi-Markov forward-backward recursions.  Without any case the model
-    finds nothing.
+    Expectations come from the semi-Markov forward-backward recursions.  At most `most_cases` of the
+    clusters in the texts are learned from, drawn per kind (see `drawn_cases`), and 900 decoys.
+    Without any case the model finds nothing.
     """
     model = Model()
     rng = np.random.default_rng(seed)
-    cases = training_cases(sorted(texts))
-    cases = [cases[i] for i in rng.permutation(len(cases))[:most_cases]]
+    cases = drawn_cases(training_cases(sorted(texts)), most_cases, rng)
     if cases:
         cases += [(f"of {x} and", clusters(f"of {x} and")[0], []) for x in _decoys(rng, 60)]
     labels = len(KINDS) + 1

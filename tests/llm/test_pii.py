@@ -173,3 +173,15 @@ def test_training_sample_holds_distinct_texts(spark, monkeypatch):
     order = [r.text for r in df.distinct().selectExpr("text", "xxhash64(text) AS h")
              .orderBy("h").collect()]
     assert pii.train(df, "text", rows=15) == order[:15]
+
+
+def test_rare_kinds_stay_among_the_cases():
+    rare = ["at 10.0.0.1 now", "pay 4111 1111 1111 1111 now"]
+    texts = [f"page {i} of it" for i in range(5000)] + [f"ask a{i}@b.de now" for i in range(900)]
+    cases = pii.training_cases(texts + rare)
+    drawn = pii.drawn_cases(cases, 500, np.random.default_rng(5))
+    kinds = [k for _, _, gold in drawn for k in {k for _, _, k in gold} or {""}]
+    assert len(drawn) == 500
+    assert kinds.count("ip") == 1 and kinds.count("card") == 2  # the card and its respelling
+    assert abs(kinds.count("") - kinds.count("email")) <= 1
+    assert len(pii.drawn_cases(cases, len(cases), np.random.default_rng(5))) == len(cases)
