@@ -95,7 +95,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every 20th vector by inner product, from the kd-tree of projections."""
-    rows = vectors.usable(
+    rows = vectors.uniform(
         table(spark, sf_dir, "embeddings"), "vec_id", "embedding", zero=False)
     return ann.neighbours(rows, query_every=20, k=20)
 
@@ -126,7 +126,7 @@ def _count(kind: str) -> Column:
 @query
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 largest integer inner products of every 50th vector with all other vectors."""
-    rows = vectors.usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    rows = vectors.uniform(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     whole = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256)).alias("v"))
     return topk.top_k(whole, F.col("vec_id") % 50 == 0, 5)
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from astrolake.llm import ann, topk, vectors
+from astrolake.llm.queries import QUERIES
 
 
 def table(spark, rows, extra=""):
@@ -73,6 +74,19 @@ def test_usable_rows(spark):
     assert vectors.usable(df.limit(0), "vec_id", "embedding").collect() == []
 
 
+@pytest.mark.parametrize("query", ["op5_ann_search", "op7_exact_top_k"])
+def test_mixed_tables_are_errors(spark, tmp_path, query):
+    plain = [(i, [float(i + 1), 1.0]) for i in range(60)]
+    for name, rows, match in (("lengths", [(60, [1.0])], "several lengths"),
+                              ("ids", [(0, [9.0, 9.0])], "several vectors of id 0")):
+        table(spark, plain + rows).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        with pytest.raises(Exception, match=match):
+            QUERIES[query](spark, f"{tmp_path}/{name}").collect()
+    table(spark, plain + plain[:1]).write.parquet(f"{tmp_path}/copies/embeddings.parquet")
+    asked = {r.query_id for r in QUERIES[query](spark, f"{tmp_path}/copies").collect()}
+    assert asked == set(range(0, 60, 20 if query == "op5_ann_search" else 50))
+
+
 def test_ann_recall_over_many_leaves(spark, embeddings, monkeypatch):
     rows, ids, data = embeddings
     monkeypatch.setattr(ann, "LEAF_ROWS", 100)
