@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -16,6 +16,13 @@ SLICE_BYTES = 1 << 20
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch, unless the session has done so.  Plans read the setting when they
+    run, so it stays; it changes no result."""
+    if not spark.conf._jconf.contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose `column` has about `limit` bytes."""
     values = batch.column(column)
@@ -46,8 +53,7 @@ def with_computed(
     `make` runs once per task and gives the function from a slice of `column` to the new columns.
     All other columns pass through unchanged.
     """
-    if not df.sparkSession.conf._jconf.contains(BATCH_SETTING):
-        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    bound_batches(df.sparkSession)
     added = StructType.fromDDL(outputs)
     names = set(added.names)
     kept = [name for name in df.columns if name not in names]

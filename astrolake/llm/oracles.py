@@ -98,9 +98,79 @@ FROM scored
 QUALIFY rank <= 5
 """
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+# Two shares differ by less than 2**30, so their square needs no more than a HUGEINT.
+DIVERGENCE = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), {_AZ}),
+                            '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+words AS (SELECT d, lang, source, unnest(words) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 10),
+sizes AS (SELECT lang, count(*) AS v, sum(lang_n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counted AS (
+  SELECT g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) AS n
+  FROM groups g JOIN kept k ON g.lang = k.lang LEFT JOIN (
+    SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL) c
+  ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+shares AS (
+  SELECT c.lang, source, term, n,
+    1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY c.lang, source) + 2 * v) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 2)) // (total + 2 * v) AS q
+  FROM counted c JOIN sizes s ON c.lang = s.lang),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p
+  ON a.lang = p.lang AND a.source = p.source AND b.source = p.item
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (
+  PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+_RUNS = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+DECONTAMINATION = f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_RUNS}) AS w
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_RUNS}) AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id::VARCHAR AS item, least(len(w), 10) AS size, unnest(list_transform(
+    range(1, greatest(len(w) - 10, 0) + 2), lambda i: array_to_string(w[i:i + 9], ' '))) AS words
+  FROM items WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos, w
+  FROM docs, sizes WHERE len(w) >= size),
+met AS (
+  SELECT p.doc_id, p.pos, p.size, x.item FROM places p JOIN windows x
+  ON p.size = x.size AND array_to_string(p.w[p.pos:p.pos + p.size - 1], ' ') = x.words),
+hits AS (
+  SELECT doc_id, count(DISTINCT word) AS n FROM (
+    SELECT doc_id, unnest(range(pos, pos + size)) AS word FROM met) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (
+    SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
+       coalesce(i.n, 0)::BIGINT AS n_items, sha256(coalesce(i.items, '')) AS items_sha256,
+       coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named i ON d.doc_id = i.doc_id
+"""
+
 SQL: dict[str, str] = {
     "op2_line_dedup": LINE_DEDUP,
     "op3_warc_round_trip": WARC,
     "op4_chat_format": CHAT,
     "op7_exact_top_k": TOP_K,
+    "op11_source_divergence": DIVERGENCE,
+    "op13_decontamination": DECONTAMINATION,
 }

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.llm import (
-    ann, bpe, chat_format, langid, line_dedup, packing, pii, simhash, topk, vectors, warc,
+    ann, bpe, chat_format, decontaminate, divergence, langid, line_dedup, packing, pii, simhash,
+    topk, vectors, warc,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -160,3 +161,24 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset",
     )
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergences between the sources of every language, and the terms that set a source apart."""
+    documents = table(spark, sf_dir, "documents").select("text", "lang", "source")
+    return divergence.audit(documents, "text", "lang", "source")
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a passage of the benchmark, and the items met."""
+    found = decontaminate.contaminated_spans(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), "text",
+        table(spark, sf_dir, "benchmark"), "item_id", "text")
+    joined = F.array_join("items", ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(joined.cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
