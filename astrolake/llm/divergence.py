@@ -30,6 +30,8 @@ MIN_DOCS = 10
 SOURCE_BLOCK = 64
 TERM_BLOCK = 4096
 TOP_TERMS = 10
+# Rows of a table about languages or sources that is sent to all tasks.
+BROADCAST_ROWS = 50_000
 
 # Letters and everything outside ASCII.
 WORDS = Words(rb"a-z\x80-\xff")
@@ -110,6 +112,12 @@ def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     ).where(F.col("docs") >= min_docs).drop("docs")
 
 
+def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, settled; marked for broadcast if it has at most `limit` rows, else joined by shuffle."""
+    rows = settled(df)
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def _blocks(size: Column, limit: int) -> Column:
     return F.greatest(F.ceil(size / limit), F.lit(1)).cast("int")
 
@@ -132,17 +140,17 @@ class Audit:
         occurring = _named(df, lang, source).groupBy("lang", "source").agg(F.count("*").alias("_rows"))
         counted = counts.join(terms, ["lang", "term"]).select(
             "lang", "source", "term", "n", "lang_n")
-        sizes = terms.groupBy("lang").agg(
-            F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+        sizes = _small(terms.groupBy("lang").agg(
+            F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")))
         sums = counted.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         groups = occurring.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").select(
             "lang", "source", F.coalesce("total", F.lit(0)).alias("total"),
             F.coalesce("kept", F.lit(0)).alias("kept"), "lang_total")
-        per_lang = groups.groupBy("lang").agg(F.count("*").alias("_sources")).select(
-            "lang", _blocks(F.col("_sources"), source_block).alias("source_blocks"))
-        self.groups = settled(groups.join(per_lang, "lang").select(
-            "*", _blocks(F.col("kept"), term_block).alias("term_blocks"),
-            _dealt("source", "source_blocks").alias("source_block")))
+        per_lang = _small(groups.groupBy("lang").agg(F.count("*").alias("_sources")).select(
+            "lang", _blocks(F.col("_sources"), source_block).alias("source_blocks")))
+        term_blocks = _blocks(F.col("kept"), term_block).alias("term_blocks")
+        self.groups = _small(groups.join(per_lang, "lang").select(
+            "*", term_blocks, _dealt("source", "source_blocks").alias("source_block")))
         self.counted = settled(counted.join(
             self.groups.select("lang", "source", "total", "kept", "lang_total", "term_blocks",
                                "source_block"), ["lang", "source"]
@@ -150,7 +158,8 @@ class Audit:
             "lang", "source", "term", "n", "lang_n", "lang_total", "kept", "source_block",
             _dealt("term", "term_blocks").alias("term_block"),
             share(F.col("n"), F.col("total"), F.col("kept")).alias("p")))
-        self.terms = terms
+        self.terms = terms.join(sizes.select("lang", term_blocks), "lang").select(
+            "lang", "term", _dealt("term", "term_blocks").alias("term_block"))
 
     def top_terms(self, top: int = TOP_TERMS) -> DataFrame:
         """(lang, source, item, value, rank): the terms a group uses more than its language does."""
@@ -171,10 +180,7 @@ class Audit:
         grid = members.select(
             "*", F.explode(F.sequence(F.lit(0), F.col("term_blocks") - 1)).alias("term_block"))
         inside = Window.partitionBy("lang", "term_block").orderBy("term")
-        blocks = self.groups.select("lang", "term_blocks").distinct()
-        numbered = self.terms.join(blocks, "lang").select(
-            "lang", "term", _dealt("term", "term_blocks").alias("term_block")
-        ).withColumn("number", F.row_number().over(inside) - 1)
+        numbered = self.terms.withColumn("number", F.row_number().over(inside) - 1)
         width = numbered.groupBy("lang", "term_block").agg(F.count("*").cast("int").alias("n_terms"))
         present = self.counted.join(numbered, ["lang", "term", "term_block"]).groupBy(
             "lang", "source_block", "term_block"

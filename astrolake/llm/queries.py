@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from astrolake.llm import (
-    ann, bpe, chat_format, decontaminate, divergence, langid, line_dedup, packing, pii, simhash,
-    topk, vectors, warc,
+    alignment, ann, bpe, chat_format, decontaminate, divergence, langid, line_dedup, packing, pii,
+    simhash, topk, vectors, warc,
 )
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -170,6 +171,14 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents, "text", "lang", "source")
 
 
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two public tokenizers in every document, and their counts."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(documents, "text", TOKENIZER, PIECES).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 @query
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that stand in a passage of the benchmark, and the items met."""
