@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,6 +37,7 @@ CHUNK_CHARS = 1 << 20
 LANE_TOKENS = 256
 # Characters at which a long text is cut.
 PART_CHARS = 1 << 17
+CACHED_WORDS = 400_000
 # Links of one group expanded one by one; larger groups are counted by distinct tokens.
 EXPANDED = 1 << 16
 SPACE = "▁"
@@ -58,58 +59,63 @@ class Tokens:
         return gather(self.flat, self.start[ids], self.length[ids])
 
 
-class ByteLevel:
-    """A byte-level tokenizer of the `tokenizers` library, by its model on one split match at a time.
-    Strings of special tokens are ordinary text."""
+Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
-    def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
-        back = {shown: byte for byte, shown in alphabet.items()}
-        names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
-        self.tokens = Tokens([bytes(back[c] for c in name if c in back) for name in names])
+def _byte_level(path: str, pattern: str) -> tuple[Tokens, Encode]:
+    """A byte-level tokenizer of the `tokenizers` library, by its model on one match of its split
+    `pattern` at a time, with a space before every text.  Strings of special tokens are ordinary
+    text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        def encode_words(words: list[bytes]) -> list[np.ndarray]:
-            shown = (word.decode("latin-1").translate(alphabet) for word in words)
-            return [np.array([t.id for t in tokenize(word)], np.int32) for word in shown]
+    tokenizer = Tokenizer.from_file(path)
+    tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
+    back = {shown: byte for byte, shown in alphabet.items()}
+    names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
 
-        self.words = WordTable(pattern, encode_words)
+    def encode_words(words: list[bytes]) -> list[np.ndarray]:
+        shown = (word.decode("latin-1").translate(alphabet) for word in words)
+        return [np.array([t.id for t in tokenize(word)], np.int32) for word in shown]
 
-    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a space and each part, in a row, and their number per part."""
-        return self.words.encode([" " + part for part in parts])
+    table = WordTable(pattern, encode_words)
+    return (Tokens([bytes(back[c] for c in name if c in back) for name in names]),
+            lambda texts: table.encode([" " + text for text in texts]))
 
 
-class Pieces:
-    """A `sentencepiece` model that puts a space before a text."""
-
-    def __init__(self, path: str):
-        import sentencepiece
+def _pieces(path: str) -> tuple[Tokens, Encode]:
+    """A `sentencepiece` model that puts a space before a text itself."""
+    import sentencepiece
 
-        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        if any(SPACE in name.lstrip(SPACE) for name in names):
-            raise ValueError("a piece has a space behind another character: texts cannot be cut")
-        self.tokens = Tokens([
-            bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace(SPACE, " ").encode()
-            for i, name in enumerate(names)])
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+    if any(SPACE in name.lstrip(SPACE) for name in names):
+        raise ValueError("a piece has a space behind another character: texts cannot be cut")
 
-    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = self.model.encode(parts, num_threads=1)
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = model.encode(texts, num_threads=1)
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(chain.from_iterable(ids), np.int32, counts.sum()), counts
 
+    return Tokens([
+        bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace(SPACE, " ").encode()
+        for i, name in enumerate(names)
+    ]), encode
 
-# Before such a space no token of either side goes on, so a text may be cut there; the first
-# tokenizer gets the space with the part, the second adds it.
+
+# Before a single space no token of either side goes on, so a text may be cut there: the first
+# tokenizer gets the space with what follows, the second adds it.
 _cut = re.compile(f"(?<=[^\\s{SPACE}]) (?=[^\\s{SPACE}])")
+_other_space = re.compile(f"^ | $| [\\s{SPACE}]|[\\s{SPACE}] ")
+
+
+def words_of(text: str) -> list[str]:
+    """A text cut at its single spaces, without them."""
+    return _cut.split(text) if _other_space.search(text) else text.split(" ")
 
 
 def parts_of(text: str) -> Iterator[str]:
-    """A text cut at single spaces into parts of about `PART_CHARS`, without those spaces."""
+    """A text cut at some of its single spaces into parts of about `PART_CHARS`, without them."""
     at = 0
     while found := _cut.search(text, at + PART_CHARS):
         yield text[at:found.start()]
@@ -117,6 +123,55 @@ def parts_of(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+class _Side:
+    """Ids that one tokenizer gives to the words met so far."""
+
+    def __init__(self, encode: Encode):
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat, self.length = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def add(self, words: list[str]) -> None:
+        flat, length = self.encode(words)
+        self.flat = np.concatenate([self.flat, flat])
+        self.length = np.concatenate([self.length, length])
+        self.start = np.cumsum(self.length) - self.length
+
+    def ids(self, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and their number between the bounds."""
+        length = self.length[at]
+        sums = np.concatenate([[0], np.cumsum(length)])[bounds]
+        return gather(self.flat, self.start[at], length), np.diff(sums)
+
+
+class Words:
+    """Both tokenizers' ids of words.  The table is only a cache: it is emptied when full."""
+
+    def __init__(self, *sides: _Side):
+        self.index: dict[str, int] = {}
+        self.sides = sides
+
+    def encode(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each side: ids of all parts in a row, and their number per part."""
+        index = self.index
+        if len(index) > CACHED_WORDS:
+            index.clear()
+            for side in self.sides:
+                side.clear()
+        split = [words_of(part) for part in parts]
+        new = [word for word in set().union(*split) if word not in index]
+        if new:
+            index.update(zip(new, range(len(index), len(index) + len(new))))
+            for side in self.sides:
+                side.add(new)
+        counts = np.array([len(words) for words in split], np.int64)
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        return [side.ids(at, bounds) for side in self.sides]
+
+
 def lockstep(end_a: np.ndarray, end_b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray,
              stop_a: np.ndarray) -> np.ndarray:
     """Groups (a, a_end, b, b_end) of all lanes, in the order of the tokens.
@@ -167,20 +222,23 @@ def runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
 
 
-def folded(document: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of `times` by (document, pair), in that order."""
-    order = np.lexsort((pair, document))
-    document, pair, times = document[order], pair[order], times[order]
-    if not len(pair):
-        return document, pair, times
-    heads = np.flatnonzero(np.concatenate(
-        [[True], (pair[1:] != pair[:-1]) | (document[1:] != document[:-1])]))
-    return document[heads], pair[heads], np.add.reduceat(times, heads)
+def folded(key: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their `times`; None means once each."""
+    if times is None:
+        key = np.sort(key)
+    else:
+        order = np.argsort(key)
+        key, times = key[order], times[order]
+    heads = np.flatnonzero(np.diff(key, prepend=-1))
+    if times is None or not len(key):
+        return key[heads], np.diff(np.append(heads, len(key)))
+    return key[heads], np.add.reduceat(times, heads)
 
 
 def linked_pairs(ids_a: np.ndarray, ids_b: np.ndarray, groups: np.ndarray, owner: np.ndarray,
-                 width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, pair, links) of the distinct pairs of every document; a pair is a * width + b.
+                 width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, links) of the distinct pairs of every document; the pair a * width + b of a document has
+    the key document * size + pair.
 
     Links of a group are all its A tokens with all its B tokens, repeats included.
     """
@@ -189,46 +247,59 @@ def linked_pairs(ids_a: np.ndarray, ids_b: np.ndarray, groups: np.ndarray, owner
     small = n_a * n_b <= EXPANDED
     size_a, size_b = n_a[small], n_b[small]
     with_b = np.repeat(size_b, size_a)
-    left = np.repeat(ids_a[runs(a[small], size_a)].astype(np.int64), with_b)
-    right = ids_b[runs(np.repeat(b[small], size_a), with_b)]
-    documents = [np.repeat(owner[small], size_a * size_b)]
-    pairs, times = [left * width + right], [np.ones(len(left), np.int64)]
-    for at in np.flatnonzero(~small):
+    left = ids_a[runs(a[small], size_a)].astype(np.int64) * width
+    left += np.repeat(owner[small] * size, size_a)
+    key, times = folded(
+        np.repeat(left, with_b) + ids_b[runs(np.repeat(b[small], size_a), with_b)], None)
+    large = np.flatnonzero(~small)
+    if not len(large):
+        return key, times
+    keys, counts = [key], [times]
+    for at in large:
         some_a, count_a = np.unique(ids_a[a[at]:a_end[at]], return_counts=True)
         some_b, count_b = np.unique(ids_b[b[at]:b_end[at]], return_counts=True)
-        pairs.append((some_a.astype(np.int64)[:, None] * width + some_b).ravel())
-        times.append((count_a[:, None] * count_b).ravel())
-        documents.append(np.full(len(pairs[-1]), owner[at]))
-    return folded(*map(np.concatenate, (documents, pairs, times)))
-
-
-def _written(ids_a: np.ndarray, ids_b: np.ndarray, groups: np.ndarray, a: Tokens,
-             b: Tokens) -> bytes:
-    """`a1,a2|b1;a3|b2,b3` for the groups of one document."""
-    at_a, at_b = groups[0, 0], groups[2, 0]
-    n_a, n_b = groups[1] - groups[0], groups[3] - groups[2]
-    before = np.cumsum(n_a + n_b) - (n_a + n_b)
-    place_a, place_b = runs(before, n_a), runs(before + n_a, n_b)
-    total = int((n_a + n_b).sum())
-    start, length = np.empty(total, np.int64), np.empty(total, np.int64)
-    flat = np.concatenate([a.digits, b.digits])
-    some = ids_a[at_a:at_a + len(place_a)]
-    start[place_a], length[place_a] = a.digit_start[some], a.digit_length[some]
-    some = ids_b[at_b:at_b + len(place_b)]
-    start[place_b], length[place_b] = b.digit_start[some] + len(a.digits), b.digit_length[some]
-    ends = np.cumsum(length) - 1
-    text = gather(flat, start, length)
-    text[ends[before + n_a - 1]] = ord("|")
-    text[ends[before + n_a + n_b - 1]] = ord(";")
-    return text[:-1].tobytes()
+        pairs = some_a.astype(np.int64)[:, None] * width + some_b
+        keys.append((owner[at] * size + pairs).ravel())
+        counts.append((count_a[:, None] * count_b).ravel())
+    return folded(np.concatenate(keys), np.concatenate(counts))
+
+
+class _Writer:
+    """Groups as text: `a1,a2|b1;a3|b2,b3;` with one separator behind every number."""
+
+    def __init__(self, a: Tokens, b: Tokens):
+        self.flat = np.concatenate([a.digits, b.digits])
+        self.start_a, self.length_a = a.digit_start, a.digit_length
+        self.start_b, self.length_b = b.digit_start + len(a.digits), b.digit_length
+
+    def written(self, ids_a: np.ndarray, ids_b: np.ndarray,
+                groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The text of all groups, and where each ends.  The groups take all ids in order."""
+        n_a, n_b = groups[1] - groups[0], groups[3] - groups[2]
+        before = np.cumsum(n_a + n_b) - (n_a + n_b)
+        place_a, place_b = runs(before, n_a), runs(before + n_a, n_b)
+        start = np.empty(len(ids_a) + len(ids_b), np.int64)
+        length = np.empty(len(start), np.int64)
+        start[place_a], length[place_a] = self.start_a[ids_a], self.length_a[ids_a]
+        start[place_b], length[place_b] = self.start_b[ids_b], self.length_b[ids_b]
+        ends = np.cumsum(length)
+        text = gather(self.flat, start, length)
+        text[ends[before + n_a - 1] - 1] = ord("|")
+        closed = ends[before + n_a + n_b - 1]
+        text[closed - 1] = ord(";")
+        return text, closed
 
 
 class Aligner:
     """Both tokenizers of a worker."""
 
-    def __init__(self, path_a: str, pattern: str, path_b: str):
-        self.a, self.b = ByteLevel(path_a, pattern), Pieces(path_b)
-        self.width = len(self.b.tokens.length)
+    def __init__(self, path_a: str, path_b: str, pattern: str):
+        self.a, encode_a = _byte_level(path_a, pattern)
+        self.b, encode_b = _pieces(path_b)
+        self.words = Words(_Side(encode_a), _Side(encode_b))
+        self.writer = _Writer(self.a, self.b)
+        self.width = len(self.b.length)
+        self.size = len(self.a.length) * self.width
 
     def chunks(self, texts: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
         """(owners, ids_a, ids_b, groups, owner of each group, equal) of runs of parts of the texts;
@@ -247,15 +318,13 @@ class Aligner:
             yield self._chunk(part, np.array(owner))
 
     def _chunk(self, parts: list[str], owner: np.ndarray) -> tuple[np.ndarray, ...]:
-        ids_a, count_a = self.a.encode(parts)
-        ids_b, count_b = self.b.encode(parts)
+        (ids_a, count_a), (ids_b, count_b) = self.words.encode(parts)
         said = [b" " + part.encode() for part in parts]
         size = np.array([len(text) for text in said], np.int64)
-        equal = self._equal(self.a.tokens, ids_a, count_a, said, size)
-        equal &= self._equal(self.b.tokens, ids_b, count_b, said, size)
+        equal = self._equal(self.a, ids_a, count_a, said, size)
+        equal &= self._equal(self.b, ids_b, count_b, said, size)
         ids_a, ids_b = ids_a[np.repeat(equal, count_a)], ids_b[np.repeat(equal, count_b)]
-        end_a, end_b = (np.cumsum(side.tokens.length[ids])
-                        for side, ids in ((self.a, ids_a), (self.b, ids_b)))
+        end_a, end_b = np.cumsum(self.a.length[ids_a]), np.cumsum(self.b.length[ids_b])
         count_a = count_a[equal]
         groups = lockstep(end_a, end_b, *lanes(end_a, end_b, np.cumsum(count_a) - count_a))
         by_token = np.repeat(owner[equal], count_a)
@@ -282,7 +351,7 @@ _ALIGNERS: dict[tuple[str, str, str], Aligner] = {}
 
 
 def _aligner(*key: str) -> Aligner:
-    """One per worker process and pair of files."""
+    """One per worker process, pair of files and split pattern."""
     if key not in _ALIGNERS:
         _ALIGNERS[key] = Aligner(*key)
     return _ALIGNERS[key]
@@ -297,31 +366,32 @@ class _Sums:
         bad = np.zeros(n, bool)
         digest = [hashlib.sha256() for _ in texts]
         begun = np.zeros(n, bool)
-        links = [(np.empty(0, np.int64),) * 3]
-        full = [at for at, text in enumerate(texts) if text]
+        links = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        full = np.array([at for at, text in enumerate(texts) if text], np.int64)
         for owner, ids_a, ids_b, groups, by, equal in aligner.chunks([texts[at] for at in full]):
-            owner, by = np.array(full)[owner], np.array(full)[by]
-            bad[owner[~equal]] = True
+            by = full[by]
+            bad[full[owner[~equal]]] = True
             n_a, n_b = groups[1] - groups[0], groups[3] - groups[2]
             for row, values in enumerate((n_a, n_b, np.ones_like(n_a), n_a * n_b)):
                 np.add.at(self.sums[row], by, values)
-            edges = np.flatnonzero(np.diff(by, prepend=-1, append=-1))
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                at = by[lo]
-                if begun[at]:
-                    digest[at].update(b";")
-                digest[at].update(
-                    _written(ids_a, ids_b, groups[:, lo:hi], aligner.a.tokens, aligner.b.tokens))
-                begun[at] = True
-            links.append(linked_pairs(ids_a, ids_b, groups, by, aligner.width))
+            if len(by):
+                text, closed = aligner.writer.written(ids_a, ids_b, groups)
+                edges = np.flatnonzero(np.diff(by, append=-1))
+                begin = 0
+                for at, end in zip(by[edges].tolist(), closed[edges].tolist()):
+                    if begun[at]:
+                        digest[at].update(b";")
+                    digest[at].update(text[begin:end - 1])
+                    begun[at], begin = True, end
+            links.append(linked_pairs(ids_a, ids_b, groups, by, aligner.width, aligner.size))
         self.sums[:, bad] = 0
         self.digests = ["" if bad[at] or not begun[at] else digest[at].hexdigest()
                         for at in range(n)]
-        self.document, self.pair, self.times = folded(*(
-            np.concatenate([part[i] for part in links]) for i in range(3)))
+        key, times = links[-1] if len(links) < 3 else folded(*(
+            np.concatenate([part[i] for part in links]) for i in range(2)))
+        self.document, pair = np.divmod(key, aligner.size)
         good = ~bad[self.document]
-        self.document, self.pair, self.times = (
-            x[good] for x in (self.document, self.pair, self.times))
+        self.document, self.pair, self.times = self.document[good], pair[good], times[good]
 
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links")
@@ -331,7 +401,7 @@ _OUT = (*_SUMS, "n_best", "count_sum", "groups_sha256")
 class Alignment:
     """Alignment of a text column under two tokenizers.
 
-    A is byte-level (`tokenizers` file and its split pattern) and gets a space and the text; B is a
+    A is byte-level (a `tokenizers` file and its split pattern) and gets a space and the text; B is a
     `sentencepiece` model that adds the space itself.  Texts that are null or empty, or whose tokens
     of either side do not join to the bytes of space and text, have no tokens.  Rows with equal ids
     are documents of their own.  `drop` removes the working table; results that read it end there.
@@ -351,7 +421,7 @@ class Alignment:
         schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + [added])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            aligner, shard = _aligner(path_a, pattern, path_b), TaskContext.get().partitionId() << 40
+            aligner, shard = _aligner(path_a, path_b, pattern), TaskContext.get().partitionId() << 40
             for batch in batches:
                 for part in slices(batch, 0, SLICE_BYTES):
                     yield _aligned(part, aligner, shard)
@@ -404,11 +474,7 @@ def _aligned(part: pa.RecordBatch, aligner: Aligner, shard: int) -> pa.RecordBat
     docs = np.bincount(at, minlength=len(pairs))
     n = part.num_rows
     bounds = np.searchsorted(found.document, np.arange(n + 1))
-    links = [
-        np.concatenate([at[lo:hi].astype("<i8"), found.times[lo:hi].astype("<i8")])
-        .astype("<u4" if hi == lo or found.times[lo:hi].max() < 1 << 32 else "<i8").tobytes()
-        for lo, hi in zip(bounds[:-1], bounds[1:])
-    ]
+    links = [_planes(at[lo:hi], found.times[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:])]
     first = [True] + [False] * (n - 1)
 
     def once(values: np.ndarray) -> pa.Array:
@@ -422,6 +488,18 @@ def _aligned(part: pa.RecordBatch, aligner: Aligner, shard: int) -> pa.RecordBat
         names=[*names, *_SUMS, "groups_sha256", "_shard", "_links", "_pairs", "_docs"])
 
 
+def _planes(at: np.ndarray, times: np.ndarray) -> bytes:
+    """Both rows of numbers, byte plane by byte plane: the upper planes are nearly constant, so that
+    files and shuffles compress them."""
+    return np.stack([at, times]).astype("<i8").view(np.uint8).reshape(2, -1, 8).transpose(
+        0, 2, 1).tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(2, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[..., 0]
+
+
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shard, at, pair, docs) of the lists of pairs."""
     for batch in batches:
@@ -444,14 +522,8 @@ def _counted(rows: pa.Table, counts: pa.Table) -> pa.Table:
     n[at] = counts.column("n").to_numpy()
     best[at] = counts.column("best").to_numpy()
     n_best, count_sum = [], []
-    n_links = rows.column("n_links").to_pylist()
-    for links, total in zip(rows.column("_links").to_pylist(), n_links):
-        values = np.frombuffer(links, "<u4").astype(np.int64)
-        half = len(values) // 2
-        if values[half:].sum() != total:  # a pair with 2**32 links or more
-            values = np.frombuffer(links, "<i8")
-            half = len(values) // 2
-        place, times = values[:half], values[half:]
+    for links in rows.column("_links").to_pylist():
+        place, times = _from_planes(links)
         n_best.append(int((best[place] * times).sum()))
         count_sum.append(int((n[place] * times).sum()))
     kept = rows.drop_columns(["_shard", "_links"])
@@ -473,7 +545,7 @@ def aligned_groups(df: DataFrame, text_column: str, path_a: str, path_b: str,
     """`df` with the groups of each text as `array<struct<a:array<int>,b:array<int>>>`, in order; a
     text without tokens has none.  A column named `output` is replaced."""
     def make():
-        aligner = _aligner(path_a, pattern, path_b)
+        aligner = _aligner(path_a, path_b, pattern)
 
         def run(texts: pa.Array) -> list[pa.Array]:
             said = [text or "" for text in texts.to_pylist()]

@@ -105,11 +105,15 @@ def term_counts(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     ).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term, lang_n): terms in at least `min_docs` documents of the language."""
-    return counts.groupBy("lang", "term").agg(
-        F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")
-    ).where(F.col("docs") >= min_docs).drop("docs")
+def kept_counts(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The counts of terms in at least `min_docs` documents of the language, with the language's
+    count `lang_n`; `lead` marks one row of each (lang, term)."""
+    term = Window.partitionBy("lang", "term")
+    return counts.select(
+        "lang", "source", "term", "n", F.sum("n").over(term).alias("lang_n"),
+        F.sum("docs").over(term).alias("_docs"),
+        (F.row_number().over(term.orderBy("source")) == 1).alias("lead"),
+    ).where(F.col("_docs") >= min_docs).drop("_docs")
 
 
 def _small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -135,29 +139,26 @@ class Audit:
 
     def __init__(self, df: DataFrame, text: str, lang: str, source: str, min_docs: int = MIN_DOCS,
                  source_block: int = SOURCE_BLOCK, term_block: int = TERM_BLOCK):
-        counts = settled(term_counts(df, text, lang, source))
-        terms = settled(kept_terms(counts, min_docs))
-        occurring = _named(df, lang, source).groupBy("lang", "source").agg(F.count("*").alias("_rows"))
-        counted = counts.join(terms, ["lang", "term"]).select(
-            "lang", "source", "term", "n", "lang_n")
+        counted = settled(kept_counts(term_counts(df, text, lang, source), min_docs))
+        terms = counted.where("lead").select("lang", "term", "lang_n")
         sizes = _small(terms.groupBy("lang").agg(
             F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")))
+        occurring = _named(df, lang, source).groupBy("lang", "source").agg(F.count("*").alias("_rows"))
         sums = counted.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        groups = occurring.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").select(
+        groups = settled(occurring.join(sums, ["lang", "source"], "left").join(
+            sizes, "lang", "left"
+        ).select(
             "lang", "source", F.coalesce("total", F.lit(0)).alias("total"),
-            F.coalesce("kept", F.lit(0)).alias("kept"), "lang_total")
+            F.coalesce("kept", F.lit(0)).alias("kept"), "lang_total"))
         per_lang = _small(groups.groupBy("lang").agg(F.count("*").alias("_sources")).select(
             "lang", _blocks(F.col("_sources"), source_block).alias("source_blocks")))
         term_blocks = _blocks(F.col("kept"), term_block).alias("term_blocks")
         self.groups = _small(groups.join(per_lang, "lang").select(
             "*", term_blocks, _dealt("source", "source_blocks").alias("source_block")))
-        self.counted = settled(counted.join(
-            self.groups.select("lang", "source", "total", "kept", "lang_total", "term_blocks",
-                               "source_block"), ["lang", "source"]
-        ).select(
+        self.counted = counted.join(self.groups, ["lang", "source"]).select(
             "lang", "source", "term", "n", "lang_n", "lang_total", "kept", "source_block",
             _dealt("term", "term_blocks").alias("term_block"),
-            share(F.col("n"), F.col("total"), F.col("kept")).alias("p")))
+            share(F.col("n"), F.col("total"), F.col("kept")).alias("p"))
         self.terms = terms.join(sizes.select("lang", term_blocks), "lang").select(
             "lang", "term", _dealt("term", "term_blocks").alias("term_block"))
 
