@@ -32,12 +32,12 @@ from astrolake.llm.packing import byte_alphabet
 from astrolake.session import drop_table, settled, write_table
 
 # Bytes of text of a slice, and characters aligned at once; tokens of A a lane has, about.
-SLICE_BYTES = 4 << 20
-CHUNK_CHARS = 1 << 20
+SLICE_BYTES = 2 << 20
+CHUNK_CHARS = 1 << 19
 LANE_TOKENS = 256
 # Characters at which a long text is cut.
 PART_CHARS = 1 << 17
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 # Links of one group expanded one by one; larger groups are counted by distinct tokens.
 EXPANDED = 1 << 16
 SPACE = "▁"
@@ -489,15 +489,16 @@ def _aligned(part: pa.RecordBatch, aligner: Aligner, shard: int) -> pa.RecordBat
 
 
 def _planes(at: np.ndarray, times: np.ndarray) -> bytes:
-    """Both rows of numbers, byte plane by byte plane: the upper planes are nearly constant, so that
-    files and shuffles compress them."""
-    return np.stack([at, times]).astype("<i8").view(np.uint8).reshape(2, -1, 8).transpose(
-        0, 2, 1).tobytes()
+    """Steps of the sorted numbers `at`, and `times`, byte plane by byte plane: all planes but the
+    lowest are nearly constant, so that files and shuffles compress them."""
+    rows = np.stack([np.diff(at, prepend=0), times]).astype("<i8")
+    return rows.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1).tobytes()
 
 
-def _from_planes(packed: bytes) -> np.ndarray:
+def _from_planes(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     planes = np.frombuffer(packed, np.uint8).reshape(2, 8, -1)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[..., 0]
+    steps, times = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8")[..., 0]
+    return np.cumsum(steps), times
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
