@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -37,7 +37,7 @@ CHUNK_CHARS = 1 << 19
 LANE_TOKENS = 256
 # Characters at which a long text is cut.
 PART_CHARS = 1 << 17
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 # Links of one group expanded one by one; larger groups are counted by distinct tokens.
 EXPANDED = 1 << 16
 SPACE = "▁"
@@ -404,13 +404,14 @@ class Alignment:
     A is byte-level (a `tokenizers` file and its split pattern) and gets a space and the text; B is a
     `sentencepiece` model that adds the space itself.  Texts that are null or empty, or whose tokens
     of either side do not join to the bytes of space and text, have no tokens.  Rows with equal ids
-    are documents of their own.  `drop` removes the working table; results that read it end there.
+    are documents of their own.  `keep` names the columns of `df` to bring along, all by default; what
+    is not needed, such as the text, is better left out of the shuffle.  `drop` removes the working table; results that read it end there.
     """
 
     def __init__(self, df: DataFrame, text_column: str, path_a: str, path_b: str,
-                 pattern: str = public_tokenizers.PATTERN):
+                 pattern: str = public_tokenizers.PATTERN, keep: Iterable[str] | None = None):
         self.spark = df.sparkSession
-        self.names = [name for name in df.columns if name not in _OUT]
+        self.names = [name for name in keep or df.columns if name not in _OUT]
         bound_batches(self.spark)
         # plain names inside, so that no column of the caller's clashes
         source = df.select(F.col(text_column).alias("t"), *(
@@ -533,9 +534,10 @@ def _counted(rows: pa.Table, counts: pa.Table) -> pa.Table:
 
 
 def align(df: DataFrame, text_column: str, path_a: str, path_b: str,
-          pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """`df` with the columns of `Alignment.documents`, computed now; the working table is dropped."""
-    job = Alignment(df, text_column, path_a, path_b, pattern)
+          pattern: str = public_tokenizers.PATTERN,
+          keep: Iterable[str] | None = None) -> DataFrame:
+    """`df`, or its columns `keep`, with the columns of `Alignment.documents`, computed now; the working table is dropped."""
+    job = Alignment(df, text_column, path_a, path_b, pattern, keep)
     result = settled(job.documents())
     job.drop()
     return result

@@ -175,7 +175,7 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between the tokens of two public tokenizers in every document, and their counts."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return alignment.align(documents, "text", TOKENIZER, PIECES).select(
+    return alignment.align(documents, "text", TOKENIZER, PIECES, keep=["doc_id"]).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
