@@ -15,9 +15,9 @@ depend on the length of a document.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +28,18 @@ from pyspark.sql.window import Window
 from astrolake.llm.arrow import with_computed
 
 UNKNOWN = "und"
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
 CHUNK = 64
+# Numbers that the products of a slice, and the scores of the words met so far, hold at most.
+PRODUCT_NUMBERS = 1 << 24
+CACHED_NUMBERS = 1 << 23
 CACHED_WORDS = 200_000
 # Characters of a whole training sample, and languages of a model.
 SAMPLE_CHARS = 64_000_000
-MOST_LANGUAGES = 10_000
+MOST_LANGUAGES = 250
+_HASH = np.uint64(0x9E3779B97F4A7C15)
+_BEGIN, _END = 0x110000, 0x110001
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*").findall
 
 
@@ -45,15 +51,41 @@ def words_of(text: str | None) -> list[str]:
     return found if text.isascii() else [w for w in found if any(map(str.isalpha, w))]
 
 
-def features_of(word: str) -> list[int]:
-    """Hashed features of a word's form; of a word over 64 letters, of its first and last 32."""
-    word = word[:64] if len(word) <= 64 else word[:32] + word[-32:]
-    edged = f"^{word}$"
-    names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)]
-    names += [edged[i:i + 2] for i in range(len(edged) - 1)]
-    names += [edged[i:i + 3] for i in range(len(edged) - 2)]
-    names.append(f"n{min(len(word), 12)}")
-    return [zlib.crc32(name.encode("utf-8", "surrogatepass")) % BUCKETS for name in set(names)]
+def _mixed(kind: int, *codes: np.ndarray) -> np.ndarray:
+    """Bucket of each combination of code points, by multiplication and shift."""
+    value = np.full(len(codes[0]), kind, np.uint64)
+    for code in codes:
+        value = (value + code) * _HASH
+        value ^= value >> np.uint64(29)
+    return (value * _HASH >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def form_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of all features of the words' forms, ordered by word: prefixes and suffixes of
+    up to three letters, all n-grams of two and three letters with the edges of the word, and its
+    length.  Repeated n-grams count each time."""
+    sizes = np.array([len(word) for word in words], np.int64)
+    text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    # edges are code points that no text has
+    width = sizes + 2
+    stop = np.cumsum(width)
+    begin = stop - width
+    codes = np.full(stop[-1] if len(stop) else 0, _BEGIN, np.uint64)
+    codes[np.arange(len(text)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + 1] = text
+    codes[stop - 1] = _END
+    owner = np.repeat(np.arange(len(words)), width)
+    found = [(np.arange(len(words)), _mixed(9, np.minimum(sizes, 12).astype(np.uint64)))]
+    for n in (1, 2, 3):
+        long = np.flatnonzero(sizes >= n)
+        first, last = begin[long] + 1, stop[long] - 1 - n
+        found.append((long, _mixed(n, *(codes[first + i] for i in range(n)))))
+        found.append((long, _mixed(3 + n, *(codes[last + i] for i in range(n)))))
+    for n in (2, 3):
+        inside = np.flatnonzero(owner[n - 1:] == owner[:len(owner) - n + 1])
+        found.append((owner[inside], _mixed(5 + n, *(codes[inside + i] for i in range(n)))))
+    at, bucket = (np.concatenate(part) for part in zip(*found))
+    order = np.argsort(at, kind="stable")
+    return at[order], bucket[order]
 
 
 @dataclass
@@ -66,17 +98,23 @@ class Model:
     starts: np.ndarray
     lexicon: dict[str, tuple[int, ...]]
 
-    def features(self, word: str) -> list[int]:
-        return features_of(word) + [BUCKETS + at for at in self.lexicon.get(word, ())]
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(word, row of the weights) of all features, ordered by word.  Every word has some."""
+        at, row = form_features(words)
+        listed = [(i, BUCKETS + k) for i, word in enumerate(words) for k in self.lexicon.get(word, ())]
+        if listed:
+            more = np.array(listed, np.int64).T
+            at, row = np.concatenate([at, more[0]]), np.concatenate([row, more[1]])
+            order = np.argsort(at, kind="stable")
+            at, row = at[order], row[order]
+        return at, row
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Emission scores (words, languages)."""
-        found = [self.features(word) for word in words]
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((i for x in found for i in x), np.int64, sizes.sum())
-        if not len(flat):
+        if not words:
             return np.zeros((0, len(self.languages)))
-        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
+        at, row = self.features(words)
+        return np.add.reduceat(self.weights[row], np.searchsorted(at, np.arange(len(words))), axis=0)
 
 
 def posteriors(scores: np.ndarray, first: np.ndarray, moves: np.ndarray,
@@ -89,6 +127,7 @@ def posteriors(scores: np.ndarray, first: np.ndarray, moves: np.ndarray,
     n, size = scores.shape
     if not n:
         return scores
+    chunk = max(chunk, -(-n * size * size // PRODUCT_NUMBERS))
     count = -(-n // chunk)
     local = np.ones((count * chunk, size))
     local[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -172,11 +211,8 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, sequence: int = 48, seque
                 truth[row, at] = language
                 at += 1
             language = int(rng.integers(size))
-    found = [model.features(word) for word in vocabulary]
-    sizes = np.array([len(x) for x in found])
-    flat = np.fromiter((i for x in found for i in x), np.int64, sizes.sum())
-    owner = np.repeat(np.arange(len(found)), sizes)
-    begins = np.cumsum(sizes) - sizes
+    owner, flat = model.features(list(vocabulary))
+    begins = np.searchsorted(owner, np.arange(len(vocabulary)))
     squares = [np.full(x.shape, 1e-6) for x in (model.weights, model.moves, model.starts)]
     one = np.eye(size)
     batch = 100
@@ -223,9 +259,11 @@ def _expectations(emission: np.ndarray, moves: np.ndarray,
         back[:, t] = value / value.sum(axis=1, keepdims=True)
     posterior = ahead * back
     posterior /= posterior.sum(axis=2, keepdims=True)
-    both = ahead[:, :-1, :, None] * move * (local * back)[:, 1:, None, :]
-    both /= both.sum(axis=(2, 3), keepdims=True)
-    return posterior, both.sum(axis=(0, 1))
+    # of each step: ahead_i * move_ij * behind_j, scaled to 1; the sum over steps is one product
+    behind = (local * back)[:, 1:].reshape(-1, local.shape[2])
+    before = ahead[:, :-1].reshape(behind.shape)
+    before = before / ((before @ move) * behind).sum(axis=1, keepdims=True)
+    return posterior, move * (before.T @ behind)
 
 
 def held_out(id_column: str) -> Column:
@@ -287,12 +325,19 @@ def predict(df: DataFrame, text_column: str, model: Model, language_output: str
         labels = shared.value
         index: dict[str, int] = {}
         known = np.zeros((0, len(labels.languages)))
+        uses = np.zeros(0, np.int64)
+        most = min(CACHED_WORDS, CACHED_NUMBERS // max(1, len(labels.languages)))
 
         def run(texts: pa.Array) -> list[pa.Array]:
-            nonlocal known
-            if len(index) > CACHED_WORDS:
+            nonlocal known, uses
+            if len(index) > most:
+                # words met only once are forgotten, or all if too many are left
+                again = uses > 1
+                again &= again.sum() <= most // 2
+                kept = [word for word, at in index.items() if again[at]]
+                known, uses = known[again], np.ones(len(kept), np.int64)
                 index.clear()
-                known = known[:0]
+                index.update(zip(kept, range(len(kept))))
             split = [words_of(text) for text in texts.to_pylist()]
             counts = np.array([len(x) for x in split], np.int64)
             languages = np.full(len(split), UNKNOWN, object)
@@ -303,9 +348,10 @@ def predict(df: DataFrame, text_column: str, model: Model, language_output: str
                 if new:
                     index.update(zip(new, range(len(index), len(index) + len(new))))
                     known = np.concatenate([known, labels.scores(new)])
+                    uses = np.concatenate([uses, np.zeros(len(new), np.int64)])
                 at = np.fromiter(
-                    (i for x in split for i in map(index.__getitem__, x)), np.int64, counts.sum()
-                )
+                    map(index.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
+                uses += np.bincount(at, minlength=len(uses))
                 begin = np.cumsum(counts[full]) - counts[full]
                 first = np.zeros(len(at), bool)
                 first[begin] = True

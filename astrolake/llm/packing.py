@@ -12,6 +12,7 @@ The tokens move once, in the join with the positions.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,14 +82,33 @@ def _words(path: str, pattern: str) -> WordTable:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenize = Tokenizer.from_file(path).model.tokenize
-        alphabet = byte_alphabet()
+        tokenizer = Tokenizer.from_file(path)
+        tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
+        special = {}
+        for number, token in tokenizer.get_added_tokens_decoder().items():
+            if token.single_word or token.lstrip or token.rstrip or token.normalized:
+                raise ValueError(f"added token with a rule of its own: {token.content}")
+            special[token.content.encode()] = np.array([number], np.int32)
 
         def encode_words(words: list[bytes]) -> list[np.ndarray]:
-            shown = (word.decode("latin-1").translate(alphabet) for word in words)
-            return [np.array([t.id for t in tokenize(word)], np.int32) for word in shown]
+            return [
+                special[word] if word in special else np.array(
+                    [t.id for t in tokenize(word.decode("latin-1").translate(alphabet))], np.int32)
+                for word in words
+            ]
 
-        _TABLES[path] = WordTable(pattern, encode_words)
+        table = WordTable(pattern, encode_words)
+        if special:
+            # The library takes strings of added tokens out of a text before it splits the rest; the
+            # pattern alone never gives such a string as one word.
+            names = sorted((name.decode() for name in special), key=len, reverse=True)
+            parted = re.compile("(" + "|".join(map(re.escape, names)) + ")")
+            plain = table.findall
+            table.findall = lambda text: plain(text) if not any(
+                name in text for name in names
+            ) else [word for at, part in enumerate(parted.split(text))
+                    for word in ([part] if at % 2 else plain(part))]
+        _TABLES[path] = table
     return _TABLES[path]
 
 
@@ -98,8 +118,8 @@ def tokenised(df: DataFrame, column: str, path: str, pattern: str, end: int = EN
     the projection `_p` of the hashed document vector.
 
     The tokenizer must be byte-level, with `pattern` as its split.  Its model works on one match at
-    a time, so a word is encoded once per worker.  Strings of special tokens are ordinary text.  A
-    null text counts as empty.
+    a time, so a word is encoded once per worker.  Strings of added tokens in a text get the ids of
+    those tokens, as the library gives them unless told otherwise.  A null text counts as empty.
     """
     def make():
         table = _words(path, pattern)
@@ -115,14 +135,16 @@ def tokenised(df: DataFrame, column: str, path: str, pattern: str, end: int = EN
                 for axis in range(dimensions):
                     sums = np.add.reduceat(directions[bucket, axis], begin)
                     means[full, axis] = sums / counts[full]
-            ends = np.cumsum(counts)
-            packed, wide = [], []
-            for lo, hi in zip(ends - counts, ends):
-                ids = np.append(values[lo:hi], np.int32(end))
-                wide.append(bool(ids.max() > 0xFFFF))
-                packed.append(ids.astype("<u4" if wide[-1] else "<u2").tobytes())
+            stop = np.cumsum(counts)
+            ids = np.insert(values, stop, end)  # `end` behind every document
+            wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
+            ids = ids.astype("<u4" if wide else "<u2")
+            bounds = np.concatenate([[0], stop + np.arange(1, len(stop) + 1)]) * ids.itemsize
+            packed = pa.Array.from_buffers(
+                pa.large_binary(), len(stop),
+                [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)])
             return [
-                pa.array(packed, pa.binary()), pa.array(wide), pa.array(counts + 1),
+                packed, pa.array(np.full(len(stop), wide)), pa.array(counts + 1),
                 pa.FixedSizeListArray.from_arrays(pa.array(means.ravel()), dimensions)
                 .cast(pa.list_(pa.float64())),
             ]
