@@ -230,17 +230,19 @@ def _shares(row: dict, number: dict[int, int]) -> np.ndarray:
 
 def _cell(cell: pa.Table) -> pa.Table:
     """Partial divergences of one cell: its one or two slices, each with at most a block of sources
-    and of terms.  Terms that no source of the cell has are added as one."""
+    and of terms.  Terms that no source of the cell has are added as one.  Where one of two blocks
+    has no sources there are no pairs."""
     rows = sorted(cell.to_pylist(), key=lambda row: row["source_block"])
     low, high = rows[0], rows[-1]
+    within = low["low"] == low["high"]
     met = sorted({term for row in rows for term in row["at_term"] or ()})
     number = {term: at for at, term in enumerate(met)}
     left, right = _shares(low, number), _shares(high, number)
     left0, right0 = np.array(low["p0"], np.int64), np.array(high["p0"], np.int64)
     rest = low["n_terms"] - len(met)
     a, b, part = [], [], []
-    for at, name in enumerate(low["source"]):
-        first = at + 1 if low is high else 0  # within one block, each pair once
+    for at, name in enumerate(low["source"] if within or len(rows) == 2 else ()):
+        first = at + 1 if within else 0  # within one block, each pair once
         others = high["source"][first:]
         if not others:
             continue
