@@ -22,7 +22,7 @@ from astrolake.fixed_values import (
 )
 from astrolake.functions import predicates as P
 from astrolake.functions.predicates import of_kind
-from astrolake.operators.nodes import Needs
+from astrolake.operators.nodes import Needs, rows_of
 
 # What each node kind contributes to these rules.
 CALL_RULE_NEEDS = {
@@ -148,7 +148,7 @@ def call_findings(nodes: DataFrame, rules=tuple(CALL_RULES)) -> DataFrame:
     hits = F.concat(*[_hits(chosen, kind) for kind in kinds])
     func = F.coalesce(F.col("func_name"), F.col("value")["call_attr"])
     return (
-        nodes.filter(of_kind(*kinds) & _may_fire(tuple(rules)))
+        rows_of(nodes, *kinds).filter(of_kind(*kinds) & _may_fire(tuple(rules)))
         .withColumn("hit", F.explode(hits))
         .select(
             "content_sha", F.col("hit.variant").alias("variant"), F.col("lineno").alias("line"),

@@ -28,7 +28,7 @@ from astrolake.operators.function_rules import (
     FUNCTION_RULES,
     function_findings,
 )
-from astrolake.operators.nodes import LINE, Needs
+from astrolake.operators.nodes import LINE, Needs, rows_of
 from astrolake.operators.taint import TAINT_NEEDS, taint_findings
 
 TAINT_RULE = "command_injection_taint"
@@ -98,7 +98,7 @@ def security_hits(nodes: DataFrame, rules: tuple[str, ...] | None = None) -> Dat
 def with_snippets(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     """Stripped source line of each hit.  A line is stored once per content, whatever its length
     and however many calls stand on it, and looked up here."""
-    lines = nodes.filter(of_kind(LINE)).select(
+    lines = rows_of(nodes, LINE).filter(of_kind(LINE)).select(
         "content_sha", F.col("lineno").alias("line"), "text"
     )
     return hits.join(lines, ["content_sha", "line"], "left").withColumn(

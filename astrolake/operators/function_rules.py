@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from astrolake.functions import predicates as P
 from astrolake.functions.predicates import of_kind
-from astrolake.operators.nodes import Needs
+from astrolake.operators.nodes import Needs, rows_of
 
 FUNCTION_RULE_NEEDS = Needs(("Call", "Compare"), (
     "content_sha", "kind", "pre", "depth", "lineno", "func_kind", "func_name", "recv_kind",
@@ -37,7 +37,8 @@ def function_marks(nodes: DataFrame, rules=tuple(FUNCTION_RULES)) -> DataFrame:
     for name in names:
         any_mark = any_mark | F.col(name)
     return (
-        nodes.filter(of_kind(*FUNCTION_RULE_NEEDS.kinds) & P.may_be_marked())
+        rows_of(nodes, *FUNCTION_RULE_NEEDS.kinds)
+        .filter(of_kind(*FUNCTION_RULE_NEEDS.kinds) & P.may_be_marked())
         .filter(F.size("fns") > 0)
         .select("content_sha", "fns", "depth", "pre", "lineno", *marks)
         .filter(any_mark)

@@ -1,8 +1,8 @@
 """Source bytes to syntax-tree rows: the one Python stage of a scan.
 
 The job writes down what the tree looks like (nested-set numbers, names, the shape of direct
-operands, enclosing functions and blocks).  It takes no decision: every rule, threshold and score
-is DataFrame code over these rows.  Rows of one file leave the same task, so aggregations by file
+operands, enclosing functions and blocks), and the inherited order attributes.  Every rule, threshold and
+score is DataFrame code over these rows.  Rows of one file leave the same task, so aggregations by file
 or function combine before they shuffle.
 """
 
@@ -23,10 +23,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from astrolake.fixed_values import (
+    BRANCH_KINDS,
+    FUNCTION_KINDS,
     NESTING_KINDS,
     PARSE_FAILURE,
     READ_FAILURE,
     SYNTAX_FAILURE,
+    TERMINAL_KINDS,
 )
 
 FUNCTION = "struct<depth:int,pre:int,name:string>"
@@ -106,6 +109,36 @@ _LEADS = {
 }
 
 
+# Families of rows: a stored node table has a folder for each, and readers take only theirs.
+FAMILIES = {
+    "call": ("Call", "Compare"),
+    "store": ("Assign", "AnnAssign", "AugAssign"),
+    "definition": FUNCTION_KINDS,
+    "name": ("Name",),
+    "flow": tuple(dict.fromkeys(
+        (*BRANCH_KINDS, *NESTING_KINDS, *TERMINAL_KINDS, "If", "BoolOp", "comprehension"))),
+    "line": (LINE,),
+    "status": ("Module", UNPARSED),
+}
+_FAMILY_OF = {kind: family for family, kinds in FAMILIES.items() for kind in kinds}
+OTHER_FAMILY = "other"
+
+
+def with_family(nodes: DataFrame) -> DataFrame:
+    """`nodes` with the `family` of each row."""
+    names = F.create_map(*(F.lit(x) for pair in _FAMILY_OF.items() for x in pair))
+    return nodes.withColumn("family", F.coalesce(F.try_element_at(names, "kind"), F.lit(OTHER_FAMILY)))
+
+
+def rows_of(nodes: DataFrame, *kinds: str) -> DataFrame:
+    """`nodes` without the families that hold none of `kinds`: of a stored table their folders are
+    not read.  The filter on kinds itself is left to the reader."""
+    if "family" not in nodes.columns:
+        return nodes
+    wanted = dict.fromkeys(_FAMILY_OF.get(kind, OTHER_FAMILY) for kind in kinds)
+    return nodes.filter(F.col("family").isin(*wanted))
+
+
 class Needs(NamedTuple):
     """Rows and columns of the node table an operator reads.  The parse job writes nothing else:
     neither a filter nor a projection on the output of a Python stage is pushed into it."""
@@ -568,6 +601,6 @@ def source_lines(files: DataFrame) -> DataFrame:
 
 def parse_status(nodes: DataFrame) -> DataFrame:
     """One row per distinct content: (content_sha, ok, parse_error)."""
-    return nodes.filter(F.col("kind").isin("Module", UNPARSED)).select(
+    return rows_of(nodes, "Module", UNPARSED).filter(F.col("kind").isin("Module", UNPARSED)).select(
         "content_sha", (F.col("kind") == "Module").alias("ok"), "parse_error"
     )

@@ -15,7 +15,7 @@ from astrolake.fixed_values import (
 )
 from astrolake.functions import predicates as P
 from astrolake.functions.predicates import of_kind
-from astrolake.operators.nodes import FUNCTION, Needs
+from astrolake.operators.nodes import FUNCTION, Needs, rows_of
 
 METRIC_NEEDS = Needs(
     tuple(dict.fromkeys(
@@ -56,7 +56,7 @@ def function_metrics(nodes: DataFrame) -> DataFrame:
     fn = F.when(is_def, itself).otherwise(F.col("own_fn"))
     depth = F.when(is_def, 0).when(of_kind(*NESTING_KINDS), F.col("nest") + 1)
     return (
-        nodes.filter(of_kind(*METRIC_NEEDS.kinds))
+        rows_of(nodes, *METRIC_NEEDS.kinds).filter(of_kind(*METRIC_NEEDS.kinds))
         .select(
             "content_sha", fn.alias("fn"),
             F.when(is_def, 1).otherwise(_decision_weight()).alias("weight"),
@@ -121,7 +121,7 @@ def unused_vars(nodes: DataFrame) -> DataFrame:
     store = of_kind("Assign", "AnnAssign") & simple
     read = of_kind("Name") & (F.col("ctx") == "Load") & (F.size("body_fns") > 0)
     return (
-        nodes.filter(store | read)
+        rows_of(nodes, *NAME_NEEDS.kinds).filter(store | read)
         .select(
             "content_sha",
             F.explode(F.when(store, F.array("own_fn")).otherwise(F.col("body_fns"))).alias("fn"),
@@ -144,41 +144,53 @@ def unused_vars(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _dead(rows: DataFrame, variant: Column, line: Column, after: Column, pos: Column) -> DataFrame:
-    return rows.select(
-        "content_sha", variant.alias("variant"), line.alias("line"),
-        F.lit("").alias("function_name"), F.lit(0).alias("metric_value"),
-        _none("int").alias("threshold"), _none("string").alias("var"), after.alias("after"),
-        pos.alias("pos"),
-    )
-
-
-def dead_after_terminal(nodes: DataFrame) -> DataFrame:
+def _after_terminal() -> Column:
     """A statement right behind return, raise, break or continue in a reached block.  Every row
     knows the line of its next sibling, so no window over blocks is needed."""
-    rows = nodes.filter(
+    return (
         of_kind(*TERMINAL_KINDS) & F.col("block_key").isNotNull() & F.col("next_line").isNotNull()
     )
+
+
+def _never() -> Column:
+    return P.value_is_constant(truthy=False)
+
+
+def _constant_branch() -> Column:
+    """Body of an `if` on a false constant, `else` of one on a true constant."""
+    always = P.value_is_constant(truthy=True) & F.col("else_line").isNotNull()
+    return of_kind("If") & F.col("block_key").isNotNull() & (_never() | always)
+
+
+def dead_code(nodes: DataFrame, after: bool = True, branch: bool = True) -> DataFrame:
+    """Both kinds of unreachable code, or one of them, in one pass: a row is of one kind at most."""
     key = F.col("block_key")
+    is_branch, never = of_kind("If"), _never()
     follower = F.concat(
-        F.slice(key, 1, F.size(key) - 1),
-        F.array(F.element_at(key, -1) + 1, F.lit(-2)),
+        F.slice(key, 1, F.size(key) - 1), F.array(F.element_at(key, -1) + 1, F.lit(-2)))
+    wanted = F.lit(False)
+    for condition, chosen in ((_after_terminal(), after), (_constant_branch(), branch)):
+        wanted = wanted | condition if chosen else wanted
+    kinds = (*(TERMINAL_KINDS if after else ()), *(("If",) if branch else ()))
+    return rows_of(nodes, *kinds).filter(wanted).select(
+        "content_sha",
+        F.when(~is_branch, "dead_after").when(never, "dead_if").otherwise("dead_else")
+        .alias("variant"),
+        F.when(~is_branch, F.col("next_line")).when(never, F.col("body_line"))
+        .otherwise(F.col("else_line")).alias("line"),
+        F.lit("").alias("function_name"), F.lit(0).alias("metric_value"),
+        _none("int").alias("threshold"), _none("string").alias("var"),
+        F.when(~is_branch, F.col("lineno")).alias("after"),
+        F.when(is_branch, F.concat(key, F.array(F.lit(-1)))).otherwise(follower).alias("pos"),
     )
-    return _dead(rows, F.lit("dead_after"), F.col("next_line"), F.col("lineno"), follower)
+
+
+def dead_after_terminal(nodes: DataFrame) -> DataFrame:
+    return dead_code(nodes, branch=False)
 
 
 def dead_constant_branch(nodes: DataFrame) -> DataFrame:
-    """Body of an `if` on a false constant, `else` of one on a true constant."""
-    never = P.value_is_constant(truthy=False)
-    always = P.value_is_constant(truthy=True) & F.col("else_line").isNotNull()
-    rows = nodes.filter(of_kind("If") & F.col("block_key").isNotNull() & (never | always))
-    return _dead(
-        rows,
-        F.when(never, "dead_if").otherwise("dead_else"),
-        F.when(never, F.col("body_line")).otherwise(F.col("else_line")),
-        _none("int"),
-        F.concat("block_key", F.array(F.lit(-1))),
-    )
+    return dead_code(nodes, after=False)
 
 
 # check -> (what it reads, builder)
@@ -190,11 +202,6 @@ def nesting_depth(nodes: DataFrame, threshold: int = NESTING_THRESHOLD) -> DataF
     return metric_findings(nodes, nesting_threshold=threshold, checks=("nesting_depth",))
 
 
-def dead_code(nodes: DataFrame) -> DataFrame:
-    """Both kinds of unreachable code."""
-    return dead_after_terminal(nodes).unionByName(dead_constant_branch(nodes))
-
-
 THRESHOLDS = ("complexity", "nesting_depth")
 QUALITY_BUILDERS = {
     "complexity": (METRIC_NEEDS, complexity),

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 
 from astrolake.operators import findings, quality, report
-from astrolake.operators.nodes import STATUS, Needs, parse_status, syntax_nodes
+from astrolake.operators.nodes import STATUS, Needs, parse_status, syntax_nodes, with_family
 from astrolake.operators.triggers import may_fire
 from astrolake.session import drop_table, tuned, write_table
 
@@ -36,8 +36,10 @@ class Scan:
             drop_table(self.spark, self._tables.pop())
 
     def _written(self, nodes: DataFrame) -> DataFrame:
-        self._tables.append(write_table(nodes, "nodes"))
-        return self.spark.read.schema(nodes.schema).parquet(self._tables[-1])
+        """`nodes` stored by family: a reader takes only the folders of the kinds it wants."""
+        stored = with_family(nodes)
+        self._tables.append(write_table(stored, "nodes", "family"))
+        return self.spark.read.schema(stored.schema).parquet(self._tables[-1])
 
     @classmethod
     def security(cls, files: DataFrame) -> Scan:

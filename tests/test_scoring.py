@@ -163,3 +163,30 @@ def test_custom_rule(spark):
             ("eval_exec_misuse", 2), ("no_asserts", 1)]
     finally:
         fs.EXTRA_RULES.clear()
+
+
+def test_every_finding_counts_once_whatever_its_verdicts(spark):
+    keys = "repo_id string, path string, line int, rule_id string"
+    found = spark.createDataFrame([("a", "x.py", 1, "r"), ("a", "x.py", 1, "r"), ("a", "y.py", 2, "r")], keys)
+    verdicts = spark.createDataFrame([
+        ("a", "x.py", 1, "r", "false_positive"), ("a", "x.py", 1, "r", "true_positive"),
+        ("a", "y.py", 2, "r", "nuanced"), ("a", "y.py", 2, "r", "nuanced"), ("a", "y.py", 2, "r", None),
+    ], keys + ", verdict string")
+    total = [r for r in evaluate.verdict_rates(found, verdicts).collect() if r.repo_id is None][0]
+    assert (total.findings, total.true_positive, total.nuanced, total.false_positive) == (3, 2, 1, 0)
+    kept = {r.path: (r.verdict, r.conflict) for r in evaluate.settled_verdicts(verdicts).collect()}
+    assert kept == {"x.py": ("true_positive", True), "y.py": ("nuanced", False)}
+
+
+def test_review_sample_grows_without_redrawing_and_intervals(spark):
+    found = spark.createDataFrame(
+        [("a", f"p{n}.py", n, "r", 0, [n]) for n in range(50)] + [("b", "q.py", 1, "r", 0, [1])],
+        "repo_id string, path string, line int, rule_id string, rule_seq int, pos array<int>")
+    small, large = ({(r.repo_id, r.path): r.stratum_size for r in evaluate.review_sample(found, n).collect()}
+                    for n in (3, 10))
+    assert len(small) == 4 and len(large) == 11 and set(small) <= set(large)
+    assert large["b", "q.py"] == 1 and {v for k, v in large.items() if k[0] == "a"} == {50}
+    counts = spark.createDataFrame([(0, 10), (5, 10), (0, 0)], "n long, total long")
+    got = [r[0] for r in counts.select(evaluate.rate_interval(F.col("n"), F.col("total"))).collect()]
+    assert (got[0].low, got[0].high) == (0.0, 27.8) and (got[1].low, got[1].high) == (23.7, 76.3)
+    assert got[2] is None

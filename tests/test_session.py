@@ -1,10 +1,12 @@
 """Working tables and settings."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from astrolake.operators import nodes
 from astrolake.operators.ranking import first_within
 from astrolake.session import release, tuned, work_folder
 
@@ -38,3 +40,32 @@ def test_first_rows_above_the_group_limit(spark):
     rows = first_within(df, ["g"], [F.col("x")], 1500, "position")
     assert rows.groupBy("g").agg(F.max("x").alias("m"), F.count("*").alias("n")).orderBy("g") \
         .collect() == [(0, 2998, 1500), (1, 2999, 1500)]
+
+
+def test_queries_leave_no_working_table(spark):
+    """The node table of a query is gone once its result is there, without `release`."""
+    folder = os.path.join(work_folder(spark).removeprefix("file:"), "astrolake")
+    tables = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = tables()
+    for name in ("scan_dashboard", "all_security_findings", "check_counts", "risk_label"):
+        entry_module.queries()[name](spark, "/root/testdata/sf0.001").count()
+        assert tables() == before, name
+
+
+def test_readers_take_only_their_families(spark):
+    from astrolake.operators import quality
+    from astrolake.operators.findings import security_hits
+    from astrolake.operators.scan import Scan
+    from astrolake.sources.order_corpus import corpus
+
+    with Scan.full(corpus(spark, "/root/testdata/sf0.001")) as scan:
+        def folders(df):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            named = re.findall(r"family#\d+ IN \(([^)]*)\)|family#\d+ = (\w+)", plan)
+            return {name for listed, one in named for name in (one or listed).split(",")}
+
+        assert folders(quality.unused_vars(scan.nodes)) == {"store", "name"}
+        assert folders(quality.dead_code(scan.nodes)) == {"flow"}
+        assert folders(security_hits(scan.nodes)) == {"call", "store", "definition"}
+        kinds = {r.kind: r.family for r in scan.nodes.select("kind", "family").distinct().collect()}
+        assert all(kind in nodes.FAMILIES.get(family, (kind,)) for kind, family in kinds.items())
