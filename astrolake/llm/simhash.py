@@ -203,9 +203,11 @@ def one_per_group(df: DataFrame, id_column: str, text_column: str, words: int =
         "_text", words
     ).groupBy("_id", "_row", "fingerprint").agg(F.count("*").alias("_copies")))
     order = F.struct(F.col("_id").isNull().alias("last"), "_id", "_row", "_copies")
+    # Rows of one fingerprint fold before they meet its group, so copies are one row there.
+    first = slim.groupBy("fingerprint").agg(F.min(order).alias("best"))
     chosen = settled(
-        slim.join(groups(slim, max_bits, segments), "fingerprint")
-        .groupBy("root").agg(F.min(order).alias("best")).select("best.*")
+        first.join(groups(slim, max_bits, segments), "fingerprint")
+        .groupBy("root").agg(F.min("best").alias("best")).select("best.*")
     )
     kept = marked.join(
         chosen.select("_id", F.col("_row").alias("_chosen")),
