@@ -4,6 +4,7 @@ import os
 import subprocess
 import sys
 
+from astrolake.plans import case_queries  # noqa: F401  (registers queries)
 from astrolake.plans.queries import REGISTRY
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
