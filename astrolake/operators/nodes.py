@@ -33,7 +33,8 @@ from astrolake.fixed_values import (
 )
 
 FUNCTION = "struct<depth:int,pre:int,name:string>"
-FLOW = f"struct<fn:{FUNCTION},key:array<int>>"
+# `run` numbers the stretches of a function with more than RUN_STATEMENTS; null in other functions.
+FLOW = f"struct<fn:{FUNCTION},key:array<int>,run:int>"
 # Direct operands: call and comparison arguments, keyword arguments, assigned or tested values.
 ARGUMENT = (
     "struct<kind:string,ident:string,op:string,const_type:string,const_str:string,"
@@ -53,7 +54,7 @@ NODE_SCHEMA = f"""
     const_type string, const_str string, const_truthy boolean, n_list int,
     func_kind string, func_name string, recv_kind string, recv_name string, recv_root string,
     args array<{ARGUMENT}>, kws array<{KEYWORD}>,
-    targets array<struct<kind:string,ident:string>>, value {VALUE}, params array<string>,
+    targets array<struct<kind:string,ident:string>>, value {VALUE}, params array<string>, runs int,
     body_line int, else_line int, next_line int,
     fns array<{FUNCTION}>, body_fns array<{FUNCTION}>, own_fn {FUNCTION},
     nest int, block_key array<int>, flow {FLOW}, events array<{FLOW}>,
@@ -63,6 +64,7 @@ NODE_SCHEMA = f"""
 UNPARSED = "#unparsed"  # status row of a file without a tree
 LINE = "#line"  # a source line that a call or an assignment begins on, once per content
 ROWS_PER_BATCH = 10_000
+RUN_STATEMENTS = 1024  # simple statements of one stretch of a long function
 
 _FOLDED = (ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop)
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -164,7 +166,7 @@ class Scope(NamedTuple):
     own_fn: tuple | None = None  # the function this code belongs to
     nest: int | None = None  # control depth of the block a statement stands in
     block_key: tuple | None = None  # place in the reachability order
-    flow: tuple | None = None  # (function, place in its execution order)
+    flow: tuple | None = None  # (function, place in its execution order, run)
     events: tuple = ()  # flow places of the simple statements around a node
 
 
@@ -314,10 +316,10 @@ _SHAPES = {
 
 
 _LINKS = frozenset({"last", "parent", "field", "idx"})
-_NUMBERED = _LINKS | {"pre", "own_fn", "fns", "body_fns", "flow", "events"}
+_NUMBERED = _LINKS | {"pre", "own_fn", "fns", "body_fns", "flow", "events", "runs"}
 _UNSHAPED = _LINKS | frozenset({
     "content_sha", "kind", "pre", "depth", "lineno", "own_fn", "fns", "body_fns", "events",
-    "nest", "block_key", "flow", "next_line", "text", "parse_error",
+    "nest", "block_key", "flow", "runs", "next_line", "text", "parse_error",
 })
 
 
@@ -328,6 +330,7 @@ class Wanted(NamedTuple):
     shaped: bool = True  # columns that describe a node itself
     linked: bool = True  # columns that place a node in its tree
     lines: bool = True  # source lines of calls and assignments
+    runs: bool = True  # runs of long functions
     reach: str = "all"  # nodes to visit, see _LEADS
 
 
@@ -367,10 +370,10 @@ def _block_scope(node: ast.AST, plain: Scope, scope: Scope, me: tuple | None, fi
         place = _place_below(node, field, idx, scope.block_key)
     if me is not None:
         if field == "body":
-            own_fn, body_fns, flow = me, (*scope.body_fns, me), (me, (idx,))
+            own_fn, body_fns, flow = me, (*scope.body_fns, me), (me, (idx,), None)
     elif scope.flow is not None and type(node) in _FLOW_THROUGH:
         key = _place_below(node, field, idx, scope.flow[1])
-        flow = (scope.flow[0], key) if key else None
+        flow = (scope.flow[0], key, None) if key else None
     nest = _nest_below(node, field, scope.nest)
     return Scope(plain.fns, body_fns, own_fn, nest, place, flow, plain.events)
 
@@ -428,10 +431,29 @@ def _last_descendants(walked: list[tuple]) -> list[int]:
     return last
 
 
+def _runs_of(walked: list[tuple]) -> dict[tuple, dict[tuple, int]]:
+    """Run of each simple statement, by place, of every function with more than RUN_STATEMENTS."""
+    if len(walked) <= RUN_STATEMENTS:
+        return {}
+    keys: dict[tuple, list[tuple]] = {}
+    for node, _, _, _, _, scope, _, _ in walked:
+        if scope.flow and type(node) in _STATEMENTS and type(node) not in _FLOW_THROUGH:
+            keys.setdefault(scope.flow[0], []).append(scope.flow[1])
+    return {
+        fn: {key: rank // RUN_STATEMENTS for rank, key in enumerate(sorted(places))}
+        for fn, places in keys.items() if len(places) > RUN_STATEMENTS
+    }
+
+
+def _in_run(flow: tuple | None, runs: dict) -> tuple | None:
+    return (*flow[:2], runs[flow[0]].get(flow[1])) if flow and flow[0] in runs else flow
+
+
 def tree_rows(sha: str, tree: ast.Module, lines: list[str], wanted: Wanted) -> Iterator[dict]:
     kinds = wanted.kinds
     walked = walk_tree(tree, _LEADS[wanted.reach])
     last = _last_descendants(walked) if wanted.linked else ()
+    runs = _runs_of(walked) if wanted.runs else {}
     noted = set()
     for pre, (node, parent, field, idx, depth, scope, me, next_line) in enumerate(walked):
         kind = type(node).__name__
@@ -455,6 +477,13 @@ def tree_rows(sha: str, tree: ast.Module, lines: list[str], wanted: Wanted) -> I
         elif cls in _STATEMENTS:
             row.update(nest=scope.nest, block_key=scope.block_key, flow=scope.flow,
                        next_line=next_line)
+        if runs:
+            if me in runs:
+                row["runs"] = max(runs[me].values()) + 1
+            if "flow" in row:
+                row["flow"] = _in_run(row["flow"], runs)
+            if "events" in row:
+                row["events"] = tuple(_in_run(flow, runs) for flow in row["events"])
         if wanted.lines and (cls is ast.Call or cls is ast.Assign):
             line = node.lineno
             if line not in noted and 0 < line <= len(lines):
@@ -567,6 +596,7 @@ def syntax_nodes(files: DataFrame, needs: Needs | None = None) -> DataFrame:
             shaped=not _UNSHAPED.issuperset(needs.columns),
             linked=not _LINKS.isdisjoint(needs.columns),
             lines=not needs.kinds or LINE in needs.kinds,
+            runs="runs" in needs.columns,
             reach=_reach(needs),
         )
     arrow_schema = to_arrow_schema(schema)

@@ -14,7 +14,8 @@ from astrolake.session import drop_table, tuned, write_table
 class Scan:
     """Parse once, read often.
 
-    `rule` and `check` alone are lazy and read the parse job directly.  Anything that needs more
+    `rule` and `check` alone are lazy and read the parse job directly (the taint trace computes its
+    hits at once).  Anything that needs more
     than one pass over the nodes goes through `nodes`, which is written once to the shared folder
     with only the rows and columns in use.  Used as a context manager, the scan removes that table
     at the end; results must have been written by then.

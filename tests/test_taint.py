@@ -1,9 +1,11 @@
 """Taint trace: order, kill, branches, nested scopes."""
 
+import random
 import time
 
 import pytest
 
+from astrolake.operators import nodes, taint
 from astrolake.operators.scan import Scan
 from conftest import file_table
 
@@ -92,3 +94,101 @@ def test_long_function_takes_linear_time(spark):
     (hit,) = Scan(files).rule("command_injection_taint").collect()
     assert hit.line == 50_002 and "'v49999'" in hit.message
     assert time.perf_counter() - start < 60
+
+
+def random_function(seed, statements):
+    """A function of random assignments and sinks over few names, some inside nested blocks."""
+    draw = random.Random(seed)
+    names = [f"v{i}" for i in range(12)]
+    pick = lambda: draw.choice(names)
+    lines = ["import os", "def f(v0, v1):"]
+    depth = 1
+    for _ in range(statements):
+        move = draw.random()
+        if move < 0.1 and depth < 4:
+            lines.append("    " * depth + f"{draw.choice(['if c:', 'for i in c:', 'try:'])}")
+            opened = lines[-1].strip()
+            lines.append("    " * (depth + 1) + f"{pick()} = {pick()}")
+            if opened == "try:":
+                lines.append("    " * depth + f"except E:\n{'    ' * (depth + 1)}os.system({pick()})")
+                lines.append("    " * depth + f"finally:\n{'    ' * (depth + 1)}{pick()} = {pick()}")
+            else:
+                depth += 1
+        elif move < 0.2 and depth > 1:
+            depth -= 1
+        elif move < 0.35:
+            lines.append("    " * depth + f"os.system({pick()} + {pick()}, {pick()})")
+        elif move < 0.5:
+            lines.append("    " * depth + f"{pick()} += {pick()}")
+        elif move < 0.7:
+            lines.append("    " * depth + f"{pick()} = 'ls'")
+        else:
+            lines.append("    " * depth + f"{pick()} = {pick()} = {pick()} + {pick()}")
+    return "\n".join(lines)
+
+
+def test_runs_equal_the_fold(spark, monkeypatch):
+    """A function cut into runs has the hits of one fold over all of it, over several levels."""
+    files = file_table(spark, [
+        ("r", f"{seed}.py", random_function(seed, size))
+        for seed, size in enumerate((1100, 1500, 2500, 4000, 6000, 30))])
+    tree = nodes.syntax_nodes(files, taint.TAINT_NEEDS).cache()
+    events, cut = {}, set()
+    for row in taint.taint_events(tree).collect():
+        events.setdefault(row.content_sha, []).append(row)
+        cut.add(row.run)
+    whole = [
+        (sha, line, name, pos)
+        for sha, rows in events.items()
+        for line, name, pos in taint.traced(sorted(
+            rows, key=lambda e: (e["key"], e["step"], e["order"] or [])))
+    ]
+    assert max(run for run in cut if run is not None) >= 4 and None in cut
+    monkeypatch.setattr(taint, "FAN_IN", 2)
+    in_runs = [
+        (row.content_sha, row.line, row["var"], row.pos[2:])
+        for row in taint.taint_findings(tree).collect()
+    ]
+    assert len(in_runs) > 100
+    assert sorted(in_runs) == sorted(whole)
+
+
+def test_summaries_merge_associatively():
+    """Any bracketing of merged runs has the states of the runs one after the other."""
+    draw = random.Random(5)
+    names = "abcdefg"
+    for _ in range(300):
+        parts, events = [], []
+        for _ in range(3):
+            run = [{"step": draw.choice((taint.SEED, taint.ASSIGN, taint.AUGMENT)),
+                    "names": draw.sample(names, draw.randint(0, 2)),
+                    "targets": draw.sample(names, draw.randint(0, 2))}
+                   for _ in range(draw.randint(0, 6))]
+            parts.append(taint.summarised(run)[0])
+            events += run
+        a, b, c = parts
+        left, right = a.then(b).then(c), a.then(b.then(c))
+        assert left.sets == right.sets and left.reads == right.reads
+        for start in (set(), {"a"}, set("bdf")):
+            merged, steps = set(start), set(start)
+            left.leave(merged)
+            for part in parts:
+                part.leave(steps)
+            assert merged == steps
+            plain = set(start)
+            for e in events:
+                if e["step"] == taint.SEED or not plain.isdisjoint(e["names"]):
+                    plain.update(e["targets"])
+                elif e["step"] == taint.ASSIGN:
+                    plain.difference_update(e["targets"])
+            assert merged == plain
+
+
+def test_events_of_a_long_function_are_spread(spark):
+    """No group holds more statements than a run, though the function is one."""
+    lines = "\n".join(f"    v{i % 7} = v{i % 5}" for i in range(20_000))
+    text = f"import os\ndef f(v0):\n{lines}\n    os.system(v0)\n"
+    rows = nodes.syntax_nodes(file_table(spark, [("r", "a.py", text)]), taint.TAINT_NEEDS)
+    sizes = taint.taint_events(rows).groupBy("fn", "run").count().collect()
+    assert len(sizes) == 20
+    assert max(row["count"] for row in sizes) <= nodes.RUN_STATEMENTS + 1  # and the parameters
