@@ -12,28 +12,42 @@ from astrolake.session import settled
 def numbered_within(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
     """1-based position of each row in its group, in the given order.
 
-    A window partitioned by the group alone would sort a hot group in one task.  Here rows are
-    range-partitioned over group and order, numbered inside (partition, group), and shifted by the
-    rows of the group in earlier partitions.  Those offsets have one row per partition and group.
-    The order must be total, or ties may be numbered either way.
+    A window partitioned by the group alone would sort a hot group in one task.  Here only the keys
+    (group and order, with the number of rows that share them) are range-partitioned, kept, and
+    summed inside (partition, group); the keys of a group in earlier partitions shift them.  Those
+    offsets have one row per partition and group.  The rows themselves, with their wide columns, move
+    once: they are hashed by the whole key to meet their position, so a hot group is spread.  `df` is
+    read twice, with its key columns and with all.  Rows that share a key may be numbered either way.
     """
-    ranged = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
-    # Range bounds are sampled anew on each run: keep the rows so that both uses see the same.
+    orders = [f"_o{at}" for at in range(len(order))]
+    keyed = df.select("*", *(column.alias(o) for o, column in zip(orders, order)))
+    groups = [f"_g{at}" for at in range(len(by))]
+    slim = keyed.groupBy(*(F.col(b).alias(g) for b, g in zip(by, groups)),
+                         *(F.col(o).alias(f"{o}_") for o in orders)
+                         ).agg(F.count("*").alias("_n"))
+    sorted_by = [f"{o}_" for o in orders]
+    ranged = slim.repartitionByRange(*groups, *sorted_by).withColumn("_part", F.spark_partition_id())
+    # Range bounds are sampled anew on each run: keep the keys so that both uses see the same.
     fixed = settled(ranged)
-    counts = fixed.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1
+    before = Window.unboundedPreceding, -1
+    offsets = (
+        fixed.groupBy(*groups, "_part").agg(F.sum("_n").alias("_rows"))
+        .withColumn("_offset", F.coalesce(F.sum("_rows").over(
+            Window.partitionBy(*groups).orderBy("_part").rowsBetween(*before)), F.lit(0)))
     )
-    offsets = counts.select(
-        *by, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy("_part", *by).orderBy(*order)
-    return (
-        fixed.withColumn("_at", F.row_number().over(inside))
-        .join(offsets, [*by, "_part"])
-        .withColumn(name, F.col("_at") + F.col("_offset"))
-        .drop("_part", "_at", "_offset")
+    inside = Window.partitionBy("_part", *groups).orderBy(*sorted_by).rowsBetween(*before)
+    ahead = fixed.withColumn("_ahead", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    same_group = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*groups, "_part")]
+    starts = ahead.alias("a").join(offsets.alias("b"), same_group).select(
+        *(f"a.{c}" for c in (*groups, *sorted_by)),
+        (F.col("_ahead") + F.col("_offset")).alias("_start"),
     )
+    keys = [(k, c) for k, c in (*zip(by, groups), *zip(orders, sorted_by))]
+    met = keyed.join(starts, [F.col(k).eqNullSafe(F.col(c)) for k, c in keys])
+    # Ties: the rows of one key, already together and sorted by it.
+    ties = Window.partitionBy(*(k for k, _ in keys)).orderBy(F.lit(0))
+    return met.withColumn(name, F.col("_start") + F.row_number().over(ties)).select(
+        *df.columns, name)
 
 
 def first_within(df: DataFrame, by: list[str], order: list[Column], limit: int,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from astrolake.operators import nodes
-from astrolake.operators.ranking import first_within
+from astrolake.operators.ranking import first_within, numbered_within
 from astrolake.session import release, tuned, work_folder
 
 
@@ -69,3 +69,30 @@ def test_readers_take_only_their_families(spark):
         assert folders(security_hits(scan.nodes)) == {"call", "store", "definition"}
         kinds = {r.kind: r.family for r in scan.nodes.select("kind", "family").distinct().collect()}
         assert all(kind in nodes.FAMILIES.get(family, (kind,)) for kind, family in kinds.items())
+
+
+def test_positions_with_ties_nulls_and_a_hot_group(spark):
+    """Positions count every row once, also rows that are equal or have nulls in their key."""
+    rows = [("hot", i % 700, "x" * 50) for i in range(3000)]
+    rows += [(None, 1, "n"), (None, None, "n"), (None, None, "n"), ("cold", None, None)]
+    df = spark.createDataFrame(rows, "g string, x int, wide string").repartition(7)
+    got = numbered_within(df, ["g"], [F.col("x")], "position")
+    assert got.columns == ["g", "x", "wide", "position"]
+    groups = {}
+    for row in got.collect():
+        groups.setdefault(row.g, []).append((row.position, row.x))
+    for group, found in groups.items():
+        wanted = sorted((r[1] for r in rows if r[0] == group), key=lambda x: (x is not None, x))
+        assert [x for _, x in sorted(found, key=lambda r: r[0])] == wanted
+        assert sorted(at for at, _ in found) == list(range(1, len(wanted) + 1))
+    empty = numbered_within(df.filter("g = 'none'"), ["g"], [F.col("x")], "position")
+    assert empty.count() == 0
+
+
+def test_positions_keep_only_keys(spark):
+    """Wide columns are neither written for the positions nor sorted over the range."""
+    df = spark.createDataFrame([("a", 1, "text")], "g string, x int, wide string")
+    plan = numbered_within(df, ["g"], [F.col("x")], "position")._jdf.queryExecution() \
+        .optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "LogicalRDD" in line]
+    assert scans and not any("wide" in line for line in scans if "_part" in line)
