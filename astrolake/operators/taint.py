@@ -267,32 +267,51 @@ def entry_states(summaries: DataFrame, last_run: int) -> DataFrame:
     return entries
 
 
-def taint_findings(nodes: DataFrame) -> DataFrame:
-    """One row per sink that a tainted name reaches.  The hits are computed at once, since long
-    functions need them several times."""
+def _traced(nodes: DataFrame, groups: Column) -> DataFrame:
+    """What the fold finds in the functions and runs that `groups` selects."""
     event = F.struct("key", "step", "order", "names", "targets", "line")
-    groups = (
+    events = (
         taint_events(nodes)
         .groupBy("content_sha", "fn", "run")
         .agg(F.collect_list(event).alias("events"), F.max("step").alias("last"))
-        .filter((F.col("last") == SINK) | F.col("run").isNotNull())
+        .filter(((F.col("last") == SINK) | F.col("run").isNotNull()) & groups)
         .select("content_sha", "fn", "run", F.sort_array("events").alias("events"))
     )
-    found = settled(_map_rows(groups, _trace, _TRACED))
-    hits = found.filter(F.col("run").isNull()).withColumn("name", F.col("effects")[0]["name"])
-    last_run = found.agg(F.max("run")).first()[0]
-    if last_run is not None:
-        runs = found.filter(F.col("run").isNotNull())
-        entries = entry_states(runs.filter(F.col("line").isNull()), last_run)
-        reached = F.filter("effects", lambda e: e["tainted"] | F.arrays_overlap(
-            e["sources"], "entry"))
-        late = runs.filter(F.col("line").isNotNull()).join(entries, ["content_sha", "fn", "run"])
-        hits = hits.unionByName(
-            late.withColumn("name", F.get(reached, F.lit(0))["name"])
-            .filter(F.col("name").isNotNull()).drop("entry"))
+    return _map_rows(events, _trace, _TRACED)
+
+
+def _reached(runs: DataFrame) -> DataFrame:
+    """The sinks of runs that a tainted name reaches."""
+    last_run = runs.agg(F.max("run")).first()[0]
+    if last_run is None:
+        return runs.withColumn("name", F.lit(None).cast("string"))
+    entries = entry_states(runs.filter(F.col("line").isNull()), last_run)
+    tainted = F.filter("effects", lambda e: e["tainted"] | F.arrays_overlap(e["sources"], "entry"))
+    sinks = runs.filter(F.col("line").isNotNull()).join(entries, ["content_sha", "fn", "run"])
+    return sinks.withColumn("name", F.get(tainted, F.lit(0))["name"]).filter(
+        F.col("name").isNotNull()).drop("entry")
+
+
+def taint_findings(nodes: DataFrame) -> DataFrame:
+    """One row per sink that a tainted name reaches.
+
+    Runs are needed several times.  A stored node table is read again for them, if it has any;
+    straight from the parse job, what the fold finds is computed at once and kept.
+    """
+    in_run = F.col("run").isNotNull()
+    if "family" in nodes.columns:
+        whole = _traced(nodes, ~in_run)
+        cut = rows_of(nodes, *FUNCTION_KINDS).filter(F.col("runs").isNotNull())
+        runs = None if cut.isEmpty() else settled(_traced(nodes, in_run))
+    else:
+        found = settled(_traced(nodes, F.lit(True)))
+        whole, runs = found.filter(~in_run), found.filter(in_run)
+    hits = whole.withColumn("name", F.col("effects")[0]["name"])
+    if runs is not None:
+        hits = hits.unionByName(_reached(runs))
     return hits.select(
         "content_sha", F.lit("tainted_shell").alias("variant"), "line",
         F.lit(None).cast("string").alias("func"), F.lit(None).cast("string").alias("recv"),
-        "name", F.col("fn.name").alias("function_name"),
+        F.col("name").alias("var"), F.col("fn.name").alias("function_name"),
         F.concat(F.array("fn.depth", "fn.pre"), "pos").alias("pos"),
-    ).withColumnRenamed("name", "var")
+    )

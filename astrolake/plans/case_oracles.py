@@ -103,6 +103,26 @@ def _notes(rows) -> str:
 LONG = "abcdefgh" * 60
 
 
+LONG_TAINT = """WITH steps AS (
+  SELECT o_orderkey AS k, o_orderkey // 20000 AS number,
+    (o_orderkey + o_orderkey // 5 * 3 + o_orderkey // 11) % 7 AS move FROM orders),
+vs AS (
+  SELECT *, row_number() OVER w AS nr,
+    coalesce(last_value(CASE move WHEN 0 THEN 1 WHEN 1 THEN 0 END IGNORE NULLS) OVER w, 0) AS v,
+    count(*) FILTER (WHERE move = 2) OVER w AS taken
+  FROM steps WINDOW w AS (PARTITION BY number ORDER BY k)),
+ws AS (
+  SELECT *, coalesce(max(CASE WHEN move IN (2, 3) THEN v END) OVER (
+    PARTITION BY number, taken ORDER BY k), 0) AS w FROM vs)
+SELECT 'src/long_' || number || '.py' AS path, (nr + 2)::BIGINT AS line,
+  'A tainted value (originating from a parameter of function ''run_' || number
+    || ''') reaches a shell command sink via variable '''
+    || CASE WHEN k % 2 = 0 THEN 'v' ELSE 'w' END
+    || ''' -- confirmed data-flow path, not just a structural pattern match.' AS message,
+  'run_' || number AS function_name
+FROM ws WHERE move > 3 AND CASE WHEN k % 2 = 0 THEN v ELSE w END = 1"""
+
+
 def oracles() -> dict[str, str]:
     rule_order = " ".join(f"WHEN '{rule}' THEN {at}" for at, rule in enumerate((
         "sql_injection", "command_injection", "hardcoded_secrets", "insecure_deserialization",
@@ -131,6 +151,7 @@ FROM (SELECT path, 2 AS line, 'eval(' || shown || ')' AS text FROM cases WHERE t
   UNION ALL SELECT path, 3, 'eval(x)' FROM cases WHERE t = 26
   UNION ALL SELECT path, 1, 'x = ' || shown || '; eval("1"); y = "{LONG}"' FROM cases WHERE t = 29
 )"""),
+        "case_long_taint": LONG_TAINT,
         "written_report": _with(
             f"""SELECT 'tier' AS kind, repo_id, tier AS "group", row_number() OVER (
     PARTITION BY repo_id, tier ORDER BY path, line, CASE rule_id {rule_order} END) AS position,
