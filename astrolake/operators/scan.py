@@ -10,6 +10,8 @@ from astrolake.operators import findings, quality, report
 from astrolake.operators.nodes import STATUS, Needs, parse_status, syntax_nodes, with_family
 from astrolake.operators.triggers import may_fire
 from astrolake.session import drop_table, tuned, write_table
+from astrolake.sources.node_store import NodeStore
+
 
 class Scan:
     """Parse once, read often.
@@ -22,11 +24,12 @@ class Scan:
     """
 
     def __init__(self, files: DataFrame, needs: Needs | None = None,
-                 parsed_if: Column | None = None):
+                 parsed_if: Column | None = None, store: str | None = None):
         self.spark = tuned(files.sparkSession)
         self.files = files
         self.needs = needs
         self.parsed_if = parsed_if
+        self.store = store
         self._tables: list[str] = []
 
     def __enter__(self) -> Scan:
@@ -52,11 +55,17 @@ class Scan:
         return cls(files, quality.QUALITY_NEEDS)
 
     @classmethod
-    def full(cls, files: DataFrame) -> Scan:
-        return cls(files, findings.rule_needs() | quality.QUALITY_NEEDS | STATUS)
+    def full(cls, files: DataFrame, store: str | None = None) -> Scan:
+        """Security, quality and parse status.  With the folder of a `store`, contents that an
+        earlier scan has parsed are taken from there, and new ones are added to it."""
+        return cls(files, findings.rule_needs() | quality.QUALITY_NEEDS | STATUS, store=store)
 
     @cached_property
     def nodes(self) -> DataFrame:
+        if self.store is not None:
+            held = NodeStore(self.spark, self.store, self.needs)
+            held.add(self.files)
+            return held.nodes(self.files)
         return self._written(syntax_nodes(self._to_parse(self.parsed_if), self.needs))
 
     def _to_parse(self, condition: Column | None) -> DataFrame:

@@ -131,6 +131,8 @@ def oracles() -> dict[str, str]:
     return {
         "case_security": _with(
             "SELECT path, line, rule_id, severity, confidence, function_name FROM found", FOUND),
+        "case_stored_scan": _with(
+            "SELECT path, line, rule_id, severity, confidence, function_name FROM found", FOUND),
         "case_quality": _with(
             'SELECT path, "check", line, function_name, metric_value FROM notes', _notes(QUALITY)),
         "case_metrics": _with(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from astrolake.functions import paths
 from astrolake.operators.scan import Scan
 from astrolake.operators import views
-from astrolake.operators.nodes import syntax_nodes
+from astrolake.operators.nodes import syntax_nodes, with_family
 from astrolake.sources.code_files import (
     COLUMNS,
     read_folder,
@@ -16,6 +16,7 @@ from astrolake.sources.code_files import (
     scannable,
     skipped_by_size,
 )
+from astrolake.sources.node_store import NodeStore
 from astrolake.sources.report_sink import write_report
 from astrolake.streaming.incremental import incoming_files, scan_stream
 from conftest import file_table
@@ -203,3 +204,63 @@ def test_equal_contents_are_parsed_once_without_sorting_them(spark):
     assert nodes.filter("kind = 'Module'").count() == 2
     plan = nodes._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+
+
+def findings_of(scan):
+    rows = scan.security_findings().drop("fix_suggestion").collect()
+    return sorted(map(str, rows)) + sorted(map(str, scan.quality_findings().collect()))
+
+
+def test_store_parses_only_new_contents(spark, tmp_path):
+    old = [("r", f"{i}.py", f"import os\nx = {i}\nos.system('ls' + x)\n") for i in range(200)]
+    new = [("r", "new.py", "eval(x)\n"), ("s", "broken.py", "def f(:"), ("s", "copy.py", old[3][2])]
+    folder = str(tmp_path / "store")
+    first = Scan.full(file_table(spark, old), folder)
+    held = NodeStore(spark, folder, first.needs)
+    assert first.status().count() == 200
+    files = file_table(spark, old + new)
+    again = Scan.full(files, folder)
+    assert findings_of(again) == findings_of(Scan.full(files))
+    sizes = held.contents().groupBy("batch").count().collect()
+    assert sorted(row["count"] for row in sizes) == [2, 200]
+    assert held.add(files).count() == 0
+    few = file_table(spark, new)
+    assert findings_of(Scan.full(few, folder)) == findings_of(Scan.full(few))
+    assert again.dashboard().orderBy("repo_id").collect() == \
+        Scan.full(files).dashboard().orderBy("repo_id").collect()
+
+
+def test_store_survives_failed_and_concurrent_runs(spark, tmp_path):
+    files = file_table(spark, [("r", "a.py", "eval(x)\n"), ("r", "b.py", "exec(x)\n")])
+    folder = str(tmp_path / "store")
+    plain = Scan.full(files)
+    held = NodeStore(spark, folder, plain.needs)
+    lost = with_family(syntax_nodes(files, plain.needs))
+    lost.write.partitionBy("family").parquet(f"{held.base}/nodes/batch=lost")
+    wanted = findings_of(plain)
+    assert findings_of(Scan.full(files, folder)) == wanted
+    # another run had parsed the same contents and ends now
+    files.select("content_sha").write.parquet(f"{held.base}/contents/batch=lost")
+    assert held.contents().count() == 2
+    assert findings_of(Scan.full(files, folder)) == wanted
+    none = files.filter("path = 'none'")
+    assert findings_of(Scan.full(none, str(tmp_path / "empty"))) == []
+
+
+def test_stream_with_a_store_parses_copies_once(spark, tmp_path):
+    drop, folder = str(tmp_path / "drop"), str(tmp_path / "store")
+    schema = "repo_id string, path string, content binary"
+    found = lambda out: sorted(map(str, spark.read.parquet(
+        f"{out}/security_findings").drop("batch_id").collect()))
+    for repo in ("r", "s"):
+        rows = [(repo, n, bytearray(t.encode())) for n, t in PLANTED.items()]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(drop)
+        scan_stream(incoming_files(spark, drop), str(tmp_path / "kept"), str(tmp_path / "c1"),
+                    folder).awaitTermination()
+    scan_stream(incoming_files(spark, drop), str(tmp_path / "plain"),
+                str(tmp_path / "c2")).awaitTermination()
+    assert len(found(tmp_path / "kept")) == 22
+    assert found(tmp_path / "kept") == found(tmp_path / "plain")
+    held = NodeStore(spark, folder, Scan.full(file_table(spark, [])).needs)
+    sizes = [row["count"] for row in held.contents().groupBy("batch").count().collect()]
+    assert sizes == [len(PLANTED)]
