@@ -154,6 +154,10 @@ FROM (SELECT path, 2 AS line, 'eval(' || shown || ')' AS text FROM cases WHERE t
   UNION ALL SELECT path, 1, 'x = ' || shown || '; eval("1"); y = "{LONG}"' FROM cases WHERE t = 29
 )"""),
         "case_long_taint": LONG_TAINT,
+        "replaced_report": _with(
+            """SELECT repo_id, path, line, rule_id, CASE WHEN confidence <> 'low' THEN severity
+  WHEN severity = 'high' THEN 'medium' ELSE 'low' END AS effective_severity
+FROM found WHERE NOT (contains(repo_id, '7') AND contains(path, '1'))""", FOUND),
         "written_report": _with(
             f"""SELECT 'tier' AS kind, repo_id, tier AS "group", row_number() OVER (
     PARTITION BY repo_id, tier ORDER BY path, line, CASE rule_id {rule_order} END) AS position,

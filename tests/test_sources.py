@@ -17,7 +17,13 @@ from astrolake.sources.code_files import (
     skipped_by_size,
 )
 from astrolake.sources.node_store import NodeStore
-from astrolake.sources.report_sink import write_report
+from astrolake.sources.report_sink import (
+    drop_replaced_runs,
+    finished_runs,
+    read_report,
+    replace_report,
+    write_report,
+)
 from astrolake.streaming.incremental import incoming_files, scan_stream
 from conftest import file_table
 
@@ -264,3 +270,46 @@ def test_stream_with_a_store_parses_copies_once(spark, tmp_path):
     held = NodeStore(spark, folder, Scan.full(file_table(spark, [])).needs)
     sizes = [row["count"] for row in held.contents().groupBy("batch").count().collect()]
     assert sizes == [len(PLANTED)]
+
+
+def test_report_is_replaced_by_repository(spark, tmp_path):
+    path = str(tmp_path / "report")
+    rows = [(repo, name, text) for repo in ("a", "b", "c") for name, text in PLANTED.items()]
+    table = lambda name: read_report(spark, path, name)
+
+    def count(name="security_findings"):
+        return {r.repo_id: r["count"] for r in table(name).groupBy("repo_id").count().collect()}
+
+    with pytest.raises(FileNotFoundError):
+        table("dashboard")
+    replace_report(Scan.full(file_table(spark, rows)), path)
+    before = {name: sorted(map(str, table(name).filter("repo_id <> 'b'").collect()))
+              for name in ("security_findings", "findings_by_tier", "dashboard", "category_counts")}
+    assert count() == {"a": 11, "b": 11, "c": 11}
+
+    # a run that ends before its manifest changes nothing
+    one = file_table(spark, [("b", "one.py", PLANTED["one.py"])])
+    write_report(Scan.full(one), f"{path}/runs/run=00000002-0f")
+    assert count() == {"a": 11, "b": 11, "c": 11}
+
+    replace_report(Scan.full(one), path)
+    assert count() == {"a": 11, "b": 1, "c": 11}
+    for name, kept in before.items():
+        assert sorted(map(str, table(name).filter("repo_id <> 'b'").collect())) == kept
+    assert table("dashboard").filter("repo_id = 'b'").first().risk_score == 7.0
+
+    # a repository without a file left loses its rows, one without findings keeps its dashboard row
+    clean = file_table(spark, [("c", "x.py", "x = 1")])
+    replace_report(Scan.full(clean), path, spark.createDataFrame([("a",)], "repo_id string"))
+    assert count() == {"b": 1} and count("dashboard") == {"b": 1, "c": 1}
+    runs = finished_runs(spark, path)
+    assert drop_replaced_runs(spark, path) == runs[:1]
+    assert count() == {"b": 1} and finished_runs(spark, path) == runs[1:]
+
+
+def test_replaced_report_without_findings(spark, tmp_path):
+    path = str(tmp_path / "report")
+    replace_report(Scan.full(file_table(spark, [("a", "x.py", "x = 1")])), path)
+    assert read_report(spark, path, "security_findings").count() == 0
+    with pytest.raises(ValueError):
+        read_report(spark, path, "nothing")
