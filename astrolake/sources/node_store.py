@@ -72,6 +72,8 @@ class NodeStore:
         """Parse the contents of `files` the store does not hold.  Gives their hashes."""
         known = self._read("contents", "content_sha string").select("content_sha")
         fresh = files.join(known, "content_sha", "left_anti")
+        if fresh.select("content_sha").isEmpty():  # hashes alone; no batch without contents
+            return fresh.select("content_sha")
         batch = uuid.uuid4().hex
         nodes = f"{self.base}/nodes/batch={batch}"
         with_family(syntax_nodes(fresh, self.needs)).write.partitionBy("family").parquet(nodes)

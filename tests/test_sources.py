@@ -230,6 +230,7 @@ def test_store_parses_only_new_contents(spark, tmp_path):
     sizes = held.contents().groupBy("batch").count().collect()
     assert sorted(row["count"] for row in sizes) == [2, 200]
     assert held.add(files).count() == 0
+    assert len(held._batches()) == 2
     few = file_table(spark, new)
     assert findings_of(Scan.full(few, folder)) == findings_of(Scan.full(few))
     assert again.dashboard().orderBy("repo_id").collect() == \
