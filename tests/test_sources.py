@@ -308,6 +308,15 @@ def test_report_is_replaced_by_repository(spark, tmp_path):
     assert count() == {"b": 1} and finished_runs(spark, path) == runs[1:]
 
 
+def test_rows_without_a_repository_stay_in_the_report(spark, tmp_path):
+    path = str(tmp_path / "report")
+    rows = [(None, "a.py", "eval(x)\n"), ("b", "b.py", "eval(x)\n")]
+    replace_report(Scan.full(file_table(spark, rows)), path)
+    replace_report(Scan.full(file_table(spark, rows[1:])), path)
+    found = read_report(spark, path, "security_findings").collect()
+    assert sorted((str(r.repo_id), r.path) for r in found) == [("None", "a.py"), ("b", "b.py")]
+
+
 def test_replaced_report_without_findings(spark, tmp_path):
     path = str(tmp_path / "report")
     replace_report(Scan.full(file_table(spark, [("a", "x.py", "x = 1")])), path)
