@@ -1,17 +1,19 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame operations only.
 
 A line descends the tree by its number of tokens and then by its leading tokens; the leaf holds the
-lines that agree in both.  Tokens with a digit are variable fields (`<*>`).  In a leaf, three
-templates generalise a line:
+lines that agree in both.  In a leaf, templates generalise a line:
 
-* all tokens, with the variable fields open;
-* the first half of the tokens behind the leading ones, the second half open;
-* the second half, the first half open.
+* the line as a whole, with the tokens that hold a digit open (`<*>`), if at least half of its tokens
+  and at least `MIN_FIELDS_FIXED` are fixed; else the line as it stands, so that rows of numbers,
+  dates and amounts only recur if they are equal;
+* three more, each with one window of the tokens behind the leading ones open as well.  A window is
+  a third of those tokens, at most three tenths of the line, and a template counts only if at least
+  two thirds of the tokens, and at least `MIN_FIXED`, are fixed even if the window held no number.
 
-Two lines of one leaf whose differences lie within one half so share a template.  A template with
-half of its tokens open counts only if enough of its tokens are fixed, as common words alone would
-otherwise make one.  A template that occurs in enough documents recurs; its first line stays, its
-other lines are dropped.
+Two lines of one leaf whose differences lie within one window so share a template, and a line with
+a unique half shares none.  A template that occurs in enough documents recurs; its first line stays,
+its other lines are dropped.  A line of `LONG` tokens or more is a passage: as a whole it recurs in
+two documents already.
 
 Templates are compared by two 64-bit hashes, so a line costs a few numbers in the shuffles and its
 text none.  Documents per template are counted with partial aggregation, so a line that stands in a
@@ -28,44 +30,61 @@ from astrolake.session import settled
 DEPTH = 3
 MIN_DOCS = 3
 MIN_FIXED = 8
+MIN_FIELDS_FIXED = 4
+LONG = 50
+LONG_DOCS = 2
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line, those with a digit open."""
-    plain = F.when(line.contains("\t") | line.contains("\r"), F.translate(line, "\t\r", "  ")) \
-        .otherwise(line)
-    bare = F.trim(plain)
-    masked = F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, "[^ ]*[0-9][^ ]*", "<*>")) \
+def _fields_open(bare: Column) -> Column:
+    """A trimmed line, its tokens with a digit open."""
+    return F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, "[^ ]*[0-9][^ ]*", "<*>")) \
         .otherwise(bare)
-    return F.split(masked, " ")
 
 
 def templates(lines: DataFrame, depth: int = DEPTH, min_fixed: int = MIN_FIXED) -> DataFrame:
-    """Rows of `lines` with the hashes `leaf` and `template` of each template of `_line`; a blank
-    line has none.
+    """Rows of `lines` with `leaf`, `template` and `passage` (a long line as a whole) of each template
+    of `_line`; a blank line has none.
 
     Each step is a column of its own, kept apart by a generator: the optimizer would otherwise put
     the split into every place that uses it.
     """
     kept = [name for name in lines.columns if name != "_line"]
-    split = lines.select(
-        *kept, F.explode(F.array(_tokens(F.col("_line")))).alias("_tokens")
-    ).where(F.col("_tokens")[0] != "")
+    line = F.col("_line")
+    plain = F.when(line.contains("\t") | line.contains("\r"), F.translate(line, "\t\r", "  ")) \
+        .otherwise(line)
+    bare = lines.select(*kept, F.trim(plain).alias("_bare")).where(F.col("_bare") != "")
+    opened = bare.select(
+        *kept, "_bare", F.explode(F.array(_fields_open(F.col("_bare")))).alias("_open"))
+    split = opened.select(
+        *kept, "_bare", "_open", F.explode(F.array(F.split("_open", " "))).alias("_tokens"))
     size = F.size("_tokens")
+    marks = (F.length("_open") - F.length(F.replace("_open", F.lit("<*>"), F.lit("")))) / 3
     rest = F.greatest(size - depth, F.lit(0))
-    half = F.floor(rest / 2).cast("int")
-    hashed = split.select(
-        *kept, size.alias("_size"), half.alias("_half"), rest.alias("_rest"),
-        F.xxhash64(size, F.slice("_tokens", 1, depth)).alias("leaf"),
-        F.xxhash64(F.lit("whole"), "_tokens").alias("_whole"),
-        F.xxhash64(F.lit("head"), F.slice("_tokens", depth + 1, half)).alias("_head"),
-        F.xxhash64(F.lit("tail"), F.slice("_tokens", F.lit(depth + 1) + half, rest - half))
-        .alias("_tail"),
+    sized = split.select(
+        *kept, "_bare", "_open", "_tokens", size.alias("_size"), rest.alias("_rest"),
+        (size - marks.cast("int")).alias("_fixed"),
+        F.least(F.ceil(rest / 3), F.floor(size * 3 / 10)).cast("int").alias("_wide"),
     )
-    found = F.when(depth + F.col("_half") >= min_fixed, F.array("_whole", "_head", "_tail")).when(
-        depth + F.col("_rest") - F.col("_half") >= min_fixed, F.array("_whole", "_tail")
-    ).otherwise(F.array("_whole"))
-    return hashed.select(*kept, "leaf", F.explode(found).alias("template"))
+    n, fixed, wide = F.col("_size"), F.col("_fixed"), F.col("_wide")
+    whole = F.when((2 * fixed >= n) & (fixed >= MIN_FIELDS_FIXED), F.col("_open")) \
+        .otherwise(F.col("_bare"))
+
+    def window(number: int, start: Column) -> Column:
+        behind = depth + start + wide
+        return F.xxhash64(F.lit(number), F.slice("_tokens", F.lit(1), depth + start),
+                          F.slice("_tokens", behind + 1, n - behind))
+
+    spare = F.col("_rest") - wide
+    starts = [F.lit(0), F.floor(spare / 2).cast("int"), spare]
+    counts = (wide > 0) & (3 * (fixed - wide) >= 2 * n) & (fixed - wide >= min_fixed)
+    whole_hash = F.xxhash64(F.lit(0), whole)
+    hashes = F.when(counts, F.array(
+        whole_hash, *(window(number, start) for number, start in enumerate(starts, start=1))
+    )).otherwise(F.array(whole_hash))
+    return sized.select(
+        *kept, F.xxhash64(n, F.slice("_tokens", 1, depth)).alias("leaf"),
+        (n >= LONG).alias("_long"), F.posexplode(hashes).alias("_number", "template"),
+    ).select(*kept, "leaf", "template", (F.col("_long") & (F.col("_number") == 0)).alias("passage"))
 
 
 def drop_recurring_lines(df: DataFrame, id_column: str, text_column: str, depth: int = DEPTH,
@@ -73,8 +92,8 @@ def drop_recurring_lines(df: DataFrame, id_column: str, text_column: str, depth:
     """`df` with the recurring lines taken out of its text column.
 
     Lines are what stands between \\n; tokens are what stands between spaces (tabs and \\r count as
-    spaces).  A template recurs if it occurs in at least `min_docs` documents.  Its first line, by
-    id (null last), then position, stays.  A line is dropped if it is not the first of some
+    spaces).  A template recurs if it occurs in at least `min_docs` documents, a line of `LONG` tokens
+    or more as a whole in `LONG_DOCS`.  Its first line, by id (null last), then position, stays.  A line is dropped if it is not the first of some
     recurring template it has.  Blank lines stay, null texts stay null, a text that loses all lines
     becomes empty.  Rows equal in id and text are one document and are treated alike.
     """
@@ -86,13 +105,16 @@ def drop_recurring_lines(df: DataFrame, id_column: str, text_column: str, depth:
     )
     found = templates(lines, depth, min_fixed)
     place = F.struct(F.col("_id").isNull().alias("last"), "_id", "_doc", "_at")
-    per_document = found.groupBy("leaf", "template", "_id", "_doc").agg(F.min("_at").alias("_at"))
+    per_document = found.groupBy("leaf", "template", "_id", "_doc").agg(
+        F.min("_at").alias("_at"), F.max("passage").alias("passage"))
     recurring = settled(
         per_document.groupBy("leaf", "template")
-        .agg(F.count("*").alias("docs"), F.min(place).alias("first"))
-        .where(F.col("docs") >= min_docs).select("leaf", "template", "first")
+        .agg(F.count("*").alias("docs"), F.min(place).alias("first"),
+             F.max("passage").alias("passage"))
+        .where((F.col("docs") >= min_docs) | F.col("passage") & (F.col("docs") >= LONG_DOCS))
+        .select("leaf", "template", "first")
     )
-    dropped = found.join(recurring, ["leaf", "template"]).where(place != F.col("first"))
+    dropped = found.drop("passage").join(recurring, ["leaf", "template"]).where(place != F.col("first"))
     # A document's dropped positions are at most its lines.
     by_document = dropped.groupBy("_id", "_doc").agg(F.collect_set("_at").alias("_dropped"))
     by_document = by_document.select(

@@ -12,23 +12,31 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents WHERE text IS NOT NULL),
+bare AS (
+  SELECT doc_id, pos, trim(translate(line, chr(9) || chr(13), '  '), ' ') AS b FROM lines),
+opened AS (
+  SELECT doc_id, pos, b, regexp_replace(b, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS o
+  FROM bare WHERE b <> ''),
 tokens AS (
-  SELECT doc_id, pos, line, string_split(regexp_replace(
-           trim(translate(line, chr(9) || chr(13), '  '), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g'),
-           ' ') AS t
-  FROM lines WHERE trim(translate(line, chr(9) || chr(13), '  '), ' ') <> ''),
+  SELECT doc_id, pos, b, o, string_split(o, ' ') AS t, len(string_split(o, ' ')) AS n,
+         (length(o) - length(replace(o, '<*>', ''))) // 3 AS marks
+  FROM opened),
 sized AS (
-  SELECT doc_id, pos, t, len(t) AS n, greatest(len(t) - 3, 0) AS rest,
-         greatest(len(t) - 3, 0) // 2 AS half, [len(t)::VARCHAR] || t[1:3] AS leaf
-  FROM tokens),
+  SELECT *, n - marks AS fixed, greatest(n - 3, 0) AS rest,
+         least((greatest(n - 3, 0) + 2) // 3, n * 3 // 10) AS w,
+         [n::VARCHAR] || t[1:3] AS leaf FROM tokens),
+windows AS (
+  SELECT *, unnest([0, (rest - w) // 2, rest - w]) AS start, unnest([1, 2, 3]) AS number
+  FROM sized WHERE w > 0 AND 3 * (fixed - w) >= 2 * n AND fixed - w >= 8),
 keys AS (
-  SELECT doc_id, pos, leaf || ['whole'] || t AS key FROM sized
-  UNION ALL SELECT doc_id, pos, leaf || ['head'] || t[4:3 + half] FROM sized WHERE 3 + half >= 8
-  UNION ALL SELECT doc_id, pos, leaf || ['tail'] || t[4 + half:] FROM sized
-            WHERE 3 + rest - half >= 8),
+  SELECT doc_id, pos, n >= 50 AS passage, leaf || ['0', CASE WHEN 2 * fixed >= n AND fixed >= 4
+           THEN o ELSE b END] AS key FROM sized
+  UNION ALL
+  SELECT doc_id, pos, false, leaf || [number::VARCHAR] || t[1:3 + start] || ['...']
+           || t[4 + start + w:] FROM windows),
 recurring AS (
-  SELECT key, min({'d': doc_id, 'a': pos}) AS first FROM keys
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+  SELECT key, min({'d': doc_id, 'a': pos}) AS first FROM keys GROUP BY key
+  HAVING count(DISTINCT doc_id) >= CASE WHEN bool_or(passage) THEN 2 ELSE 3 END),
 dropped AS (
   SELECT DISTINCT k.doc_id, k.pos FROM keys k JOIN recurring r ON k.key = r.key
   WHERE r.first <> {'d': k.doc_id, 'a': k.pos}),

@@ -3,22 +3,27 @@
 import re
 from collections import defaultdict
 
-from astrolake.llm.line_dedup import DEPTH, MIN_DOCS, MIN_FIXED, drop_recurring_lines
+from astrolake.llm.line_dedup import (
+    DEPTH, LONG, LONG_DOCS, MIN_DOCS, MIN_FIELDS_FIXED, MIN_FIXED, drop_recurring_lines,
+)
 
 
 def keys_of(line):
+    """(key, documents it needs) of a line."""
     bare = line.replace("\t", " ").replace("\r", " ").strip(" ")
     if not bare:
         return []
     tokens = re.sub("[^ ]*[0-9][^ ]*", "<*>", bare).split(" ")
-    rest = max(len(tokens) - DEPTH, 0)
-    half = rest // 2
-    leaf = (len(tokens), *tokens[:DEPTH])
-    out = [(leaf, "whole", *tokens)]
-    if DEPTH + half >= MIN_FIXED:
-        out.append((leaf, "head", *tokens[DEPTH:DEPTH + half]))
-    if DEPTH + rest - half >= MIN_FIXED:
-        out.append((leaf, "tail", *tokens[DEPTH + half:]))
+    n, fixed = len(tokens), len(tokens) - " ".join(tokens).count("<*>")
+    whole = tokens if 2 * fixed >= n and fixed >= MIN_FIELDS_FIXED else bare.split(" ")
+    leaf = (n, *tokens[:DEPTH])
+    out = [((leaf, "whole", *whole), LONG_DOCS if n >= LONG else MIN_DOCS)]
+    rest = max(n - DEPTH, 0)
+    wide = min(-(-rest // 3), n * 3 // 10)
+    if wide and 3 * (fixed - wide) >= 2 * n and fixed - wide >= MIN_FIXED:
+        for number, start in enumerate((0, (rest - wide) // 2, rest - wide)):
+            cut = DEPTH + start
+            out.append(((leaf, number, *tokens[:cut], None, *tokens[cut + wide:]), MIN_DOCS))
     return out
 
 
@@ -26,7 +31,7 @@ def expected(rows):
     docs, first = defaultdict(set), {}
     for doc, text in rows:
         for at, line in enumerate(text.split("\n")) if text is not None else ():
-            for key in keys_of(line):
+            for key, _ in keys_of(line):
                 place = (doc is None, doc or 0, text, at)
                 docs[key].add((doc, text))
                 first[key] = min(first.get(key, place), place)
@@ -37,8 +42,8 @@ def expected(rows):
             continue
         kept = [
             line for at, line in enumerate(text.split("\n")) if not any(
-                len(docs[key]) >= MIN_DOCS and first[key] != (doc is None, doc or 0, text, at)
-                for key in keys_of(line))
+                len(docs[key]) >= least and first[key] != (doc is None, doc or 0, text, at)
+                for key, least in keys_of(line))
         ]
         out.append((doc, "\n".join(kept)))
     return out
@@ -76,6 +81,44 @@ def test_two_documents_are_no_recurrence(spark):
     assert sorted(run(spark, rows)) == rows
 
 
+def test_lines_that_must_stay(spark):
+    """Stated independently of the templates: what these lines say stands nowhere else."""
+    head = "we met the whole team in the old harbour office on that day"
+    rows = [
+        (1, "12 340 7\n2021-03-04\nTotal 45.30\n" + head + " and spoke about the budget of the new"
+            " wing until late at night"),
+        (2, "99 1 2\n2019-01-02\nTotal 17.00\n" + head + " before anna presented her plans for two"
+            " gardens behind the main house"),
+        (3, "5 6 7\n1987-07-08\nTotal 3.99\n" + head + " while rain fell without end so nobody could"
+            " leave for home by boat"),
+    ]
+    assert sorted(run(spark, rows)) == rows
+
+
+def test_equal_rows_of_numbers_and_boilerplate_go(spark):
+    notice = "all rights are reserved by the owner and no part may be copied without written leave"
+    rows = [(i, f"1 2 3\n{notice}\nown {'abc'[i]}") for i in range(3)]
+    got = dict(run(spark, rows))
+    assert got == {0: rows[0][1], 1: "own b", 2: "own c"}
+
+
+def test_fields_within_one_window_are_open(spark):
+    rows = [(i, f"this page was written by {name} for the readers of our small weekly paper")
+            for i, name in enumerate(["ann", "bob", "cyd"])]
+    assert dict(run(spark, rows)) == {0: rows[0][1], 1: "", 2: ""}
+
+
+def test_a_passage_recurs_in_two_documents(spark):
+    passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, passage + "\nx"), (2, "y\n" + passage)]
+    assert sorted(run(spark, rows)) == [rows[0], (2, "y")]
+
+
+def test_a_long_text_of_one_line(spark):
+    rows = [(i, "word " * 400_000 + "abc"[i]) for i in range(2)] + [(3, None)]
+    assert sorted(run(spark, rows)) == sorted(rows)
+
+
 def test_nulls_empty_texts_repeats_and_order(spark):
     rows = [(None, "a b\n\nc"), (1, None), (2, ""), (3, "a b\r"), (4, "a b\n\na b"), (4, "a b\n\na b"),
             (5, "\n")]
