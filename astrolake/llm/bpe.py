@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable
-from itertools import chain
+from collections.abc import Callable, Iterable
+from itertools import chain, count
 
 import numpy as np
 import public_tokenizers
@@ -222,6 +222,19 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: general(text) if _OTHER(text) else plain(text)
 
 
+class _Numbers(dict):
+    """Numbers of words, in the order of their first use; `new` holds those without ids."""
+
+    def __init__(self, known: Iterable[str] = ()):
+        super().__init__(zip(known, count()))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 class WordTable:
     """Ids of the words met so far, in one flat array.
 
@@ -234,7 +247,7 @@ class WordTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.flat = np.empty(0, np.int32)
         self.start = np.empty(0, np.int64)
         self.length = np.empty(0, np.int64)
@@ -246,9 +259,7 @@ class WordTable:
             self._clear()
             return
         again = self.uses > 1
-        self.index = {
-            word: at for at, word in enumerate(w for w, i in self.index.items() if again[i])
-        }
+        self.index = _Numbers(w for w, i in self.index.items() if again[i])
         self.flat = gather(self.flat, self.start[kept], self.length[kept])
         self.length = self.length[kept]
         self.start = np.cumsum(self.length) - self.length
@@ -260,21 +271,23 @@ class WordTable:
             self._shrink()
         split = [self.findall(text) for text in texts]
         index = self.index
-        new = [word for word in set().union(*split) if word not in index]
-        if new:
-            ids = self.encode_words([word.encode() for word in new])
-            base = len(index)
-            index.update(zip(new, range(base, base + len(new))))
+        counts = np.array([len(words) for words in split], np.int64)
+        at = np.fromiter(
+            map(index.__getitem__, chain.from_iterable(split)), np.int64, counts.sum()
+        )
+        if index.new:
+            new, index.new = index.new, []
+            try:
+                ids = self.encode_words([word.encode() for word in new])
+            except Exception:
+                self._clear()  # a table with words without ids must not outlive its task
+                raise
             length = np.array([len(x) for x in ids], np.int64)
             start = np.cumsum(length) - length + len(self.flat)
             self.flat = np.concatenate([self.flat, *ids])
             self.start = np.concatenate([self.start, start])
             self.length = np.concatenate([self.length, length])
             self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-        counts = np.array([len(words) for words in split], np.int64)
-        at = np.fromiter(
-            map(index.__getitem__, chain.from_iterable(split)), np.int64, counts.sum()
-        )
         self.uses += np.bincount(at, minlength=len(self.uses))
         length = self.length[at]
         bounds = np.concatenate([[0], np.cumsum(counts)])
