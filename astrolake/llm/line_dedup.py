@@ -42,8 +42,8 @@ def _fields_open(bare: Column) -> Column:
 
 
 def templates(lines: DataFrame, depth: int = DEPTH, min_fixed: int = MIN_FIXED) -> DataFrame:
-    """Rows of `lines` with `leaf`, `template` and `passage` (a long line as a whole) of each template
-    of `_line`; a blank line has none.
+    """Rows of `lines` with `leaf` and `template` of each template of `_line`; a blank line has none.
+    The lowest bit of `template` is 1 for a long line as a whole.
 
     Each step is a column of its own, kept apart by a generator: the optimizer would otherwise put
     the split into every place that uses it.
@@ -77,14 +77,14 @@ def templates(lines: DataFrame, depth: int = DEPTH, min_fixed: int = MIN_FIXED)
     spare = F.col("_rest") - wide
     starts = [F.lit(0), F.floor(spare / 2).cast("int"), spare]
     counts = (wide > 0) & (3 * (fixed - wide) >= 2 * n) & (fixed - wide >= min_fixed)
-    whole_hash = F.xxhash64(F.lit(0), whole)
-    hashes = F.when(counts, F.array(
-        whole_hash, *(window(number, start) for number, start in enumerate(starts, start=1))
-    )).otherwise(F.array(whole_hash))
+    whole_hash = F.xxhash64(F.lit(0), whole).bitwiseAND(-2).bitwiseOR((n >= LONG).cast("long"))
+    hashes = F.when(counts, F.array(whole_hash, *(
+        window(number, start).bitwiseAND(-2) for number, start in enumerate(starts, start=1)
+    ))).otherwise(F.array(whole_hash))
     return sized.select(
         *kept, F.xxhash64(n, F.slice("_tokens", 1, depth)).alias("leaf"),
-        (n >= LONG).alias("_long"), F.posexplode(hashes).alias("_number", "template"),
-    ).select(*kept, "leaf", "template", (F.col("_long") & (F.col("_number") == 0)).alias("passage"))
+        F.explode(hashes).alias("template"),
+    )
 
 
 def drop_recurring_lines(df: DataFrame, id_column: str, text_column: str, depth: int = DEPTH,
@@ -105,16 +105,15 @@ def drop_recurring_lines(df: DataFrame, id_column: str, text_column: str, depth:
     )
     found = templates(lines, depth, min_fixed)
     place = F.struct(F.col("_id").isNull().alias("last"), "_id", "_doc", "_at")
-    per_document = found.groupBy("leaf", "template", "_id", "_doc").agg(
-        F.min("_at").alias("_at"), F.max("passage").alias("passage"))
+    passage = F.col("template").bitwiseAND(1) == 1
+    per_document = found.groupBy("leaf", "template", "_id", "_doc").agg(F.min("_at").alias("_at"))
     recurring = settled(
         per_document.groupBy("leaf", "template")
-        .agg(F.count("*").alias("docs"), F.min(place).alias("first"),
-             F.max("passage").alias("passage"))
-        .where((F.col("docs") >= min_docs) | F.col("passage") & (F.col("docs") >= LONG_DOCS))
+        .agg(F.count("*").alias("docs"), F.min(place).alias("first"))
+        .where((F.col("docs") >= min_docs) | passage & (F.col("docs") >= LONG_DOCS))
         .select("leaf", "template", "first")
     )
-    dropped = found.drop("passage").join(recurring, ["leaf", "template"]).where(place != F.col("first"))
+    dropped = found.join(recurring, ["leaf", "template"]).where(place != F.col("first"))
     # A document's dropped positions are at most its lines.
     by_document = dropped.groupBy("_id", "_doc").agg(F.collect_set("_at").alias("_dropped"))
     by_document = by_document.select(
