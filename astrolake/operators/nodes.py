@@ -17,7 +17,7 @@ from typing import NamedTuple, get_args
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -610,8 +610,37 @@ def syntax_nodes(files: DataFrame, needs: Needs | None = None) -> DataFrame:
     return distinct_contents(files).mapInArrow(parse, schema)
 
 
-def source_lines(files: DataFrame) -> DataFrame:
-    """(content_sha, line, text) for every line of every readable file."""
+# What ends a line of source text; \r\n is one end.
+_LINE_END = "(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
+LINE_SCHEMA = "content_sha string, line int, text string"
+
+
+def _plain_utf8() -> Column:
+    """Whether a content is read as UTF-8 for certain: nothing in its first two lines could declare a
+    codec, and it has no zero byte."""
+    text = F.col("content").cast("string")
+    return ~F.substring_index(text, "\n", 2).rlike("coding[:=]") & ~F.contains(text, F.lit("\0"))
+
+
+def _utf8_lines(files: DataFrame) -> DataFrame:
+    """Lines of contents without codec line, by Spark alone; wrong UTF-8 has none."""
+    text = F.col("content").cast("string")
+    bom = F.lit("\ufeff")
+    decoded = distinct_contents(files).where(F.is_valid_utf8(text)).select(
+        "content_sha",
+        F.when(F.startswith(text, bom), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+        .alias("_text"),
+    )
+    # The end of the last line begins no other; an empty file has no line.
+    return decoded.where("_text <> ''").select(
+        "content_sha",
+        F.posexplode(F.split(F.regexp_replace("_text", _LINE_END + "\\z", ""), _LINE_END))
+        .alias("_at", "text"),
+    ).select("content_sha", (F.col("_at") + 1).alias("line"), "text")
+
+
+def _codec_lines(files: DataFrame) -> DataFrame:
+    """Lines of any contents, decoded as Python reads them."""
     schema = pa.schema([("content_sha", pa.string()), ("line", pa.int32()), ("text", pa.string())])
 
     def split(batches):
@@ -626,7 +655,18 @@ def source_lines(files: DataFrame) -> DataFrame:
 
         yield from _batches(rows(), schema)
 
-    return distinct_contents(files).mapInArrow(split, "content_sha string, line int, text string")
+    return distinct_contents(files).mapInArrow(split, LINE_SCHEMA)
+
+
+def source_lines(files: DataFrame) -> DataFrame:
+    """(content_sha, line, text) for every line of every readable file.
+
+    Contents read as UTF-8, with or without a byte-order mark, are decoded and split in the JVM; only
+    those whose first lines may name a codec go through Python.  A null content has no lines.
+    """
+    plain = F.coalesce(_plain_utf8(), F.lit(True))
+    files = files.where("content IS NOT NULL")
+    return _utf8_lines(files.where(plain)).unionByName(_codec_lines(files.where(~plain)))
 
 
 def parse_status(nodes: DataFrame) -> DataFrame:

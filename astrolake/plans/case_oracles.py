@@ -153,6 +153,12 @@ FROM (SELECT path, 2 AS line, 'eval(' || shown || ')' AS text FROM cases WHERE t
   UNION ALL SELECT path, 3, 'eval(x)' FROM cases WHERE t = 26
   UNION ALL SELECT path, 1, 'x = ' || shown || '; eval("1"); y = "{LONG}"' FROM cases WHERE t = 29
 )"""),
+        "case_source_lines": _with(
+            f"""SELECT path, unnest(range(1, len(lines) + 1))::BIGINT AS line, unnest(lines) AS text
+FROM (SELECT path, CASE t WHEN 25 THEN ['x = ''' || shown || '''', 'eval(x)']
+    WHEN 26 THEN ['# -*- coding: latin-1 -*-', 'x = ''é' || shown || '''', 'eval(x)']
+    ELSE ['x = ' || shown || ';', 'eval("1");', 'y = "{LONG}"', 'eval(x)'] END AS lines
+  FROM cases WHERE t IN (25, 26, 29))"""),
         "case_long_taint": LONG_TAINT,
         "replaced_report": _with(
             """SELECT repo_id, path, line, rule_id, CASE WHEN confidence <> 'low' THEN severity

@@ -208,6 +208,37 @@ def test_source_lines(spark):
     ]
 
 
+def test_source_lines_equal_python(spark):
+    ends = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    texts = ["", "\n", "a", "a\n\n", "\n\r", "\r\n\r\n", " \t", "x = 'é\U0001f600'\n#\n"]
+    texts += [f"a{end}b{end}{end}c{end}" for end in ends] + ["".join(ends), "\n" * 5 + "z"]
+    raws = [text.encode() for text in texts] + [b"\xef\xbb\xbf" + t.encode() for t in texts]
+    raws += [
+        b"# coding: latin-1\nx = '\xe9'\n", b"\n# -*- coding: cp1252 -*-\ny = '\x80'\n",
+        b"\n\n# coding: latin-1\nx = 1\n", b"# coding: nope\n", b"\xff\n", b"a\n\xed\xa0\x80\n",
+        b"\xef\xbb\xbf\xef\xbb\xbfx\n", b"x\0y\nz\n", b"decoding = 1\nencoding=2\n",
+        b"line\n" * 300_000,
+    ]
+    files = file_table(spark, [("r", f"f{at}.py", raw) for at, raw in enumerate(raws)])
+    expected = []
+    for at, raw in enumerate(raws):
+        try:
+            lines = N.read_source(raw).splitlines()
+        except (SyntaxError, UnicodeDecodeError, LookupError):
+            continue
+        expected += [(f"f{at}.py", number, text) for number, text in enumerate(lines, start=1)]
+    found = files.join(N.source_lines(files), "content_sha").select("path", "line", "text")
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_utf8_lines_need_no_python(spark):
+    files = file_table(spark, [("r", "a.py", b"x\ny\n"), ("r", "b.py", b"# coding: latin-1\nx\n")])
+    plan = N._utf8_lines(files)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    both = N.source_lines(files)._jdf.queryExecution().executedPlan().toString()
+    assert both.count("MapInArrow") == 1
+
+
 def test_long_lines_keep_their_snippet(scan_cases):
     padding = "x" * 3000
     line = f"eval(a); eval(b); y = '{padding}'"
