@@ -128,7 +128,7 @@ def _count(kind: str) -> Column:
 @query
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 largest integer inner products of every 50th vector with all other vectors."""
-    rows = vectors.uniform(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    rows = vectors.uniform(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", mixed=True)
     whole = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256)).alias("v"))
     return topk.top_k(whole, F.col("vec_id") % 50 == 0, 5)
 

@@ -14,8 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from astrolake.session import settled
+
 ROWS = 4096
-QUERIES = 1024
+# Bytes of the queries a task holds.  The rows are copied once for each block of queries, and scores
+# are kept for one query at a time, so the blocks of queries are the large ones.
+QUERY_BYTES = 32 << 20
 # A sum of products must stay below this to be exact in 64 bits.
 LARGEST = float(2**62)
 
@@ -42,12 +46,13 @@ def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray,
                  k: int) -> tuple[list[int], list[int], list[int]]:
     """(query, row id, score) of each query's k best rows in a block, its own row left out."""
-    if len(rows) and len(queries):
-        size = float(np.abs(rows).max()) * float(np.abs(queries).max()) * rows.shape[1]
-        if size >= LARGEST:
-            raise ValueError("scores exceed 64 bits")
-    lists = postings(rows)
     out: tuple[list[int], list[int], list[int]] = ([], [], [])
+    if not len(rows) or not len(queries):
+        return out
+    size = float(np.abs(rows).max()) * float(np.abs(queries).max()) * rows.shape[1]
+    if size >= LARGEST:
+        raise ValueError("scores exceed 64 bits")
+    lists = postings(rows)
     order = np.argsort(ids, kind="stable")
     for query, weights in zip(query_ids.tolist(), queries):
         scores = np.zeros(len(rows), np.int64)
@@ -71,19 +76,22 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int, block_rows: int = ROWS,
-          block_queries: int = QUERIES) -> DataFrame:
+          block_queries: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of (vec_id, v `array<bigint>`) that `is_query`
     selects: the k largest inner products with other rows, ties to the smaller vec_id.
 
-    `vec_id` must be unique.  All vectors have the same length.  A query without other rows gives no
-    row.  Work is queries x rows; each task holds one block of both.
+    `vec_id` must be unique.  Vectors of one length are searched among themselves.  A query without
+    other rows of its length gives no row.  Work is queries x rows; each task holds one block of both,
+    by default queries of `QUERY_BYTES`.
     """
+    rows = settled(rows)
     queries = rows.where(is_query)
-    n, m = rows.count(), queries.count()
+    n, m, longest = rows.agg(F.count("*"), F.count_if(is_query), F.max(F.size("v"))).first()
+    block_queries = block_queries or max(1, QUERY_BYTES // (8 * (longest or 1)))
     row_blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
 
     def dealt(df: DataFrame, own: int, other: int, mine: str, theirs: str) -> DataFrame:
-        return df.select("vec_id", "v").withColumn(
+        return df.select("vec_id", "v", F.size("v").alias("size")).withColumn(
             mine, F.pmod(F.xxhash64("vec_id"), F.lit(own))
         ).withColumn(theirs, F.explode(F.sequence(
             F.lit(0).cast("bigint"), F.lit(other - 1).cast("bigint"))))
@@ -101,8 +109,8 @@ def top_k(rows: DataFrame, is_query: Column, k: int, block_rows: int = ROWS,
             ("vec_id", left.schema.field("vec_id").type), ("score", pa.int64()),
         ]))
 
-    left = dealt(queries, query_blocks, row_blocks, "q", "r").groupBy("q", "r")
-    right = dealt(rows, row_blocks, query_blocks, "r", "q").groupBy("q", "r")
+    left = dealt(queries, query_blocks, row_blocks, "q", "r").groupBy("size", "q", "r")
+    right = dealt(rows, row_blocks, query_blocks, "r", "q").groupBy("size", "q", "r")
     found = left.cogroup(right).applyInArrow(search, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(

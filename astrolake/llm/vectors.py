@@ -30,14 +30,16 @@ def usable(df: DataFrame, id_column: str, vector_column: str, zero: bool = True)
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def uniform(df: DataFrame, id_column: str, vector_column: str, zero: bool = True) -> DataFrame:
+def uniform(df: DataFrame, id_column: str, vector_column: str, zero: bool = True,
+            mixed: bool = False) -> DataFrame:
     """The rows of `usable`, of a table in which only rows without id or fit vector are left out.
 
-    Vectors of several lengths are an error at once, other vectors under one id when the rows are
-    read.  Rows equal in id and vector are one.
+    Vectors of several lengths are an error at once, unless `mixed` lets them in; other vectors under
+    one id are an error when the rows are read.  Rows equal in id and vector are one.
     """
     rows = _fit(df, id_column, vector_column, zero)
-    sizes = [row.n for row in rows.select(F.size("v").alias("n")).distinct().limit(2).collect()]
+    lengths = rows.select(F.size("v").alias("n")).distinct().limit(2)
+    sizes = [] if mixed else [row.n for row in lengths.collect()]
     if len(sizes) > 1:
         raise ValueError(f"vectors of several lengths, such as {min(sizes)} and {max(sizes)}")
     ends = rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("v").alias("most"))

@@ -79,6 +79,8 @@ def test_mixed_tables_are_errors(spark, tmp_path, query):
     plain = [(i, [float(i + 1), 1.0]) for i in range(60)]
     for name, rows, match in (("lengths", [(60, [1.0])], "several lengths"),
                               ("ids", [(0, [9.0, 9.0])], "several vectors of id 0")):
+        if name == "lengths" and query == "op7_exact_top_k":
+            continue  # searched by length
         table(spark, plain + rows).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
         with pytest.raises(Exception, match=match):
             QUERIES[query](spark, f"{tmp_path}/{name}").collect()
@@ -87,6 +89,23 @@ def test_mixed_tables_are_errors(spark, tmp_path, query):
     assert asked == set(range(0, 60, 20 if query == "op5_ann_search" else 50))
 
 
+def test_top_k_searches_each_length_and_settles_blocks(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    data = {n: np.round(rng.standard_normal((80, n)), 2).astype(np.float32) for n in (2, 3, 5)}
+    rows = [(3 * i + at, data[n][i].tolist()) for at, n in enumerate(data) for i in range(80)]
+    rows += [(300, [1.0]), (301, None), (302, []), (None, [1.0, 2.0]), (350, [float("nan"), 1.0])]
+    table(spark, rows + rows[:3]).write.parquet(f"{tmp_path}/embeddings.parquet")
+    expected = {}
+    for at, n in enumerate(data):
+        whole = np.floor(256 * data[n].astype(np.float64)).astype(np.int64)
+        expected |= exact(3 * np.arange(80) + at, whole, 50, 5)
+    assert answers(QUERIES["op7_exact_top_k"](spark, str(tmp_path))) == expected
+    used = vectors.uniform(table(spark, rows), "vec_id", "embedding", mixed=True).select(
+        "vec_id", F.transform("v", lambda x: F.floor(x * 256)).alias("v"))
+    small = topk.top_k(used, F.col("vec_id") % 50 == 0, 5, block_rows=16, block_queries=2)
+    assert answers(small) == expected
+
+
 def test_ann_recall_over_many_leaves(spark, embeddings, monkeypatch):
     rows, ids, data = embeddings
     monkeypatch.setattr(ann, "LEAF_ROWS", 100)
