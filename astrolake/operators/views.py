@@ -12,6 +12,7 @@ from astrolake.fixed_values import FUNCTION_KINDS
 from astrolake.functions import predicates as P
 from astrolake.functions.predicates import of_kind
 from astrolake.operators.nodes import LINE, Needs
+from astrolake.session import spread
 
 CALLS = Needs(("Call",), (
     "content_sha", "kind", "pre", "last", "depth", "lineno", "func_kind", "func_name", "recv_kind",
@@ -56,7 +57,7 @@ def with_text(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     lines = nodes.filter(of_kind(LINE)).select(
         "content_sha", F.col("lineno").alias("line"), "text"
     )
-    return rows.join(lines, ["content_sha", "line"], "left")
+    return rows.join(spread(lines), ["content_sha", "line"], "left")
 
 
 def dynamic_strings(nodes: DataFrame) -> DataFrame:

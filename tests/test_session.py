@@ -96,3 +96,14 @@ def test_positions_keep_only_keys(spark):
         .optimizedPlan().toString()
     scans = [line for line in plan.splitlines() if "LogicalRDD" in line]
     assert scans and not any("wide" in line for line in scans if "_part" in line)
+
+
+def test_tables_are_not_broadcast_on_estimates(spark):
+    """The texts come from two small columns, so the optimizer takes any number of files, and what is
+    aggregated from them, for a small table."""
+    queries = entry_module.queries()
+    for name in ("case_call_lines", "function_marks", "walk_membership", "calls_view",
+                 "complexity_metric", "parse_failures"):
+        plan = queries[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        assert "BroadcastHashJoin" not in plan.toString(), name
+        assert "SortMergeJoin" in plan.toString(), name
