@@ -9,6 +9,7 @@ or function combine before they shuffle.
 from __future__ import annotations
 
 import ast
+import gc
 import io
 import tokenize
 import warnings
@@ -172,6 +173,9 @@ class Scope(NamedTuple):
 
 def read_source(raw: bytes) -> str:
     """Decode by BOM or coding declaration, UTF-8 otherwise, with universal newlines."""
+    # ASCII means itself where nothing in the first two lines could name a codec.
+    if raw.isascii() and b"\r" not in raw and b"coding" not in b"".join(raw.split(b"\n", 2)[:2]):
+        return raw.decode("ascii")
     buffer = io.BytesIO(raw)
     encoding, _ = tokenize.detect_encoding(buffer.readline)
     buffer.seek(0)
@@ -329,6 +333,8 @@ class Wanted(NamedTuple):
     kinds: frozenset | None = None
     shaped: bool = True  # columns that describe a node itself
     linked: bool = True  # columns that place a node in its tree
+    placed: bool = True  # number, depth, line and function of a node
+    scopes: frozenset = frozenset(Scope._fields)  # inherited attributes to work out
     lines: bool = True  # source lines of calls and assignments
     runs: bool = True  # runs of long functions
     reach: str = "all"  # nodes to visit, see _LEADS
@@ -363,34 +369,43 @@ def _place_below(node: ast.AST, field: str, idx: int, place: tuple) -> tuple | N
     return (*place, _BLOCK_RANK[field], idx) if field in _BLOCK_RANK else None
 
 
-def _block_scope(node: ast.AST, plain: Scope, scope: Scope, me: tuple | None, field: str, idx: int):
+def _block_scope(node: ast.AST, plain: Scope, scope: Scope, me: tuple | None, field: str, idx: int,
+                 flows: bool, nests: bool):
     """Scope of member `idx` of a statement block of `node`; `plain` is that of its expressions."""
     own_fn, body_fns, place, flow = plain.own_fn, plain.body_fns, None, None
     if scope.block_key is not None:
         place = _place_below(node, field, idx, scope.block_key)
     if me is not None:
         if field == "body":
-            own_fn, body_fns, flow = me, (*scope.body_fns, me), (me, (idx,), None)
+            own_fn, body_fns = me, (*scope.body_fns, me)
+            flow = (me, (idx,), None) if flows else None
     elif scope.flow is not None and type(node) in _FLOW_THROUGH:
         key = _place_below(node, field, idx, scope.flow[1])
         flow = (scope.flow[0], key, None) if key else None
-    nest = _nest_below(node, field, scope.nest)
+    nest = _nest_below(node, field, scope.nest) if nests else None
     return Scope(plain.fns, body_fns, own_fn, nest, place, flow, plain.events)
 
 
-def walk_tree(tree: ast.Module, leads: dict = _CHILD_FIELDS) -> list[tuple]:
-    """(node, parent, field, idx, depth, scope, function, next line) in pre-order, no recursion."""
+def walk_tree(tree: ast.Module, leads: dict = _CHILD_FIELDS,
+              wanted: frozenset = frozenset(Scope._fields)) -> list[tuple]:
+    """(node, parent, field, idx, depth, scope, function, next line) in pre-order, no recursion.  Of
+    the scope only the `wanted` attributes are certain to be there."""
     out: list[tuple] = []
-    stack = [(tree, None, None, None, 0, Scope(block_key=()), None)]
+    flows, nests = not wanted.isdisjoint(("flow", "events")), "nest" in wanted
+    start = Scope(block_key=() if "block_key" in wanted else None)
+    stack = [(tree, None, None, None, 0, start, None)]
+    pop, push, note, known = stack.pop, stack.append, out.append, _CHILD_FIELDS
+    pre = -1
     while stack:
-        node, parent, field, idx, depth, scope, next_line = stack.pop()
-        cls, pre = type(node), len(out)
+        entry = pop()
+        node, _, _, _, depth, scope, next_line = entry
+        cls, pre = type(node), pre + 1
         me = (depth, pre, node.name) if cls in _DEFS else None
-        out.append((node, parent, field, idx, depth, scope, me, next_line))
+        note((*entry[:6], me, next_line))
         fields = leads[cls]
         if not fields:
             continue
-        holder, plain = cls in _HOLDERS, scope
+        below, plain, holder = depth + 1, scope, cls in _HOLDERS and bool(wanted)
         if holder:
             # A flow place belongs to a simple statement, or only leads on through a compound one.
             simple = scope.flow and cls not in _FLOW_THROUGH
@@ -400,26 +415,24 @@ def walk_tree(tree: ast.Module, leads: dict = _CHILD_FIELDS) -> list[tuple]:
                 None if me or cls is ast.Lambda else scope.own_fn,
                 events=(*scope.events, scope.flow) if simple else scope.events,
             )
-        pending = []
-        for name in fields:
+        # The last child goes onto the stack first.
+        for name in reversed(fields):
             value = getattr(node, name, None)
-            if type(value) is list:
-                blocks = holder and name in _BLOCKS
-                for at, child in enumerate(value):
-                    if type(child) not in _CHILD_FIELDS:
-                        continue
-                    follower = None
-                    if blocks and at + 1 < len(value):
-                        follower = getattr(value[at + 1], "lineno", None)
-                    pending.append((
-                        child, pre, name, at, depth + 1,
-                        _block_scope(node, plain, scope, me, name, at) if blocks else plain,
-                        follower,
-                    ))
-            elif type(value) in _CHILD_FIELDS:
-                pending.append((value, pre, name, None, depth + 1, plain, None))
-        pending.reverse()
-        stack += pending
+            if type(value) is not list:
+                if type(value) in known:
+                    push((value, pre, name, None, below, plain, None))
+            elif holder and name in _BLOCKS:
+                for at in range(len(value) - 1, -1, -1):
+                    child = value[at]
+                    if type(child) in known:
+                        follower = value[at + 1] if at + 1 < len(value) else None
+                        push((child, pre, name, at, below,
+                              _block_scope(node, plain, scope, me, name, at, flows, nests),
+                              getattr(follower, "lineno", None)))
+            else:
+                for at in range(len(value) - 1, -1, -1):
+                    if type(value[at]) in known:
+                        push((value[at], pre, name, at, below, plain, None))
     return out
 
 
@@ -451,7 +464,7 @@ def _in_run(flow: tuple | None, runs: dict) -> tuple | None:
 
 def tree_rows(sha: str, tree: ast.Module, lines: list[str], wanted: Wanted) -> Iterator[dict]:
     kinds = wanted.kinds
-    walked = walk_tree(tree, _LEADS[wanted.reach])
+    walked = walk_tree(tree, _LEADS[wanted.reach], wanted.scopes)
     last = _last_descendants(walked) if wanted.linked else ()
     runs = _runs_of(walked) if wanted.runs else {}
     noted = set()
@@ -459,10 +472,10 @@ def tree_rows(sha: str, tree: ast.Module, lines: list[str], wanted: Wanted) -> I
         kind = type(node).__name__
         if kinds is not None and kind not in kinds:
             continue
-        row = {
-            "content_sha": sha, "kind": kind, "pre": pre, "depth": depth,
-            "lineno": getattr(node, "lineno", None), "own_fn": scope.own_fn,
-        }
+        row = {"content_sha": sha, "kind": kind}
+        if wanted.placed:
+            row.update(pre=pre, depth=depth, lineno=getattr(node, "lineno", None),
+                       own_fn=scope.own_fn)
         if wanted.linked:
             row.update(last=last[pre], parent=parent, field=field, idx=idx)
         if wanted.shaped:
@@ -554,11 +567,11 @@ def _files_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
     """Each content once: rows that repeat one file come to the same task."""
     seen = set()
     for batch in batches:
-        for sha, raw in zip(batch.column("content_sha"), batch.column("content")):
-            name = sha.as_py()
+        contents = batch.column("content")
+        for at, name in enumerate(batch.column("content_sha").to_pylist()):
             if name not in seen:
                 seen.add(name)
-                yield name, raw.as_py()
+                yield name, contents[at].as_py()
 
 
 def distinct_contents(files: DataFrame) -> DataFrame:
@@ -586,6 +599,13 @@ def _reach(needs: Needs) -> str:
     return "statements" if kinds <= {cls.__name__ for cls in _STATEMENTS} else "all"
 
 
+def _scopes(needs: Needs) -> frozenset:
+    """Inherited attributes behind the columns: next siblings are noted with the blocks, runs follow
+    from the flow."""
+    behind = {"next_line": "block_key", "runs": "flow"}
+    return frozenset(behind.get(name, name) for name in needs.columns).intersection(Scope._fields)
+
+
 def syntax_nodes(files: DataFrame, needs: Needs | None = None) -> DataFrame:
     """Node table of `files`, or the part of it that `needs` names."""
     schema, wanted = StructType.fromDDL(NODE_SCHEMA), Wanted()
@@ -595,6 +615,8 @@ def syntax_nodes(files: DataFrame, needs: Needs | None = None) -> DataFrame:
             kinds=frozenset(needs.kinds) or None,
             shaped=not _UNSHAPED.issuperset(needs.columns),
             linked=not _LINKS.isdisjoint(needs.columns),
+            placed=not {"content_sha", "kind"}.issuperset(needs.columns),
+            scopes=_scopes(needs),
             lines=not needs.kinds or LINE in needs.kinds,
             runs="runs" in needs.columns,
             reach=_reach(needs),
@@ -602,10 +624,17 @@ def syntax_nodes(files: DataFrame, needs: Needs | None = None) -> DataFrame:
     arrow_schema = to_arrow_schema(schema)
 
     def parse(batches):
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            rows = (row for sha, raw in _files_in(batches) for row in file_rows(sha, raw, wanted))
-            yield from _batches(rows, arrow_schema)
+        # Trees hold no cycles: looking for some after every two thousand nodes finds nothing.
+        before = gc.get_threshold()
+        gc.set_threshold(200_000, *before[1:])
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                rows = (row for sha, raw in _files_in(batches)
+                        for row in file_rows(sha, raw, wanted))
+                yield from _batches(rows, arrow_schema)
+        finally:
+            gc.set_threshold(*before)
 
     return distinct_contents(files).mapInArrow(parse, schema)
 

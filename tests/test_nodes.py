@@ -4,9 +4,11 @@ import ast
 import collections
 import dataclasses
 import inspect
+import io
 import json.decoder
 import subprocess
 import textwrap
+import tokenize
 import typing
 from collections import Counter
 
@@ -244,3 +246,25 @@ def test_long_lines_keep_their_snippet(scan_cases):
     line = f"eval(a); eval(b); y = '{padding}'"
     security, _ = scan_cases({"long": f"if c:\n    {line}   \n    eval(d)"})
     assert [f.code_snippet for f in security["long"]] == [line, line, "eval(d)"]
+
+
+def test_scopes_follow_the_columns(sources):
+    """Inherited attributes a job does not ask for are not worked out; those it does are the same."""
+    text = "def f(a):\n    if a:\n        b = g(a)\n        return b\n        c = 1\n"
+    tree = ast.parse(text)
+    whole = list(N.tree_rows("s", tree, text.splitlines(), N.Wanted()))
+    needs = N.Needs(("Return", "Assign"), ("content_sha", "kind", "lineno", "next_line", "nest"))
+    wanted = N.Wanted(kinds=frozenset(needs.kinds), lines=False, scopes=N._scopes(needs))
+    part = list(N.tree_rows("s", tree, text.splitlines(), wanted))
+    assert part and all(row["flow"] is None for row in part)
+    same = [tuple(row.get(c) for c in needs.columns) for row in whole if row["kind"] in needs.kinds]
+    assert same == [tuple(row.get(c) for c in needs.columns) for row in part]
+
+
+def test_plain_sources_are_read_as_by_their_codec():
+    for raw in (b"", b"x = 1\n", b"x = '\r\n'\ry", b"# coding: latin-1\nx = 1\n",
+                b"#!/bin/sh\n# -*- coding: utf-8 -*-\n", "é = 1".encode(), b"\n\n# coding: none\n"):
+        buffer = io.BytesIO(raw)
+        encoding, _ = tokenize.detect_encoding(buffer.readline)
+        buffer.seek(0)
+        assert N.read_source(raw) == io.TextIOWrapper(buffer, encoding).read()
