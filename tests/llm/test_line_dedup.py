@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 from astrolake.llm.line_dedup import (
-    DEPTH, LONG, LONG_DOCS, MIN_DOCS, MIN_FIELDS_FIXED, MIN_FIXED, drop_recurring_lines,
+    DEPTH, LONG, LONG_DOCS, MIN_DOCS, MIN_FIELDS_FIXED, MIN_FIXED, drop_recurring_lines, templates,
 )
 
 
@@ -132,3 +132,10 @@ def test_columns_stay(spark):
                                "doc_id long, text string, _line int, leaf int, first int")
     assert drop_recurring_lines(df, "doc_id", "text").collect() == df.collect()
     assert drop_recurring_lines(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_a_leaf_takes_four_bytes_of_a_row(spark):
+    """Its lower half is zero, so that it compresses with its neighbours; other lines differ in it."""
+    lines = spark.createDataFrame([(f"{a} {b} tail",) for a in "abcdef" for b in "uvwxyz"], "_line string")
+    leaves = {r.leaf for r in templates(lines).collect()}
+    assert len(leaves) == 36 and all(leaf % (1 << 32) == 0 for leaf in leaves)
