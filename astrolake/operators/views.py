@@ -28,27 +28,31 @@ LINES = Needs((LINE,), ("content_sha", "kind", "lineno", "text"))
 KIND_COUNTS = Needs((), ("kind",))
 
 
+def _named(rows: DataFrame, columns: str, renamed: dict[str, str]) -> DataFrame:
+    """The given columns as far as the nodes hold them (`Needs.only` leaves some out), renamed."""
+    kept = [name for name in columns.split() if name in rows.columns]
+    return rows.select(*(F.col(name).alias(renamed.get(name, name)) for name in kept))
+
+
 def calls(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(of_kind("Call")).select(
-        "content_sha", "pre", "last", "depth", F.col("lineno").alias("line"),
-        "func_kind", "func_name", "recv_kind", "recv_name", "recv_root", "args", "kws",
-        "fns", "events",
-    )
+    return _named(
+        nodes.filter(of_kind("Call")),
+        "content_sha pre last depth lineno func_kind func_name recv_kind recv_name recv_root args "
+        "kws fns events", {"lineno": "line"})
 
 
 def functions(nodes: DataFrame) -> DataFrame:
     """Every `def` and `async def` at any depth, with its parameters."""
-    return nodes.filter(of_kind(*FUNCTION_KINDS)).select(
-        "content_sha", "pre", "last", "depth", F.col("lineno").alias("line"),
-        F.col("ident").alias("function_name"), "params", "own_fn",
-    )
+    return _named(
+        nodes.filter(of_kind(*FUNCTION_KINDS)),
+        "content_sha pre last depth lineno ident params own_fn",
+        {"lineno": "line", "ident": "function_name"})
 
 
 def assigns(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(of_kind("Assign")).select(
-        "content_sha", "pre", "depth", F.col("lineno").alias("line"), "targets", "value",
-        "own_fn", "flow",
-    )
+    return _named(
+        nodes.filter(of_kind("Assign")),
+        "content_sha pre depth lineno targets value own_fn flow", {"lineno": "line"})
 
 
 def with_text(rows: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -268,3 +268,27 @@ def test_plain_sources_are_read_as_by_their_codec():
         encoding, _ = tokenize.detect_encoding(buffer.readline)
         buffer.seek(0)
         assert N.read_source(raw) == io.TextIOWrapper(buffer, encoding).read()
+
+
+def test_views_of_fewer_columns(spark, sources):
+    """Rows that need no place in the tree come from a plain visit, and say the same."""
+    files = file_table(spark, [("std", name, raw) for name, raw in sources.items()])
+    for view, needs, columns in (
+        (views.calls, views.CALLS, ("func_kind", "func_name", "recv_kind", "recv_name", "args", "kws")),
+        (views.calls, views.CALLS, ("func_name",)),
+        (views.calls, views.CALLS, ("fns",)),
+        (views.functions, views.FUNCTIONS, ("ident", "params")),
+        (views.assigns, views.ASSIGNS, ("targets", "value")),
+    ):
+        less = view(N.syntax_nodes(files, needs.only(*columns)))
+        assert {"content_sha", "line"} < set(less.columns) and len(less.columns) == len(columns) + 2
+        whole = view(N.syntax_nodes(files, needs)).select(*less.columns)
+        assert Counter(map(repr, less.collect())) == Counter(map(repr, whole.collect()))
+
+
+def test_lines_are_made_where_their_text_is_asked_for(spark):
+    files = file_table(spark, [("r", "a.py", b"x = f()\n")])
+    kinds = [r.kind for r in N.syntax_nodes(files, views.KIND_COUNTS).collect()]
+    assert sorted(kinds) == sorted(["Module", "Assign", "Name", "Call", "Name"])
+    needs = N.Needs((), ("kind", "text"))
+    assert N.LINE in [r.kind for r in N.syntax_nodes(files, needs).collect()]
