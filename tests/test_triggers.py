@@ -54,3 +54,20 @@ def test_triggers_follow_the_lists(spark, monkeypatch):
     assert files.filter(may_fire(("sql_injection",))).count() == 0
     monkeypatch.setattr(fixed_values, "SQL_METHODS", (*fixed_values.SQL_METHODS, "run_sql"))
     assert [r.path for r in files.filter(may_fire(("sql_injection",))).collect()] == ["a.py"]
+
+
+def test_triggers_need_no_patterns(spark):
+    """Alternatives cost megabytes of text many times what a search for bytes does."""
+    plan = file_table(spark, [("r", "a.py", "x = 1")]).filter(may_fire(SECURITY_RULES))
+    assert "RLIKE" not in plan._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+@pytest.mark.parametrize("text, kept", [
+    ("My_PassWord = 1", True), ("x = KEY", True), ("Eval(x)", False), ("OPEN(INPUT())", False),
+    ("eval(x)", True), ("x = 'é'", True), (b"\xff", True), ("# coding", True), ("", False),
+    ("input()", False), ("input(open(x))", True), ("os.popen(x)", True), ("x = 1", False),
+])
+def test_words_of_triggers(spark, text, kept):
+    """Only the markers of secrets are found in any case; bytes that are not ASCII keep a text."""
+    files = file_table(spark, [("r", "a.py", text)])
+    assert files.filter(may_fire(SECURITY_RULES)).count() == kept
