@@ -292,3 +292,14 @@ def test_lines_are_made_where_their_text_is_asked_for(spark):
     assert sorted(kinds) == sorted(["Module", "Assign", "Name", "Call", "Name"])
     needs = N.Needs((), ("kind", "text"))
     assert N.LINE in [r.kind for r in N.syntax_nodes(files, needs).collect()]
+
+
+def test_reads_are_the_only_names_of_a_quality_scan(spark):
+    """Names stored, or read outside functions, give no row: no check looks at them."""
+    text = "a = b\ndef f(c=d):\n    e = g\n    del h\n    return lambda: e + i\n"
+    files = file_table(spark, [("r", "a.py", text)])
+    rows = N.syntax_nodes(files, quality.QUALITY_NEEDS).filter("kind = 'Name'").collect()
+    assert sorted(r.ident for r in rows) == ["e", "g", "i"]
+    assert all(r.ctx == "Load" and r.body_fns for r in rows)
+    less = N.Needs((N.READ,), ("content_sha", "kind", "ident"))
+    assert sorted(r.ident for r in N.syntax_nodes(files, less).collect()) == ["e", "g", "i"]

@@ -11,6 +11,7 @@ from astrolake.operators import views
 from astrolake.operators.nodes import syntax_nodes, with_family
 from astrolake.sources.code_files import (
     COLUMNS,
+    code_files,
     read_folder,
     read_table,
     scannable,
@@ -323,3 +324,32 @@ def test_replaced_report_without_findings(spark, tmp_path):
     assert read_report(spark, path, "security_findings").count() == 0
     with pytest.raises(ValueError):
         read_report(spark, path, "nothing")
+
+
+def test_full_scan_makes_texts_for_listing_and_parse_only(spark):
+    """Everything behind the parse job reads the listing: no text is made or hashed again."""
+    made = spark.range(20).select(
+        F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("repo_id"),
+        F.concat(F.lit("src/m"), F.col("id").cast("string"), F.lit(".py")).alias("path"),
+        F.encode(F.concat(F.lit("x = 1\neval(x) #"), (F.col("id") % 7).cast("string")), "UTF-8")
+        .alias("content"),
+    )
+    files = code_files(made)
+    with Scan.full(files) as scan:
+        results = scan.security_findings(), scan.quality_findings(), scan.dashboard(), \
+            scan.security_counts(), scan.quality_counts()
+        for result in results:
+            assert "sha2" not in result._jdf.queryExecution().optimizedPlan().toString()
+        assert results[0].count() == 20
+        assert len(set(findings_of(scan))) == 20
+    with Scan.full(files.filter("path <> 'src/m3.py'")) as scan:
+        assert scan.nodes.filter("kind = 'Module'").count() == 7
+
+
+def test_store_looks_for_fresh_contents_in_the_listing(spark, tmp_path):
+    files = file_table(spark, [("r", f"{n}.py", f"eval(x + {n % 5})\n") for n in range(12)])
+    listing = files.select("repo_id", "path", "content_sha")
+    held = NodeStore(spark, str(tmp_path / "store"), Scan.full(files).needs)
+    assert held.add(files.filter("path < '2'")).count() == 2  # 0, 1, 10 and 11
+    assert held.add(files, listing).count() == 3
+    assert held.add(files, listing).count() == 0
