@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ END = 0
 DIMENSIONS = 3
 BITS = 10
 BUCKETS = 1024
+WORDS_AT_ONCE = 2000  # new words the model gets in one call
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -80,22 +82,46 @@ _TABLES: dict[str, WordTable] = {}
 def _words(path: str, pattern: str) -> WordTable:
     if path not in _TABLES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenize, alphabet = tokenizer.model.tokenize, byte_alphabet()
+        tokenizer, alphabet = Tokenizer.from_file(path), byte_alphabet()
+        characters = np.array([ord(alphabet[b]) for b in range(256)], "<u4")
         special = {}
         for number, token in tokenizer.get_added_tokens_decoder().items():
             if token.single_word or token.lstrip or token.rstrip or token.normalized:
                 raise ValueError(f"added token with a rule of its own: {token.content}")
-            special[token.content.encode()] = np.array([number], np.int32)
-
-        def encode_words(words: list[bytes]) -> list[np.ndarray]:
-            return [
-                special[word] if word in special else np.array(
-                    [t.id for t in tokenize(word.decode("latin-1").translate(alphabet))], np.int32)
-                for word in words
-            ]
+            special[token.content.encode()] = number
+        # The model alone, for words in its alphabet, which has no space.
+        model = Tokenizer(tokenizer.model)
+        model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = model.get_vocab()
+        size = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)  # bytes of each token
+        for token, number in vocabulary.items():
+            size[number] = len(token)
+
+        def written(words: list[bytes]) -> list[str]:
+            """The words in the model's alphabet, a character per byte."""
+            raw = np.frombuffer(b"".join(words), np.uint8)
+            text, ends = characters[raw].tobytes().decode("utf-32-le"), accumulate(map(len, words))
+            return [text[end - len(word):end] for word, end in zip(words, ends)]
+
+        def encode_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            ids, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+            for lo in range(0, len(words), WORDS_AT_ONCE):
+                part = words[lo:lo + WORDS_AT_ONCE]
+                added = [at for at, word in enumerate(part) if word in special]
+                text = written(part)
+                for at in added:
+                    text[at] = text[at][:1]  # holds the place
+                found, = model.encode_batch_fast([" ".join(text)], add_special_tokens=False)
+                ids.append(np.array(found.ids, np.int32))
+                # The tokens of a word have as many bytes as the word.
+                ends = np.searchsorted(
+                    np.cumsum(size[ids[-1]]), np.cumsum([len(word) for word in text]), "left") + 1
+                lengths.append(np.diff(ends, prepend=0))
+                for at in added:
+                    ids[-1][ends[at] - 1] = special[part[at]]
+            return np.concatenate(ids), np.concatenate(lengths)
 
         table = WordTable(pattern, encode_words)
         if special:
@@ -118,7 +144,7 @@ def tokenised(df: DataFrame, column: str, path: str, pattern: str, end: int = EN
     the projection `_p` of the hashed document vector.
 
     The tokenizer must be byte-level, with `pattern` as its split.  Its model works on one match at
-    a time, so a word is encoded once per worker.  Strings of added tokens in a text get the ids of
+    a time, so a word is encoded once per worker, with many others in one call.  Strings of added tokens in a text get the ids of
     those tokens, as the library gives them unless told otherwise.  A null text counts as empty.
     """
     def make():

@@ -98,3 +98,13 @@ def test_full_word_table_keeps_results(monkeypatch, reference, table):
         texts = [f"word{turn * 7 + i} the same number {i} again" for i in range(9)]
         values, counts = words.encode(texts)
         assert values.tolist() == [i for text in texts for i in reference(text)]
+
+
+def test_the_plain_split_of_every_character():
+    """The written-out letters are those of the public pattern, next to each kind of character."""
+    general = bpe.regex.compile(public_tokenizers.PATTERN).findall
+    plain = bpe._PLAIN[public_tokenizers.PATTERN]
+    for number in (*range(0x250), *range(0x2010, 0x2028)):
+        text = "".join(f"{a}{chr(number)}{b}" for a in ("a", "1", "!", " ", "'", "\n", "_", " '") for b in ("é", "7", "?", "  ", "s", "ll"))
+        if bpe._OTHER(text) is None:
+            assert plain(text) == general(text), hex(number)

@@ -75,3 +75,17 @@ def test_neighbours_in_the_stream_are_alike(spark):
         return sum(language[a] != language[b] for a, b in zip(ids, ids[1:]))
 
     assert changes(order) < 0.5 * changes(sorted(order))
+
+
+def test_new_words_share_calls(monkeypatch):
+    """The model gets many new words in one call; ids and lengths stay those of each word alone."""
+    tokenizer = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 3)
+    monkeypatch.setattr(packing, "_TABLES", {})
+    words = [" the", "<|endoftext|>", " ", "x" * 3000, "\n\n", "\x85", "<|endoftext|>", " ", "né", "a"]
+    ids, lengths = packing._words(PATH, public_tokenizers.PATTERN).encode_words([w.encode() for w in words])
+    expected = [tokenizer.encode(word, add_special_tokens=False).ids for word in words]
+    assert lengths.tolist() == [len(x) for x in expected]
+    assert ids.tolist() == [x for word in expected for x in word]
+    empty = packing._words(PATH, public_tokenizers.PATTERN).encode_words([])
+    assert [len(x) for x in empty] == [0, 0]
