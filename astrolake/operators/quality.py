@@ -202,7 +202,7 @@ def nesting_depth(nodes: DataFrame, threshold: int = NESTING_THRESHOLD) -> DataF
     return metric_findings(nodes, nesting_threshold=threshold, checks=("nesting_depth",))
 
 
-THRESHOLDS = ("complexity", "nesting_depth")
+THRESHOLDS = {"complexity": COMPLEXITY_THRESHOLD, "nesting_depth": NESTING_THRESHOLD}
 QUALITY_BUILDERS = {
     "complexity": (METRIC_NEEDS, complexity),
     "unused_vars": (NAME_NEEDS, unused_vars),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 
 from astrolake.operators import findings, quality, report
 from astrolake.operators.nodes import STATUS, Needs, parse_status, syntax_nodes, with_family
-from astrolake.operators.triggers import may_fire
+from astrolake.operators.triggers import may_fire, may_note
 from astrolake.session import drop_table, tuned, write_table
 from astrolake.sources.node_store import NodeStore
 
@@ -93,10 +93,11 @@ class Scan:
         """Findings of one quality check, straight from the parse job.  `threshold` replaces that of
         `complexity` or `nesting_depth`."""
         needs, build = quality.QUALITY_BUILDERS[check]
-        nodes = syntax_nodes(self.files, needs)
+        if threshold is not None and check not in quality.THRESHOLDS:
+            raise ValueError(f"{check} has no threshold")
+        limit = quality.THRESHOLDS.get(check, 0) if threshold is None else threshold
+        nodes = syntax_nodes(self._to_parse(may_note(check, limit)), needs)
         if threshold is not None:
-            if check not in quality.THRESHOLDS:
-                raise ValueError(f"{check} has no threshold")
             return findings.quality_findings(self.files, build(nodes, threshold))
         return findings.quality_findings(self.files, build(nodes))
 
