@@ -13,10 +13,12 @@ import pytest
 from conftest import file_table
 
 from astrolake.operators import findings, quality
+from astrolake.operators.function_rules import FUNCTION_RULE_NEEDS, function_findings
 from astrolake.operators.nodes import STATUS, syntax_nodes
 from astrolake.operators.scan import Scan, _long, _short
 from astrolake.session import settled, write_files
 from astrolake.sources.case_corpus import CASES
+from astrolake.sources.node_store import NodeStore
 from astrolake.sources.report_sink import write_report
 
 MORE = (
@@ -121,3 +123,31 @@ def test_unused_names_of_nested_functions(spark):
     whole = quality.unused_vars(syntax_nodes(table, quality.NAME_NEEDS)).collect()
     assert sorted((r.line, r["var"], r.function_name) for r in kept) == sorted(
         (r.line, r["var"], r.function_name) for r in whole) != []
+
+
+def test_function_rules_are_hashed(spark):
+    """The first sink in the walk comes without sorting rows by function."""
+    text = ("def f():\n    q = input()\n    for x in q:\n        if x:\n            eval(x)\n"
+            "        open(q)\n    while q:\n        exec(q)\n")
+    rows = syntax_nodes(file_table(spark, [("r", "a.py", text)]), FUNCTION_RULE_NEEDS)
+    hits = function_findings(rows)
+    assert {(r.variant, r.line) for r in hits.collect()} == {
+        ("unvalidated_input", 6), ("unchecked_path", 6)}
+    assert "SortAggregate" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_store_finds_fresh_contents_once(spark, files, tmp_path):
+    """What is new is worked out in one step and kept for the parse job."""
+    some = files.where("repo_id = 's'")
+    needs = Scan.full(files).needs
+    held = NodeStore(spark, str(tmp_path / "store"), needs)
+    assert held.add(some).count() == 2
+    known, made = [], NodeStore._read
+    held._read = lambda *a: known.append(a[0]) or made(held, *a)
+    distinct = files.select("content_sha").distinct().count()
+    assert held.add(files).count() == distinct - 2
+    assert known == ["contents"]
+    assert held.contents().groupBy("batch").count().count() == 2
+    assert held.add(files).count() == 0
+    with Scan.full(files, str(tmp_path / "store")) as scan, Scan.full(files) as plain:
+        assert found(scan) == found(plain)
