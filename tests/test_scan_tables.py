@@ -151,3 +151,13 @@ def test_store_finds_fresh_contents_once(spark, files, tmp_path):
     assert held.add(files).count() == 0
     with Scan.full(files, str(tmp_path / "store")) as scan, Scan.full(files) as plain:
         assert found(scan) == found(plain)
+
+
+def test_scans_without_status_rows_keep_hashes(spark, files):
+    """No row tells the numbers there."""
+    with Scan.quality(files) as scan, Scan.full(files) as full:
+        kept, whole = scan.quality_findings().collect(), full.quality_findings().collect()
+    assert len(kept) > 20 and Counter(map(str, kept)) == Counter(map(str, whole))
+    with Scan(files.where("repo_id = 's'")) as scan:
+        assert dict(scan.nodes.dtypes)["content_sha"] == "string"
+        assert scan.quality_findings().count() == sum(row.repo_id == "s" for row in whole)
